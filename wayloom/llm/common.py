@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, as every contract defines it, and the characters between words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,14 +73,18 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the number of words of each text. Words never cross texts."""
-    if not len(raw):
+    return spans_of(~_IS_BLANK[raw], offsets)
+
+
+def spans_of(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of solid bytes, cut at the ends of texts, and the number in each text."""
+    if not len(solid):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    solid = ~_IS_BLANK[raw]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
     edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(raw))]
+    edges = edges[(edges > 0) & (edges < len(solid))]
     begins[edges] = solid[edges]
     ends[edges - 1] = solid[edges - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
@@ -132,3 +137,41 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     if at < batch.num_rows:
         yield batch.slice(at)
 
+
+
+# --- learned operators -----------------------------------------------------------------------
+
+
+def held_out(doc_id: Column, parts: int, part: int) -> Column:
+    """Whether an id belongs to the rows that are never learned from; false for a null id, which isn't learned from either."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def learning_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, object]]:
+    """At most `most` (text, label) rows for fitting a model in the driver: the labelled ids that come first by hash.
+
+    labels: (id, label), label not null. The choice is made on ids alone; whole texts are read for the chosen ids
+    only. Of repeated ids one text and label counts.
+    """
+    ids = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("label").alias("label")).where("label is not null")
+    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    texts = docs.join(F.broadcast(ids), docs[id_col] == F.col("_id"))  # at most `most` ids
+    rows = texts.groupBy("_id").agg(F.min(F.coalesce(docs[text_col], F.lit(""))).alias("text"), F.min("label").alias("label")).collect()
+    return [(r.text, r.label) for r in sorted(rows, key=lambda r: r._id)]
+
+
+def map_texts(docs: DataFrame, text_col: str, keep: list[str], fields: str, score) -> DataFrame:
+    """The columns `keep` of docs and the columns `fields`, which score(raw bytes, offsets, Arrow texts) makes."""
+    added = T.StructType.fromDDL(fields)
+    kept = docs.select(*keep, F.col(text_col).alias("__text"))
+    schema = T.StructType([*docs.select(*keep).schema.fields, *added.fields])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                texts = part.column("__text")
+                columns = score(*bytes_of(texts), texts)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(c) for c in columns)], names=names)
+
+    return kept.mapInArrow(run, schema)

@@ -5,23 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing
-from .common import table
+from . import language, mixing, packing, toxicity
+from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+    return language.predict(rows, language.learn(docs), ["doc_id", "held_out"])
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(rows, model, ["doc_id", "held_out"]).drop("passages")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_mixing, op10_packing)}
+    return {f.__name__: f for f in (op5_language, op6_mixing, op7_toxicity, op10_packing)}
 
 
 OP6_SQL = r"""
