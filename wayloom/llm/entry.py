@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, toxicity
+from . import language, mixing, packing, quality, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,12 +30,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model, ["doc_id", "held_out"]).drop("passages")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+    return quality.score(rows, quality.learn(docs, table(spark, sf_dir, "labels")), ["doc_id", "held_out"])
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_language, op6_mixing, op7_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op5_language, op6_mixing, op7_toxicity, op9_quality, op10_packing)}
 
 
 OP6_SQL = r"""
