@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, toxicity
+from . import language, mixing, packing, pages, quality, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
@@ -41,7 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_language, op6_mixing, op7_toxicity, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op3_main_text, op5_language, op6_mixing, op7_toxicity, op9_quality, op10_packing)}
 
 
 OP6_SQL = r"""
