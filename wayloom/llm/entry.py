@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, pages, quality, toxicity
+from . import language, mixing, neighbours, packing, pages, quality, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model, ["doc_id", "held_out"]).drop("passages")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
@@ -45,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_main_text, op5_language, op6_mixing, op7_toxicity, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op3_main_text, op5_language, op6_mixing, op7_toxicity, op8_neighbours, op9_quality, op10_packing)}
 
 
 OP6_SQL = r"""
