@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-MOST, PRIOR, SURE, DRIFT, LEAST_TEXTS, LEAST_SHARE = 8000, 0.05, 3.0, 0.35, 4, 0.005
+MOST, PRIOR, SURE, DRIFT, LEAST_TEXTS, LEAST_SHARE = 4000, 0.05, 3.0, 0.35, 4, 0.005
 FIELDS = "score double, predicted int, n_passages long, passages array<struct<start:long,end:long,score:double>>"
 
 _TOKEN = np.zeros(256, dtype=bool)
