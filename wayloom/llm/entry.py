@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neighbours, packing, pages, quality, toxicity
+from . import language, mixing, neighbours, packing, pages, quality, rules, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = rules.learn(docs, table(spark, sf_dir, "labels"))
+    return rules.apply(docs, learned).select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
@@ -49,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_main_text, op5_language, op6_mixing, op7_toxicity, op8_neighbours, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op2_rules, op3_main_text, op5_language, op6_mixing, op7_toxicity, op8_neighbours, op9_quality, op10_packing)}
 
 
 OP6_SQL = r"""
