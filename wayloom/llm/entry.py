@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neighbours, packing, pages, quality, rules, toxicity
+from . import language, mixing, neighbours, packing, pages, pii, quality, rules, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{kind}" for kind in pii.KINDS], F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("found")).alias("spans"))
+
+
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = rules.learn(docs, table(spark, sf_dir, "labels"))
@@ -55,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_rules, op3_main_text, op5_language, op6_mixing, op7_toxicity, op8_neighbours, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_pii, op2_rules, op3_main_text, op5_language, op6_mixing, op7_toxicity, op8_neighbours, op9_quality, op10_packing)}
 
 
 OP6_SQL = r"""
