@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neighbours, packing, pages, pii, quality, rules, toxicity
+from . import language, mixing, near, neighbours, packing, pages, pii, quality, rules, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.cluster(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_rules, op3_main_text, op5_language, op6_mixing, op7_toxicity, op8_neighbours, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_pii, op2_rules, op3_main_text, op4_near, op5_language, op6_mixing, op7_toxicity, op8_neighbours, op9_quality, op10_packing)}
 
 
 OP6_SQL = r"""
