@@ -163,15 +163,16 @@ def learning_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str =
 def map_texts(docs: DataFrame, text_col: str, keep: list[str], fields: str, score) -> DataFrame:
     """The columns `keep` of docs and the columns `fields`, which score(raw bytes, offsets, Arrow texts) makes."""
     added = T.StructType.fromDDL(fields)
-    kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = T.StructType([*docs.select(*keep).schema.fields, *added.fields])
+    kept = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
+    place, n = kept.columns.index(text_col), len(keep)
+    schema = T.StructType([*kept.schema.fields[:n], *added.fields])
     names = schema.names
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "__text"):
-                texts = part.column("__text")
+            for part in slices(batch, text_col):
+                texts = part.column(place)
                 columns = score(*bytes_of(texts), texts)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(c) for c in columns)], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(c) for c in columns)], names=names)
 
     return kept.mapInArrow(run, schema)

@@ -96,17 +96,17 @@ class Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> None:
         self.words, self.least = words, least
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def mark(self) -> DataFrame:
-        """(doc_id, node, n_shingles) of every row, and the heavy tokens."""
+        """(doc_id, text_hash, node, n_shingles) of every row, and the heavy tokens."""
         words, least = self.words, self.least
 
         def run(batches):
             seen, held, count = set(), [], []
             for part, sets in _sets(batches, words):
                 nodes = [fingerprint(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())], names=["doc_id", "node", "n_shingles", "heavy"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())], names=["doc_id", "text_hash", "node", "n_shingles", "heavy"])
                 new = [prefix(s, np.zeros(0, np.uint64), least) for s, node in zip(sets, nodes, strict=True) if node is not None and node not in seen and not seen.add(node)]
                 if new:
                     tokens, n = np.unique(np.concatenate(new), return_counts=True)
@@ -116,9 +116,9 @@ class Join:
             if held:
                 (tokens,), (n,) = _merge(held, count)
                 often = n >= LOCAL
-                yield pa.RecordBatch.from_arrays([pa.nulls(often.sum(), pa.int64()), _as_long(tokens[often]), pa.array(n[often].astype(np.int64)), pa.array(np.ones(often.sum(), np.int64))], names=["doc_id", "node", "n_shingles", "heavy"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(often.sum(), pa.int64()), pa.nulls(often.sum(), pa.int64()), _as_long(tokens[often]), pa.array(n[often].astype(np.int64)), pa.array(np.ones(often.sum(), np.int64))], names=["doc_id", "text_hash", "node", "n_shingles", "heavy"])
 
-        both = common.checkpoint(self.docs.mapInArrow(run, "doc_id long, node long, n_shingles long, heavy long"))
+        both = common.checkpoint(self.docs.mapInArrow(run, "doc_id long, text_hash long, node long, n_shingles long, heavy long"))
         often = both.where("heavy = 1").groupBy("node").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= HEAVY)
         table = often.orderBy(F.desc("n"), "node").limit(MOST_HEAVY).toArrow()  # MOST_HEAVY tokens at most
         self.heavy = np.sort(table.column("node").to_numpy().astype(np.int64).view(np.uint64))
@@ -243,3 +243,22 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     names = marks.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("name"))
     out = marks.join(names, "comp", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """docs with one row of each component: that of the least id (nulls last), of several such rows one. Rows without
+    a set all stay."""
+    keyed = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_th": F.xxhash64(text_col)})
+    join = Join(docs, id_col, text_col, words, least)
+    marks = join.mark()
+    labels = join.link(join.candidates())
+    comps = marks.withColumn("comp", F.col("node")) if labels is None else marks.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    first = comps.where("comp is not null").groupBy("comp").agg(F.min(order).alias("o"), F.count("*").alias("k"))
+    chosen = common.checkpoint(first.select(F.coalesce(F.col("o.id").cast("string"), F.lit("")).alias("_key"), F.col("o.hash").alias("_th")).distinct())
+    blank = F.coalesce(F.length(F.translate(F.col(text_col), common.BLANKS, "")), F.lit(0)) == 0
+    kept = keyed.where(~blank).join(chosen, ["_key", "_th"], "left_semi")
+    again = marks.where("node is not null").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if not again.isEmpty():  # rows that agree in id and text
+        kept = kept.dropDuplicates(["_key", "_th"])
+    return kept.unionByName(keyed.where(blank)).select(*docs.columns)
