@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import corridor, etl, graph, raptor, timetable
+from ..operators import corridor, etl, geometry, graph, raptor, timetable
 from ..sources import adapter, feeds
+from . import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -462,3 +463,466 @@ SELECT CAST(row_number() OVER (ORDER BY agency, ord) AS BIGINT) AS stop_pk, stop
 def etl_multi_feed(t):
     raw = t("customer").select((F.col("c_custkey") % 3 + 1).alias("agency"), F.col("c_custkey").alias("_ord"), F.concat(F.lit("S"), (F.col("c_custkey") % 50).cast("string")).alias("stop_id"), F.lit("x").alias("stop_name"), F.lit("1").alias("stop_lat"), F.lit("2").alias("stop_lon"), F.lit("").alias("location_type"))
     return etl.stops(raw).select("stop_pk", "stop_id", "agency")
+
+
+# --- scalar functions ----------------------------------------------------------------------
+
+def scalar(views: tuple[str, ...], base: str, sql: str):
+    """Register a query that selects columns made by scalar functions from one table."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: adapter.view(spark, sf_dir, base).select(*f())
+        SQL[f.__name__] = (adapter.with_views(*views) + "\n" if views else "") + f"SELECT {sql} FROM {base}"
+        return f
+
+    return register
+
+
+_ST = (("t_stop_times",), "t_stop_times")
+_SP = (("t_stops",), "t_stops")
+_RT = (("t_routes",), "t_routes")
+
+
+@scalar(*_SP, f"stop_pk, CAST(round({haversine_sql('-37.8', '144.9', 'stop_lat / 1e6::DOUBLE', 'stop_lon / 1e6::DOUBLE')}) AS BIGINT) AS dist_m")
+def fn_haversine():
+    return ["stop_pk", F.round(S.haversine_m(F.lit(-37.8), F.lit(144.9), S.unpack_coord(F.col("stop_lat")), S.unpack_coord(F.col("stop_lon")))).cast("bigint").alias("dist_m")]
+
+
+@scalar(*_SP, "stop_pk, CAST(floor((stop_lat / 1e6::DOUBLE) * 1e6 + 0.5) AS BIGINT) AS packed, CAST(floor((-2.5)::DOUBLE + 0.5) AS BIGINT) AS half")
+def fn_pack_coord():
+    return ["stop_pk", S.pack_coord((F.col("stop_lat") / 1e6).cast("string")).alias("packed"), S.half_up(F.lit(-2.5)).alias("half")]
+
+
+@scalar(*_ST, "trip_pk, stop_sequence, arrival_sec AS parsed, CAST(0 AS BIGINT) AS blank")
+def fn_parse_time():
+    s = F.col("arrival_sec")
+    clock = F.concat_ws(":", F.floor(s / 3600).cast("string"), F.floor(s % 3600 / 60).cast("string"), (s % 60).cast("string"))
+    return ["trip_pk", "stop_sequence", S.parse_time(clock).alias("parsed"), S.parse_time(F.lit(" ")).alias("blank")]
+
+
+@scalar(*_RT, "route_id, CAST(regexp_extract(concat(' ', route_type, 'px'), '^\\s*([+-]?[0-9]+)', 1) AS BIGINT) AS n, CAST(NULL AS BIGINT) AS none")
+def fn_parse_int():
+    return ["route_id", S.parse_int(F.concat(F.lit(" "), F.col("route_type").cast("string"), F.lit("px"))).alias("n"), S.parse_int(F.lit("x1")).alias("none")]
+
+
+@scalar(*_ST, "trip_pk, stop_sequence, concat(lpad(((departure_sec // 3600) % 24)::VARCHAR, 2, '0'), ':', lpad(((departure_sec % 3600) // 60)::VARCHAR, 2, '0')) AS hhmm")
+def fn_format_hhmm():
+    return ["trip_pk", "stop_sequence", S.format_hhmm(F.col("departure_sec")).alias("hhmm")]
+
+
+@scalar(*_ST, "trip_pk, stop_sequence, concat(lpad(((departure_sec // 3600) % 24)::VARCHAR, 2, '0'), ':', lpad(((departure_sec % 3600) // 60)::VARCHAR, 2, '0'), ':', lpad((departure_sec % 60)::VARCHAR, 2, '0')) AS hhmmss")
+def fn_format_hhmmss():
+    return ["trip_pk", "stop_sequence", S.format_hhmmss(F.col("departure_sec")).alias("hhmmss")]
+
+
+@scalar(*_RT, "route_id, CASE WHEN regexp_full_match(upper(regexp_replace(route_color, '^#', '')), '[0-9A-F]{6}') THEN '#' || upper(regexp_replace(route_color, '^#', '')) ELSE '' END AS color")
+def fn_hex_color():
+    return ["route_id", S.hex_color(F.col("route_color")).alias("color")]
+
+
+@scalar(*_RT, f"route_id, {type_sql('route_type')[0]} AS category, {type_sql('route_type')[1]} AS label")
+def fn_route_type():
+    kind = S.route_type(F.col("route_type"))
+    return ["route_id", kind["category"].alias("category"), kind["label"].alias("label")]
+
+
+@scalar(*_RT, f"route_id, {color_sql('route_color', 'route_type', 'route_long_name')} AS color")
+def fn_route_color():
+    return ["route_id", S.route_color(F.col("route_color"), F.col("route_type"), F.col("route_long_name")).alias("color")]
+
+
+@scalar(*_RT, f"route_id, {NAME_SQL} AS route_name")
+def fn_route_name():
+    return ["route_id", S.route_name(F.col("route_short_name"), F.col("route_long_name")).alias("route_name")]
+
+
+@scalar(*_RT, "concat(agency, ':', route_id) AS key, agency AS key_agency, route_id AS key_id")
+def fn_key_roundtrip():
+    key = S.make_key(F.col("agency"), F.col("route_id"))
+    return [key.alias("key"), S.parse_key(key)["agency"].alias("key_agency"), S.parse_key(key)["id"].alias("key_id")]
+
+
+@scalar((), "orders", "o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, CAST(dayofweek(o_orderdate) AS BIGINT) AS dow")
+def fn_service_day():
+    return ["o_orderkey", S.service_date(F.col("o_orderdate")).alias("day"), S.weekday(F.col("o_orderdate")).alias("dow")]
+
+
+@scalar((), "events", "event_id, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT) AS secs")
+def fn_secs_midnight():
+    return ["event_id", S.secs_midnight(F.col("ts")).alias("secs")]
+
+
+@scalar(*_SP, "stop_pk, CAST(round((stop_pk % 2000) / 1.4::DOUBLE) AS BIGINT) AS walk_sec, CAST(round(1.4::DOUBLE * 1200) AS BIGINT) AS radius_m")
+def fn_walk():
+    return ["stop_pk", F.round(S.walk_sec((F.col("stop_pk") % 2000).cast("double"), F.lit(1.4))).cast("bigint").alias("walk_sec"), F.lit(round(raptor.Options().transfer_m)).cast("bigint").alias("radius_m")]
+
+
+@scalar(*_SP, "stop_pk, CAST(least(18000, greatest(9000, (stop_pk % 200) * 150 + 2700)) AS BIGINT) AS window_sec")
+def fn_window():
+    return ["stop_pk", S.window_sec((F.col("stop_pk") % 200).cast("double")).cast("bigint").alias("window_sec")]
+
+
+@scalar(*_SP, "stop_pk, CAST(floor((stop_lat / 1e6::DOUBLE) / 0.006::DOUBLE) AS BIGINT) AS y, CAST(floor((stop_lon / 1e6::DOUBLE) / 0.006::DOUBLE) AS BIGINT) AS x")
+def fn_grid_cell():
+    return ["stop_pk", S.grid_cell(S.unpack_coord(F.col("stop_lat"))).alias("y"), S.grid_cell(S.unpack_coord(F.col("stop_lon"))).alias("x")]
+
+
+_SEG = """bx AS (SELECT stop_pk, 0.05::DOUBLE * 111320 * cos(radians((-37.9)::DOUBLE)) AS bx, 0.08::DOUBLE * 111320 AS up, (stop_lon / 1e6::DOUBLE - 144.9) * 111320 * cos(radians((-37.9)::DOUBLE)) AS px, (stop_lat / 1e6::DOUBLE + 37.9) * 111320 AS py FROM t_stops),
+tt AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (px * bx + py * up) / (bx * bx + up * up))) AS t FROM bx)"""
+
+
+@query(ctes(("t_stops",), _SEG, "SELECT stop_pk, CAST(round(sqrt(pow(px - t * bx, 2) + pow(py - t * up, 2))) AS BIGINT) AS dist_m, CAST(round(t * 1000000) AS BIGINT) AS t_micro FROM tt"))
+def fn_dist_segment(t):
+    p = corridor.points(t("t_stops"))
+    d = S.segment_distance(F.col("lat"), F.col("lon"), F.lit(-37.9), F.lit(144.9), F.lit(-37.9) + 0.08, F.lit(144.9) + 0.05)
+    return p.select("stop_pk", F.round(d["dist_m"]).cast("bigint").alias("dist_m"), F.round(d["t"] * 1e6).cast("bigint").alias("t_micro"))
+
+
+@scalar(*_SP, "stop_pk, CAST(round((350 + 900 * sin(pi() * ((stop_pk % 101) / 100.0::DOUBLE))) * 1000) AS BIGINT) AS width_mm")
+def fn_taper():
+    return ["stop_pk", F.round(S.taper_width((F.col("stop_pk") % 101) / 100, corridor.WIDTH_M, corridor.TAPER_M) * 1000).cast("bigint").alias("width_mm")]
+
+
+@scalar(*_SP, "stop_pk, printf('%.4f,%.4f->%.4f,%.4f|5', floor(stop_lat / 1e6::DOUBLE * 1e4 + 0.5) / 1e4, floor(stop_lon / 1e6::DOUBLE * 1e4 + 0.5) / 1e4, -37.8::DOUBLE, 144.9::DOUBLE) AS key")
+def fn_cache_key():
+    return ["stop_pk", S.cache_key(S.unpack_coord(F.col("stop_lat")), S.unpack_coord(F.col("stop_lon")), F.lit(-37.8), F.lit(144.9), corridor.TRANSFERS).alias("key")]
+
+
+@scalar(*_SP, "stop_pk, concat('Walk (~', greatest(1, CAST(floor((stop_pk * 7 % 3000) / 1.4::DOUBLE / 60 + 0.5) AS BIGINT)), ' min)') AS label")
+def fn_walk_label():
+    return ["stop_pk", S.walk_label((F.col("stop_pk") * 7 % 3000).cast("double"), F.lit(1.4)).alias("label")]
+
+
+@scalar(*_SP, "stop_pk, printf('%.6f,%.6f', stop_lat / 1e6::DOUBLE, stop_lon / 1e6::DOUBLE) AS key")
+def fn_point_key():
+    return ["stop_pk", S.point_key(S.unpack_coord(F.col("stop_lat")), S.unpack_coord(F.col("stop_lon"))).alias("key")]
+
+
+@query("SELECT pattern_pk, (list(stop_pk ORDER BY stop_sequence))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS middle FROM t_pattern_stops GROUP BY pattern_pk", ("t_pattern_stops",))
+def fn_midpoint(t):
+    lists = t("t_pattern_stops").groupBy("pattern_pk").agg(F.array_sort(F.collect_list(F.struct("stop_sequence", "stop_pk"))).alias("s"))
+    return lists.select("pattern_pk", S.midpoint(F.col("s.stop_pk")).alias("middle"))
+
+
+@scalar((), "orders", "o_orderkey, CAST((((o_orderkey % 200) - 100) % 60 + 60) % 60 AS BIGINT) AS minute, CAST((((o_orderkey % 100) - 50) % 24 + 24) % 24 AS BIGINT) AS hour, CASE datediff('day', DATE '1998-06-08', o_orderdate::DATE) WHEN 0 THEN 'Today' WHEN 1 THEN 'Tomorrow' ELSE 'later' END AS day")
+def fn_clamp_clock():
+    k = F.col("o_orderkey")
+    label = S.day_label(F.to_date("o_orderdate"), F.lit("1998-06-08").cast("date"))
+    return ["o_orderkey", S.clamp_minutes(k % 200 - 100).alias("minute"), S.clamp_hours(k % 100 - 50).alias("hour"), F.when(label.isin("Today", "Tomorrow"), label).otherwise("later").alias("day")]
+
+
+# --- seeds, breadth-first levels and corridors ---------------------------------------------
+
+_NEAR = f"near AS (SELECT s.stop_pk, {_H} AS d, row_number() OVER (ORDER BY {_H}, s.stop_pk) AS rank FROM t_stops s, t_stops o WHERE o.stop_pk = {FROM_PK})"
+_SEEDS = _NEAR + """, inside AS (SELECT * FROM near WHERE rank <= 120 AND CASE WHEN (SELECT count(*) FROM near WHERE rank <= 120 AND d <= 1000) < 4 THEN rank <= 4 ELSE d <= 1000 END),
+routed AS (SELECT i.stop_pk, i.rank, r.route FROM inside i LEFT JOIN (SELECT DISTINCT stop_pk, route_id AS route FROM t_pattern_stops JOIN t_patterns USING (pattern_pk)) r USING (stop_pk)),
+flags AS (SELECT stop_pk, rank, max(CASE WHEN route IS NULL OR rank = first THEN 1 ELSE 0 END) AS fresh FROM (SELECT *, min(rank) OVER (PARTITION BY route) AS first FROM routed) x GROUP BY 1, 2),
+turns AS (SELECT *, row_number() OVER (ORDER BY fresh DESC, rank) AS turn, sum(fresh) OVER () AS n FROM flags)"""
+_SEED_VIEWS = ("t_stops", "t_pattern_stops", "t_patterns")
+
+
+def _stop_routes(t) -> DataFrame:
+    return t("t_pattern_stops").join(t("t_patterns").select("pattern_pk", "route_id"), "pattern_pk").select("stop_pk", F.col("route_id").alias("route")).distinct()
+
+
+@query(ctes(_SEED_VIEWS, _SEEDS, "SELECT stop_pk, CAST(rank AS INTEGER) AS rank FROM turns WHERE turn <= 40 AND turn <= greatest(n, 4)"))
+def seed_select(t):
+    return corridor.seeds(_od(t).selectExpr("query_id", "o_lat AS at_lat", "o_lon AS at_lon"), t("t_stops"), _stop_routes(t)).select("stop_pk", "rank")
+
+
+_BFS = _EDGES + f""",
+tr AS (SELECT src, dst FROM edges WHERE kind = 'transit'), wk AS (SELECT src, dst FROM edges WHERE kind = 'walk'),
+l0(v) AS (SELECT {FROM_PK}::BIGINT), w0(v) AS (SELECT DISTINCT dst FROM wk JOIN l0 ON src = v WHERE dst NOT IN (SELECT v FROM l0)), b0 AS (SELECT v FROM l0 UNION SELECT v FROM w0),
+l1(v) AS (SELECT DISTINCT dst FROM tr JOIN b0 ON src = v WHERE dst NOT IN (SELECT v FROM b0)), w1(v) AS (SELECT DISTINCT dst FROM wk JOIN l1 ON src = v WHERE dst NOT IN (SELECT v FROM b0 UNION SELECT v FROM l1)), b1 AS (SELECT v FROM l1 UNION SELECT v FROM w1),
+l2(v) AS (SELECT DISTINCT dst FROM tr JOIN b1 ON src = v WHERE dst NOT IN (SELECT v FROM b0 UNION SELECT v FROM b1)),
+lv AS (SELECT v, 0 AS level FROM b0 UNION ALL SELECT v, 1 FROM b1 UNION ALL SELECT v, 2 FROM l2)"""
+
+
+def _levels(t, transfers: int = 1):
+    one = t("t_stops").select(F.lit(1).alias("query_id"), "stop_pk")
+    return corridor.levels(graph.edges(t("t_stops"), t("t_pattern_stops")), one.where(F.col("stop_pk") == FROM_PK), one.where(F.col("stop_pk") == TO_PK), transfers)
+
+
+@query(ctes(_NET, _BFS, "SELECT v AS stop_pk, level FROM lv"))
+def bfs_levels(t):
+    return _levels(t)[0].select("stop_pk", "level")
+
+
+@query(ctes(_NET, _BFS, """SELECT DISTINCT src AS parent, dst AS child, 0 AS level FROM wk JOIN l0 ON src = v WHERE dst IN (SELECT v FROM b0) AND src <> dst
+UNION SELECT src, dst, 1 FROM tr JOIN b0 ON src = v WHERE dst IN (SELECT v FROM l1)
+UNION SELECT src, dst, 1 FROM wk JOIN l1 ON src = v WHERE dst IN (SELECT v FROM b1)
+UNION SELECT src, dst, 2 FROM tr JOIN b1 ON src = v WHERE dst IN (SELECT v FROM l2)"""))
+def bfs_tree_edges(t):
+    return _levels(t)[1].select("parent", "child", "level").distinct()
+
+
+@query(ctes(_NET, _BFS, f"SELECT CAST(min(level) AS INTEGER) AS first_hit FROM lv WHERE v = {TO_PK} AND level < 2 HAVING min(level) IS NOT NULL"))
+def bfs_first_hit(t):
+    return _levels(t)[2].select("first_hit")
+
+
+def _paths(t) -> DataFrame:
+    one = t("t_stops").select(F.lit(1).alias("query_id"), "stop_pk")
+    origins, ends = one.where(F.col("stop_pk") == FROM_PK), one.where(F.col("stop_pk") == TO_PK)
+    found, tree, hits = _levels(t)
+    return corridor.paths(found, tree, hits, origins, ends)
+
+
+@query()
+def bfs_paths(t):
+    return _paths(t).select("path_no", F.array_join("path", ">").alias("path"))
+
+
+_PATH = "line AS (SELECT p.pos, s.stop_lat / 1e6::DOUBLE AS lat, s.stop_lon / 1e6::DOUBLE AS lon FROM (VALUES (0, 1), (1, 77), (2, 40)) p(pos, pk) JOIN t_stops s ON s.stop_pk = p.pk), seg0 AS (SELECT pos, lat AS a_lat, lon AS a_lon, lead(lat) OVER (ORDER BY pos) AS b_lat, lead(lon) OVER (ORDER BY pos) AS b_lon FROM line), seg1 AS (SELECT *, " + haversine_sql("a_lat", "a_lon", "b_lat", "b_lon") + " AS len FROM seg0 WHERE b_lat IS NOT NULL), seg AS (SELECT *, coalesce(sum(len) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(len) OVER () AS total FROM seg1)"
+
+
+def _path(t) -> DataFrame:
+    return t("t_stops").limit(1).select(F.lit(1).alias("query_id"), F.lit(1).alias("path_no"), F.array(*[F.lit(x).cast("bigint") for x in (1, 77, 40)]).alias("path"))
+
+
+@query(ctes(("t_stops",), _PATH, "SELECT pos, CAST(round(len) AS BIGINT) AS length_m FROM seg"))
+def path_segments(t):
+    return corridor.segments(corridor.polylines(_path(t), t("t_stops"))).select("pos", F.round("length_m").cast("bigint").alias("length_m"))
+
+
+@query(ctes(("t_stops",), _PATH, "SELECT pos, CAST(round(bef) AS BIGINT) AS before_m, CAST(round(total) AS BIGINT) AS total_m FROM seg"))
+def corridor_arc_length(t):
+    return corridor.segments(corridor.polylines(_path(t), t("t_stops"))).select("pos", F.round("before_m").cast("bigint").alias("before_m"), F.round("total_m").cast("bigint").alias("total_m"))
+
+
+def tag_sql(width: float, taper: float) -> str:
+    return f""", xy AS (SELECT s.stop_pk, g.*, (b_lon - a_lon) * 111320 * cos(radians(a_lat)) AS bx, (b_lat - a_lat) * 111320 AS ey, (s.stop_lon / 1e6::DOUBLE - a_lon) * 111320 * cos(radians(a_lat)) AS px, (s.stop_lat / 1e6::DOUBLE - a_lat) * 111320 AS py FROM t_stops s, seg g),
+along AS (SELECT *, CASE WHEN bx * bx + ey * ey = 0 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (px * bx + py * ey) / (bx * bx + ey * ey))) END AS t FROM xy),
+tagged AS (SELECT DISTINCT stop_pk FROM along WHERE sqrt(pow(px - t * bx, 2) + pow(py - t * ey, 2)) <= {width} + {taper} * sin(pi() * (bef + t * len) / total))"""
+
+
+@query(ctes(("t_stops",), _PATH + tag_sql(350, 900), "SELECT stop_pk FROM tagged"))
+def corridor_tag_stops(t):
+    return corridor.tag_stops(_path(t), t("t_stops")).select("stop_pk")
+
+
+@query(ctes(("t_stops",), _PATH + tag_sql(700, 1600), "SELECT stop_pk FROM tagged"))
+def corridor_widen(t):
+    return corridor.tag_stops(_path(t), t("t_stops"), corridor.WIDER_WIDTH_M, corridor.WIDER_TAPER_M).select("stop_pk")
+
+
+_ENDS = f"ends AS (SELECT DISTINCT s.stop_pk FROM t_stops s, t_stops o WHERE o.stop_pk IN ({FROM_PK}, {TO_PK}) AND {_H} <= 900)"
+
+
+@query(ctes(("t_stops",), _PATH + tag_sql(350, 900) + ", " + _ENDS, "SELECT stop_pk, false AS widened FROM (SELECT stop_pk FROM tagged UNION SELECT stop_pk FROM ends) u"))
+def corridor_tapered(t):
+    return corridor.tapered(_path(t), t("t_stops"), corridor.near_ends(_od(t), t("t_stops")).withColumn("query_id", F.lit(1))).select("stop_pk", "widened")
+
+
+@query(ctes(("t_stops",), _PATH + """, target AS (SELECT i AS sample, i / 20.0::DOUBLE * (SELECT max(total) FROM seg) AS target FROM range(0, 21) r(i)),
+pick AS (SELECT sample, target, coalesce((SELECT min(pos) FROM seg WHERE bef + len >= target), (SELECT max(pos) FROM seg)) AS pos FROM target),
+p AS (SELECT sample, target / total AS gt, a_lat + (b_lat - a_lat) * CASE WHEN len > 0 THEN (target - bef) / len ELSE 0 END AS lat, a_lon + (b_lon - a_lon) * CASE WHEN len > 0 THEN (target - bef) / len ELSE 0 END AS lon, b_lat - a_lat AS dlat, b_lon - a_lon AS dlon FROM pick JOIN seg USING (pos)),
+q AS (SELECT *, dlon * 111320 * cos(radians(lat)) AS dx, dlat * 111320 AS dy FROM p),
+o AS (SELECT *, (350 + 900 * sin(pi() * gt)) / CASE WHEN dx * dx + dy * dy = 0 THEN 1 ELSE sqrt(dx * dx + dy * dy) END AS k FROM q)""", "SELECT CAST(sample AS INTEGER) AS sample, CAST(round((lat + dx * k / 111320) * 1000000) AS BIGINT) AS left_lat, CAST(round((lon - dy * k / (111320 * cos(radians(lat)))) * 1000000) AS BIGINT) AS left_lon FROM o"))
+def corridor_boundary(t):
+    b = corridor.boundary(_path(t), t("t_stops"))
+    return b.select("sample", F.round(F.col("left_lat") * 1e6).cast("bigint").alias("left_lat"), F.round(F.col("left_lon") * 1e6).cast("bigint").alias("left_lon"))
+
+
+@query("SELECT DISTINCT pattern_pk FROM t_pattern_stops WHERE stop_pk IN (1, 77, 40)", ("t_pattern_stops",))
+def corridor_seed_patterns(t):
+    core = _path(t).select("query_id", F.explode("path").alias("stop_pk"))
+    return corridor.patterns_of(core, t("t_pattern_stops")).select("pattern_pk")
+
+
+@query(ctes(("t_stops", "t_pattern_stops"), _ENDS, "SELECT DISTINCT stop_pk FROM (SELECT stop_pk FROM t_pattern_stops WHERE pattern_pk IN (SELECT pattern_pk FROM t_pattern_stops WHERE stop_pk IN (1, 77, 40)) UNION ALL SELECT stop_pk FROM ends UNION ALL SELECT CAST(unnest([1, 77, 40]) AS BIGINT)) u"))
+def setop_corridor_union(t):
+    core = _path(t).select("query_id", F.explode("path").alias("stop_pk"))
+    derived = corridor.patterns_of(core, t("t_pattern_stops")).join(t("t_pattern_stops"), "pattern_pk").select("stop_pk")
+    return derived.union(corridor.near_ends(_od(t), t("t_stops")).select("stop_pk")).union(core.select("stop_pk")).distinct()
+
+
+@query("SELECT count(*) > 0 AS covered FROM t_pattern_stops WHERE pattern_pk <= 20 AND stop_pk IN (1, 2, 3)", ("t_pattern_stops",))
+def setop_coverage(t):
+    derived = t("t_pattern_stops").where("pattern_pk <= 20").select("stop_pk").distinct()
+    return derived.join(t("t_stops").where("stop_pk <= 3"), "stop_pk", "left_semi").agg((F.count("*") > 0).alias("covered"))
+
+
+@query()
+def corridor_resolve(t):
+    found = corridor.resolve(_od(t), t("t_stops"), t("t_pattern_stops"), t("t_patterns"), graph.edges(t("t_stops"), t("t_pattern_stops")))
+    kinds = found["stops"].groupBy("query_id").count().select("query_id", F.lit("stops").alias("what"), F.col("count").alias("n")).union(found["patterns"].groupBy("query_id").count().select("query_id", F.lit("patterns"), "count"))
+    return kinds.join(found["how"], "query_id")
+
+
+# --- the search ----------------------------------------------------------------------------
+
+_SEC = "CAST(floor(d / 1.4::DOUBLE + 0.5) AS BIGINT)"
+_SEARCH_VIEWS = ("t_stops", "t_pattern_stops", "t_trips", "t_stop_times")
+_SEED_LABELS = _NEAR + f""", s0 AS (SELECT stop_pk, {DEPART} + {_SEC} AS arr, d AS walk_m FROM near WHERE rank <= 50)"""
+_FIRST = _SEED_LABELS + f""", bd AS (SELECT s.stop_pk AS board_pk, s.walk_m, t.pattern_pk, t.trip_pk, x.stop_sequence, x.departure_sec, row_number() OVER (PARTITION BY t.pattern_pk ORDER BY p.stop_sequence, x.departure_sec, t.trip_pk, x.stop_sequence) AS r
+ FROM s0 s JOIN t_pattern_stops p ON p.stop_pk = s.stop_pk JOIN t_trips t ON t.pattern_pk = p.pattern_pk JOIN t_stop_times x ON x.trip_pk = t.trip_pk AND x.stop_pk = s.stop_pk WHERE x.departure_sec >= s.arr),
+rd AS (SELECT x.stop_pk, x.arrival_sec AS arr, b.walk_m FROM bd b JOIN t_stop_times x ON x.trip_pk = b.trip_pk AND x.stop_sequence > b.stop_sequence JOIN t_pattern_stops p ON p.pattern_pk = b.pattern_pk AND p.stop_pk = x.stop_pk AND p.stop_sequence = x.stop_sequence WHERE b.r = 1),
+r1 AS (SELECT stop_pk, arr, walk_m FROM (SELECT *, row_number() OVER (PARTITION BY stop_pk ORDER BY arr, walk_m) AS r FROM rd) q WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM s0 WHERE s0.stop_pk = q.stop_pk AND s0.arr <= q.arr)),
+af AS (SELECT stop_pk, min(arr) AS arr FROM (SELECT stop_pk, arr FROM s0 UNION ALL SELECT stop_pk, arr FROM r1) u GROUP BY 1),
+""" + _WALKS + """, fp AS (SELECT w.dst AS stop_pk, r1.arr + CAST(floor(w.dist_m / 1.4::DOUBLE + 0.5) AS BIGINT) AS arr, r1.walk_m + w.dist_m AS walk_m FROM r1 JOIN walks w ON w.src = r1.stop_pk),
+f1 AS (SELECT stop_pk, arr, walk_m FROM (SELECT *, row_number() OVER (PARTITION BY stop_pk ORDER BY arr, walk_m) AS r FROM fp) q WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM af WHERE af.stop_pk = q.stop_pk AND af.arr <= q.arr)),
+m1 AS (SELECT * FROM f1 UNION ALL SELECT * FROM r1 WHERE stop_pk NOT IN (SELECT stop_pk FROM f1))"""
+_PLAIN = raptor.Options(rounds=1, prune=False, most_marked=1_000_000)
+
+
+def _times(t) -> DataFrame:
+    return t("t_stop_times").join(t("t_trips").select("trip_pk", "pattern_pk"), "trip_pk")
+
+
+def _searched(t, o: raptor.Options = raptor.Options(), pairs=((FROM_PK, TO_PK),)):
+    return raptor.search(_od(t, pairs), t("t_stops"), t("t_pattern_stops"), _times(t), o)
+
+
+@query(ctes(_SEARCH_VIEWS, _SEED_LABELS, "SELECT stop_pk, arr FROM s0"))
+def raptor_seed(t):
+    return raptor.seed(_od(t), t("t_stops"), raptor.Options()).select("stop_pk", "arr")
+
+
+@query(ctes(_SEARCH_VIEWS, _FIRST, "SELECT stop_pk, arr FROM m1"))
+def raptor_round1(t):
+    return _searched(t, _PLAIN)[1].where("round = 1").select("stop_pk", "arr")
+
+
+@query(ctes(_SEARCH_VIEWS, _FIRST, "SELECT stop_pk, arr FROM r1"))
+def raptor_relax(t):
+    o, best = _PLAIN, raptor.seed(_od(t), t("t_stops"), _PLAIN)
+    del o
+    rode = raptor.ride(raptor.board(best, _times(t), t("t_pattern_stops")), _times(t), t("t_pattern_stops"))
+    return raptor.relax(rode, best).select("stop_pk", "arr")
+
+
+_CAND = _FIRST + f""", dn AS (SELECT stop_pk, d FROM (SELECT s.stop_pk, {_H} AS d, row_number() OVER (ORDER BY {_H}, s.stop_pk) AS rank FROM t_stops s, t_stops o WHERE o.stop_pk = {TO_PK}) q WHERE rank <= 50),
+cand AS (SELECT l.stop_pk, l.arr + {_SEC} AS arrival_sec, l.walk_m + d AS walk_m, l.legs FROM (SELECT stop_pk, arr, walk_m, 0 AS legs FROM s0 UNION ALL SELECT stop_pk, arr, walk_m, 1 FROM m1) l JOIN dn USING (stop_pk))"""
+
+
+@query(ctes(_SEARCH_VIEWS, _CAND, "SELECT stop_pk, CAST(legs AS BIGINT) AS legs, arrival_sec, CAST(round(walk_m) AS BIGINT) AS walk_m FROM cand"))
+def raptor_candidates(t):
+    return _searched(t, _PLAIN)[0].select("stop_pk", "legs", "arrival_sec", F.round("total_walk_m").cast("bigint").alias("walk_m"))
+
+
+@query(ctes(_SEARCH_VIEWS, _CAND, "SELECT min(arrival_sec) AS best_sec FROM cand"))
+def raptor_best_arrival(t):
+    return _searched(t, _PLAIN)[0].agg(F.min("arrival_sec").alias("best_sec"))
+
+
+@query(ctes(_SEARCH_VIEWS, _CAND, "SELECT stop_pk, CAST(legs AS BIGINT) AS legs, arrival_sec, CAST(round(walk_m) AS BIGINT) AS walk_m FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.arrival_sec <= c.arrival_sec AND o.walk_m <= c.walk_m AND o.legs <= c.legs AND (o.arrival_sec < c.arrival_sec OR o.walk_m < c.walk_m OR o.legs < c.legs))"))
+def pareto_front(t):
+    return raptor.pareto(_searched(t, _PLAIN)[0]).select("stop_pk", "legs", "arrival_sec", F.round("total_walk_m").cast("bigint").alias("walk_m"))
+
+
+_GO = _FIRST + ", go AS (SELECT m1.stop_pk, m1.arr, " + haversine_sql("s.stop_lat / 1e6::DOUBLE", "s.stop_lon / 1e6::DOUBLE", "o.stop_lat / 1e6::DOUBLE", "o.stop_lon / 1e6::DOUBLE") + f" AS go_m FROM m1 JOIN t_stops s USING (stop_pk), t_stops o WHERE o.stop_pk = {TO_PK})"
+
+
+def _marked(t):
+    history = _searched(t, _PLAIN)[1].where("round = 1").select("query_id", "stop_pk", "arr")
+    go = S.haversine_m(F.col("lat"), F.col("lon"), F.col("d_lat"), F.col("d_lon"))
+    to_go = corridor.points(t("t_stops")).join(F.broadcast(_od(t))).select("query_id", "stop_pk", go.alias("go_m"))
+    return history, to_go
+
+
+@query(ctes(_SEARCH_VIEWS, _GO, "SELECT stop_pk FROM go WHERE arr + go_m / 10 <= 31000"))
+def raptor_prune(t):
+    marked, to_go = _marked(t)
+    best = _od(t).select("query_id", F.lit(31_000).alias("best_sec"))
+    return raptor.prune(marked, best, to_go, raptor.Options()).select("stop_pk")
+
+
+@query(ctes(_SEARCH_VIEWS, _GO + ", tr AS (SELECT *, row_number() OVER (ORDER BY go_m, stop_pk) AS near FROM go), sc AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN near <= 25 THEN 1 ELSE 2 END, arr + go_m / 10, stop_pk) AS turn FROM tr)", "SELECT stop_pk FROM sc WHERE near <= 25 OR turn <= 100"))
+def raptor_trim(t):
+    marked, to_go = _marked(t)
+    return raptor.trim(marked.join(to_go, ["query_id", "stop_pk"]), None, raptor.Options(most_marked=100)).select("stop_pk")
+
+
+PAIRS = ((FROM_PK, TO_PK), (5, 100), (17, 133))
+
+
+def _journeys(t) -> DataFrame:
+    return raptor.journeys(_searched(t, pairs=PAIRS)[0])
+
+
+@query()
+def raptor_rounds(t):
+    return _searched(t, pairs=PAIRS)[1].groupBy("query_id", "round").agg(F.count("*").alias("n_marked"), F.min("arr").alias("first_arr"))
+
+
+@query()
+def journey_rank(t):
+    return _journeys(t).select("query_id", "journey_no", "arrival_sec", "legs", F.round("total_walk_m").cast("bigint").alias("walk_m"))
+
+
+@query()
+def journey_legs(t):
+    return raptor.journey_legs(_journeys(t)).withColumn("dist_m", F.round("dist_m").cast("bigint"))
+
+
+@query()
+def journey_segments(t):
+    legs = raptor.with_coords(raptor.journey_legs(_journeys(t)), t("t_stops"), t("t_pattern_stops"), t("t_shapes"), t("t_patterns"))
+    return legs.select("query_id", "journey_no", "leg_no", "pattern_pk", F.size("coords").alias("n_points"), S.point_key(F.element_at("coords", 1)["latitude"], F.element_at("coords", 1)["longitude"]).alias("first_point"))
+
+
+@query()
+def shape_points_for_journeys(t):
+    used = raptor.journey_legs(_journeys(t)).where("kind = 'transit'").select(F.col("pattern_pk").alias("shape_pk")).distinct()
+    return t("t_shapes").join(used, "shape_pk", "left_semi")
+
+
+@query()
+def journey_summary(t):
+    rows = raptor.journey_legs(_journeys(t)).join(timetable.pattern_meta(t("t_patterns"), t("t_routes")).select("pattern_pk", "route_name"), "pattern_pk", "left")
+    named = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "transit", F.struct("leg_no", "route_name")))), lambda x: x["route_name"]), " → ")
+    return rows.groupBy("query_id", "journey_no").agg(F.round(F.sum("dist_m")).cast("bigint").alias("walk_m"), F.greatest(F.count_if(F.col("kind") == "transit") - 1, F.lit(0)).alias("transfers"), named.alias("routes"), S.format_hhmm(F.max("end_sec")).alias("arrival"))
+
+
+for _name, _order in {"journey_sort_arrival": ["arrival_sec"], "journey_sort_walking": ["total_walk_m"], "journey_sort_transfers": ["legs"]}.items():
+    QUERIES[_name] = lambda spark, sf_dir, order=_order: _journeys(lambda n: adapter.view(spark, sf_dir, n)).orderBy("query_id", *order, "journey_no").select("query_id", "journey_no", "arrival_sec", "legs", F.round("total_walk_m").cast("bigint").alias("walk_m"))
+
+
+@query()
+def journey_select(t):
+    return _journeys(t).where("journey_no = 1").select("query_id", "arrival_sec", "legs")
+
+
+@query()
+def debug_rounds(t):
+    return _searched(t)[1].select("round", "stop_pk", "arr")
+
+
+@query()
+def debug_cumulative_reveal(t):
+    found = _levels(t)[0].where("level < 2")
+    return found.groupBy("level").agg(F.count("*").alias("n")).withColumn("shown", F.sum("n").over(Window.orderBy("level")))
+
+
+@query()
+def debug_bfs_candidates(t):
+    ends = _paths(t).select("path_no", F.element_at("path", -1).alias("stop_pk"))
+    found = _levels(t)[0].select("stop_pk", "level")
+    return ends.join(found, "stop_pk", "left").select("path_no", "stop_pk", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+@query()
+def debug_flatten_steps(t):
+    return raptor.journey_legs(_journeys(t)).groupBy("query_id", "journey_no").agg(F.count("*").alias("n_steps"))
+
+
+@query()
+def load_scoped_index(t):
+    q = _od(t)
+    return engine.Engine.from_views(t).timetable(q, engine.Engine.from_views(t).corridor(q)).groupBy("query_id").agg(F.count("*").alias("n_rows"), F.count_distinct("trip_pk").alias("n_trips"))
+
+
+@query()
+def route_retry(t):
+    return engine.Engine.from_views(t).route(_od(t, PAIRS)).select("query_id", "status", "journey_no", "arrival_sec", "legs")
+
+
+@query()
+def diag_failure(t):
+    return engine.Engine.from_views(t).diagnose(_od(t))
+
+
+@query()
+def geo_convex_hull(t):
+    return geometry.convex_hulls(corridor.points(t("t_stops")).select((F.col("stop_pk") % 5).alias("group_id"), "lat", "lon"))

@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("customer", "orders", "lineitem", "nation")
+TABLES = ("customer", "orders", "lineitem", "nation", "events")
 VIEWS = {
     "t_stops": """
         SELECT CAST(c_custkey + 1 AS BIGINT) AS stop_pk, concat('S:', c_custkey) AS stop_id, concat('Stop ', c_custkey) AS stop_name,
