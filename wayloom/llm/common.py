@@ -41,6 +41,11 @@ def n_words(text: Column) -> Column:
     return F.when(flat == "", 0).otherwise(F.size(F.split(flat, " +"))).cast("long")
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def is_small(df: DataFrame, most: int = 50_000) -> bool:
     """Whether a checkpointed table has at most `most` rows, so that it may be broadcast."""
     return df.limit(most + 1).count() <= most

@@ -9,10 +9,11 @@ tokens are heavy bears on speed alone, so a bounded number of them is broadcast.
 2. Prefix tokens that two nodes hold are counted exactly, and noted in a bitmap of fixed size. Nodes without such a
    token have no partner (a full bitmap lets more pass, never fewer).
 3. Nodes with the same prefix and the same size become one group. Groups are filtered against each other by size
-   within the list of a token; then members are expanded and verified exactly.
-4. Within a list, only pairs that may still join two components are verified: first all members against one of
-   them, again with other members as long as that leaves more pairs than the lists have entries, then every pair
-   left. So a list of near copies is linked by few pairs, and yet no link between two components can be missed.
+   within the list of a token; then members are expanded, filtered by how many prefix tokens they share, and
+   verified exactly.
+4. Of short lists every pair is verified. Within a long list, only pairs that may still join two components are:
+   first all members against one of them, again with other members as long as that leaves more pairs than the lists
+   have entries, then every pair left. So a list of near copies is linked by few pairs, and yet no link between two components can be missed.
 
 Nothing is capped or sampled, and no document's links or components come to the driver. Sets are compared as 64-bit
 hashes; the chance that two different ones of N sets have one fingerprint is below N^2 / 2^65.
@@ -27,15 +28,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, components
 
 WORDS, LEAST = 5, 80  # words in a shingle; least similarity in per cent
-HEAVY, MOST_HEAVY, LOCAL = 32, 1 << 18, 3  # seen so often: heavy; so many at most; counted from so many in one task
-BITS = 26  # of the bitmap's size
+HEAVY, MOST_HEAVY = 8, 1 << 18  # a token that so many nodes hold is heavy; so many heavy tokens at most
+SHORT = 8  # members of a list all of whose pairs are verified at once
+BITS = 25  # of the bitmap's size
 PART_PAIRS = 2000  # pairs that one task verifies at a time
+SMALL = 500_000  # nodes of 8 bytes each, at most, whose list is broadcast
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -99,51 +103,54 @@ class Join:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def mark(self) -> DataFrame:
-        """(doc_id, text_hash, node, n_shingles) of every row, and the heavy tokens."""
-        words, least = self.words, self.least
+        """(doc_id, text_hash, node, n_shingles) of every row."""
+        words = self.words
 
         def run(batches):
-            seen, held, count = set(), [], []
             for part, sets in _sets(batches, words):
                 nodes = [fingerprint(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())], names=["doc_id", "text_hash", "node", "n_shingles", "heavy"])
-                new = [prefix(s, np.zeros(0, np.uint64), least) for s, node in zip(sets, nodes, strict=True) if node is not None and node not in seen and not seen.add(node)]
-                if new:
-                    tokens, n = np.unique(np.concatenate(new), return_counts=True)
-                    held.append(tokens), count.append(n)
-                if len(held) > 64:
-                    held, count = _merge(held, count)
-            if held:
-                (tokens,), (n,) = _merge(held, count)
-                often = n >= LOCAL
-                yield pa.RecordBatch.from_arrays([pa.nulls(often.sum(), pa.int64()), pa.nulls(often.sum(), pa.int64()), _as_long(tokens[often]), pa.array(n[often].astype(np.int64)), pa.array(np.ones(often.sum(), np.int64))], names=["doc_id", "text_hash", "node", "n_shingles", "heavy"])
-
-        both = common.checkpoint(self.docs.mapInArrow(run, "doc_id long, text_hash long, node long, n_shingles long, heavy long"))
-        often = both.where("heavy = 1").groupBy("node").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= HEAVY)
-        table = often.orderBy(F.desc("n"), "node").limit(MOST_HEAVY).toArrow()  # MOST_HEAVY tokens at most
-        self.heavy = np.sort(table.column("node").to_numpy().astype(np.int64).view(np.uint64))
-        return both.where("heavy is null").drop("heavy")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "text_hash", "node", "n_shingles"])
 
-    def candidates(self) -> DataFrame:
-        """(node, n, grp, tokens, text): of each node that shares a prefix token with another (once a task)."""
-        words, least, heavy = self.words, self.least, self.docs.sparkSession.sparkContext.broadcast(self.heavy)
+        return common.checkpoint(self.docs.mapInArrow(run, "doc_id long, text_hash long, node long, n_shingles long"))
+
+    def _held_by(self, heavy: np.ndarray) -> DataFrame:
+        """(token, count): how many nodes hold each prefix token. A node's copies count once in each task."""
+        words, least, order = self.words, self.least, self.docs.sparkSession.sparkContext.broadcast(heavy)
 
-        def count(batches):
+        def run(batches):
             seen = set()
             for _, sets in _sets(batches, words):
-                new = [prefix(s, heavy.value, least) for s in sets if len(s) and (node := fingerprint(s)) not in seen and not seen.add(node)]
+                new = [prefix(s, order.value, least) for s in sets if len(s) and (node := fingerprint(s)) not in seen and not seen.add(node)]
                 if new:
                     yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(new))], names=["token"])
 
+        return self.docs.mapInArrow(run, "token long").groupBy("token").count()
+
+    def candidates(self) -> DataFrame:
+        """(node, n, grp, tokens, text): of each node that shares a prefix token with another (once a task), its size,
+        group, shared prefix tokens and compressed text."""
+        often = self._held_by(np.zeros(0, np.uint64)).where(F.col("count") >= HEAVY).orderBy(F.desc("count"), "token").limit(MOST_HEAVY).toArrow()  # MOST_HEAVY tokens at most
+        order = np.sort(often.column("token").to_numpy().astype(np.int64).view(np.uint64))
+        words, least, heavy = self.words, self.least, self.docs.sparkSession.sparkContext.broadcast(order)
         # A copy in another task counts again: it only lets tokens pass that one node holds.
-        repeated = self.docs.mapInArrow(count, "token long").groupBy("token").count().where("count > 1")
-        bits = repeated.selectExpr(f"pmod(token, {1 << BITS}) AS slot").groupBy(F.expr("shiftright(slot, 6)").alias("i")).agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("b")).toArrow()  # 2^(BITS-6) rows at most
-        bitmap = np.zeros(1 << (BITS - 6), np.uint64)
-        bitmap[bits.column("i").to_numpy()] = bits.column("b").to_numpy().astype(np.int64).view(np.uint64)
+        repeated = self._held_by(order).where("count > 1")
+        slots = repeated.selectExpr(f"int(pmod(token, {1 << BITS})) AS slot", f"int(shiftright(int(pmod(token, {1 << BITS})), {BITS - 10})) AS block")
+
+        def set_bits(pdf: pd.DataFrame) -> pd.DataFrame:
+            block, words = int(pdf["block"].iloc[0]), np.zeros(1 << (BITS - 16), np.uint64)
+            slot = pdf["slot"].to_numpy().astype(np.uint64) & np.uint64((1 << (BITS - 10)) - 1)
+            np.bitwise_or.at(words, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+            return pd.DataFrame({"block": [block], "bits": [words.tobytes()]})
+
+        blocks = slots.groupBy("block").applyInPandas(set_bits, "block int, bits binary").collect()  # 2^(BITS-3) bytes in all
+        bitmap = np.zeros((1 << 10, 1 << (BITS - 16)), np.uint64)
+        for row in blocks:
+            bitmap[row["block"]] = np.frombuffer(row["bits"], np.uint64)
+        bitmap = bitmap.ravel()
         shared = self.docs.sparkSession.sparkContext.broadcast(bitmap)
 
         def run(batches):
-            seen = set()
+            seen, pack = set(), zstandard.ZstdCompressor(level=1).compress
             for part, sets in _sets(batches, words):
                 keep, nodes, groups, tokens = [], [], [], []
                 for i, s in enumerate(sets):
@@ -157,26 +164,48 @@ class Join:
                         keep.append(i), nodes.append(node), groups.append(fingerprint(np.append(p, np.uint64(len(s))))), tokens.append(held)
                 if keep:
                     ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _as_long(np.concatenate(tokens))), part.column("text").take(pa.array(keep))], names=["node", "n", "grp", "tokens", "text"])
+                    texts = part.column("text")
+                    packed = pa.array([pack(texts[i].as_py().encode()) for i in keep], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _as_long(np.concatenate(tokens))), packed], names=["node", "n", "grp", "tokens", "text"])
+
+        return common.checkpoint(self.docs.mapInArrow(run, "node long, n long, grp long, tokens array<long>, text binary"))
 
-        return common.checkpoint(self.docs.mapInArrow(run, "node long, n long, grp long, tokens array<long>, text string"))
+    def overlapping(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose prefixes share as many tokens as those of similar sets must.
+
+        Of two similar sets of n and m tokens at most n - o and m - o are not in both, o being the least overlap. So
+        the i-th token that both hold stands at n - o + i in one and m - o + i in the other, or before, and the first
+        o - ceil(least max(n, m)) + 1 of them stand within both prefixes.
+        """
+        least = self.least
+        sides = [texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")).dropDuplicates([x]) for x in "ab"]
+        rows = pairs.join(sides[0], "a").join(sides[1], "b")
+        overlap = F.ceil(least * (F.col("n_a") + F.col("n_b")) / (100 + least) - 1e-9)
+        needed = overlap - F.ceil(least * F.greatest("n_a", "n_b") / 100 - 1e-9) + 1
+        return rows.where(F.size(F.array_intersect("t_a", "t_b")) >= F.greatest(needed, F.lit(1))).select("a", "b")
 
     def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs (a, b), checkpointed, whose sets are similar enough."""
         words, least = self.words, self.least
+        pairs = common.checkpoint(self.overlapping(pairs, texts))
         parts = max(1, -(-pairs.count() // PART_PAIRS))
-        dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
-        needed = dealt.select("part", F.col("a").alias("node")).union(dealt.select("part", "b")).distinct()
-        held = needed.join(texts.select("node", "text"), "node")
-
-        asked = pairs.select(F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int").alias("asked_of"), "a", "b")
+        part = F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")
+        dealt = pairs.withColumn("part", part)
+        needed = common.checkpoint(dealt.select("part", F.col("a").alias("node")).union(dealt.select("part", "b")).distinct())
+        held = texts.select("node", "text")
+        nodes = needed.select("node").distinct()
+        if common.is_small(needed, SMALL):
+            held = held.join(F.broadcast(nodes), "node", "left_semi")
+        held = needed.join(held, "node")
+        asked = pairs.select(part.alias("asked_of"), "a", "b")
 
         def check(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-            have = have.drop_duplicates("node")
+            have, unpack = have.drop_duplicates("node"), zstandard.ZstdDecompressor().decompress
             sets: dict[int, np.ndarray] = {}
             for at in range(0, len(have), 512):
                 some = have.iloc[at : at + 512]
-                sets |= zip(some["node"], shingles(*common.bytes_of(pa.array(some["text"], pa.large_string())), words), strict=True)
+                unpacked = pa.array([unpack(x).decode() for x in some["text"]], pa.large_string())
+                sets |= zip(some["node"], shingles(*common.bytes_of(unpacked), words), strict=True)
             good = [100 * (both := len(np.intersect1d(sets[a], sets[b], assume_unique=True))) >= least * (len(sets[a]) + len(sets[b]) - both) for a, b in zip(ask["a"], ask["b"], strict=True)]
             return ask.loc[good, ["a", "b"]]
 
@@ -193,44 +222,45 @@ class Join:
         many = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1")
         inside = members.join(many.select("grp"), "grp").select(F.col("grp").alias("list"), "node", "n")
         entries = common.checkpoint(lists.select("list", "grp").join(members, "grp").select("list", "node", "n").unionByName(inside))
-        size, labels, tested, turn = entries.count(), None, None, 0
-        close = (F.least("n", "m") * 100 >= F.greatest("n", "m") * least)
-        while size:
+        total, close = entries.count(), F.least("n", "m") * 100 >= F.greatest("n", "m") * least
+        # short lists: every pair; long ones: all members against one of them
+        sizes = common.checkpoint(entries.groupBy("list").agg(F.count("*").alias("k"), F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("f")))
+        short = entries.join(sizes.where(F.col("k").between(2, SHORT)).select("list"), "list", "left_semi")
+        one = sizes.where(F.col("k") > SHORT).select("list", F.col("f.node").alias("x"), F.col("f.n").alias("m"))
+        each = short.select("list", F.col("node").alias("x"), F.col("n").alias("m"))
+        pairs = short.join(each, "list").where((F.col("node") > F.col("x")) & close).unionByName(entries.join(one, "list").where((F.col("node") != F.col("x")) & close))
+        tested = common.checkpoint(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
+        good = self.verify(tested, texts)
+        labels = None if good.isEmpty() else components.connect(good)
+        entries = common.checkpoint(entries.join(sizes.where(F.col("k") > SHORT).select("list"), "list", "left_semi"))
+        turn = 1
+        while not entries.isEmpty():  # the long lists, as long as they hold members of several components
             known = entries.withColumn("comp", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            known = common.checkpoint(known.select("list", "node", "n", "comp"))
             by_comp = known.groupBy("list", "comp").agg(F.count("*").alias("k"))
             sums = by_comp.groupBy("list").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("k * k > kk")
-            open_ = common.checkpoint(sums)
-            left = open_.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
+            rows = common.checkpoint(known.select("list", "node", "n", "comp").join(sums, "list"))
+            left = rows.groupBy("list").agg(F.first((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
             if not left:
                 break
-            last = turn > 0 and left <= 4 * size or turn >= 12
-            rows = known.join(open_.select("list", "main"), "list")
+            last = left <= 4 * total or turn >= 4
             if last:  # every pair that may still join components
                 one = rows.where("comp <> main").select("list", F.col("node").alias("x"), F.col("n").alias("m"), F.col("comp").alias("other"))
-            else:  # all against one
+            else:  # all against another one
                 first = rows.groupBy("list").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("f"))
                 one = first.select("list", F.col("f.node").alias("x"), F.col("f.n").alias("m"), F.col("f.comp").alias("other"))
             pairs = rows.join(one, "list").where((F.col("comp") != F.col("other")) & close)
-            pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
             pairs = common.checkpoint(pairs)
             good = self.verify(pairs, texts)
-            tested = pairs if tested is None else common.checkpoint(tested.unionByName(pairs))
+            tested = tested.unionByName(pairs)
             if not good.isEmpty():
                 labels = components.connect(good, labels)
             if last:
                 break
-            turn += 1
+            entries, turn = rows.select("list", "node", "n"), turn + 1
         return labels
 
 
-def _merge(held: list[np.ndarray], count: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    tokens, at = np.unique(np.concatenate(held), return_inverse=True)
-    return [tokens], [np.bincount(at, np.concatenate(count), len(tokens)).astype(np.int64)]
-
-
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     join = Join(docs, id_col, text_col, words, least)

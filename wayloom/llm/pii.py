@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fixed patterns; greedy parts that nothing after them could give back to are possessive.
+#: Fixed patterns; greedy parts that nothing after them could give back to are possessive. Shorter runs of digits
+#: would fail as cards, so that card starts at 16.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}  # a character that a match can't do without
@@ -87,32 +88,40 @@ def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def slots(based: DataFrame, text_col: str) -> DataFrame:
-    """A row for each instance: _id, _h, kind (null: not a base match), start, end, value, before and after."""
+    """A row for each instance: _id, _h, kind (null: an identifier-like word), value, before and after. Neighbouring
+    words are picked inside each text's arrays, so that no row carries its text along."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = based.select("_id", "_h", text.alias("_text"), *[f"_{kind}" for kind in KINDS]).where(F.col("_text").contains("@") | F.col("_text").rlike("[0-9]"))
 
-    def of(kind: str | None, spans: Column) -> Column:
-        return F.transform(spans, lambda x: F.struct(F.lit(kind).cast("string").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+    def seed(kind: str) -> Column:
+        def one(x: Column) -> Column:
+            left = F.substr(F.col("_text"), F.greatest(x["start"] - REACH + 1, F.lit(1)), F.least(x["start"], F.lit(REACH)))
+            right = F.substr(F.col("_text"), x["end"] + 1, F.lit(REACH))
+            before = F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
+            after = F.regexp_extract(right, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)
+            return F.struct(F.lit(kind).alias("kind"), x["value"].alias("value"), F.lower(before).alias("before"), F.lower(after).alias("after"))
 
-    seeds = F.concat(*[of(kind, F.col(f"_{kind}")) for kind in KINDS])
-    rows = based.select("_id", "_h", text.alias("_text"), *[f"_{kind}" for kind in KINDS]).where(F.col("_text").contains("@") | F.col("_text").rlike("[0-9]"))
-    rows = rows.select("_id", "_h", "_text", F.concat(seeds, of(None, spans_of(F.col("_text"), LIKELY))).alias("_spans"), seeds.alias("_seeds"))
-    rows = rows.select("_id", "_h", "_text", "_seeds", F.explode("_spans").alias("s"))
-    free = ~F.exists("_seeds", lambda x: (x["start"] < F.col("s.end")) & (x["end"] > F.col("s.start")))
-    rows = rows.where(F.col("s.kind").isNotNull() | free)
-    left = F.substr(F.col("_text"), F.greatest(F.col("s.start") - REACH + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(REACH)))
-    right = F.substr(F.col("_text"), F.col("s.end") + 1, F.lit(REACH))
-    before = F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
-    after = F.regexp_extract(right, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)
-    return rows.select("_id", "_h", "s.*", F.lower(before).alias("before"), F.lower(after).alias("after"))
+        return F.transform(f"_{kind}", one)
+
+    def likely(words: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            near = [F.lower(F.coalesce(F.get(words, i + k), F.lit(""))) for k in (-1, 1)]
+            return F.when(w.rlike("[0-9@]"), F.struct(F.lit(None).cast("string").alias("kind"), w.alias("value"), near[0].alias("before"), near[1].alias("after")))
+
+        return F.filter(F.transform(words, one), lambda x: x.isNotNull())
+
+    words = F.split(F.trim(F.translate("_text", common.BLANKS, "      ")), " +")
+    found = F.concat(*[seed(kind) for kind in KINDS], common.let(words, likely))
+    return rows.select("_id", "_h", F.explode(found).alias("s")).select("_id", "_h", "s.*")
 
 
 def score(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Rows (_id, _h, kind, start, end) that the bootstrapping adds. found: slots, checkpointed."""
-    edges = found.select("*", F.explode(F.array(F.struct(F.lit("<").alias("side"), F.col("before").alias("word")), F.struct(F.lit(">").alias("side"), F.col("after").alias("word")))).alias("p")).select("_id", "_h", "kind", "start", "end", "value", "p.side", "p.word").where("word <> ''")
+    """(_id, _h, kind, value) of the identifiers that the bootstrapping adds to texts. found: slots, checkpointed."""
+    edges = found.select("*", F.explode(F.array(F.struct(F.lit("<").alias("side"), F.col("before").alias("word")), F.struct(F.lit(">").alias("side"), F.col("after").alias("word")))).alias("p")).select("_id", "_h", "kind", "value", "p.side", "p.word").where("word <> ''")
     support = edges.where("kind is not null").groupBy("side", "word", "kind").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= SUPPORT)
     words = common.checkpoint(support.select("word").distinct())
     if words.isEmpty():
-        return found.where("kind is null").select("_id", "_h", F.col("kind"), "start", "end").limit(0)
+        return found.select("_id", "_h", "kind", "value").limit(0)
     # how often each of these words stands anywhere in the corpus
     flat = F.lower(F.translate(F.coalesce(F.col(text_col), F.lit("")), common.BLANKS, "      "))
     small = common.is_small(words, 200_000)
@@ -132,7 +141,7 @@ def score(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     patterns = common.checkpoint(patterns)
     sure = scores.where(F.col("score") >= ACCEPT)
     added = edges.where("kind is null").drop("kind").join(patterns.select("side", "word", "kind"), ["side", "word"]).join(sure.select("value", "kind"), ["value", "kind"], "left_semi")
-    return added.groupBy("_id", "_h", "start", "end").agg(F.min_by("kind", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))).alias("kind"))
+    return added.groupBy("_id", "_h", "value").agg(F.min_by("kind", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))).alias("kind"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,16 +150,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     added = [*(f"n_{kind}" for kind in KINDS), "base", "found"]
     based = with_base(docs.drop(*added), id_col, text_col)
     extra = score(common.checkpoint(slots(based, text_col)), docs, text_col)
-    more = common.checkpoint(extra.groupBy("_id", "_h").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_more")))  # the identifiers in one text
+    more = common.checkpoint(extra.groupBy("_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct("value", "kind"))).alias("_more")))  # the identifiers in one text
     more = more.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "_more")
     out = based.join(F.broadcast(more) if common.is_small(more, 20_000) else more, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
 
+    # a text with such identifiers is looked through for all their places, save those that a base span covers
+    seeds = F.concat(*[F.col(f"_{kind}") for kind in KINDS])
+    free = F.filter(spans_of(F.coalesce(F.col(text_col), F.lit("")), LIKELY), lambda x: F.map_contains_key("_more", x["value"]) & ~F.exists(seeds, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])))
+    out = out.withColumn("_free", F.when(F.col("_more").isNotNull(), F.transform(free, lambda x: F.struct(F.element_at("_more", x["value"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))))
+
     def of(kind: str) -> tuple[Column, Column]:
         base = F.transform(f"_{kind}", lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-        return base, F.array_sort(F.concat(base, F.coalesce(F.filter("_more", lambda x: x["kind"] == kind), F.array().cast("array<struct<kind:string,start:int,end:int>>"))))
+        return base, F.array_sort(F.concat(base, F.coalesce(F.filter("_free", lambda x: x["kind"] == kind), F.array().cast("array<struct<kind:string,start:int,end:int>>"))))
 
     out = out.withColumns({f"n_{kind}": F.size(f"_{kind}").cast("long") for kind in KINDS} | {"base": F.concat(*[of(k)[0] for k in KINDS]), "found": F.concat(*[of(k)[1] for k in KINDS])})
-    return out.drop("_id", "_h", "_i", "_g", "_more", *[f"_{kind}" for kind in KINDS])
+    return out.drop("_id", "_h", "_i", "_g", "_more", "_free", *[f"_{kind}" for kind in KINDS])
 
 
 def digest(spans: Column) -> Column:

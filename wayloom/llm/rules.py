@@ -73,13 +73,13 @@ def measures(docs: DataFrame, text_col: str = "text", more: bool = True) -> Data
 
     def repeated(w: Column) -> Column:
         three = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.when(F.size(w) >= 4, _let(three, _repeated)).otherwise(F.lit(0))
+        return F.when(F.size(w) >= 4, common.let(three, _repeated)).otherwise(F.lit(0))
 
-    # Each measure is one expression whose parts are bound by _let: a filter on it, which the optimiser moves
+    # Each measure is one expression whose parts are bound by let(): a filter on it, which the optimiser moves
     # below the projection, then repeats the measure, but not its parts for every element.
     added = {
-        "_c": _let(lines, lambda x: F.struct(F.size(x).alias("lines"), F.size(F.array_distinct(x)).alias("distinct"))),
-        "_w": _let(words, lambda w: F.struct(F.size(w).alias("words"), repeated(w).alias("repeated"))),
+        "_c": common.let(lines, lambda x: F.struct(F.size(x).alias("lines"), F.size(F.array_distinct(x)).alias("distinct"))),
+        "_w": common.let(words, lambda w: F.struct(F.size(w).alias("words"), repeated(w).alias("repeated"))),
     }
     plain = {"word_chars": F.length(F.translate(text, common.BLANKS, "")).cast("long"), "n_symbols": count(SYMBOLS)}
     if more:
@@ -93,11 +93,6 @@ def measures(docs: DataFrame, text_col: str = "text", more: bool = True) -> Data
     return out.drop("_c", "_w")
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _repeated(windows: Column) -> Column:
     """How many words lie in windows that occur twice or more; windows are hashes in text order."""
 
@@ -105,7 +100,7 @@ def _repeated(windows: Column) -> Column:
         return F.exists(F.sequence(F.lit(1), F.size(ordered) - 1), lambda i: F.get(ordered, i) == F.get(ordered, i - 1))
 
     placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(_let(F.sort_array(windows), any_twice), _let(placed, _covered)).otherwise(F.lit(0))
+    return F.when(common.let(F.sort_array(windows), any_twice), common.let(placed, _covered)).otherwise(F.lit(0))
 
 
 def _covered(placed: Column) -> Column:
