@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage at a table in the shared checkpoint folder. For loops.
+
+    checkpoint() hands the constraints of a plan on to the plans built upon it. In a loop that renames columns they
+    multiply from turn to turn until planning stalls; a table that is read again has none.
+    """
+    spark = df.sparkSession
+    ready_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null and blank texts have none. """
     flat = F.trim(F.translate(F.coalesce(text, F.lit("")), BLANKS, "      "))

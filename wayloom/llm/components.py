@@ -27,9 +27,9 @@ def connect(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         near = edges.join(roots.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         least = roots.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = least.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        moved = common.checkpoint(least.join(jump, "comp", "left").select("node", "old", F.least("comp", "up").alias("comp")))
+        moved = common.written(least.join(jump, "comp", "left").select("node", "old", F.least("comp", "up").alias("comp")))
         roots = moved.select("node", "comp")
         if moved.where("comp <> old").isEmpty():
             break
     out = nodes.join(roots.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
-    return common.checkpoint(out.select("node", F.coalesce("root", "comp").alias("comp")))
+    return common.written(out.select("node", F.coalesce("root", "comp").alias("comp")))
