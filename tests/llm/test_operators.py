@@ -196,6 +196,14 @@ def test_near_odd(odd, none):
     assert kept.columns == odd.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
 
 
+def test_near_deals_out_a_hub(spark):
+    """Pairs of one b, the greater node of each, spread over parts."""
+    pairs = spark.range(20 * near.PART_PAIRS).select(F.col("id").alias("a"), F.lit(10**9).cast("long").alias("b"))
+    dealt = near.deal(pairs).groupBy("part").count().collect()
+    assert sum(r["count"] for r in dealt) == 20 * near.PART_PAIRS
+    assert max(r["count"] for r in dealt) <= 2 * near.PART_PAIRS
+
+
 # --- 5, 7, 9: learned scores ----------------------------------------------------------------
 
 

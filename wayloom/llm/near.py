@@ -95,6 +95,16 @@ def _as_long(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
+def deal(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with the part that verifies each: about PART_PAIRS to a part. Those of one b go to one part, unless
+    they are more: then to as many as they need, by a."""
+    parts = max(1, -(-pairs.count() // PART_PAIRS))
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") > PART_PAIRS).select("b", F.ceil(F.col("k") / PART_PAIRS).alias("spread"))
+    salt = F.coalesce(F.pmod(F.xxhash64("a"), F.col("spread")), F.lit(0))
+    dealt = pairs.join(F.broadcast(hubs), "b", "left")  # of P pairs, P / PART_PAIRS hubs at most
+    return dealt.select("a", "b", F.pmod(F.pmod(F.xxhash64("b"), F.lit(parts)) + salt, F.lit(parts)).cast("int").alias("part"))
+
+
 class Join:
     """The stages of the join over one table; marks, candidates and links are Spark tables."""
 
@@ -188,16 +198,14 @@ class Join:
         """The pairs (a, b), checkpointed, whose sets are similar enough."""
         words, least = self.words, self.least
         pairs = common.checkpoint(self.overlapping(pairs, texts))
-        parts = max(1, -(-pairs.count() // PART_PAIRS))
-        part = F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")
-        dealt = pairs.withColumn("part", part)
+        dealt = deal(pairs)
         needed = common.checkpoint(dealt.select("part", F.col("a").alias("node")).union(dealt.select("part", "b")).distinct())
         held = texts.select("node", "text")
         nodes = needed.select("node").distinct()
         if common.is_small(needed, SMALL):
             held = held.join(F.broadcast(nodes), "node", "left_semi")
         held = needed.join(held, "node")
-        asked = pairs.select(part.alias("asked_of"), "a", "b")
+        asked = dealt.select(F.col("part").alias("asked_of"), "a", "b")
 
         def check(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
             have, unpack = have.drop_duplicates("node"), zstandard.ZstdDecompressor().decompress
