@@ -204,6 +204,19 @@ def test_near_deals_out_a_hub(spark):
     assert max(r["count"] for r in dealt) <= 2 * near.PART_PAIRS
 
 
+def test_near_template(spark, rng):
+    """Documents that share a template and aren't similar: no pair of them is left for the last turn."""
+    template = sentence(rng, 104)
+    texts = [f"{template} {sentence(rng, 14)}" for _ in range(200)] + [edited(rng, template, k % 3) for k in range(12)]
+    join = near.Join(documents(spark, texts), "doc_id", "text", near.WORDS, near.LEAST)
+    texts_ = join.candidates()
+    rows = texts_.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("h"))
+    rows = rows.select(F.col("h.tokens").alias("list"), "node", "n", F.col("h.places").alias("at"), F.col("node").alias("comp"), F.lit(0).cast("long").alias("main"))
+    assert join.across(rows.where("n > 110")).count() < 200
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.cluster(documents(spark, texts)).collect()}
+    assert got == brute(texts)
+
+
 # --- 5, 7, 9: learned scores ----------------------------------------------------------------
 
 

@@ -2,8 +2,9 @@
 
 A document's set holds the hashes of its distinct word n-grams. Two sets with a similarity of `least` or more share
 one of the first few tokens (a prefix) of each, whatever order the tokens are in, as long as it is one order for
-all. Rare tokens come first: tokens that tasks see again and again (`heavy`) stand last, all others by hash. Which
-tokens are heavy bears on speed alone, so a bounded number of them is broadcast.
+all. Rare tokens come first: tokens that many nodes hold (`heavy`) stand last, all others by hash. Which tokens are
+heavy bears on speed alone, so they are noted in a bitmap of fixed size, where others may share their slots. First
+they are counted in the prefixes by hash; then, as others move up where heavy ones stood, among those others. So a template's shingles stand behind what a document has of its own.
 
 1. Documents with one set become one node; from here on nodes count, however many copies there are.
 2. Prefix tokens that two nodes hold are counted exactly, and noted in a bitmap of fixed size. Nodes without such a
@@ -12,8 +13,11 @@ tokens are heavy bears on speed alone, so a bounded number of them is broadcast.
    within the list of a token; then members are expanded, filtered by how many prefix tokens they share, and
    verified exactly.
 4. Of short lists every pair is verified. Within a long list, only pairs that may still join two components are:
-   first all members against one of them, again with other members as long as that leaves more pairs than the lists
-   have entries, then every pair left. So a list of near copies is linked by few pairs, and yet no link between two components can be missed.
+   first all members against one of them, again with other members for some turns as long as that leaves more pairs
+   than the lists have entries, then every pair left. So a list of near copies is linked by few pairs, and yet no link between two components can be missed.
+5. Every pair is looked for in the list of its first common token, which can't stand far behind in similar sets: with
+   an overlap of o it is among the first n - o + 1 of one and m - o + 1 of the other. By these places and sizes the
+   last turn splits long lists, so that members that share a template's tokens only aren't joined with each other.
 
 Nothing is capped or sampled, and no document's links or components come to the driver. Sets are compared as 64-bit
 hashes; the chance that two different ones of N sets have one fingerprint is below N^2 / 2^65.
@@ -35,9 +39,10 @@ from pyspark.sql import functions as F
 from . import common, components
 
 WORDS, LEAST = 5, 80  # words in a shingle; least similarity in per cent
-HEAVY, MOST_HEAVY = 8, 1 << 18  # a token that so many nodes hold is heavy; so many heavy tokens at most
+HEAVY = 8  # a token that so many nodes hold is heavy
 SHORT = 8  # members of a list all of whose pairs are verified at once
-BITS = 25  # of the bitmap's size
+BITS = 25  # of the bitmaps' size
+FINE = 50  # size classes to a factor of e, in the last turn
 PART_PAIRS = 2000  # pairs that one task verifies at a time
 SMALL = 500_000  # nodes of 8 bytes each, at most, whose list is broadcast
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -73,15 +78,20 @@ def fingerprint(s: np.ndarray) -> int:
     return int(common.mix64(np.array([np.add.reduce(common.mix64(s + place)) ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def prefix(s: np.ndarray, heavy: np.ndarray, least: int = LEAST) -> np.ndarray:
+def marked(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Whether each token's slot is set."""
+    place = tokens % np.uint64(1 << BITS)
+    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def prefix(s: np.ndarray, heavy: np.ndarray | None, least: int = LEAST) -> np.ndarray:
     """The first tokens of a set, heavy ones last: enough that similar sets must share one."""
     n = len(s)
     k = n - -(-least * n // 100) + 1
-    if not len(heavy):
+    if heavy is None or not marked(heavy, s[:k]).any():
         return s[:k]
-    at = np.searchsorted(heavy, s)
-    common_ = heavy[np.minimum(at, len(heavy) - 1)] == s
-    return np.concatenate([s[~common_], s[common_]])[:k] if common_[:k].any() else s[:k]
+    last = marked(heavy, s)
+    return np.concatenate([s[~last], s[last]])[:k]
 
 
 def _sets(batches, words: int):
@@ -123,28 +133,31 @@ class Join:
 
         return common.checkpoint(self.docs.mapInArrow(run, "doc_id long, text_hash long, node long, n_shingles long"))
 
-    def _held_by(self, heavy: np.ndarray) -> DataFrame:
-        """(token, count): how many nodes hold each prefix token. A node's copies count once in each task."""
+    def _held_by(self, heavy: np.ndarray | None, beyond: bool = False) -> DataFrame:
+        """(token, count): how many nodes hold each prefix token; or, beyond the prefix by hash, each token that may
+        move up, twice as far as its share of heavy ones asks for. A node's copies count once in each task."""
         words, least, order = self.words, self.least, self.docs.sparkSession.sparkContext.broadcast(heavy)
 
+        def taken(s: np.ndarray) -> np.ndarray:
+            if not beyond:
+                return prefix(s, order.value, least)
+            k = len(prefix(s, None, least))
+            h = int(marked(order.value, s[:k]).sum())
+            rest = s[k : k + 2 * h * k // max(k - h, 1) + h]
+            return rest[~marked(order.value, rest)]
+
         def run(batches):
             seen = set()
             for _, sets in _sets(batches, words):
-                new = [prefix(s, order.value, least) for s in sets if len(s) and (node := fingerprint(s)) not in seen and not seen.add(node)]
+                new = [taken(s) for s in sets if len(s) and (node := fingerprint(s)) not in seen and not seen.add(node)]
                 if new:
                     yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(new))], names=["token"])
 
         return self.docs.mapInArrow(run, "token long").groupBy("token").count()
 
-    def candidates(self) -> DataFrame:
-        """(node, n, grp, tokens, text): of each node that shares a prefix token with another (once a task), its size,
-        group, shared prefix tokens and compressed text."""
-        often = self._held_by(np.zeros(0, np.uint64)).where(F.col("count") >= HEAVY).orderBy(F.desc("count"), "token").limit(MOST_HEAVY).toArrow()  # MOST_HEAVY tokens at most
-        order = np.sort(often.column("token").to_numpy().astype(np.int64).view(np.uint64))
-        words, least, heavy = self.words, self.least, self.docs.sparkSession.sparkContext.broadcast(order)
-        # A copy in another task counts again: it only lets tokens pass that one node holds.
-        repeated = self._held_by(order).where("count > 1")
-        slots = repeated.selectExpr(f"int(pmod(token, {1 << BITS})) AS slot", f"int(shiftright(int(pmod(token, {1 << BITS})), {BITS - 10})) AS block")
+    def _bitmap(self, tokens: DataFrame) -> np.ndarray:
+        """A bitmap of 2^BITS slots with those of the tokens set."""
+        slots = tokens.selectExpr(f"int(pmod(token, {1 << BITS})) AS slot", f"int(shiftright(int(pmod(token, {1 << BITS})), {BITS - 10})) AS block")
 
         def set_bits(pdf: pd.DataFrame) -> pd.DataFrame:
             block, words = int(pdf["block"].iloc[0]), np.zeros(1 << (BITS - 16), np.uint64)
@@ -156,29 +169,42 @@ class Join:
         bitmap = np.zeros((1 << 10, 1 << (BITS - 16)), np.uint64)
         for row in blocks:
             bitmap[row["block"]] = np.frombuffer(row["bits"], np.uint64)
-        bitmap = bitmap.ravel()
+        return bitmap.ravel()
+
+    def heavy(self) -> np.ndarray:
+        """The bitmap of the heavy tokens."""
+        often = F.col("count") >= HEAVY
+        first = self._bitmap(self._held_by(None).where(often))
+        return first | self._bitmap(self._held_by(first, True).where(often)) if first.any() else first
+
+    def candidates(self) -> DataFrame:
+        """(node, n, grp, tokens, places, text): of each node that shares a prefix token with another (once a task),
+        its size, group, shared prefix tokens and their places in the prefix from 1 on, and compressed text."""
+        order = self.heavy()
+        words, least, heavy = self.words, self.least, self.docs.sparkSession.sparkContext.broadcast(order)
+        # A copy in another task counts again: it only lets tokens pass that one node holds.
+        bitmap = self._bitmap(self._held_by(order).where("count > 1"))
         shared = self.docs.sparkSession.sparkContext.broadcast(bitmap)
 
         def run(batches):
             seen, pack = set(), zstandard.ZstdCompressor(level=1).compress
             for part, sets in _sets(batches, words):
-                keep, nodes, groups, tokens = [], [], [], []
+                keep, nodes, groups, tokens, places = [], [], [], [], []
                 for i, s in enumerate(sets):
                     if not len(s) or (node := fingerprint(s)) in seen:
                         continue
                     seen.add(node)
                     p = prefix(s, heavy.value, least)
-                    place = p % np.uint64(1 << BITS)
-                    held = p[(shared.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+                    held = np.flatnonzero(marked(shared.value, p))
                     if len(held):
-                        keep.append(i), nodes.append(node), groups.append(fingerprint(np.append(p, np.uint64(len(s))))), tokens.append(held)
+                        keep.append(i), nodes.append(node), groups.append(fingerprint(np.append(p, np.uint64(len(s))))), tokens.append(p[held]), places.append(held + 1)
                 if keep:
                     ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
                     texts = part.column("text")
                     packed = pa.array([pack(texts[i].as_py().encode()) for i in keep], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _as_long(np.concatenate(tokens))), packed], names=["node", "n", "grp", "tokens", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _as_long(np.concatenate(tokens))), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places).astype(np.int64))), packed], names=["node", "n", "grp", "tokens", "places", "text"])
 
-        return common.checkpoint(self.docs.mapInArrow(run, "node long, n long, grp long, tokens array<long>, text binary"))
+        return common.checkpoint(self.docs.mapInArrow(run, "node long, n long, grp long, tokens array<long>, places array<long>, text binary"))
 
     def overlapping(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs (a, b) whose prefixes share as many tokens as those of similar sets must.
@@ -219,24 +245,47 @@ class Join:
 
         return common.checkpoint(held.groupBy("part").cogroup(asked.groupBy("asked_of")).applyInPandas(check, "a long, b long"))
 
+    def across(self, rows: DataFrame) -> DataFrame:
+        """The pairs (a, b) of rows (list, node, n, at, comp, main) that may be similar and join two components.
+
+        The smaller set must hold its first common token at most so far behind that a size from its own on is left for
+        the other. It is sent to each class of those sizes, and the larger one to its own: first those outside the main
+        component against all, then those inside against those outside.
+        """
+        least = self.least
+        size_class = lambda n: F.floor(F.log(n) * FINE)
+        outside = F.col("comp") != F.col("main")
+        top = F.floor(((100 + least) * (F.col("n") - F.col("at") + 1) - least * F.col("n")) / least)
+        fewer = rows.withColumn("top", top).where("top >= n").select("list", F.explode(F.sequence(size_class(F.col("n")), size_class(F.col("top")))).alias("size"), outside.alias("out"), F.col("node").alias("x"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("comp").alias("other"))
+        sides = F.when(outside, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+        more = rows.select("list", size_class(F.col("n")).alias("size"), F.explode(sides).alias("out"), "node", "n", "at", "comp")
+        ordered = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("node")))
+        pairs = more.join(fewer, ["list", "size", "out"]).where(ordered & (F.col("comp") != F.col("other")) & self.fits())
+        return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+
+    def fits(self):
+        """Whether sets of n and m tokens may be similar if their first common token is the at-th of one and the q-th
+        of the other."""
+        return (F.col("n") + F.col("m")) * self.least <= (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("q")) + 1) * (100 + self.least)
+
     def link(self, texts: DataFrame) -> DataFrame | None:
         """(node, comp) of the nodes that have links."""
         least = self.least
-        groups = texts.groupBy("grp").agg(F.max("n").alias("n"), F.first("tokens").alias("tokens"))
-        lists = common.checkpoint(groups.select(F.explode("tokens").alias("list"), "grp", "n"))  # groups against groups
+        groups = texts.groupBy("grp").agg(F.max("n").alias("n"), F.first(F.arrays_zip("tokens", "places")).alias("held"))
+        lists = common.checkpoint(groups.select(F.explode("held").alias("h"), "grp", "n").select(F.col("h.tokens").alias("list"), "grp", "n", F.col("h.places").alias("at")))  # groups against groups
         shared = lists.groupBy("list").agg(F.count("*").alias("k")).where("k > 1")
         lists = lists.join(shared.select("list"), "list")
         members = texts.select("grp", "node", "n").distinct()
         many = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1")
-        inside = members.join(many.select("grp"), "grp").select(F.col("grp").alias("list"), "node", "n")
-        entries = common.checkpoint(lists.select("list", "grp").join(members, "grp").select("list", "node", "n").unionByName(inside))
+        inside = members.join(many.select("grp"), "grp").select(F.col("grp").alias("list"), "node", "n", F.lit(1).cast("long").alias("at"))  # the whole prefix is common
+        entries = common.checkpoint(lists.select("list", "grp", "at").join(members, "grp").select("list", "node", "n", "at").unionByName(inside))
         total, close = entries.count(), F.least("n", "m") * 100 >= F.greatest("n", "m") * least
         # short lists: every pair; long ones: all members against one of them
         sizes = common.checkpoint(entries.groupBy("list").agg(F.count("*").alias("k"), F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("f")))
         short = entries.join(sizes.where(F.col("k").between(2, SHORT)).select("list"), "list", "left_semi")
         one = sizes.where(F.col("k") > SHORT).select("list", F.col("f.node").alias("x"), F.col("f.n").alias("m"))
-        each = short.select("list", F.col("node").alias("x"), F.col("n").alias("m"))
-        pairs = short.join(each, "list").where((F.col("node") > F.col("x")) & close).unionByName(entries.join(one, "list").where((F.col("node") != F.col("x")) & close))
+        each = short.select("list", F.col("node").alias("x"), F.col("n").alias("m"), F.col("at").alias("q"))
+        pairs = short.join(each, "list").where((F.col("node") > F.col("x")) & self.fits()).drop("at", "q").unionByName(entries.drop("at").join(one, "list").where((F.col("node") != F.col("x")) & close))
         tested = common.checkpoint(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
         good = self.verify(tested, texts)
         labels = None if good.isEmpty() else components.connect(good)
@@ -246,18 +295,19 @@ class Join:
             known = entries.withColumn("comp", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             by_comp = known.groupBy("list", "comp").agg(F.count("*").alias("k"))
             sums = by_comp.groupBy("list").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("k * k > kk")
-            rows = common.checkpoint(known.select("list", "node", "n", "comp").join(sums, "list"))
+            rows = common.checkpoint(known.select("list", "node", "n", "at", "comp").join(sums, "list"))
             left = rows.groupBy("list").agg(F.first((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
             if not left:
                 break
             last = left <= 4 * total or turn >= 4
             if last:  # every pair that may still join components
-                one = rows.where("comp <> main").select("list", F.col("node").alias("x"), F.col("n").alias("m"), F.col("comp").alias("other"))
+                pairs = self.across(rows)
             else:  # all against another one
                 first = rows.groupBy("list").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("f"))
                 one = first.select("list", F.col("f.node").alias("x"), F.col("f.n").alias("m"), F.col("f.comp").alias("other"))
-            pairs = rows.join(one, "list").where((F.col("comp") != F.col("other")) & close)
-            pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+                pairs = rows.join(one, "list").where((F.col("comp") != F.col("other")) & close)
+                pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+            pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
             pairs = common.checkpoint(pairs)
             good = self.verify(pairs, texts)
             tested = tested.unionByName(pairs)
@@ -265,7 +315,7 @@ class Join:
                 labels = components.connect(good, labels)
             if last:
                 break
-            entries, turn = rows.select("list", "node", "n"), turn + 1
+            entries, turn = rows.select("list", "node", "n", "at"), turn + 1
         return labels
 
 
