@@ -345,6 +345,23 @@ def test_neighbours_recall(spark, clustered):
     assert [got[100][k][0] for k in range(1, 6)] == [101, 102, 103, 104, 105]
 
 
+def test_neighbours_recall_ordered(spark):
+    """Ids in order of clusters, of which the first is tight and the rest diffuse."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([20 + 0.01 * r.normal(size=(400, 24)), r.normal(size=(2600, 24))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in neighbours.search(df, F.col("vec_id") % 20 == 0, 5).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(400, 3000, 20):
+        s = unit @ unit[q]
+        s[q] = -2
+        hit += len(set(np.argsort(-s)[:5].tolist()) & got[q])
+    assert hit >= 0.9 * 5 * 130, hit
+
+
 def test_neighbours_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r["vec_id"]) for r in neighbours.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]

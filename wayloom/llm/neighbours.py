@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by an adaptive dimension scan over probed lists.
 
 A spherical k-means on a bounded sample (FIT vectors) gives the lists; every vector goes to the list of its nearest
-centre. How many of its nearest lists a query probes is calibrated on the same sample, against exact neighbours, so
-that data with clusters probe few lists and data without probe many. Vectors are rotated by a random orthogonal
+centre. How many of its nearest lists a query probes is calibrated on 256 of the sample, drawn at random, against
+their exact neighbours in it, so that data with clusters probe few lists and data without probe many. Vectors are rotated by a random orthogonal
 matrix and scanned in blocks of columns: after each block a hypothesis test compares the partial distance, scaled up
 to all dimensions, with the distance of the k-th nearest so far, and abandons candidates that are surely farther. The
 rest get their exact cosine in double precision on the original vectors.
@@ -80,9 +80,10 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         size = np.sqrt((sums * sums).sum(axis=1))
         centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-12)[:, None], centres)
     near = (x @ centres.T).argmax(axis=1)
-    asked = x[: min(len(x), 256)]
+    own = np.random.default_rng(FIXED_SEED).choice(len(x), min(len(x), 256), replace=False)  # x is in order of ids
+    asked = x[own]
     close = asked @ x.T
-    close[np.arange(len(asked)), np.arange(len(asked))] = -2
+    close[np.arange(len(asked)), own] = -2
     best = np.argsort(-close, axis=1, kind="stable")[:, :k]
     order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
     place = np.empty_like(order)
