@@ -196,27 +196,47 @@ def test_near_odd(odd, none):
     assert kept.columns == odd.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
 
 
-def test_near_deals_out_a_hub(spark):
-    """Pairs of one b, the greater node of each, spread over parts."""
-    pairs = spark.range(20 * near.PART_PAIRS).select(F.col("id").alias("a"), F.lit(10**9).cast("long").alias("b"))
-    dealt = near.deal(pairs).groupBy("part").count().collect()
-    assert sum(r["count"] for r in dealt) == 20 * near.PART_PAIRS
-    assert max(r["count"] for r in dealt) <= 2 * near.PART_PAIRS
-
-
 def test_near_template(spark, rng):
-    """Documents that share a template and aren't similar: no pair of them is left for the last turn."""
+    """Documents that share a template and aren't similar, among near copies of it."""
     template = sentence(rng, 104)
-    texts = [f"{template} {sentence(rng, 14)}" for _ in range(200)] + [edited(rng, template, k % 3) for k in range(12)]
-    join = near.Join(documents(spark, texts), "doc_id", "text", near.WORDS, near.LEAST)
-    texts_ = join.candidates()
-    rows = texts_.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("h"))
-    rows = rows.select(F.col("h.tokens").alias("list"), "node", "n", F.col("h.places").alias("at"), F.col("node").alias("comp"), F.lit(0).cast("long").alias("main"))
-    assert join.across(rows.where("n > 110")).count() < 200
+    texts = [f"{template} {sentence(rng, 14)}" for _ in range(150)] + [edited(rng, template, k % 3) for k in range(12)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.cluster(documents(spark, texts)).collect()}
     assert got == brute(texts)
 
 
+def test_near_large_group(spark, rng):
+    """5,000 different near copies of one text, and as many texts that share a passage only."""
+    base, passage = sentence(rng, 80), sentence(rng, 30)
+    texts = [base] + [edited(rng, base, 1) for _ in range(4999)] + [f"{sentence(rng, 25)} {passage} {sentence(rng, 25)}" for _ in range(1000)]
+    got = {r["doc_id"]: r["component_id"] for r in near.cluster(documents(spark, texts)).collect()}
+    assert all(got[i] == 0 for i in range(5000)) and all(got[i] == i for i in range(5000, 6000))
+
+
+def test_near_chain_and_groups(spark, rng):
+    """A chain of texts each similar to the next only, and groups of several members: same prefix and size."""
+    words = [f"{i}q" for i in range(400)]
+    chain = [" ".join(words[6 * i : 6 * i + 100]) for i in range(40)]
+    texts = chain[::-1] + [edited(rng, chain[20], 2) for _ in range(150)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.cluster(documents(spark, texts)).collect()}
+    assert got == brute(texts)
+
+
+def test_near_sketches_never_lose_a_pair(rng):
+    for _ in range(200):
+        a = np.unique(np.array([rng.randrange(2**64) for _ in range(rng.randrange(1, 400))], np.uint64))
+        b = np.unique(np.append(a[rng.randrange(20) :], np.array([rng.randrange(2**64) for _ in range(rng.randrange(20))], np.uint64)))
+        differing = int(np.bitwise_count(near.sketch(a).view(np.uint64) ^ near.sketch(b).view(np.uint64)).sum())
+        assert differing <= len(np.setxor1d(a, b))
+
+
+def test_near_clashing_columns(spark, rng):
+    names = ["node", "grp", "comp", "list", "text_hash", "_k"]
+    docs = documents(spark, [sentence(rng, 20), sentence(rng, 20)] * 2).select("*", *[F.lit("x").alias(n) for n in names])
+    assert sorted(r["component_id"] for r in near.cluster(docs).collect()) == [0, 0, 1, 1]
+    kept = near.deduplicate(docs.drop("_k"))
+    assert kept.columns == docs.columns[:-1] and sorted(r["doc_id"] for r in kept.collect()) == [0, 1]
+
+
 # --- 5, 7, 9: learned scores ----------------------------------------------------------------
 
 

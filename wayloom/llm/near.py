@@ -2,22 +2,23 @@
 
 A document's set holds the hashes of its distinct word n-grams. Two sets with a similarity of `least` or more share
 one of the first few tokens (a prefix) of each, whatever order the tokens are in, as long as it is one order for
-all. Rare tokens come first: tokens that many nodes hold (`heavy`) stand last, all others by hash. Which tokens are
-heavy bears on speed alone, so they are noted in a bitmap of fixed size, where others may share their slots. First
-they are counted in the prefixes by hash; then, as others move up where heavy ones stood, among those others. So a template's shingles stand behind what a document has of its own.
+all. Tokens come by hash, but those that many sets hold (`heavy`) stand last, so that a template's shingles stand
+behind what a document has of its own.
 
 1. Documents with one set become one node; from here on nodes count, however many copies there are.
-2. Prefix tokens that two nodes hold are counted exactly, and noted in a bitmap of fixed size. Nodes without such a
-   token have no partner (a full bitmap lets more pass, never fewer).
-3. Nodes with the same prefix and the same size become one group. Groups are filtered against each other by size
-   within the list of a token; then members are expanded, filtered by how many prefix tokens they share, and
-   verified exactly.
-4. Of short lists every pair is verified. Within a long list, only pairs that may still join two components are:
-   first all members against one of them, again with other members for some turns as long as that leaves more pairs
-   than the lists have entries, then every pair left. So a list of near copies is linked by few pairs, and yet no link between two components can be missed.
-5. Every pair is looked for in the list of its first common token, which can't stand far behind in similar sets: with
-   an overlap of o it is among the first n - o + 1 of one and m - o + 1 of the other. By these places and sizes the
-   last turn splits long lists, so that members that share a template's tokens only aren't joined with each other.
+2. Slots of a hash table are counted in Spark, two bytes for each token: heavy slots first, then, in the prefixes
+   that follow from them, those that two nodes share. Both become bitmaps of at most 2^MOST_BITS bits; past that, more
+   tokens share a slot, the limit of heavy ones rises with the load, and more tokens pass as shared, never fewer.
+3. Nodes with the same prefix and size become one group; a list holds the groups with a token in their prefix. Pairs
+   of groups within a list are filtered by size and by where the token stands: with an overlap of o, the first common
+   token is among the first n - o + 1 of one and m - o + 1 of the other.
+4. Pairs that are left are expanded to pairs of members, filtered by a sketch (the parity of the tokens in each of
+   256 slots; sets differ in at least as many tokens as slots), and verified exactly on their texts.
+5. Of short lists every pair of groups is looked at. In a long list only pairs that may still join two components
+   count: all against one (the hub), again with another hub as long as that leaves a quarter fewer pairs, and then
+   all that stand outside a list's main component against all others, in blocks of bounded work. So a list of near
+   copies is linked by few pairs, and yet no link between two components is missed. Groups stand in by one member
+   each until then; the last turn takes all members of groups that lie in several components.
 
 Nothing is capped or sampled, and no document's links or components come to the driver. Sets are compared as 64-bit
 hashes; the chance that two different ones of N sets have one fingerprint is below N^2 / 2^65.
@@ -29,23 +30,26 @@ are). Extra columns pass through; columns named as the result's are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, components
 
 WORDS, LEAST = 5, 80  # words in a shingle; least similarity in per cent
-HEAVY = 8  # a token that so many nodes hold is heavy
-SHORT = 8  # members of a list all of whose pairs are verified at once
-BITS = 25  # of the bitmaps' size
-FINE = 50  # size classes to a factor of e, in the last turn
-PART_PAIRS = 2000  # pairs that one task verifies at a time
-SMALL = 500_000  # nodes of 8 bytes each, at most, whose list is broadcast
+HEAVY = 6  # a token that so many nodes hold among their first tokens is heavy
+SHORT = 8  # groups in a list all of whose pairs are looked at in the first turn
+LEAST_BITS, MOST_BITS = 18, 29  # of a bitmap's size; 64 MB at most
+SKETCH = 4  # words of 64 bits in a sketch
+BLOCK = 1 << 22  # pairs of a long list that one key of the last turn looks at
+SMALL = 500_000  # rows of 16 bytes each, at most, that are broadcast
+HELD = 1 << 21  # tokens that a task holds before it passes them on
 _SEED = np.uint64(0xA0761D6478BD642F)
+_SKETCHES = [f"s{i}" for i in range(SKETCH)]
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -78,16 +82,29 @@ def fingerprint(s: np.ndarray) -> int:
     return int(common.mix64(np.array([np.add.reduce(common.mix64(s + place)) ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of tokens in each of 64 * SKETCH slots, as words of 64 bits."""
+    slot = (s >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)
+    return np.packbits((np.bincount(slot, minlength=64 * SKETCH) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def slots_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def marked(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Whether each token's slot is set."""
-    place = tokens % np.uint64(1 << BITS)
-    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    """Whether each token's slot is set; the bitmap's size is a power of two."""
+    place = slots_of(tokens, len(bitmap).bit_length() - 1 + 6)
+    return (bitmap[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def prefix_size(n: int, least: int = LEAST) -> int:
+    return n - -(-least * n // 100) + 1
 
 
 def prefix(s: np.ndarray, heavy: np.ndarray | None, least: int = LEAST) -> np.ndarray:
     """The first tokens of a set, heavy ones last: enough that similar sets must share one."""
-    n = len(s)
-    k = n - -(-least * n // 100) + 1
+    k = prefix_size(len(s), least)
     if heavy is None or not marked(heavy, s[:k]).any():
         return s[:k]
     last = marked(heavy, s)
@@ -95,7 +112,7 @@ def prefix(s: np.ndarray, heavy: np.ndarray | None, least: int = LEAST) -> np.nd
 
 
 def _sets(batches, words: int):
-    """(id array, part, sets) of each slice of the batches; texts are the last column."""
+    """(batch, sets) of each slice of the batches."""
     for batch in batches:
         for part in common.slices(batch, "text"):
             yield part, shingles(*common.bytes_of(part.column("text")), words)
@@ -105,248 +122,260 @@ def _as_long(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
-def deal(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with the part that verifies each: about PART_PAIRS to a part. Those of one b go to one part, unless
-    they are more: then to as many as they need, by a."""
-    parts = max(1, -(-pairs.count() // PART_PAIRS))
-    hubs = pairs.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") > PART_PAIRS).select("b", F.ceil(F.col("k") / PART_PAIRS).alias("spread"))
-    salt = F.coalesce(F.pmod(F.xxhash64("a"), F.col("spread")), F.lit(0))
-    dealt = pairs.join(F.broadcast(hubs), "b", "left")  # of P pairs, P / PART_PAIRS hubs at most
-    return dealt.select("a", "b", F.pmod(F.pmod(F.xxhash64("b"), F.lit(parts)) + salt, F.lit(parts)).cast("int").alias("part"))
+def _lists(ends: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32)), values)
 
 
-class Join:
-    """The stages of the join over one table; marks, candidates and links are Spark tables."""
+def close(n: str, m: str, overlap: Column, least: int) -> Column:
+    """Whether an overlap that is `overlap` at most is enough for sets of n and m tokens."""
+    return (F.col(n) + F.col(m)) * least <= overlap * (100 + least)
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> None:
-        self.words, self.least = words, least
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
-    def mark(self) -> DataFrame:
-        """(doc_id, text_hash, node, n_shingles) of every row."""
-        words = self.words
+def fits(least: int) -> Column:
+    """Whether sets of n and m tokens may be similar if a token that both hold stands at `at` in one and q in the other,
+    and no common one before. Sizes too far apart never fit."""
+    return close("n", "m", F.least(F.col("n") - F.col("at"), F.col("m") - F.col("q")) + 1, least)
 
-        def run(batches):
-            for part, sets in _sets(batches, words):
-                nodes = [fingerprint(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "text_hash", "node", "n_shingles"])
 
-        return common.checkpoint(self.docs.mapInArrow(run, "doc_id long, text_hash long, node long, n_shingles long"))
+def sketches_agree(least: int, one: str = "", other: str = "o_") -> Column:
+    """Whether sets of n and m tokens with these sketches may be similar; true where a sketch is missing."""
+    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col(one + s).bitwiseXOR(F.col(other + s))) for s in _SKETCHES])
+    return F.coalesce(close("n", "m", (F.col("n") + F.col("m") - differing) / 2, least), F.lit(True))
 
-    def _held_by(self, heavy: np.ndarray | None, beyond: bool = False) -> DataFrame:
-        """(token, count): how many nodes hold each prefix token; or, beyond the prefix by hash, each token that may
-        move up, twice as far as its share of heavy ones asks for. A node's copies count once in each task."""
-        words, least, order = self.words, self.least, self.docs.sparkSession.sparkContext.broadcast(heavy)
 
-        def taken(s: np.ndarray) -> np.ndarray:
-            if not beyond:
-                return prefix(s, order.value, least)
-            k = len(prefix(s, None, least))
-            h = int(marked(order.value, s[:k]).sum())
-            rest = s[k : k + 2 * h * k // max(k - h, 1) + h]
-            return rest[~marked(order.value, rest)]
+class Join:
+    """The stages of the join over one table; sets, candidates and links are Spark tables."""
 
-        def run(batches):
-            seen = set()
-            for _, sets in _sets(batches, words):
-                new = [taken(s) for s in sets if len(s) and (node := fingerprint(s)) not in seen and not seen.add(node)]
-                if new:
-                    yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(new))], names=["token"])
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> None:
+        self.words, self.least, self.spark = words, least, docs.sparkSession
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+        self.sets = self._emit()
 
-        return self.docs.mapInArrow(run, "token long").groupBy("token").count()
+    # --- which tokens are heavy, which are shared -----------------------------------------------
 
-    def _bitmap(self, tokens: DataFrame) -> np.ndarray:
-        """A bitmap of 2^BITS slots with those of the tokens set."""
-        slots = tokens.selectExpr(f"int(pmod(token, {1 << BITS})) AS slot", f"int(shiftright(int(pmod(token, {1 << BITS})), {BITS - 10})) AS block")
+    def _counted(self, bits: int, heavy: np.ndarray | None, most: int) -> DataFrame:
+        """(block, slots): the slots of each node's first tokens, 2^16 to a block; of one slot `most` from a task's hold
+        at most, and of a node's copies in a task one. Without heavy, twice the prefix by hash is taken."""
+        words, least, order = self.words, self.least, self.spark.sparkContext.broadcast(heavy)
 
-        def set_bits(pdf: pd.DataFrame) -> pd.DataFrame:
-            block, words = int(pdf["block"].iloc[0]), np.zeros(1 << (BITS - 16), np.uint64)
-            slot = pdf["slot"].to_numpy().astype(np.uint64) & np.uint64((1 << (BITS - 10)) - 1)
-            np.bitwise_or.at(words, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
-            return pd.DataFrame({"block": [block], "bits": [words.tobytes()]})
+        def out(held: list[np.ndarray]) -> pa.RecordBatch:
+            slot, count = np.unique(slots_of(np.concatenate(held), bits), return_counts=True)
+            slot = np.repeat(slot, np.minimum(count, most))
+            block, first = np.unique(slot >> 16, return_index=True)
+            ends = np.diff(np.append(first, len(slot)))
+            return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), _lists(ends, pa.array(((slot & 65535) - 32768).astype(np.int16)))], names=["block", "slots"])
 
-        blocks = slots.groupBy("block").applyInPandas(set_bits, "block int, bits binary").collect()  # 2^(BITS-3) bytes in all
-        bitmap = np.zeros((1 << 10, 1 << (BITS - 16)), np.uint64)
-        for row in blocks:
+        def run(batches):
+            seen, held, n = set(), [], 0
+            for _, sets in _sets(batches, words):
+                for s in sets:
+                    if len(s) and (node := fingerprint(s)) not in seen:
+                        seen.add(node)
+                        held.append(s[: 2 * prefix_size(len(s), least)] if order.value is None else prefix(s, order.value, least))
+                        n += len(held[-1])
+                if n >= HELD:
+                    yield out(held)
+                    held, n = [], 0
+            if n:
+                yield out(held)
+
+        return self.docs.select("text").mapInArrow(run, "block int, slots array<short>")
+
+    def _bitmap(self, bits: int, heavy: np.ndarray | None, least_count: int) -> np.ndarray:
+        """A bitmap of 2^bits slots with those that are counted so often set."""
+
+        def often(pdf: pd.DataFrame) -> pd.DataFrame:
+            counts = np.zeros(1 << 16, np.int64)
+            for slots in pdf["slots"]:
+                counts += np.bincount(slots.astype(np.int64) + 32768, minlength=1 << 16)
+            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [np.packbits(counts >= least_count, bitorder="little").tobytes()]})
+
+        blocks = self._counted(bits, heavy, least_count).groupBy("block").applyInPandas(often, "block int, bits binary")
+        bitmap = np.zeros((1 << (bits - 16), 1024), np.uint64)
+        for row in blocks.collect():  # 2^bits / 8 bytes in all
             bitmap[row["block"]] = np.frombuffer(row["bits"], np.uint64)
         return bitmap.ravel()
 
-    def heavy(self) -> np.ndarray:
-        """The bitmap of the heavy tokens."""
-        often = F.col("count") >= HEAVY
-        first = self._bitmap(self._held_by(None).where(often))
-        return first | self._bitmap(self._held_by(first, True).where(often)) if first.any() else first
-
-    def candidates(self) -> DataFrame:
-        """(node, n, grp, tokens, places, text): of each node that shares a prefix token with another (once a task),
-        its size, group, shared prefix tokens and their places in the prefix from 1 on, and compressed text."""
-        order = self.heavy()
-        words, least, heavy = self.words, self.least, self.docs.sparkSession.sparkContext.broadcast(order)
-        # A copy in another task counts again: it only lets tokens pass that one node holds.
-        bitmap = self._bitmap(self._held_by(order).where("count > 1"))
-        shared = self.docs.sparkSession.sparkContext.broadcast(bitmap)
+    def _emit(self) -> DataFrame:
+        """(doc_id, text_hash, node, n, grp, sketches, tokens, places) of every row. Sketches, tokens (the prefix tokens
+        that may be shared) and places (where they stand in the prefix, from 1 on) are for a node's first row in a task
+        that has such tokens."""
+        words, least, spark = self.words, self.least, self.spark
+        size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        expected = size // 6 * 2 * (100 - least) // 100 + 1  # tokens counted for heavy ones, at six bytes a word
+        bits = int(np.clip((2 * expected).bit_length(), LEAST_BITS, MOST_BITS))
+        heavy = self._bitmap(bits, None, HEAVY + 4 * (expected >> bits))
+        order, shared = spark.sparkContext.broadcast(heavy), spark.sparkContext.broadcast(self._bitmap(bits, heavy, 2))
 
         def run(batches):
-            seen, pack = set(), zstandard.ZstdCompressor(level=1).compress
+            seen: set[int] = set()
             for part, sets in _sets(batches, words):
-                keep, nodes, groups, tokens, places = [], [], [], [], []
-                for i, s in enumerate(sets):
-                    if not len(s) or (node := fingerprint(s)) in seen:
-                        continue
-                    seen.add(node)
-                    p = prefix(s, heavy.value, least)
-                    held = np.flatnonzero(marked(shared.value, p))
-                    if len(held):
-                        keep.append(i), nodes.append(node), groups.append(fingerprint(np.append(p, np.uint64(len(s))))), tokens.append(p[held]), places.append(held + 1)
-                if keep:
-                    ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-                    texts = part.column("text")
-                    packed = pa.array([pack(texts[i].as_py().encode()) for i in keep], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _as_long(np.concatenate(tokens))), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places).astype(np.int64))), packed], names=["node", "n", "grp", "tokens", "places", "text"])
-
-        return common.checkpoint(self.docs.mapInArrow(run, "node long, n long, grp long, tokens array<long>, places array<long>, text binary"))
-
-    def overlapping(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose prefixes share as many tokens as those of similar sets must.
-
-        Of two similar sets of n and m tokens at most n - o and m - o are not in both, o being the least overlap. So
-        the i-th token that both hold stands at n - o + i in one and m - o + i in the other, or before, and the first
-        o - ceil(least max(n, m)) + 1 of them stand within both prefixes.
-        """
-        least = self.least
-        sides = [texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")).dropDuplicates([x]) for x in "ab"]
-        rows = pairs.join(sides[0], "a").join(sides[1], "b")
-        overlap = F.ceil(least * (F.col("n_a") + F.col("n_b")) / (100 + least) - 1e-9)
-        needed = overlap - F.ceil(least * F.greatest("n_a", "n_b") / 100 - 1e-9) + 1
-        return rows.where(F.size(F.array_intersect("t_a", "t_b")) >= F.greatest(needed, F.lit(1))).select("a", "b")
-
-    def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The pairs (a, b), checkpointed, whose sets are similar enough."""
+                nodes, groups, sketches, tokens, places = [], [], [], [], []
+                for s in sets:
+                    nodes.append(fingerprint(s) if len(s) else None)
+                    p, held = s[:0], np.zeros(0, np.int64)
+                    if len(s) and nodes[-1] not in seen:
+                        seen.add(nodes[-1])
+                        p = prefix(s, order.value, least)
+                        held = np.flatnonzero(marked(shared.value, p))
+                    groups.append(fingerprint(np.append(p, np.uint64(len(s)))) if len(held) else None)
+                    sketches.append(sketch(s) if len(held) else np.zeros(SKETCH, np.int64))
+                    tokens.append(p[held])
+                    places.append(held + 1)
+                none = np.array([g is None for g in groups])
+                kept = [pa.array(np.array([x[i] for x in sketches]), mask=none) for i in range(SKETCH)]
+                ends = [len(t) for t in tokens]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(groups, pa.int64()), *kept, _lists(ends, _as_long(np.concatenate(tokens))), _lists(ends, pa.array(np.concatenate(places).astype(np.int32)))],
+                    names=["doc_id", "text_hash", "node", "n", "grp", *_SKETCHES, "tokens", "places"],
+                )
+
+        schema = f"doc_id long, text_hash long, node long, n long, grp long, {', '.join(f'{s} long' for s in _SKETCHES)}, tokens array<long>, places array<int>"
+        return common.checkpoint(self.docs.mapInArrow(run, schema))
+
+    # --- verification ----------------------------------------------------------------------------
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes, checkpointed, whose sets are similar enough."""
         words, least = self.words, self.least
-        pairs = common.checkpoint(self.overlapping(pairs, texts))
-        dealt = deal(pairs)
-        needed = common.checkpoint(dealt.select("part", F.col("a").alias("node")).union(dealt.select("part", "b")).distinct())
-        held = texts.select("node", "text")
-        nodes = needed.select("node").distinct()
-        if common.is_small(needed, SMALL):
-            held = held.join(F.broadcast(nodes), "node", "left_semi")
-        held = needed.join(held, "node")
-        asked = dealt.select(F.col("part").alias("asked_of"), "a", "b")
-
-        def check(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-            have, unpack = have.drop_duplicates("node"), zstandard.ZstdDecompressor().decompress
-            sets: dict[int, np.ndarray] = {}
-            for at in range(0, len(have), 512):
-                some = have.iloc[at : at + 512]
-                unpacked = pa.array([unpack(x).decode() for x in some["text"]], pa.large_string())
-                sets |= zip(some["node"], shingles(*common.bytes_of(unpacked), words), strict=True)
-            good = [100 * (both := len(np.intersect1d(sets[a], sets[b], assume_unique=True))) >= least * (len(sets[a]) + len(sets[b]) - both) for a, b in zip(ask["a"], ask["b"], strict=True)]
-            return ask.loc[good, ["a", "b"]]
-
-        return common.checkpoint(held.groupBy("part").cogroup(asked.groupBy("asked_of")).applyInPandas(check, "a long, b long"))
-
-    def across(self, rows: DataFrame) -> DataFrame:
-        """The pairs (a, b) of rows (list, node, n, at, comp, main) that may be similar and join two components.
-
-        The smaller set must hold its first common token at most so far behind that a size from its own on is left for
-        the other. It is sent to each class of those sizes, and the larger one to its own: first those outside the main
-        component against all, then those inside against those outside.
-        """
-        least = self.least
-        size_class = lambda n: F.floor(F.log(n) * FINE)
-        outside = F.col("comp") != F.col("main")
-        top = F.floor(((100 + least) * (F.col("n") - F.col("at") + 1) - least * F.col("n")) / least)
-        fewer = rows.withColumn("top", top).where("top >= n").select("list", F.explode(F.sequence(size_class(F.col("n")), size_class(F.col("top")))).alias("size"), outside.alias("out"), F.col("node").alias("x"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("comp").alias("other"))
-        sides = F.when(outside, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
-        more = rows.select("list", size_class(F.col("n")).alias("size"), F.explode(sides).alias("out"), "node", "n", "at", "comp")
-        ordered = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("node")))
-        pairs = more.join(fewer, ["list", "size", "out"]).where(ordered & (F.col("comp") != F.col("other")) & self.fits())
-        return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-
-    def fits(self):
-        """Whether sets of n and m tokens may be similar if their first common token is the at-th of one and the q-th
-        of the other."""
-        return (F.col("n") + F.col("m")) * self.least <= (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("q")) + 1) * (100 + self.least)
-
-    def link(self, texts: DataFrame) -> DataFrame | None:
-        """(node, comp) of the nodes that have links."""
-        least = self.least
-        groups = texts.groupBy("grp").agg(F.max("n").alias("n"), F.first(F.arrays_zip("tokens", "places")).alias("held"))
-        lists = common.checkpoint(groups.select(F.explode("held").alias("h"), "grp", "n").select(F.col("h.tokens").alias("list"), "grp", "n", F.col("h.places").alias("at")))  # groups against groups
-        shared = lists.groupBy("list").agg(F.count("*").alias("k")).where("k > 1")
-        lists = lists.join(shared.select("list"), "list")
-        members = texts.select("grp", "node", "n").distinct()
-        many = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1")
-        inside = members.join(many.select("grp"), "grp").select(F.col("grp").alias("list"), "node", "n", F.lit(1).cast("long").alias("at"))  # the whole prefix is common
-        entries = common.checkpoint(lists.select("list", "grp", "at").join(members, "grp").select("list", "node", "n", "at").unionByName(inside))
-        total, close = entries.count(), F.least("n", "m") * 100 >= F.greatest("n", "m") * least
-        # short lists: every pair; long ones: all members against one of them
-        sizes = common.checkpoint(entries.groupBy("list").agg(F.count("*").alias("k"), F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("f")))
-        short = entries.join(sizes.where(F.col("k").between(2, SHORT)).select("list"), "list", "left_semi")
-        one = sizes.where(F.col("k") > SHORT).select("list", F.col("f.node").alias("x"), F.col("f.n").alias("m"))
-        each = short.select("list", F.col("node").alias("x"), F.col("n").alias("m"), F.col("at").alias("q"))
-        pairs = short.join(each, "list").where((F.col("node") > F.col("x")) & self.fits()).drop("at", "q").unionByName(entries.drop("at").join(one, "list").where((F.col("node") != F.col("x")) & close))
-        tested = common.checkpoint(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
-        good = self.verify(tested, texts)
+        row_key = F.xxhash64("doc_id", "text_hash")
+        sketched = self.sets.where("grp is not null").select("node", "n", *_SKETCHES).dropDuplicates(["node"])
+        sides = pairs.join(sketched.withColumnRenamed("node", "a"), "a").join(sketched.toDF("b", "m", *[f"o_{s}" for s in _SKETCHES]), "b")
+        pairs = common.checkpoint(sides.where(sketches_agree(least)).select("a", "b"))
+        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        rows = common.checkpoint(self.sets.where("grp is not null").join(needed, "node", "left_semi").groupBy("node").agg(F.min(row_key).alias("row_key")))
+        hint = F.broadcast if common.is_small(rows, SMALL) else lambda x: x
+        texts = self.docs.select(row_key.alias("row_key"), "text").join(hint(rows), "row_key").select("node", "text").dropDuplicates(["node"])
+        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+
+        def check(batches):
+            for batch in batches:
+                for part in common.slices(batch, "text_a"):
+                    a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+                    sets: dict[int, np.ndarray] = {}
+                    for nodes, name in ((a, "text_a"), (b, "text_b")):
+                        new = {x: i for i, x in enumerate(nodes) if x not in sets}
+                        sets |= zip(new, shingles(*common.bytes_of(part.column(name).take(pa.array(list(new.values()), pa.int64()))), words), strict=True)
+                    good = [100 * (both := len(np.intersect1d(sets[x], sets[y], assume_unique=True))) >= least * (len(sets[x]) + len(sets[y]) - both) for x, y in zip(a, b, strict=True)]
+                    yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        return common.checkpoint(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
+
+    # --- pairs -----------------------------------------------------------------------------------
+
+    def _first_turn(self, entries: DataFrame, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of nodes: within short lists every pair of groups, in long ones all groups against one, both by
+        the groups' first members; and each group's members against the first."""
+        key, rest = ["list"], [F.col("grp").alias("g"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("first").alias("y")]
+        short, long = entries.where(F.col("held") <= SHORT), entries.where(F.col("held") > SHORT)
+        every = short.join(short.select("list", *rest), key).where((F.col("grp") < F.col("g")) & fits(self.least))
+        hub = long.groupBy("list").agg(F.min_by(F.struct("grp", "n", "at", "first"), F.xxhash64("grp")).alias("h")).select("list", "h.*")
+        star = long.join(hub.select("list", *rest), key).where((F.col("grp") != F.col("g")) & fits(self.least))
+        inside = members.groupBy("grp").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("grp", "first")
+        within = members.join(inside, "grp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
+        return self._ordered(every.select(F.col("first").alias("x"), "y").unionByName(star.select(F.col("first").alias("x"), "y")).unionByName(within))
+
+    @staticmethod
+    def _ordered(pairs: DataFrame) -> DataFrame:
+        return common.checkpoint(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+    def _hub_turn(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Pairs (a, b): all groups outside a list's main component against one inside."""
+        inside = rows.where(F.col("comp") == F.col("main"))
+        hub = inside.groupBy("list").agg(F.min_by(F.struct(F.col("n").alias("m"), F.col("at").alias("q"), F.col("first").alias("y")), F.xxhash64("grp", F.lit(turn))).alias("h")).select("list", "h.*")
+        return self._ordered(rows.where(~F.col("comp").eqNullSafe(F.col("main"))).join(hub, "list").where(fits(self.least)).select(F.col("first").alias("x"), "y"))
+
+    def _last_turn(self, rows: DataFrame, members: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Pairs (a, b) of nodes in two components: members of all pairs of groups of which one stands outside its list's
+        main component, and of groups that lie in several components."""
+        outside = ~F.col("comp").eqNullSafe(F.col("main"))
+        blocks = F.ceil(F.col("work") / BLOCK).cast("int")
+        outer = rows.where(outside).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        inner = rows.select("list", F.pmod(F.xxhash64("grp"), blocks).cast("int").alias("block"), F.col("grp").alias("g"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("comp").alias("other"), outside.alias("out"), *[F.col(s).alias(f"o_{s}") for s in _SKETCHES])
+        apart = F.coalesce(F.col("comp") != F.col("other"), F.lit(True))
+        pairs = outer.join(inner, ["list", "block"]).where((~F.col("out") & (F.col("grp") != F.col("g")) | (F.col("grp") < F.col("g"))) & apart & fits(self.least) & sketches_agree(self.least))
+        known = labelled(members, labels)
+        mixed = known.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        pairs = common.checkpoint(pairs.select("grp", "g").distinct().unionByName(mixed.select("grp", F.col("grp").alias("g"))))
+        ends = known.select(F.col("grp").alias("g"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"), *[F.col(s).alias(f"o_{s}") for s in _SKETCHES])
+        expanded = pairs.join(known, "grp").join(ends, "g").where((F.col("comp") != F.col("other")) & ((F.col("grp") != F.col("g")) | (F.col("node") < F.col("y"))) & sketches_agree(self.least))
+        return self._ordered(expanded.select(F.col("node").alias("x"), "y"))
+
+    def link(self) -> DataFrame | None:
+        """(node, comp) of the nodes that have links; None if there are none."""
+        sets = self.sets.where("grp is not null")
+        members = common.checkpoint(sets.select("grp", "node", "n", *_SKETCHES).dropDuplicates(["node"]))
+        alone = F.min("node") == F.max("node")
+        groups = sets.groupBy("grp").agg(F.first("n").alias("n"), F.min("node").alias("first"), alone.alias("alone"), F.first(F.arrays_zip("tokens", "places")).alias("held"))
+        spread = groups.select("grp", "n", "first", "alone", F.explode("held").alias("h")).select(F.col("h.tokens").alias("list"), F.col("h.places").cast("long").alias("at"), "grp", "n", "first", "alone")
+        lists = groups.select(F.explode("held.tokens").alias("list")).groupBy("list").agg(F.count("*").alias("held")).where("held > 1")
+        entries = common.checkpoint(spread.join(lists, "list"))
+        tested = self._first_turn(entries, members)
+        good = self.verify(tested)
         labels = None if good.isEmpty() else components.connect(good)
-        entries = common.checkpoint(entries.join(sizes.where(F.col("k") > SHORT).select("list"), "list", "left_semi"))
-        turn = 1
-        while not entries.isEmpty():  # the long lists, as long as they hold members of several components
-            known = entries.withColumn("comp", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            by_comp = known.groupBy("list", "comp").agg(F.count("*").alias("k"))
-            sums = by_comp.groupBy("list").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("k * k > kk")
-            rows = common.checkpoint(known.select("list", "node", "n", "at", "comp").join(sums, "list"))
-            left = rows.groupBy("list").agg(F.first((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
-            if not left:
-                break
-            last = left <= 4 * total or turn >= 4
-            if last:  # every pair that may still join components
-                pairs = self.across(rows)
-            else:  # all against another one
-                first = rows.groupBy("list").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("f"))
-                one = first.select("list", F.col("f.node").alias("x"), F.col("f.n").alias("m"), F.col("f.comp").alias("other"))
-                pairs = rows.join(one, "list").where((F.col("comp") != F.col("other")) & close)
-                pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-            pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-            pairs = common.checkpoint(pairs)
-            good = self.verify(pairs, texts)
-            tested = tested.unionByName(pairs)
+        # lists that the first turn has not settled: long ones, and those with groups of several members
+        open_ = entries.where(F.col("held") > SHORT).select("list").union(entries.where(~F.col("alone")).select("list")).distinct()
+        sketched = members.groupBy("grp").agg(*[F.when(alone, F.min(s)).alias(s) for s in _SKETCHES])
+        entries = common.checkpoint(entries.join(open_, "list", "left_semi").join(sketched, "grp"))
+        turn, before = 1, float("inf")
+        while True:
+            rows = self._open_rows(entries, members, labels)
+            work = rows.groupBy("list").agg(F.first("work").alias("work")).agg(F.sum("work")).first()[0] or 0
+            last = work <= 4 * entries.count() or work > 0.75 * before
+            pairs = self._last_turn(rows, members, labels) if last else self._hub_turn(rows, turn)
+            pairs = common.checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
+            good = self.verify(pairs)
             if not good.isEmpty():
                 labels = components.connect(good, labels)
             if last:
-                break
-            entries, turn = rows.select("list", "node", "n", "at"), turn + 1
-        return labels
+                return labels
+            tested, entries, turn, before = tested.unionByName(pairs), rows.select(*entries.columns), turn + 1, work
+
+    def _open_rows(self, entries: DataFrame, members: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """entries of the lists with several components, with comp (null: the group lies in several), the list's main
+        component, and work: the pairs of which one stands outside it."""
+        known = labelled(members, labels).groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        rows = common.checkpoint(entries.join(known, "grp").withColumn("comp", F.when(F.col("low") == F.col("high"), F.col("low"))).drop("low", "high"))
+        by_comp = rows.groupBy("list", "comp").agg(F.count("*").alias("k"))
+        sums = by_comp.groupBy("list").agg(F.sum("k").alias("all"), F.max_by(F.struct("comp", "k"), F.when(F.col("comp").isNotNull(), F.struct("k", "comp"))).alias("m"))
+        sums = sums.select("list", F.col("m.comp").alias("main"), ((F.col("all") - F.coalesce(F.col("m.k"), F.lit(0))) * F.col("all")).alias("work")).where("work > 0")
+        return common.checkpoint(rows.join(sums, "list"))
+
+
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members with the component of each node, its own where it has no links."""
+    if labels is None:
+        return members.withColumn("comp", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def components_of(docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, comp) of every row; comp is null for rows without a set."""
+    join = Join(docs, id_col, text_col, words, least)
+    rows = join.sets.select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles"))
+    return labelled(rows, join.link()).drop("node")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    join = Join(docs, id_col, text_col, words, least)
-    marks = join.mark()
-    labels = join.link(join.candidates())
-    if labels is not None:
-        marks = marks.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        marks = marks.withColumn("comp", F.col("node"))
-    names = marks.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("name"))
-    out = marks.join(names, "comp", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+    comps = components_of(docs, id_col, text_col, words, least)
+    names = comps.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("name"))
+    return comps.join(names, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNotNull(), F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
     """docs with one row of each component: that of the least id (nulls last), of several such rows one. Rows without
     a set all stay."""
-    keyed = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_th": F.xxhash64(text_col)})
-    join = Join(docs, id_col, text_col, words, least)
-    marks = join.mark()
-    labels = join.link(join.candidates())
-    comps = marks.withColumn("comp", F.col("node")) if labels is None else marks.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comps = components_of(docs, id_col, text_col, words, least).where("comp is not null")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    first = comps.where("comp is not null").groupBy("comp").agg(F.min(order).alias("o"), F.count("*").alias("k"))
-    chosen = common.checkpoint(first.select(F.coalesce(F.col("o.id").cast("string"), F.lit("")).alias("_key"), F.col("o.hash").alias("_th")).distinct())
-    blank = F.coalesce(F.length(F.translate(F.col(text_col), common.BLANKS, "")), F.lit(0)) == 0
-    kept = keyed.where(~blank).join(chosen, ["_key", "_th"], "left_semi")
-    again = marks.where("node is not null").groupBy("doc_id", "text_hash").count().where("count > 1")
-    if not again.isEmpty():  # rows that agree in id and text
-        kept = kept.dropDuplicates(["_key", "_th"])
-    return kept.unionByName(keyed.where(blank)).select(*docs.columns)
+    key = F.xxhash64("doc_id", "text_hash")
+    marked_ = common.checkpoint(comps.select("comp", order.alias("o"), key.alias("_k")))
+    first = marked_.groupBy("comp").agg(F.min("o").alias("f"))
+    leaving = common.checkpoint(marked_.join(first, "comp").where("o <> f").select("_k").distinct())
+    keyed = docs.withColumn("_k", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    kept = keyed.join(F.broadcast(leaving) if common.is_small(leaving, SMALL) else leaving, "_k", "left_anti")
+    again = marked_.groupBy("_k").count().where("count > 1").select("_k")
+    if not again.isEmpty():  # rows that agree in id and text: of those with a set one stays
+        blank = F.coalesce(F.length(F.translate(F.col(text_col), common.BLANKS, "")), F.lit(0)) == 0
+        kept = kept.where(~blank).dropDuplicates(["_k"]).unionByName(kept.where(blank))
+    return kept.select(*docs.columns)
