@@ -22,7 +22,7 @@ def connect(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     else:
         nodes = nodes.select("node", F.col("node").alias("comp"))
     edges = common.checkpoint(links.union(links.select("b", "a")).toDF("a", "b").distinct())
-    roots = common.checkpoint(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    roots = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
     while True:
         near = edges.join(roots.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         least = roots.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))

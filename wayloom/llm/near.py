@@ -46,6 +46,7 @@ SHORT = 8  # groups in a list all of whose pairs are looked at in the first turn
 LEAST_BITS, MOST_BITS = 18, 29  # of a bitmap's size; 64 MB at most
 SKETCH = 4  # words of 64 bits in a sketch
 BLOCK = 1 << 22  # pairs of a long list that one key of the last turn looks at
+FEW = 256  # looks for each entry of the long lists left, up to which the last turn comes at once
 SMALL = 500_000  # rows of 16 bytes each, at most, that are broadcast
 HELD = 1 << 21  # tokens that a task holds before it passes them on
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -235,16 +236,16 @@ class Join:
 
     # --- verification ----------------------------------------------------------------------------
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes, checkpointed, whose sets are similar enough."""
+    def verify(self, pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs (a, b) of nodes that the sketches don't tell apart, and of these the ones whose sets are similar
+        enough; both checkpointed."""
         words, least = self.words, self.least
         row_key = F.xxhash64("doc_id", "text_hash")
-        sketched = self.sets.where("grp is not null").select("node", "n", *_SKETCHES).dropDuplicates(["node"])
-        sides = pairs.join(sketched.withColumnRenamed("node", "a"), "a").join(sketched.toDF("b", "m", *[f"o_{s}" for s in _SKETCHES]), "b")
+        sides = pairs.join(members.drop("grp").withColumnRenamed("node", "a"), "a").join(members.drop("grp").toDF("b", "m", *[f"o_{s}" for s in _SKETCHES]), "b")
         pairs = common.checkpoint(sides.where(sketches_agree(least)).select("a", "b"))
         needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        rows = common.checkpoint(self.sets.where("grp is not null").join(needed, "node", "left_semi").groupBy("node").agg(F.min(row_key).alias("row_key")))
-        hint = F.broadcast if common.is_small(rows, SMALL) else lambda x: x
+        rows = self.sets.where("grp is not null").join(needed, "node", "left_semi").groupBy("node").agg(F.min(row_key).alias("row_key"))
+        hint = F.broadcast if common.is_small(pairs, SMALL // 2) else lambda x: x  # two nodes to a pair at most
         texts = self.docs.select(row_key.alias("row_key"), "text").join(hint(rows), "row_key").select("node", "text").dropDuplicates(["node"])
         both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
@@ -259,7 +260,7 @@ class Join:
                     good = [100 * (both := len(np.intersect1d(sets[x], sets[y], assume_unique=True))) >= least * (len(sets[x]) + len(sets[y]) - both) for x, y in zip(a, b, strict=True)]
                     yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        return common.checkpoint(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
+        return pairs, common.checkpoint(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
 
     # --- pairs -----------------------------------------------------------------------------------
 
@@ -273,19 +274,15 @@ class Join:
         star = long.join(hub.select("list", *rest), key).where((F.col("grp") != F.col("g")) & fits(self.least))
         inside = members.groupBy("grp").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("grp", "first")
         within = members.join(inside, "grp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
-        return self._ordered(every.select(F.col("first").alias("x"), "y").unionByName(star.select(F.col("first").alias("x"), "y")).unionByName(within))
-
-    @staticmethod
-    def _ordered(pairs: DataFrame) -> DataFrame:
-        return common.checkpoint(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        return _ordered(every.select(F.col("first").alias("x"), "y").unionByName(star.select(F.col("first").alias("x"), "y")).unionByName(within))
 
     def _hub_turn(self, rows: DataFrame, turn: int) -> DataFrame:
         """Pairs (a, b): all groups outside a list's main component against one inside."""
         inside = rows.where(F.col("comp") == F.col("main"))
         hub = inside.groupBy("list").agg(F.min_by(F.struct(F.col("n").alias("m"), F.col("at").alias("q"), F.col("first").alias("y")), F.xxhash64("grp", F.lit(turn))).alias("h")).select("list", "h.*")
-        return self._ordered(rows.where(~F.col("comp").eqNullSafe(F.col("main"))).join(hub, "list").where(fits(self.least)).select(F.col("first").alias("x"), "y"))
+        return _ordered(rows.where(~F.col("comp").eqNullSafe(F.col("main"))).join(hub, "list").where(fits(self.least)).select(F.col("first").alias("x"), "y"))
 
-    def _last_turn(self, rows: DataFrame, members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    def _last_turn(self, rows: DataFrame, known: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes in two components: members of all pairs of groups of which one stands outside its list's
         main component, and of groups that lie in several components."""
         outside = ~F.col("comp").eqNullSafe(F.col("main"))
@@ -294,54 +291,56 @@ class Join:
         inner = rows.select("list", F.pmod(F.xxhash64("grp"), blocks).cast("int").alias("block"), F.col("grp").alias("g"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("comp").alias("other"), outside.alias("out"), *[F.col(s).alias(f"o_{s}") for s in _SKETCHES])
         apart = F.coalesce(F.col("comp") != F.col("other"), F.lit(True))
         pairs = outer.join(inner, ["list", "block"]).where((~F.col("out") & (F.col("grp") != F.col("g")) | (F.col("grp") < F.col("g"))) & apart & fits(self.least) & sketches_agree(self.least))
-        known = labelled(members, labels)
         mixed = known.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        pairs = common.checkpoint(pairs.select("grp", "g").distinct().unionByName(mixed.select("grp", F.col("grp").alias("g"))))
+        pairs = pairs.select("grp", "g").distinct().unionByName(mixed.select("grp", F.col("grp").alias("g")))
         ends = known.select(F.col("grp").alias("g"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"), *[F.col(s).alias(f"o_{s}") for s in _SKETCHES])
         expanded = pairs.join(known, "grp").join(ends, "g").where((F.col("comp") != F.col("other")) & ((F.col("grp") != F.col("g")) | (F.col("node") < F.col("y"))) & sketches_agree(self.least))
-        return self._ordered(expanded.select(F.col("node").alias("x"), "y"))
+        return _ordered(expanded.select(F.col("node").alias("x"), "y"))
 
     def link(self) -> DataFrame | None:
         """(node, comp) of the nodes that have links; None if there are none."""
         sets = self.sets.where("grp is not null")
-        members = common.checkpoint(sets.select("grp", "node", "n", *_SKETCHES).dropDuplicates(["node"]))
+        members = common.checkpoint(sets.select("node", "n", *_SKETCHES, "grp").dropDuplicates(["node"]))
         alone = F.min("node") == F.max("node")
         groups = sets.groupBy("grp").agg(F.first("n").alias("n"), F.min("node").alias("first"), alone.alias("alone"), F.first(F.arrays_zip("tokens", "places")).alias("held"))
         spread = groups.select("grp", "n", "first", "alone", F.explode("held").alias("h")).select(F.col("h.tokens").alias("list"), F.col("h.places").cast("long").alias("at"), "grp", "n", "first", "alone")
-        lists = groups.select(F.explode("held.tokens").alias("list")).groupBy("list").agg(F.count("*").alias("held")).where("held > 1")
-        entries = common.checkpoint(spread.join(lists, "list"))
-        tested = self._first_turn(entries, members)
-        good = self.verify(tested)
+        lists = spread.groupBy("list").agg(F.count("*").alias("held"), (~F.min("alone")).alias("mixed")).where("held > 1")
+        entries = common.checkpoint(spread.drop("alone").join(lists, "list"))
+        tested, good = self.verify(self._first_turn(entries, members), members)
         labels = None if good.isEmpty() else components.connect(good)
         # lists that the first turn has not settled: long ones, and those with groups of several members
-        open_ = entries.where(F.col("held") > SHORT).select("list").union(entries.where(~F.col("alone")).select("list")).distinct()
         sketched = members.groupBy("grp").agg(*[F.when(alone, F.min(s)).alias(s) for s in _SKETCHES])
-        entries = common.checkpoint(entries.join(open_, "list", "left_semi").join(sketched, "grp"))
+        entries = common.checkpoint(entries.where((F.col("held") > SHORT) | F.col("mixed")).join(sketched, "grp"))
         turn, before = 1, float("inf")
         while True:
-            rows = self._open_rows(entries, members, labels)
-            work = rows.groupBy("list").agg(F.first("work").alias("work")).agg(F.sum("work")).first()[0] or 0
-            last = work <= 4 * entries.count() or work > 0.75 * before
-            pairs = self._last_turn(rows, members, labels) if last else self._hub_turn(rows, turn)
-            pairs = common.checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
-            good = self.verify(pairs)
+            known = labelled(members, labels)
+            rows = self._open_rows(entries, known)
+            lists = rows.groupBy("list").agg(F.first("work").alias("work"), F.count("*").alias("k"))
+            work, held = lists.agg(F.coalesce(F.sum("work"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+            last = work <= FEW * held or work > 0.75 * before
+            pairs = self._last_turn(rows, known) if last else self._hub_turn(rows, turn)
+            new, good = self.verify(pairs.join(tested, ["a", "b"], "left_anti"), members)
             if not good.isEmpty():
                 labels = components.connect(good, labels)
             if last:
                 return labels
-            tested, entries, turn, before = tested.unionByName(pairs), rows.select(*entries.columns), turn + 1, work
+            tested, entries, turn, before = tested.unionByName(new), rows.select(*entries.columns), turn + 1, work
 
-    def _open_rows(self, entries: DataFrame, members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    def _open_rows(self, entries: DataFrame, known: DataFrame) -> DataFrame:
         """entries of the lists with several components, with comp (null: the group lies in several), the list's main
         component, and work: the pairs of which one stands outside it."""
-        known = labelled(members, labels).groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        rows = common.checkpoint(entries.join(known, "grp").withColumn("comp", F.when(F.col("low") == F.col("high"), F.col("low"))).drop("low", "high"))
+        known = known.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        rows = entries.join(known, "grp").withColumn("comp", F.when(F.col("low") == F.col("high"), F.col("low"))).drop("low", "high")
         by_comp = rows.groupBy("list", "comp").agg(F.count("*").alias("k"))
         sums = by_comp.groupBy("list").agg(F.sum("k").alias("all"), F.max_by(F.struct("comp", "k"), F.when(F.col("comp").isNotNull(), F.struct("k", "comp"))).alias("m"))
         sums = sums.select("list", F.col("m.comp").alias("main"), ((F.col("all") - F.coalesce(F.col("m.k"), F.lit(0))) * F.col("all")).alias("work")).where("work > 0")
         return common.checkpoint(rows.join(sums, "list"))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """members with the component of each node, its own where it has no links."""
     if labels is None:
