@@ -13,7 +13,7 @@ behind what a document has of its own.
    of groups within a list are filtered by size and by where the token stands: with an overlap of o, the first common
    token is among the first n - o + 1 of one and m - o + 1 of the other.
 4. Pairs that are left are expanded to pairs of members, filtered by a sketch (the parity of the tokens in each of
-   256 slots; sets differ in at least as many tokens as slots), and verified exactly on their texts.
+   512 slots; sets differ in at least as many tokens as slots), and verified exactly on their texts.
 5. Of short lists every pair of groups is looked at. In a long list only pairs that may still join two components
    count: all against one (the hub), again with another hub as long as that leaves a quarter fewer pairs, and then
    all that stand outside a list's main component against all others, in blocks of bounded work. So a list of near
@@ -44,9 +44,9 @@ WORDS, LEAST = 5, 80  # words in a shingle; least similarity in per cent
 HEAVY = 6  # a token that so many nodes hold among their first tokens is heavy
 SHORT = 8  # groups in a list all of whose pairs are looked at in the first turn
 LEAST_BITS, MOST_BITS = 18, 29  # of a bitmap's size; 64 MB at most
-SKETCH = 4  # words of 64 bits in a sketch
+SKETCH = 8  # words of 64 bits in a sketch
 BLOCK = 1 << 22  # pairs of a long list that one key of the last turn looks at
-FEW = 256  # looks for each entry of the long lists left, up to which the last turn comes at once
+FEW = 512  # looks for each entry of the long lists left, up to which the last turn comes at once
 SMALL = 500_000  # rows of 16 bytes each, at most, that are broadcast
 HELD = 1 << 21  # tokens that a task holds before it passes them on
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -138,6 +138,12 @@ def fits(least: int) -> Column:
     return close("n", "m", F.least(F.col("n") - F.col("at"), F.col("m") - F.col("q")) + 1, least)
 
 
+def new_here() -> Column:
+    """Whether two groups of a list don't share the token before it as well: of a run of common tokens the first one's
+    list has the pair, and it fits there if it does here."""
+    return F.coalesce(F.col("before") != F.col("p"), F.lit(True))
+
+
 def sketches_agree(least: int, one: str = "", other: str = "o_") -> Column:
     """Whether sets of n and m tokens with these sketches may be similar; true where a sketch is missing."""
     differing = reduce(lambda x, y: x + y, [F.bit_count(F.col(one + s).bitwiseXOR(F.col(other + s))) for s in _SKETCHES])
@@ -267,10 +273,10 @@ class Join:
     def _first_turn(self, entries: DataFrame, members: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes: within short lists every pair of groups, in long ones all groups against one, both by
         the groups' first members; and each group's members against the first."""
-        key, rest = ["list"], [F.col("grp").alias("g"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("first").alias("y")]
+        key, rest = ["list"], [F.col("grp").alias("g"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("before").alias("p"), F.col("first").alias("y")]
         short, long = entries.where(F.col("held") <= SHORT), entries.where(F.col("held") > SHORT)
-        every = short.join(short.select("list", *rest), key).where((F.col("grp") < F.col("g")) & fits(self.least))
-        hub = long.groupBy("list").agg(F.min_by(F.struct("grp", "n", "at", "first"), F.xxhash64("grp")).alias("h")).select("list", "h.*")
+        every = short.join(short.select("list", *rest), key).where((F.col("grp") < F.col("g")) & new_here() & fits(self.least))
+        hub = long.groupBy("list").agg(F.min_by(F.struct("grp", "n", "at", "before", "first"), F.xxhash64("grp")).alias("h")).select("list", "h.*")
         star = long.join(hub.select("list", *rest), key).where((F.col("grp") != F.col("g")) & fits(self.least))
         inside = members.groupBy("grp").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("grp", "first")
         within = members.join(inside, "grp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
@@ -288,9 +294,9 @@ class Join:
         outside = ~F.col("comp").eqNullSafe(F.col("main"))
         blocks = F.ceil(F.col("work") / BLOCK).cast("int")
         outer = rows.where(outside).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        inner = rows.select("list", F.pmod(F.xxhash64("grp"), blocks).cast("int").alias("block"), F.col("grp").alias("g"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("comp").alias("other"), outside.alias("out"), *[F.col(s).alias(f"o_{s}") for s in _SKETCHES])
+        inner = rows.select("list", F.pmod(F.xxhash64("grp"), blocks).cast("int").alias("block"), F.col("grp").alias("g"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("before").alias("p"), F.col("comp").alias("other"), outside.alias("out"), *[F.col(s).alias(f"o_{s}") for s in _SKETCHES])
         apart = F.coalesce(F.col("comp") != F.col("other"), F.lit(True))
-        pairs = outer.join(inner, ["list", "block"]).where((~F.col("out") & (F.col("grp") != F.col("g")) | (F.col("grp") < F.col("g"))) & apart & fits(self.least) & sketches_agree(self.least))
+        pairs = outer.join(inner, ["list", "block"]).where((~F.col("out") & (F.col("grp") != F.col("g")) | (F.col("grp") < F.col("g"))) & apart & new_here() & fits(self.least) & sketches_agree(self.least))
         mixed = known.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         pairs = pairs.select("grp", "g").distinct().unionByName(mixed.select("grp", F.col("grp").alias("g")))
         ends = known.select(F.col("grp").alias("g"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"), *[F.col(s).alias(f"o_{s}") for s in _SKETCHES])
@@ -302,8 +308,8 @@ class Join:
         sets = self.sets.where("grp is not null")
         members = common.checkpoint(sets.select("node", "n", *_SKETCHES, "grp").dropDuplicates(["node"]))
         alone = F.min("node") == F.max("node")
-        groups = sets.groupBy("grp").agg(F.first("n").alias("n"), F.min("node").alias("first"), alone.alias("alone"), F.first(F.arrays_zip("tokens", "places")).alias("held"))
-        spread = groups.select("grp", "n", "first", "alone", F.explode("held").alias("h")).select(F.col("h.tokens").alias("list"), F.col("h.places").cast("long").alias("at"), "grp", "n", "first", "alone")
+        groups = sets.groupBy("grp").agg(F.first("n").alias("n"), F.min("node").alias("first"), alone.alias("alone"), F.first(F.arrays_zip("tokens", "places", F.concat(F.array(F.lit(None).cast("long")), "tokens").alias("before"))).alias("held"))
+        spread = groups.select("grp", "n", "first", "alone", F.explode("held").alias("h")).where("h.tokens is not null").select(F.col("h.tokens").alias("list"), F.col("h.places").cast("long").alias("at"), F.col("h.before").alias("before"), "grp", "n", "first", "alone")
         lists = spread.groupBy("list").agg(F.count("*").alias("held"), (~F.min("alone")).alias("mixed")).where("held > 1")
         entries = common.checkpoint(spread.drop("alone").join(lists, "list"))
         tested, good = self.verify(self._first_turn(entries, members), members)
