@@ -313,8 +313,17 @@ def test_segments_are_maximal(rng):
         assert [(a, b) for a, b, _ in toxicity.segments(hits, values, 0.3)] == slow(scores)
 
 
+def test_segments_are_linear(rng):
+    start = time.time()
+    n = 100_000
+    assert len(toxicity.segments(list(range(0, 40 * n, 40)), [2.0] * n, 0.35)) == n  # sums fall all the time
+    toxicity.segments(sorted(rng.sample(range(10 * n), n)), [rng.uniform(-3, 6) for _ in range(n)], 0.35)
+    assert time.time() - start < 5
+
+
 def test_toxicity(spark, rng, odd, none):
     texts = [sentence(rng, 40) if i % 4 else sentence(rng, 20) + " you moron and idiot " + sentence(rng, 20) for i in range(400)]
+    texts = [t if i % 4 == 0 else t + " you and" for i, t in enumerate(texts)]
     docs = documents(spark, texts)
     labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
     model = toxicity.learn(docs, labels)
@@ -367,6 +376,21 @@ def test_mixing_takes_prefixes_by_hash(spark, rng):
     assert dict(zip(again["doc_id"], again["taken"], strict=True)) == dict(zip(out["doc_id"], out["taken"], strict=True))
 
 
+def test_mixing_clashing_columns(spark, rng):
+    rows = [(i, sentence(rng, 9), "ab"[i % 2], 3) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, low int").select("*", *[F.lit(1).alias(c) for c in ("passes", "budget", "src", "_h", "_src", "size")])
+    out = mixing.plan(docs).collect()
+    assert {(r["low"], r["passes"], r["budget"], r["src"], r["size"]) for r in out} == {(3, 1, 1, 1, 9)}
+
+
+def test_learned_scores_clashing_columns(spark, rng):
+    docs = documents(spark, [sentence(rng, 60) for _ in range(60)]).select("*", *[F.lit(1).alias(c) for c in ("label", "_id", "_label", "_text", "toxic", "quality")])
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"), (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(1).alias("label"))
+    assert toxicity.score(docs, toxicity.learn(docs, labels), docs.columns).count() == 60
+    assert quality.score(docs, quality.learn(docs, labels), docs.columns).count() == 60
+    assert language.predict(docs, language.learn(docs), docs.columns).count() == 60
+
+
 def test_mixing_odd(odd, none):
     out = mixing.plan(odd).collect()
     assert len(out) == 10 and all(r["taken"] <= 2 * r["size"] for r in out)
@@ -460,3 +484,6 @@ def test_packing(spark, odd, none, rng):
     assert rows[rows["bin_id"].isna()]["doc_id"].tolist() and sorted(rows[rows["bin_id"].isna()]["doc_id"].tolist()) == [1, 2, 3]
     assert (rows["doc_id"] == 8).sum() == 2 and rows[rows["doc_id"] == 5]["n_words"].sum() == 20_000
     assert packing.pack(none).count() == 0
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of all").alias("text"), F.lit("a").alias("source"))
+    many = packing.pack(same, shard_rows=100).select((F.col("bin_id") / 2**32).cast("int").alias("shard"), "bin_id").toPandas()
+    assert len(many) == 3000 and many["bin_id"].is_unique and many.groupby("shard").size().max() < 200

@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only where none is named (tests), one of our own."""
+    """Use the cluster's shared checkpoint folder; only in local mode, where none is named (tests), one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -166,17 +169,26 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, object]]:
-    """At most `most` (text, label) rows for fitting a model in the driver: the labelled ids that come first by hash.
+#: Bytes of text that a learning sample holds at most, so that the driver's memory is bounded whatever texts are like.
+MOST_BYTES = 48 << 20
 
-    labels: (id, label), label not null. The choice is made on ids alone; whole texts are read for the chosen ids
+
+def learning_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> list[tuple[str, object]]:
+    """At most `most` (text, label) rows for fitting a model in the driver: the labelled ids that come first by hash, as
+    far as their texts hold `most_bytes` in all.
+
+    labels: (id, label) in this order. The choice is made on ids and sizes; whole texts are read for the chosen ids
     only. Of repeated ids one text and label counts.
     """
-    ids = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("label").alias("label")).where("label is not null")
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    texts = docs.join(F.broadcast(ids), docs[id_col] == F.col("_id"))  # at most `most` ids
-    rows = texts.groupBy("_id").agg(F.min(F.coalesce(docs[text_col], F.lit(""))).alias("text"), F.min("label").alias("label")).collect()
-    return [(r.text, r.label) for r in sorted(rows, key=lambda r: r._id)]
+    ids = labels.toDF("_id", "_label").where("_id is not null").groupBy("_id").agg(F.min("_label").alias("_label")).where("_label is not null")
+    ids = checkpoint(ids.orderBy(F.xxhash64("_id"), "_id").limit(most))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found = texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id"))  # at most `most` ids
+    sizes = found.groupBy("_id").agg(F.max(F.octet_length("_text")).alias("_size"))
+    running = F.sum("_size").over(Window.orderBy(F.xxhash64("_id"), "_id"))  # over `most` rows at most
+    chosen = checkpoint(ids.join(F.broadcast(sizes.withColumn("_held", running).where(F.col("_held") <= most_bytes).select("_id")), "_id"))
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label")).collect()
+    return [(r._text, r._label) for r in sorted(rows, key=lambda r: r._id)]
 
 
 def map_texts(docs: DataFrame, text_col: str, keep: list[str], fields: str, score) -> DataFrame:

@@ -3,7 +3,8 @@
 Bytes of a text (ASCII letters folded) are cut into windows of WINDOW bytes. Each byte is embedded; filters of
 several widths run over a window, the largest answer of each filter is kept (max pooling), and a softmax over these
 gives the languages' probabilities. A text's probabilities are the mean over all its windows, weighted by the bytes
-they hold. The network is trained in numpy on a bounded sample of labelled rows (`most` rows, MOST by default).
+they hold. The network is trained in numpy on a bounded sample of labelled rows (`most` rows, MOST by default, and
+common.MOST_BYTES of text); of their windows MOST_WINDOWS, drawn at random, are learned from in each epoch.
 
 Defined results: null texts and texts without a letter are `und`, score 0; so is every text if nothing is labelled.
 An empty table gives an empty result. Extra columns pass through; columns named as the result's are replaced.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, DEPTH, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 12
-MOST, WINDOWS_A_TEXT, EPOCHS, BATCH, RATE = 3000, 6, 5, 256, 0.01
+MOST, MOST_WINDOWS, EPOCHS, BATCH, RATE = 3000, 20_000, 5, 256, 0.01
 FIELDS = "lang_pred string, score double"
 
 
@@ -76,9 +77,6 @@ def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model | None:
     raw, offsets = common.bytes_of(pa.array([t for t, _ in rows], pa.large_string()))
     x, owner, held = windows(raw, offsets)
     y = np.array([languages.index(lang) for _, lang in rows])[owner] if len(owner) else np.zeros(0, int)
-    rank = np.concatenate([rng.permutation(n) for n in np.diff(np.searchsorted(owner, np.arange(len(rows) + 1)))]) if len(owner) else np.zeros(0, int)
-    chosen = rank < WINDOWS_A_TEXT
-    x, y, held = x[chosen], y[chosen], held[chosen]
     cut = np.where(rng.random(len(x)) < 0.3, rng.integers(8, WINDOW, len(x)), WINDOW)  # short texts are learned too
     x = np.where(np.arange(WINDOW) < cut[:, None], x, 0)
     n = len(WIDTHS) * FILTERS
@@ -87,7 +85,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model | None:
     params = [m.embed, *m.filters, *m.bias, m.dense, m.offset]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(x))
+        order = rng.permutation(len(x))[:MOST_WINDOWS]
         for s in range(0, len(x), BATCH):
             i = order[s : s + BATCH]
             h, at = pooled(m, x[i], True)

@@ -64,10 +64,12 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     hint = F.broadcast if common.is_small(bounds) else lambda x: x
     for level in range(1, DIGITS // STEP + 1):
         bounds = common.checkpoint(_refine(narrow, bounds, 16 ** (DIGITS - STEP * level), hint))  # one row a source
-    bounds = hint(bounds)
-    rows = kept.withColumns({"_h": h, "size": size}).join(bounds.withColumnRenamed("src", "_src"), F.col(source_col).eqNullSafe(F.col("_src")), "left")
+    # columns are renamed by place, so that documents may have columns of any names
+    plain = [f"column_{i}" for i in range(len(kept.columns))]
+    rows = kept.withColumns({"size": size, "target": h}).toDF(*plain, "size", "_h")
+    rows = rows.join(hint(bounds), F.col(plain[kept.columns.index(source_col)]).eqNullSafe(F.col("src")), "left")
     taken = F.col("size") * (F.col("passes") + (F.col("_h") < F.col("low")).cast("long"))
-    return rows.withColumn("taken", taken).select(*kept.columns, *added)
+    return rows.withColumn("taken", taken).select(*plain, *added).toDF(*kept.columns, *added)
 
 
 def _refine(narrow: DataFrame, bounds: DataFrame, width: int, hint) -> DataFrame:

@@ -6,9 +6,9 @@ each piece, longest first, successor search starts at the least residual that ca
 ones until a bin has no conflict: the same duplicate cluster never meets itself in a bin, and a source has at most
 `per_source` pieces in a bin. If none is left, a new bin opens.
 
-Spark deals the pieces out to shards of about `shard_rows` pieces by a hash of the row, so that any source or
-cluster is spread over all shards, each shard is a bounded group, and a lost shard is packed again alike. Only
-ids, sizes and hashes travel; no text is shuffled.
+Spark deals the pieces out to shards of about `shard_rows` pieces by a hash of id and cluster, so that any source or
+cluster is spread over all shards and each shard is a bounded group. Rows that agree in both more than HOT times are
+spread by their place in the table as well. Only ids, sizes and hashes travel; no text is shuffled.
 
 Defined results: null or blank texts take no room: one row, no bin. A null source counts as a source. Repeated rows
 are packed each for itself, in different bins (they are one cluster). An empty table gives an empty result.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CAPACITY, PER_SOURCE, SHARD_ROWS = 4096, 4, 4000
+CAPACITY, PER_SOURCE, SHARD_ROWS, HOT = 4096, 4, 4000, 50
 SCHEMA = "doc_id long, piece long, first_word long, n_words long, bin_id long, bin_words long"
 
 
@@ -70,8 +70,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))).alias("source"),
         (cluster_of(F.col(text_col)) if cluster is None else F.xxhash64(cluster)).alias("cluster"),
     )
-    n_shards = max(1, -(-docs.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", F.lit(7)), F.lit(n_shards)))
+    rows = common.checkpoint(rows.withColumns({"key": F.xxhash64("doc_id", "cluster", F.lit(7)), "place": F.monotonically_increasing_id()}))
+    n_shards = max(1, -(-rows.count() // shard_rows))
+    hot = rows.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    rows = rows.join(hot, "key", "left").withColumn("shard", F.pmod(F.when(F.col("hot"), F.xxhash64("key", "place")).otherwise(F.col("key")), F.lit(n_shards))).drop("key", "place", "hot")
 
     def pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])

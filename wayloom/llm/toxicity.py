@@ -7,7 +7,8 @@ scores fall in clean text. A linear-time scan (Ruzzo and Tompa) then finds every
 Extreme-value theory says how many segments of a score chance puts into a text of n tokens: K n exp(-lambda S);
 lambda solves E[exp(lambda s)] = 1 over clean tokens, K is fitted to clean texts. Segments that chance rarely makes
 are the toxic passages. A text's score is a logistic function of their joined evidence (the sum of -ln E, the
-largest, and the number of toxic tokens), fitted on the same bounded sample of labelled rows (MOST by default).
+largest, and the number of toxic tokens), fitted on the same bounded sample of labelled rows (MOST rows and
+common.MOST_BYTES of text by default).
 
 Defined results: null and empty texts have no passages and get the score of texts without evidence. Without both
 labels in the learned rows every score is the known label's (0 if none). Extra columns pass through.
@@ -49,6 +50,7 @@ def segments(at: list[int], score: list[float], drift: float) -> list[tuple[int,
     """All maximal-scoring segments (first and last token, score). `at` are the tokens of positive or negative
     score, in order; each token between them, and each of them as well, costs `drift`."""
     found: list[tuple[float, float, int, int]] = []  # sums before and after, first, last
+    lower: list[int] = []  # of each segment found: the last one before it that begins at a smaller sum
     total, last = 0.0, -1
     for i, s in zip(at, score, strict=True):
         total -= drift * (i - last - 1)
@@ -60,12 +62,13 @@ def segments(at: list[int], score: list[float], drift: float) -> list[tuple[int,
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
-                j -= 1
+                j = lower[j]  # those between begin at no smaller sum than j, and no later search passes j again
             if j < 0 or found[j][1] >= right:
                 found.append((left, right, first, i))
+                lower.append(j)
                 break
             left, first = found[j][0], found[j][2]
-            del found[j:]
+            del found[j:], lower[j:]
     return [(first, end, right - left) for left, right, first, end in found]
 
 
