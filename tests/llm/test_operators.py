@@ -164,6 +164,39 @@ def test_main_text(spark):
     assert [(r["page_id"], r["n_chars"]) for r in pages.extract(rows, ["page_id", "url"]).orderBy("page_id").collect()] == [(1, len(pages.main_text(PAGE))), (2, 0)]
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><head><title>t</title><p>Some text that is long enough to stay here, is it not, as it has no fewer words than a paragraph of prose would have.</p>", "Some text that is long enough to stay here, is it not, as it has no fewer words than a paragraph of prose would have."),
+        ("<title>t</title>Plain words without any tag before them are the body of the page, if there are as many as a paragraph of prose would have.", "Plain words without any tag before them are the body of the page, if there are as many as a paragraph of prose would have."),
+        ("<article><p>One text here, long enough to be content.<svg><path><p>Another text here, long enough as well.</article>", "One text here, long enough to be content.\nAnother text here, long enough as well."),
+        ("<article><p>Words go here, and many of them.</p><button>Go<p>More words go here, and many of them.</article>", "Words go here, and many of them.\nMore words go here, and many of them."),
+        ("<article>x y z a b c.<template><div><p>no</div></template> And so on it goes.</article>", "x y z a b c. And so on it goes."),
+        ("<article><div>aa bb cc dd.<object><p>no</div>ee ff gg hh.</article>", "aa bb cc dd.\nee ff gg hh."),
+    ],
+)
+def test_tags_that_are_left_out(html, text):
+    assert pages.main_text(html) == text
+
+
+def test_cut_decides_where_names_dont():
+    """A heading of two words between paragraphs stays, as the cut joins it to them; alone it would go."""
+    long = "This is a sentence of some length that nobody would take for a menu entry at all, and then some. " "It has another sentence, which makes it as long as paragraphs are on most pages that people read."
+    blocks = pages.read(f"<div><p>{long}</p><p>Two words</p><p>{long}</p></div><div><p><a href=x>Home</a></p><p><a href=y>More of it</a></p></div>")
+    assert [pages.log_odds(b) > 0 for b in blocks] == [True, False, True, False, False]
+    assert pages.label(blocks) == [True, True, True, False, False]
+
+
+def test_block_classifier_is_learned(spark):
+    text = "It was a long day in the harbour and the ships came in late with the grain."
+    html = f"<nav><ul><li><a href=x>Home</a><li><a href=y>About us</a></ul></nav><article><p>{text}</p><p>{text} {text}</p></article>"
+    rows = spark.createDataFrame([(i, "u", html, 5) for i in range(20)] + [(1, "u", html, 5), (99, None, None, 5)], "page_id long, url string, html string, text int")
+    weights = pages.learn(rows)
+    assert weights != pages.PLAIN and weights[1] > 0 > weights[3] and pages.learn(rows.where("html is null")) == pages.PLAIN
+    got = pages.extract(rows, ["page_id", "url"]).collect()
+    assert len(got) == 22 and sum(r["text"] == f"{text}\n{text} {text}" for r in got) == 21 and pages.extract(rows.limit(0), ["page_id"]).count() == 0
+
+
 def test_cut_is_minimal(rng):
     """The cut that the flow finds costs no more than any labelling."""
     for _ in range(30):
@@ -442,6 +475,13 @@ def test_neighbours_recall_ordered(spark):
     assert hit >= 0.9 * 5 * 130, hit
 
 
+def test_neighbours_repeated_ids(spark):
+    r = np.random.default_rng(9)
+    rows = [(i % 60, v.tolist(), 1) for i, v in enumerate(np.tile(r.normal(size=(60, 8)), (3, 1)))]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int"), F.col("vec_id") % 20 == 0, 5).collect()
+    assert sorted(Counter(x["query_id"] for x in got).items()) == [(0, 5), (20, 5), (40, 5)] and all(x["vec_id"] != x["query_id"] for x in got)
+
+
 def test_neighbours_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r["vec_id"]) for r in neighbours.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]

@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by an adaptive dimension scan over probed lists.
 
-A spherical k-means on a bounded sample (FIT vectors) gives the lists; every vector goes to the list of its nearest
-centre. How many of its nearest lists a query probes is calibrated on 256 of the sample, drawn at random, against
+A spherical k-means on a bounded sample gives the lists, of about LIST_ROWS vectors each as long as there are at most
+MOST_LISTS of them: the sample grows with the table from LEAST_FIT to MOST_FIT vectors, EACH to a list. Every vector
+goes to the list of its nearest centre. How many of its nearest lists a query probes is calibrated on 256 of the sample, drawn at random, against
 their exact neighbours in it, so that data with clusters probe few lists and data without probe many. Vectors are rotated by a random orthogonal
 matrix and scanned in blocks of columns: after each block a hypothesis test compares the partial distance, scaled up
-to all dimensions, with the distance of the k-th nearest so far, and abandons candidates that are surely farther. The
-rest get their exact cosine in double precision on the original vectors.
+to all dimensions, with the distance of the k-th nearest so far, and abandons candidates that are surely farther (the
+k that this distance comes from always stay). The rest get their exact cosine in double precision on the original vectors.
 
 Lists are dealt out in cells of about CELL vectors and CELL queries, so that a list with a third of all rows (or of
 all queries) is scanned by many tasks. Each task holds one cell's vectors; queries stream past them.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIT, LIST_ROWS, MOST_LISTS, CELL, ROUNDS = 8192, 512, 4096, 2048, 8
+LEAST_FIT, MOST_FIT, EACH, LIST_ROWS, MOST_LISTS, CELL, ROUNDS = 8192, 65_536, 8, 512, 8192, 2048, 8
 AIM, LEAST_CANDIDATES, COLUMNS, SLACK = 0.97, 256, 16, 2.1
 FIXED_SEED = 20240
 
@@ -42,6 +43,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each unit vector."""
+    return np.concatenate([(x[s : s + 1024] @ centres.T).argmax(axis=1) for s in range(0, len(x), 1024)]) if len(x) else np.zeros(0, np.int64)
+
+
 def _usable(ids: pa.Array, vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors (doubles) of the rows that take part."""
     lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
@@ -59,9 +65,10 @@ def _usable(ids: pa.Array, vectors: pa.Array, dims: int) -> tuple[np.ndarray, np
 
 
 def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5) -> Index | None:
-    """Centres and the number of probed lists, from the FIT vectors that come first by a hash of their id."""
+    """Centres and the number of probed lists, from the vectors that come first by a hash of their id."""
     n = vectors.count()
-    sample = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).select(F.col(id_col).alias("i"), F.col(vector_col).alias("v")).limit(FIT).toArrow()
+    fit = int(np.clip(n // LIST_ROWS * EACH, LEAST_FIT, MOST_FIT))
+    sample = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).select(F.col(id_col).alias("i"), F.col(vector_col).alias("v")).limit(fit).toArrow()
     lengths = Counter(sample.column("v").combine_chunks().value_lengths().to_pylist()) if sample.num_rows else {}
     if not lengths:
         return None
@@ -71,15 +78,15 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     if not len(x):
         return None
     x = _unit(x[np.unique(ids, return_index=True)[1]])
-    lists = int(np.clip(n // LIST_ROWS, 1, min(MOST_LISTS, max(len(x) // 8, 1))))
+    lists = int(np.clip(n // LIST_ROWS, 1, min(MOST_LISTS, max(len(x) // EACH, 1))))
     centres = x[rng.choice(len(x), lists, replace=False)]
     for _ in range(ROUNDS):
-        near = (x @ centres.T).argmax(axis=1)
+        near = _nearest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         size = np.sqrt((sums * sums).sum(axis=1))
         centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-12)[:, None], centres)
-    near = (x @ centres.T).argmax(axis=1)
+    near = _nearest(x, centres)
     own = np.random.default_rng(FIXED_SEED).choice(len(x), min(len(x), 256), replace=False)  # x is in order of ids
     asked = x[own]
     close = asked @ x.T
@@ -118,15 +125,17 @@ def scan(index: Index, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.
     whole = ((rotated[seeds] - r[:, None]) ** 2).sum(axis=2)
     whole[np.take_along_axis(own, seeds, axis=1)] = np.inf
     bound = whole.max(axis=1)  # of the k-th nearest so far, at most
+    stays = np.zeros(part.shape, bool)
+    np.put_along_axis(stays, seeds, True, axis=1)
     seen = blocks[0].stop
-    row, col = np.nonzero((part * (index.dims / seen) <= bound[:, None] * (1 + SLACK / np.sqrt(seen)) ** 2 + 1e-6) & ~own)
-    left = part[row, col]
+    row, col = np.nonzero((stays | (part * (index.dims / seen) <= bound[:, None] * (1 + SLACK / np.sqrt(seen)) ** 2 + 1e-6)) & ~own)
+    left, seed = part[row, col], stays[row, col]
     for b in blocks[1:]:  # the columns of the next block, for those still in
         left = left + ((rotated[col, b] - r[row, b]) ** 2).sum(axis=1)
         seen = b.stop
         slack = (1 + SLACK / np.sqrt(seen)) ** 2 if seen < index.dims else 1.0
-        stay = left * (index.dims / seen) <= bound[row] * slack + 1e-5
-        row, col, left = row[stay], col[stay], left[stay]
+        stay = seed | (left * (index.dims / seen) <= bound[row] * slack + 1e-5)
+        row, col, left, seed = row[stay], col[stay], left[stay], seed[stay]
     a, c = q[row], x[col]
     score = (a * c).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((c * c).sum(axis=1)))
     order = np.lexsort((ids[col], -score, row))
@@ -152,7 +161,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
             ids, x = _usable(batch.column(0), batch.column(1), index.dims)
             if not len(x):
                 continue
-            held += np.bincount((_unit(x) @ index.centres.T).argmax(axis=1), minlength=lists)
+            held += np.bincount(_nearest(_unit(x), index.centres), minlength=lists)
             q = _usable(batch.filter(batch.column(2)).column(0), batch.filter(batch.column(2)).column(1), index.dims)[1]
             if len(q):
                 asked += _probed(index, q, everything).sum(axis=0)
@@ -169,7 +178,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         for batch in batches:
             ids, x = _usable(batch.column(0), batch.column(1), index.dims)
             if len(x):
-                of = (_unit(x) @ index.centres.T).argmax(axis=1)
+                of = _nearest(_unit(x), index.centres)
                 copies = q_parts[of]
                 row = np.repeat(np.arange(len(x)), copies)
                 turn = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)

@@ -1,14 +1,20 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into blocks of text. A linear classifier over a block's surroundings (elements and class names above
-it, its length, its links) gives log-odds of content against boilerplate; they become the capacities of the block's
-edges to the two terminals. Neighbouring blocks, and blocks next to each other in the same container, are joined
+A page is read into blocks of text. What stands above a block (elements and class names) gives log-odds of content
+against boilerplate, and a linear classifier over the block itself (its length, links, and last character) adds its
+own. That classifier is learned from the pages: blocks deep inside an article or a main element are its examples of
+content, blocks in menus, footers and the like those of boilerplate (MOST_PAGES pages, the first by a hash of the html;
+their features come to the driver, their texts don't). The sum becomes the capacities of the block's edges to the two
+terminals, so where nothing above a block tells, its own words and its neighbours decide. Neighbouring blocks, and blocks next to each other in the same container, are joined
 by smoothness edges, the stronger the closer they are in the document tree. The maximum flow between the terminals
 then cuts the page into content and boilerplate at the least cost. Character references are decoded, white space
 within a block becomes one space, and the content blocks are joined by line feeds.
 
 Defined results: null and empty html, and pages without content, give an empty text. Unclosed and stray tags are
-tolerated as browsers do. Extra columns pass through; columns named text and n_chars are replaced.
+tolerated as browsers do: head and body tags may be left out, and an unclosed drawing, button or list of choices ends at
+the next block, any other silent element at the end of one that it stands in. Without examples of both kinds the
+classifier is PLAIN. Rows stay as they are, repeated ones as well; extra columns pass through; columns named text and
+n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -18,16 +24,21 @@ from collections import deque
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Element names of HTML by their role, and words that pages use in class, id and role attributes.
 SILENT = frozenset("head title script style noscript template iframe svg math canvas object select option textarea button audio video map datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HEAD = frozenset("title script style noscript template meta link base".split())
+SHALLOW = frozenset("svg math button select option map datalist".split())  # what a block ends, if it isn't closed
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 HOLDS = frozenset("article main section div body html aside nav header footer form table ul ol dl blockquote td th fieldset figure".split())
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre li dl hr".split())
 ELEMENTS = {"article": 5.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "dialog": -9.0, "menu": -9.0, "header": -6.0, "address": -1.0}
 GOOD = frozenset("article content story post entry main text body".split())
 BAD = frozenset(
@@ -35,7 +46,9 @@ BAD = frozenset(
     "share sharing social related recommended recommendations trending popular sidebar side aside widget nav navbar navigation menu breadcrumb breadcrumbs toolbar topbar pagination pager header masthead footer copyright legal disclaimer "
     "comment comments commentlist reply replies respond disqus discussion form search tags".split()
 )
-SCALE, NEAR, SAME = 100, 0.6, 0.6
+SCALE, NEAR, SAME = 100, 1.5, 0.75
+MOST_PAGES, SURE, MOST_OWN = 500, 4.0, 3.0  # learned pages; log-odds from above of an example; most of a block's own
+PLAIN = (-1.5, 2.5, 0.5, -3.0)  # constant, length, last character, links
 _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"[a-z]+")
 
@@ -68,16 +81,19 @@ class Reader(HTMLParser):
         self.silent: list[str] = []
         self.links = self.containers = self.linked = 0
         self.buffer: list[str] = []
+        self.within: dict[str, int] = {}  # elements opened inside the silent one
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.silent == ["head"] and tag not in HEAD or tag == "body" or self.silent and self.silent[-1] in SHALLOW and (tag in HOLDS or tag in BLOCKS):
+            self.silent.clear()
+            self.within.clear()
         if tag in SILENT:
-            if tag == "body" or self.silent and tag not in self.silent and self.silent[-1] != "head":
-                return
             if not self.silent or tag == self.silent[-1] or self.silent[-1] == "head":
                 self.silent.append(tag)
             return
-        if tag == "body":
-            self.silent.clear()
+        if self.silent:
+            self.within[tag] = self.within.get(tag, 0) + (tag not in VOID)
+            return
         if tag == "br":
             self.buffer.append(" ")
         if tag == "a":
@@ -114,7 +130,13 @@ class Reader(HTMLParser):
         if self.silent:
             if tag in self.silent:
                 del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
-            return
+                self.within.clear()
+                return
+            if self.within.get(tag) or not any(x.tag == tag for x in self.stack):
+                self.within[tag] = max(self.within.get(tag, 0) - 1, 0)
+                return
+            self.silent.clear()
+            self.within.clear()
         if tag == "a":
             self.links = max(self.links - 1, 0)
         if tag in INLINE or tag in SILENT:
@@ -127,6 +149,8 @@ class Reader(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.silent == ["head"] and not data.isspace():
+            self.silent.clear()
         if not self.silent:
             self.buffer.append(data)
             if self.links:
@@ -141,12 +165,47 @@ class Reader(HTMLParser):
         self.linked = 0
 
 
-def log_odds(block: Block) -> float:
-    """The classifier: how likely a block is content rather than boilerplate."""
-    words = block.text.count(" ") + 1
-    links = min(block.linked / len(block.text), 1.0)
-    own = min(words, 30) / 12 - 1.5 + 0.5 * (block.text[-1] in ".!?\"'”…») ") - 3.0 * links
-    return max(block.prior, -12.0) + own
+def features(block: Block) -> tuple[float, float, float, float]:
+    """A constant, the length, whether it ends as a sentence does, and the share of links."""
+    return 1.0, min(block.text.count(" ") + 1, 30) / 30, float(block.text[-1] in ".!?\"'”…»)"), min(block.linked / len(block.text), 1.0)
+
+
+def log_odds(block: Block, weights: tuple[float, ...] = PLAIN) -> float:
+    """How likely a block is content rather than boilerplate: from what stands above it, and from itself."""
+    own = sum(w * x for w, x in zip(weights, features(block), strict=True))
+    return max(block.prior, -12.0) + min(max(own, -MOST_OWN), MOST_OWN)
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of a logistic function (both labels weigh alike), by Newton's method; PLAIN without both labels."""
+    if len(set(y.tolist())) < 2:
+        return PLAIN
+    weight, w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (weight * (y - p)) - w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return tuple(w.tolist())
+
+
+def learn(pages: DataFrame, html_col: str = "html", most: int = MOST_PAGES) -> tuple[float, ...]:
+    """The classifier's weights, from `most` pages at most."""
+
+    def run(batches):
+        for batch in batches:
+            for html in batch.column(0):
+                told = [(*features(b), float(b.prior > 0)) for b in read(html.as_py()) if abs(b.prior) >= SURE]
+                if told:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*told, strict=True)], names=["a", "b", "c", "d", "y"])
+
+    chosen = pages.select(F.col(html_col).alias("html")).where("html is not null").orderBy(F.xxhash64("html"), "html").limit(most)
+    counted = chosen.mapInArrow(run, "a double, b double, c double, d double, y double").groupBy("a", "b", "c", "d", "y").count()
+    rows = counted.select("a", "b", "c", "d", "y", "count").collect()  # of `most` pages
+    told = np.array([tuple(r) for r in rows], float).reshape(len(rows), 6)
+    told = told[np.lexsort(told.T)]
+    return fit(np.repeat(told[:, :4], told[:, 5].astype(int), axis=0), np.repeat(told[:, 4], told[:, 5].astype(int)))
 
 
 class Flow:
@@ -202,12 +261,12 @@ class Flow:
         return [v >= 0 for v in level]
 
 
-def label(blocks: list[Block]) -> list[bool]:
+def label(blocks: list[Block], weights: tuple[float, ...] = PLAIN) -> list[bool]:
     """Which blocks are content: those that the minimum cut leaves with the source."""
     n = len(blocks)
     flow, latest = Flow(n + 2), {}
     for i, block in enumerate(blocks):
-        odds = round(SCALE * log_odds(block))
+        odds = round(SCALE * log_odds(block, weights))
         flow.join(n, i, max(odds, 0))
         flow.join(i, n + 1, max(-odds, 0))
         if i:
@@ -220,19 +279,24 @@ def label(blocks: list[Block]) -> list[bool]:
     return flow.source_side(n, n + 1)[:n]
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
+def read(html: str | None) -> list[Block]:
+    """The blocks of a page."""
     reader = Reader()
-    reader.feed(html)
+    reader.feed(html or "")
     reader.close()
     reader.flush()
-    return "\n".join(b.text for b, content in zip(reader.blocks, label(reader.blocks), strict=True) if content)
+    return reader.blocks
+
+
+def main_text(html: str | None, weights: tuple[float, ...] = PLAIN) -> str:
+    blocks = read(html)
+    return "\n".join(b.text for b, content in zip(blocks, label(blocks, weights), strict=True) if content)
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """The columns keep, text and n_chars (code points of text)."""
-    kept = pages.select(*[c for c in keep if c not in ("text", "n_chars")], html_col)
+    weights = learn(pages, html_col)
+    kept = pages.select(*[c for c in keep if c not in ("text", "n_chars")], F.col(html_col))
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     names = schema.names
 
@@ -240,7 +304,7 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [main_text(x.as_py()) for x in part.column(part.num_columns - 1)]
+                texts = [main_text(x.as_py(), weights) for x in part.column(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
     return kept.mapInArrow(run, schema)
