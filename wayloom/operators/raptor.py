@@ -94,8 +94,9 @@ def board(marked: DataFrame, stop_times: DataFrame, pattern_stops: DataFrame) ->
     keys = [k for k in ("query_id", "stop_pk", "pattern_pk") if k in stop_times.columns]
     at = marked.join(pattern_stops.select("stop_pk", "pattern_pk", F.col("stop_sequence").alias("pattern_seq")), "stop_pk")
     rows = at.join(stop_times.select(*keys, "trip_pk", "stop_sequence", "departure_sec"), keys).where(F.col("departure_sec") >= F.col("arr"))
-    first = Window.partitionBy("query_id", "pattern_pk").orderBy("pattern_seq", "departure_sec", "trip_pk", "stop_sequence")
-    return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "pattern_seq")
+    # the least row of each pattern, taken map-side first: later departures never leave their task
+    first = F.min(F.struct("pattern_seq", "departure_sec", "trip_pk", "stop_sequence", "stop_pk", "legs", "walk_m", "trace"))
+    return rows.groupBy("query_id", "pattern_pk").agg(first.alias("b")).select("query_id", "pattern_pk", "b.*").drop("pattern_seq")
 
 
 def ride(boarded: DataFrame, stop_times: DataFrame, pattern_stops: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_
     steps = cut(footpaths(stops, o))
     goal = F.broadcast(queries.select("query_id", "d_lat", "d_lon"))
     place = points(stops)
-    found, marked = cut(candidates(best, ends, o)), best
+    marked, found = best, cut(candidates(best, ends, o))
     history = best.select("query_id", F.lit(0).alias("round"), "stop_pk", "arr")
     for turn in range(1, o.rounds + 1):
         go = S.haversine_m(F.col("lat"), F.col("lon"), F.col("d_lat"), F.col("d_lon"))
@@ -163,7 +164,7 @@ def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_
         walked = cut(relax(inside(walk_on(rode, steps, o)), after))
         best = cut(merge(after, walked))
         marked = cut(merge(rode, walked))
-        found = cut(found.unionByName(candidates(marked, ends, o)))
+        found = found.unionByName(cut(candidates(marked, ends, o)))  # each round's own rows are written once
         history = history.unionByName(marked.select("query_id", F.lit(turn).alias("round"), "stop_pk", "arr"))
     return found, history
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -84,6 +84,6 @@ def departure_board(stop_times: DataFrame) -> DataFrame:
 
 def next_departure(stop_times: DataFrame, wanted: DataFrame) -> DataFrame:
     """As-of join: for each wanted (key, stop_pk, pattern_pk, tau) the first departure at tau or later."""
-    first = Window.partitionBy("key", "stop_pk", "pattern_pk").orderBy("departure_sec", "trip_pk", "stop_sequence")
     rows = wanted.join(stop_times, ["stop_pk", "pattern_pk"]).where(F.col("departure_sec") >= F.col("tau"))
-    return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    first = F.min(F.struct("departure_sec", "trip_pk", "stop_sequence", "arrival_sec"))  # taken map-side first
+    return rows.groupBy("key", "stop_pk", "pattern_pk", "tau").agg(first.alias("d")).select("key", "stop_pk", "pattern_pk", "tau", "d.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import corridor, etl, geometry, graph, raptor, timetable
+from ..operators.lineage import cut
 from ..sources import adapter, feeds
 from . import engine
 
@@ -99,9 +100,9 @@ QUERIES["src_csv_split"] = lambda spark, sf_dir: _csv(spark, sf_dir, True)
 # --- set, range and calendar filters -------------------------------------------------------
 
 
-@query("SELECT pattern_pk, stop_pk, stop_sequence FROM t_pattern_stops WHERE stop_pk IN (SELECT stop_pk FROM t_stops WHERE stop_pk % 7 = 0)", ("t_pattern_stops", "t_stops"))
+@query("SELECT pattern_pk, stop_pk, stop_sequence FROM t_pattern_stops WHERE stop_pk IN (SELECT stop_pk FROM t_pattern_stops WHERE pattern_pk IN (1, 2))", ("t_pattern_stops",))
 def filter_in_set(t):
-    return t("t_pattern_stops").join(t("t_stops").where("stop_pk % 7 = 0"), "stop_pk", "left_semi").select("pattern_pk", "stop_pk", "stop_sequence")
+    return t("t_pattern_stops").join(t("t_pattern_stops").where("pattern_pk IN (1, 2)").select("stop_pk"), "stop_pk", "left_semi").select("pattern_pk", "stop_pk", "stop_sequence")
 
 
 @query(f"SELECT trip_pk, stop_sequence, stop_pk, departure_sec FROM t_stop_times WHERE departure_sec BETWEEN {DEPART - 900} AND {DEPART + 9000}", ("t_stop_times",))
@@ -194,11 +195,11 @@ def setop_active_services(t):
     return _active(t).select("agency", "service_id")
 
 
-_TRIPS = _SERVICES + ", wanted AS (SELECT t.* FROM t_trips t JOIN active USING (agency, service_id) WHERE pattern_pk <= 60)"
+_TRIPS = _SERVICES + ", wanted AS (SELECT t.* FROM t_trips t JOIN active USING (agency, service_id))"
 
 
 def _trips(t) -> DataFrame:
-    return timetable.active_trips(t("t_trips"), t("t_patterns").where("pattern_pk <= 60"), _active(t))
+    return timetable.active_trips(t("t_trips"), t("t_patterns"), _active(t))
 
 
 @query(ctes(("t_calendar", "t_calendar_dates", "t_trips"), _TRIPS, "SELECT trip_pk, pattern_pk, service_id FROM wanted"))
@@ -206,12 +207,12 @@ def join_active_trips(t):
     return _trips(t).select("trip_pk", "pattern_pk", "service_id")
 
 
-_WINDOW = _TRIPS + f", seen AS (SELECT DISTINCT trip_pk FROM t_stop_times JOIN wanted USING (trip_pk) WHERE stop_pk % 3 = 0 AND departure_sec BETWEEN {DEPART - 900} AND {DEPART + 9000})"
+_WINDOW = _TRIPS + f", seen AS (SELECT DISTINCT trip_pk FROM t_stop_times JOIN wanted USING (trip_pk) WHERE departure_sec BETWEEN {DEPART - 900} AND {DEPART + 9000})"
 _WINDOW_VIEWS = ("t_calendar", "t_calendar_dates", "t_trips", "t_stop_times", "t_stops")
 
 
 def _window(t) -> DataFrame:
-    return timetable.window_trips(t("t_stop_times"), _trips(t), t("t_stops").where("stop_pk % 3 = 0"), DEPART, 9000)
+    return timetable.window_trips(t("t_stop_times"), _trips(t), t("t_stops"), DEPART, 9000)
 
 
 @query(ctes(_WINDOW_VIEWS, _WINDOW, "SELECT trip_pk FROM seen"))
@@ -219,14 +220,14 @@ def join_window_trips(t):
     return _window(t)
 
 
-@query(ctes(_WINDOW_VIEWS, _WINDOW, "SELECT s.trip_pk, s.stop_sequence, s.stop_pk, s.arrival_sec, s.departure_sec, w.pattern_pk FROM t_stop_times s JOIN seen USING (trip_pk) JOIN wanted w USING (trip_pk) WHERE stop_pk % 3 = 0"))
+@query(ctes(_WINDOW_VIEWS, _WINDOW, "SELECT s.trip_pk, s.stop_sequence, s.stop_pk, s.arrival_sec, s.departure_sec, w.pattern_pk FROM t_stop_times s JOIN seen USING (trip_pk) JOIN wanted w USING (trip_pk)"))
 def join_scoped_stop_times(t):
-    return timetable.scoped_stop_times(t("t_stop_times"), _window(t), t("t_stops").where("stop_pk % 3 = 0"), t("t_trips")).select("trip_pk", "stop_sequence", "stop_pk", "arrival_sec", "departure_sec", "pattern_pk")
+    return timetable.scoped_stop_times(t("t_stop_times"), _window(t), t("t_stops"), t("t_trips")).select("trip_pk", "stop_sequence", "stop_pk", "arrival_sec", "departure_sec", "pattern_pk")
 
 
-@query(ctes(_WINDOW_VIEWS, _TRIPS + f", st AS (SELECT trip_pk, min(CASE WHEN departure_sec BETWEEN {DEPART - 900} AND {DEPART + 9000} THEN 0 WHEN departure_sec BETWEEN {DEPART - 900} AND {DEPART + 36000} THEN 1 ELSE 2 END) AS stage FROM t_stop_times JOIN wanted USING (trip_pk) WHERE stop_pk % 3 = 0 AND departure_sec BETWEEN {DEPART - 900} AND {DEPART + 72000} GROUP BY trip_pk)", "SELECT CAST(stage AS INTEGER) AS stage, trip_pk FROM st WHERE stage = (SELECT min(stage) FROM st)"))
+@query(ctes(_WINDOW_VIEWS, _TRIPS + f", st AS (SELECT trip_pk, min(CASE WHEN departure_sec BETWEEN {DEPART - 900} AND {DEPART + 9000} THEN 0 WHEN departure_sec BETWEEN {DEPART - 900} AND {DEPART + 36000} THEN 1 ELSE 2 END) AS stage FROM t_stop_times JOIN wanted USING (trip_pk) WHERE departure_sec BETWEEN {DEPART - 900} AND {DEPART + 72000} GROUP BY trip_pk)", "SELECT CAST(stage AS INTEGER) AS stage, trip_pk FROM st WHERE stage = (SELECT min(stage) FROM st)"))
 def load_window_stage(t):
-    return timetable.window_stage(t("t_stop_times"), _trips(t), t("t_stops").where("stop_pk % 3 = 0"), DEPART, 9000)
+    return timetable.window_stage(t("t_stop_times"), _trips(t), t("t_stops"), DEPART, 9000)
 
 
 @query("SELECT p.pattern_pk, count(DISTINCT t.trip_pk) AS n_trips, count(*) AS n_rows FROM t_trips t JOIN t_patterns p USING (pattern_pk) JOIN t_stop_times s ON s.trip_pk = t.trip_pk GROUP BY 1", ("t_patterns", "t_trips", "t_stop_times"))
@@ -246,12 +247,12 @@ def join_routes_for_stops(t):
     return rows.groupBy("stop_pk").agg(F.array_join(F.array_sort(F.collect_set("route_id")), ",").alias("routes"))
 
 
-_BOARD = f"w AS (SELECT stop_pk, pattern_pk, CAST({DEPART} + stop_pk % 600 AS BIGINT) AS tau FROM t_pattern_stops WHERE stop_pk <= 200), r AS (SELECT w.*, s.trip_pk, s.departure_sec, row_number() OVER (PARTITION BY w.stop_pk, w.pattern_pk ORDER BY s.departure_sec, s.trip_pk, s.stop_sequence) AS r FROM w JOIN t_trips t USING (pattern_pk) JOIN t_stop_times s ON s.trip_pk = t.trip_pk AND s.stop_pk = w.stop_pk WHERE s.departure_sec >= tau)"
+_BOARD = f"w AS (SELECT stop_pk, pattern_pk, CAST({DEPART} + stop_pk % 600 AS BIGINT) AS tau FROM t_pattern_stops), r AS (SELECT w.*, s.trip_pk, s.departure_sec, row_number() OVER (PARTITION BY w.stop_pk, w.pattern_pk ORDER BY s.departure_sec, s.trip_pk, s.stop_sequence) AS r FROM w JOIN t_trips t USING (pattern_pk) JOIN t_stop_times s ON s.trip_pk = t.trip_pk AND s.stop_pk = w.stop_pk WHERE s.departure_sec >= tau)"
 
 
 @query(ctes(("t_pattern_stops", "t_trips", "t_stop_times"), _BOARD, "SELECT stop_pk, pattern_pk, trip_pk, departure_sec FROM r WHERE r = 1"))
 def raptor_board(t):
-    wanted = t("t_pattern_stops").where("stop_pk <= 200").select(F.lit(1).alias("key"), "stop_pk", "pattern_pk", (F.lit(DEPART) + F.col("stop_pk") % 600).alias("tau")).distinct()
+    wanted = t("t_pattern_stops").select(F.lit(1).alias("key"), "stop_pk", "pattern_pk", (F.lit(DEPART) + F.col("stop_pk") % 600).alias("tau")).distinct()
     times = t("t_stop_times").join(t("t_trips").select("trip_pk", "pattern_pk"), "trip_pk")
     return timetable.next_departure(times, wanted).select("stop_pk", "pattern_pk", "trip_pk", "departure_sec")
 
@@ -296,12 +297,12 @@ def graph_edge_dedup(t):
 
 
 _STRIDE = """p AS (SELECT pattern_pk, stop_pk, row_number() OVER (PARTITION BY pattern_pk ORDER BY stop_sequence, stop_pk) - 1 AS pos, count(*) OVER (PARTITION BY pattern_pk) AS n
- FROM (SELECT trip_pk % 5 AS pattern_pk, trip_pk AS stop_sequence, trip_pk AS stop_pk FROM t_trips WHERE trip_pk <= 500) s)"""
+ FROM (SELECT trip_pk % 5 AS pattern_pk, trip_pk AS stop_sequence, trip_pk AS stop_pk FROM t_trips) s)"""
 
 
 @query(ctes(("t_trips",), _STRIDE, "SELECT a.stop_pk AS src, b.stop_pk AS dst, min(a.pattern_pk) AS via_pattern FROM p a JOIN p b ON a.pattern_pk = b.pattern_pk AND a.pos < b.pos AND a.stop_pk <> b.stop_pk WHERE b.n <= 60 OR b.pos = b.n - 1 OR b.pos % greatest(b.n // 40, 1) = 0 GROUP BY 1, 2"))
 def graph_stride_edges(t):
-    long = t("t_trips").where("trip_pk <= 500").select((F.col("trip_pk") % 5).alias("pattern_pk"), F.col("trip_pk").alias("stop_sequence"), F.col("trip_pk").alias("stop_pk"))
+    long = t("t_trips").select((F.col("trip_pk") % 5).alias("pattern_pk"), F.col("trip_pk").alias("stop_sequence"), F.col("trip_pk").alias("stop_pk"))
     return graph.ride_edges(long).select("src", "dst", "via_pattern")
 
 
@@ -338,9 +339,9 @@ def agg_distinct(t):
     return t("t_trips").select("pattern_pk", "service_id").distinct()
 
 
-@query("SELECT stop_pk, string_agg(concat(departure_sec, '/', trip_pk, '/', stop_sequence), ' ' ORDER BY departure_sec, trip_pk, stop_sequence) AS board FROM t_stop_times WHERE stop_pk <= 50 GROUP BY stop_pk", ("t_stop_times",))
+@query("SELECT stop_pk, string_agg(concat(departure_sec, '/', trip_pk, '/', stop_sequence), ' ' ORDER BY departure_sec, trip_pk, stop_sequence) AS board FROM t_stop_times GROUP BY stop_pk", ("t_stop_times",))
 def agg_departure_board(t):
-    board = timetable.departure_board(t("t_stop_times").where("stop_pk <= 50"))
+    board = timetable.departure_board(t("t_stop_times"))
     return board.select("stop_pk", F.array_join(F.transform("departures", lambda d: F.concat_ws("/", d["departure_sec"].cast("string"), d["trip_pk"].cast("string"), d["stop_sequence"].cast("string"))), " ").alias("board"))
 
 
@@ -403,15 +404,15 @@ def etl_trips(t):
 def _raw_times(t) -> DataFrame:
     k = F.col("trip_pk")
     clock = F.concat_ws(":", F.floor(F.col("arrival_sec") / 3600).cast("string"), F.floor(F.col("arrival_sec") % 3600 / 60).cast("string"), (F.col("arrival_sec") % 60).cast("string"))
-    return t("t_stop_times").where("trip_pk <= 3000").select(F.lit(1).cast("bigint").alias("agency"), F.concat(F.lit("T"), (k - 1).cast("string")).alias("trip_id"), F.concat(F.lit("S:"), (F.col("stop_pk") - 1).cast("string")).alias("stop_id"), F.col("stop_sequence").cast("string").alias("stop_sequence"), clock.alias("arrival_time"), F.when(k % 4 == 0, "").otherwise(clock).alias("departure_time"), F.lit(0).alias("_ord"))
+    return t("t_stop_times").select(F.lit(1).cast("bigint").alias("agency"), F.concat(F.lit("T"), (k - 1).cast("string")).alias("trip_id"), F.concat(F.lit("S:"), (F.col("stop_pk") - 1).cast("string")).alias("stop_id"), F.col("stop_sequence").cast("string").alias("stop_sequence"), clock.alias("arrival_time"), F.when(k % 4 == 0, "").otherwise(clock).alias("departure_time"), F.lit(0).alias("_ord"))
 
 
-@query("SELECT t.trip_pk, s.stop_sequence, s.stop_pk, s.arrival_sec, s.arrival_sec AS departure_sec FROM t_stop_times s JOIN t_trips t USING (trip_pk) WHERE trip_pk <= 3000 AND trip_pk % 7 <> 0 AND stop_pk % 5 <> 0", ("t_stop_times", "t_trips"))
+@query("SELECT t.trip_pk, s.stop_sequence, s.stop_pk, s.arrival_sec, s.arrival_sec AS departure_sec FROM t_stop_times s JOIN t_trips t USING (trip_pk) WHERE trip_pk % 7 <> 0 AND stop_pk % 5 <> 0", ("t_stop_times", "t_trips"))
 def etl_stop_times(t):
     return etl.stop_times(_raw_times(t), t("t_trips").where("trip_pk % 7 <> 0"), t("t_stops").where("stop_pk % 5 <> 0")).drop("_ord")
 
 
-@query("SELECT CASE WHEN trip_pk % 7 = 0 THEN 'unknown_trip' ELSE 'unknown_stop' END AS reason, count(*) AS n_rows FROM t_stop_times WHERE trip_pk <= 3000 AND (trip_pk % 7 = 0 OR stop_pk % 5 = 0) GROUP BY 1", ("t_stop_times",))
+@query("SELECT CASE WHEN trip_pk % 7 = 0 THEN 'unknown_trip' ELSE 'unknown_stop' END AS reason, count(*) AS n_rows FROM t_stop_times WHERE (trip_pk % 7 = 0 OR stop_pk % 5 = 0) GROUP BY 1", ("t_stop_times",))
 def etl_stop_times_rejects(t):
     return etl.stop_time_rejects(_raw_times(t), t("t_trips").where("trip_pk % 7 <> 0"), t("t_stops").where("stop_pk % 5 <> 0"))
 
@@ -630,15 +631,35 @@ def seed_select(t):
     return corridor.seeds(_od(t).selectExpr("query_id", "o_lat AS at_lat", "o_lon AS at_lon"), t("t_stops"), _stop_routes(t)).select("stop_pk", "rank")
 
 
-_BFS = _EDGES + f""",
-tr AS (SELECT src, dst FROM edges WHERE kind = 'transit'), wk AS (SELECT src, dst FROM edges WHERE kind = 'walk'),
-l0(v) AS (SELECT {FROM_PK}::BIGINT), w0(v) AS (SELECT DISTINCT dst FROM wk JOIN l0 ON src = v WHERE dst NOT IN (SELECT v FROM l0)), b0 AS (SELECT v FROM l0 UNION SELECT v FROM w0),
-l1(v) AS (SELECT DISTINCT dst FROM tr JOIN b0 ON src = v WHERE dst NOT IN (SELECT v FROM b0)), w1(v) AS (SELECT DISTINCT dst FROM wk JOIN l1 ON src = v WHERE dst NOT IN (SELECT v FROM b0 UNION SELECT v FROM l1)), b1 AS (SELECT v FROM l1 UNION SELECT v FROM w1),
-l2(v) AS (SELECT DISTINCT dst FROM tr JOIN b1 ON src = v WHERE dst NOT IN (SELECT v FROM b0 UNION SELECT v FROM b1)),
-lv AS (SELECT v, 0 AS level FROM b0 UNION ALL SELECT v, 1 FROM b1 UNION ALL SELECT v, 2 FROM l2)"""
+def _bfs_sql(levels: int) -> str:
+    """Levels 0 to `levels`: l<i> is what rides reach, w<i> what walks add, b<i> both, a<i> all so far. A level is boarded
+    from if no level more than MARGIN before it holds the destination."""
+    out = [f"l0(v) AS (SELECT {FROM_PK}::BIGINT)"]
+    for i in range(levels + 1):
+        if i:
+            on = "".join(f" AND NOT EXISTS (SELECT 1 FROM b{j} WHERE v = {TO_PK})" for j in range(i - 1 - corridor.MARGIN))
+            out.append(f"l{i}(v) AS (SELECT DISTINCT dst FROM tr JOIN b{i - 1} ON src = v WHERE dst NOT IN (SELECT v FROM a{i - 1}){on})")
+        before = f"(SELECT v FROM a{i - 1} UNION SELECT v FROM l{i})" if i else "(SELECT v FROM l0)"
+        out.append(f"w{i}(v) AS (SELECT DISTINCT dst FROM wk JOIN l{i} ON src = v WHERE dst NOT IN {before}{walked(i)})")
+        out.append(f"b{i} AS (SELECT v FROM l{i} UNION SELECT v FROM w{i})")
+        out.append(f"a{i} AS (SELECT v FROM b{i}{f' UNION SELECT v FROM a{i - 1}' if i else ''})")
+    out.append("lv AS (" + " UNION ALL ".join(f"SELECT v, {i} AS level FROM b{i}" for i in range(levels + 1)) + ")")
+    return ", ".join(out)
 
 
-def _levels(t, transfers: int = 1):
+def walked(level: int) -> str:
+    """No level is walked from after the last, or more than MARGIN levels after the first hit."""
+    if level > corridor.TRANSFERS:
+        return " AND false"
+    return "".join(f" AND NOT EXISTS (SELECT 1 FROM b{j} WHERE v = {TO_PK})" for j in range(level - corridor.MARGIN))
+
+
+_DEPTH = corridor.TRANSFERS + 1
+_BFS = _EDGES + ", tr AS (SELECT src, dst FROM edges WHERE kind = 'transit'), wk AS (SELECT src, dst FROM edges WHERE kind = 'walk'), " + _bfs_sql(_DEPTH)
+_TREE = " UNION ".join([f"SELECT src AS parent, dst AS child, {i} AS level FROM wk JOIN l{i} ON src = v WHERE dst IN (SELECT v FROM b{i}) AND src <> dst{walked(i)}" for i in range(_DEPTH + 1)] + [f"SELECT src, dst, {i} FROM tr JOIN b{i - 1} ON src = v WHERE dst IN (SELECT v FROM l{i})" for i in range(1, _DEPTH + 1)])
+
+
+def _levels(t, transfers: int = corridor.TRANSFERS):
     one = t("t_stops").select(F.lit(1).alias("query_id"), "stop_pk")
     return corridor.levels(graph.edges(t("t_stops"), t("t_pattern_stops")), one.where(F.col("stop_pk") == FROM_PK), one.where(F.col("stop_pk") == TO_PK), transfers)
 
@@ -648,15 +669,12 @@ def bfs_levels(t):
     return _levels(t)[0].select("stop_pk", "level")
 
 
-@query(ctes(_NET, _BFS, """SELECT DISTINCT src AS parent, dst AS child, 0 AS level FROM wk JOIN l0 ON src = v WHERE dst IN (SELECT v FROM b0) AND src <> dst
-UNION SELECT src, dst, 1 FROM tr JOIN b0 ON src = v WHERE dst IN (SELECT v FROM l1)
-UNION SELECT src, dst, 1 FROM wk JOIN l1 ON src = v WHERE dst IN (SELECT v FROM b1)
-UNION SELECT src, dst, 2 FROM tr JOIN b1 ON src = v WHERE dst IN (SELECT v FROM l2)"""))
+@query(ctes(_NET, _BFS, _TREE))
 def bfs_tree_edges(t):
     return _levels(t)[1].select("parent", "child", "level").distinct()
 
 
-@query(ctes(_NET, _BFS, f"SELECT CAST(min(level) AS INTEGER) AS first_hit FROM lv WHERE v = {TO_PK} AND level < 2 HAVING min(level) IS NOT NULL"))
+@query(ctes(_NET, _BFS, f"SELECT CAST(min(level) AS INTEGER) AS first_hit FROM lv WHERE v = {TO_PK} HAVING min(level) IS NOT NULL"))
 def bfs_first_hit(t):
     return _levels(t)[2].select("first_hit")
 
@@ -737,9 +755,9 @@ def setop_corridor_union(t):
     return derived.union(corridor.near_ends(_od(t), t("t_stops")).select("stop_pk")).union(core.select("stop_pk")).distinct()
 
 
-@query("SELECT count(*) > 0 AS covered FROM t_pattern_stops WHERE pattern_pk <= 20 AND stop_pk IN (1, 2, 3)", ("t_pattern_stops",))
+@query("SELECT count(*) > 0 AS covered FROM t_pattern_stops WHERE stop_pk IN (1, 2, 3)", ("t_pattern_stops",))
 def setop_coverage(t):
-    derived = t("t_pattern_stops").where("pattern_pk <= 20").select("stop_pk").distinct()
+    derived = t("t_pattern_stops").select("stop_pk").distinct()
     return derived.join(t("t_stops").where("stop_pk <= 3"), "stop_pk", "left_semi").agg((F.count("*") > 0).alias("covered"))
 
 
@@ -771,7 +789,7 @@ def _times(t) -> DataFrame:
 
 
 def _searched(t, o: raptor.Options = raptor.Options(), pairs=((FROM_PK, TO_PK),)):
-    return raptor.search(_od(t, pairs), t("t_stops"), t("t_pattern_stops"), _times(t), o)
+    return raptor.search(_od(t, pairs), t("t_stops"), t("t_pattern_stops"), cut(_times(t)), o)
 
 
 @query(ctes(_SEARCH_VIEWS, _SEED_LABELS, "SELECT stop_pk, arr FROM s0"))
@@ -889,9 +907,9 @@ def debug_rounds(t):
     return _searched(t)[1].select("round", "stop_pk", "arr")
 
 
-@query()
+@query(ctes(_NET, _BFS, "SELECT CAST(level AS INTEGER) AS level, n, CAST(sum(n) OVER (ORDER BY level) AS BIGINT) AS shown FROM (SELECT level, count(*) AS n FROM lv GROUP BY level) c"))
 def debug_cumulative_reveal(t):
-    found = _levels(t)[0].where("level < 2")
+    found = _levels(t)[0]
     return found.groupBy("level").agg(F.count("*").alias("n")).withColumn("shown", F.sum("n").over(Window.orderBy("level")))
 
 
@@ -909,8 +927,8 @@ def debug_flatten_steps(t):
 
 @query()
 def load_scoped_index(t):
-    q = _od(t)
-    return engine.Engine.from_views(t).timetable(q, engine.Engine.from_views(t).corridor(q)).groupBy("query_id").agg(F.count("*").alias("n_rows"), F.count_distinct("trip_pk").alias("n_trips"))
+    q, e = _od(t), engine.Engine.from_views(t)
+    return e.timetable(q, e.corridor(q)).groupBy("query_id").agg(F.count("*").alias("n_rows"), F.count_distinct("trip_pk").alias("n_trips"))
 
 
 @query()
