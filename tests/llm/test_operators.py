@@ -328,6 +328,39 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in language.predict(odd, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_network_matches_a_naive_one(rng):
+    """The pooled answers, and the direction of the training's steps, against loops over places and filters."""
+    rows = [(sentence(rng, 60), "en") for _ in range(20)] + [(sentence(rng, 60).replace("a", "ä"), "de") for _ in range(20)]
+    m = language.fit(rows, most_windows=30)  # fewer than there are
+    x, _, _ = language.windows(*common.bytes_of(pa.array([t for t, _ in rows[::7]])))
+    h, _ = language.pooled(m, x)
+    slow = np.full(h.shape, -np.inf)
+    for i, window in enumerate(x):
+        e = m.embed[window]
+        for j, (w, k, b) in enumerate(zip(language.WIDTHS, m.filters, m.bias, strict=True)):
+            for place in range(language.WINDOW - max(language.WIDTHS) + 1):
+                answer = e[place : place + w].ravel() @ k + b
+                mine = slice(j * language.FILTERS, (j + 1) * language.FILTERS)
+                slow[i, mine] = np.maximum(slow[i, mine], answer)
+    assert np.allclose(h, slow, atol=1e-4)
+
+
+def test_attention_matches_a_naive_one(rng):
+    rows = [(sentence(rng, rng.randrange(1, 200)), i % 2) for i in range(30)]
+    m = quality.fit(rows)
+    x, n = quality.passages(*common.bytes_of(pa.array([t for t, _ in rows])))
+    *_, alpha, _, p = quality.forward(m, x, n)
+    w1, b1, v, u, a, w2, b2 = m.weights
+    at = 0
+    for i, k in enumerate(n):
+        h = [np.tanh((row - m.mean) / m.spread @ w1 + b1) for row in x[at : at + k]]
+        pull = np.array([np.exp((np.tanh(y @ v) / (1 + np.exp(-(y @ u)))) @ a) for y in h])
+        pull /= pull.sum()
+        z = sum(g * y for g, y in zip(pull, h, strict=True))
+        assert np.allclose(pull, alpha[at : at + k]) and np.isclose(p[i], 1 / (1 + np.exp(-(z @ w2 + b2[0]))))
+        at += k
+
+
 def test_segments_are_maximal(rng):
     def slow(scores):
         """Ruzzo and Tompa's definition: the best segment, then those left and right of it."""

@@ -66,7 +66,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model | None:
+def fit(rows: list[tuple[str, str]], seed: int = 0, most_windows: int = MOST_WINDOWS) -> Model | None:
     """Train on (text, language) rows: Adam on cross-entropy, each language with the same weight in all."""
     import pyarrow as pa
 
@@ -85,8 +85,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model | None:
     params = [m.embed, *m.filters, *m.bias, m.dense, m.offset]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(x))[:MOST_WINDOWS]
-        for s in range(0, len(x), BATCH):
+        order = rng.permutation(len(x))[:most_windows]
+        for s in range(0, len(order), BATCH):
             i = order[s : s + BATCH]
             h, at = pooled(m, x[i], True)
             a = np.maximum(h, 0)
