@@ -108,6 +108,10 @@ def route_color(color: Column, code: Column, name: Column) -> Column:
     return F.coalesce(hex_color(color, None), fallback_color(code, name))
 
 
+def text_color(color: Column) -> Column:
+    return F.coalesce(hex_color(color, None), F.lit("#FFFFFF"))
+
+
 def route_name(short: Column, long: Column) -> Column:
     return F.coalesce(F.nullif(short, F.lit("")), F.nullif(long, F.lit("")), F.lit("?"))
 
@@ -174,6 +178,23 @@ def walk_label(metres: Column, speed: Column) -> Column:
     return F.concat(F.lit("Walk (~"), minutes.cast("bigint").cast("string"), F.lit(" min)"))
 
 
+def transfer_label(from_name: Column, to_name: Column, metres: Column, speed: Column) -> Column:
+    minutes = F.greatest(F.lit(1), half_up(walk_sec(metres, speed) / 60)).cast("bigint").cast("string")
+    return F.when(from_name == to_name, from_name).otherwise(F.concat(from_name, F.lit(" → "), to_name, F.lit(" (~"), minutes, F.lit(" min walk)")))
+
+
+def duration_text(seconds: Column) -> Column:
+    return F.when(seconds >= 60, F.format_string("%.1fm", seconds / 60)).otherwise(F.format_string("%.1fs", seconds.cast("double")))
+
+
+def size_text(n_bytes: Column) -> Column:
+    return F.format_string("%.1f MB", n_bytes / (1024 * 1024))
+
+
+def strip_scheme(path: Column) -> Column:
+    return F.regexp_replace(path, "^file://", "")
+
+
 def point_key(lat: Column, lon: Column) -> Column:
     return F.format_string("%.6f,%.6f", lat, lon)
 

@@ -5,6 +5,8 @@ All tables carry query_id, so that many searches run as one batch.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from .lineage import cut
 
 SEED_RADIUS_M, LEAST_SEEDS, MOST_SEEDS = 1000.0, 4, 40
 WALK_RADIUS_M = 900.0
+NEAREST_M, HALF_EARTH_M = 2000.0, 20_100_000.0
 WIDTH_M, TAPER_M, WIDER_WIDTH_M, WIDER_TAPER_M, LEAST_STOPS = 350.0, 900.0, 700.0, 1600.0, 8
 TRANSFERS, MARGIN, MOST_PATHS, LEAST_PATTERNS, BOUNDARY_SAMPLES = 5, 1, 24, 3, 20
 
@@ -21,15 +24,48 @@ def points(stops: DataFrame) -> DataFrame:
     return stops.select("stop_pk", S.unpack_coord(F.col("stop_lat")).alias("lat"), S.unpack_coord(F.col("stop_lon")).alias("lon"))
 
 
+def around(places: DataFrame, stops: DataFrame, radius_m: float) -> DataFrame:
+    """(query_id, stop_pk, dist_m) of the stops within radius_m of each place (query_id, at_lat, at_lon), by an
+    equi-join on grid cells; places without a position have none.
+
+    A cell is at least as wide as the radius at the latitude of every place; near a pole, or for radii of continents,
+    one cell spans all longitudes. A place near the date line is looked for from both sides.
+    """
+    known = places.where("at_lat IS NOT NULL AND at_lon IS NOT NULL")
+    high = known.agg(F.max(F.abs("at_lat"))).first()[0] or 0.0  # one row
+    tall = radius_m / 111_000.0
+    reach = math.cos(math.radians(min(high, 90.0)))
+    part = math.sin(math.radians(tall)) / reach if tall < 20 and high + tall < 89.0 else 1.0
+    wide = 1.01 * math.degrees(math.asin(part)) if part < 0.5 else 720.0
+    sides = F.explode(F.filter(F.array(*[F.col("at_lon") + turn for turn in (-360, 0, 360)]), lambda x: F.abs(x) <= 180 + wide))
+    if wide == 720.0:
+        sides = F.col("at_lon")
+    spread = known.select("query_id", "at_lat", "at_lon", sides.alias("side"))
+    spread = spread.select("query_id", "at_lat", "at_lon", S.grid_cell(F.col("at_lat"), tall).alias("y0"), S.grid_cell(F.col("side"), wide).alias("x0"))
+    near = F.array(*[F.struct((F.col("y0") + dy).alias("y"), (F.col("x0") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    spread = spread.select("query_id", "at_lat", "at_lon", F.explode(near).alias("c")).select("query_id", "at_lat", "at_lon", "c.y", "c.x").distinct()
+    placed = points(stops).withColumns({"y": S.grid_cell(F.col("lat"), tall), "x": S.grid_cell(F.col("lon"), wide)})
+    dist = S.haversine_m(F.col("at_lat"), F.col("at_lon"), F.col("lat"), F.col("lon"))
+    return spread.join(placed, ["y", "x"]).select("query_id", "stop_pk", dist.alias("dist_m")).where(F.col("dist_m") <= radius_m)
+
+
 def ranked(places: DataFrame, stops: DataFrame, most: int) -> DataFrame:
     """(query_id, stop_pk, dist_m, rank): the `most` stops nearest each place (query_id, at_lat, at_lon).
 
-    A few query rows against all stops; places are broadcast, the rank keeps `most` rows a query before the shuffle.
+    Circles widen for the places whose circle holds too few stops; a circle with enough holds the nearest.
     """
-    dist = S.haversine_m(F.col("at_lat"), F.col("at_lon"), F.col("lat"), F.col("lon"))
-    rows = points(stops).join(F.broadcast(places)).select("query_id", "stop_pk", dist.alias("dist_m"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist_m", "stop_pk"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= most)
+    left, done, radius = places.select("query_id", "at_lat", "at_lon"), None, NEAREST_M
+    enough = min(most, stops.count())
+    by = F.row_number().over(Window.partitionBy("query_id").orderBy("dist_m", "stop_pk"))
+    while True:
+        rows = cut(around(left, stops, radius).withColumn("rank", by).where(F.col("rank") <= most))
+        full = rows.groupBy("query_id").count().where(F.col("count") >= enough)
+        kept = rows if radius > HALF_EARTH_M else rows.join(full, "query_id", "left_semi")
+        done = kept if done is None else done.unionByName(kept)
+        left = left.where("at_lat IS NOT NULL AND at_lon IS NOT NULL").join(full, "query_id", "left_anti")
+        if radius > HALF_EARTH_M or left.isEmpty():
+            return done
+        radius *= 4
 
 
 def seeds(places: DataFrame, stops: DataFrame, stop_routes: DataFrame, radius_m: float = SEED_RADIUS_M, least: int = LEAST_SEEDS, most: int = MOST_SEEDS) -> DataFrame:
@@ -167,12 +203,9 @@ def tapered(found_paths: DataFrame, stops: DataFrame, near_ends: DataFrame) -> D
 
 
 def near_ends(queries: DataFrame, stops: DataFrame, radius_m: float = WALK_RADIUS_M) -> DataFrame:
-    """(query_id, stop_pk) within walking distance of either end. A few query rows are broadcast."""
-    def within(lat: str, lon: str) -> Column:
-        return S.haversine_m(F.col(lat), F.col(lon), F.col("lat"), F.col("lon")) <= radius_m
-
-    q = F.broadcast(queries.select("query_id", "o_lat", "o_lon", "d_lat", "d_lon"))
-    return points(stops).join(q).where(within("o_lat", "o_lon") | within("d_lat", "d_lon")).select("query_id", "stop_pk").distinct()
+    """(query_id, stop_pk) within walking distance of either end."""
+    ends = queries.selectExpr("query_id", "o_lat AS at_lat", "o_lon AS at_lon").union(queries.selectExpr("query_id", "d_lat", "d_lon"))
+    return around(ends, stops, radius_m).select("query_id", "stop_pk").distinct()
 
 
 def patterns_of(stops: DataFrame, pattern_stops: DataFrame) -> DataFrame:
@@ -220,7 +253,7 @@ def resolve(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, patt
     buffer = cut(tapered(rest, stops, walkable.join(rest.select("query_id").distinct(), "query_id", "left_semi")))
     how = queries.select("query_id").join(good.withColumn("g", F.lit(True)), "query_id", "left").join(buffer.select("query_id").distinct().withColumn("b", F.lit(True)), "query_id", "left")
     how = cut(how.select("query_id", F.when(F.col("g"), "seed").when(F.col("b"), "tapered").otherwise("network").alias("how")))
-    network = F.broadcast(how.where("how = 'network'").select("query_id"))  # a few queries at most take the whole network
+    network = how.where("how = 'network'").select("query_id")  # each takes the whole network: that is its result
     seed_stops = derived.union(walkable).union(core).join(good, "query_id", "left_semi")
     stop_rows = seed_stops.union(buffer.select("query_id", "stop_pk")).union(network.join(stops.select("stop_pk"))).distinct()
     pattern_rows = chosen.join(good, "query_id", "left_semi").union(patterns_of(buffer, pattern_stops)).union(network.join(patterns.select("pattern_pk"))).distinct()

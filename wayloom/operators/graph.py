@@ -5,13 +5,13 @@ Edges are rows (src, dst, kind, cost, via_pattern), never adjacency arrays.
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .lineage import publish, published
 
 FULL_CLIQUE, SAMPLES = 60, 40
 RIDE_COST, WALK_COST = 1.0, 0.5
@@ -96,20 +96,19 @@ def signature(stops: DataFrame, pattern_stops: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b)).select(F.concat_ws(":", F.lit(str(VERSION)), F.col("s").cast("string"), F.col("p").cast("string")).alias("signature"), F.expr("hex(xxhash64(x, y))").alias("content"))  # one row each
 
 
+def mark_of(stops: DataFrame, pattern_stops: DataFrame) -> str:
+    return ":".join(signature(stops, pattern_stops).first())
+
+
 def persist(edges_: DataFrame, mark: str, path: str) -> None:
-    """Write the edges, and last the signature: a graph without one isn't complete."""
-    spark = edges_.sparkSession
-    edges_.write.mode("overwrite").parquet(f"{path}/edges")
-    spark.createDataFrame([(json.dumps({"signature": mark}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/signature")
+    """Write the edges beside those that stand, then name them with their signature."""
+    publish({"edges": edges_}, mark, path)
 
 
 def load(spark, mark: str, path: str) -> DataFrame | None:
     """The persisted edges, if the signature is the same and there are any."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        found = json.loads(spark.read.text(f"{path}/signature").first()[0])["signature"]
-        kept = spark.read.parquet(f"{path}/edges")
-    except AnalysisException:  # nothing has been persisted there
+    found = published(spark, path)
+    if found is None or found[1] != mark:
         return None
-    return kept if found == mark and not kept.isEmpty() else None
+    kept = spark.read.parquet(f"{found[2]}/edges")
+    return None if kept.isEmpty() else kept

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +19,24 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def publish(tables: dict[str, DataFrame], mark: str, path: str) -> None:
+    """Write tables to a folder of their own and, last, one row that names it: readers see all of them or none, and
+    the version before stays whole meanwhile. Older versions are left for their owner to remove."""
+    spark = next(iter(tables.values())).sparkSession
+    before, folder = published(spark, path), f"{path}/{uuid.uuid4().hex}"
+    for name, table in tables.items():
+        table.write.parquet(f"{folder}/{name}")
+    row = spark.createDataFrame([(before[0] + 1 if before else 1, mark, folder)], "version long, mark string, folder string")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def published(spark: SparkSession, path: str) -> tuple[int, str, str] | None:
+    """(version, mark, folder) of the last version at a path, if there is one."""
+    try:
+        versions = spark.read.schema("version long, mark string, folder string").parquet(f"{path}/versions")
+    except AnalysisException:  # nothing has been published there
+        return None
+    last = versions.agg(F.max(F.struct("version", "folder", "mark")).alias("v")).first()["v"]
+    return (last["version"], last["mark"], last["folder"]) if last else None

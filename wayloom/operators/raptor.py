@@ -49,7 +49,7 @@ def _leg(**values) -> Column:
 def seed(queries: DataFrame, stops: DataFrame, o: Options) -> DataFrame:
     """The labels of the stops nearest each origin. queries: (query_id, o_lat, o_lon, d_lat, d_lon, depart_sec)."""
     near = ranked(queries.selectExpr("query_id", "o_lat AS at_lat", "o_lon AS at_lon"), stops, o.nearby)
-    rows = near.join(F.broadcast(queries.select("query_id", "depart_sec")), "query_id")
+    rows = near.join(queries.select("query_id", "depart_sec"), "query_id")
     arr = F.col("depart_sec") + walk_secs(F.col("dist_m"), o.speed)
     leg = _leg(kind=F.lit("walk"), to_pk=F.col("stop_pk"), start_sec=F.col("depart_sec"), end_sec=arr, dist_m=F.col("dist_m"))
     return rows.select("query_id", "stop_pk", arr.alias("arr"), F.lit(0).cast("bigint").alias("legs"), F.col("dist_m").alias("walk_m"), F.array(leg).alias("trace"))
@@ -147,7 +147,7 @@ def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_
         best, ends = _within(queries, stops, allowed, o)
     best, ends = cut(best), cut(ends)
     steps = cut(footpaths(stops, o))
-    goal = F.broadcast(queries.select("query_id", "d_lat", "d_lon"))
+    goal = queries.select("query_id", "d_lat", "d_lon")
     place = points(stops)
     marked, found = best, cut(candidates(best, ends, o))
     history = best.select("query_id", F.lit(0).alias("round"), "stop_pk", "arr")
@@ -171,7 +171,7 @@ def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_
 
 def _within(queries: DataFrame, stops: DataFrame, allowed: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """Seed labels and destinations among each query's allowed stops."""
-    rows = allowed.join(points(stops), "stop_pk").join(F.broadcast(queries), "query_id")
+    rows = allowed.join(points(stops), "stop_pk").join(queries, "query_id")
     from_o = S.haversine_m(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon"))
     to_d = S.haversine_m(F.col("d_lat"), F.col("d_lon"), F.col("lat"), F.col("lon"))
     rows = rows.withColumns({"dist_m": from_o, "final_m": to_d})
@@ -230,3 +230,32 @@ def with_coords(legs: DataFrame, stops: DataFrame, pattern_stops: DataFrame, sha
     between = F.filter("line", lambda p: p["seq"].between(F.col("board_seq"), F.col("alight_seq")))
     plain = F.transform(F.coalesce(cut_, between), lambda p: F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude")))
     return rows.select("query_id", "journey_no", "leg_no", "pattern_pk", "from_pk", "to_pk", plain.alias("coords"))
+
+
+def journey_lines(legs: DataFrame) -> DataFrame:
+    """(query_id, journey_no, coords): the coords of a journey's legs in a row (query_id, journey_no, leg_no, coords);
+    where a leg starts at the last point so far, within 1e-9 degrees, that point stands once."""
+    def joined(so_far: Column, coords: Column) -> Column:
+        a, b = F.get(so_far, F.size(so_far) - 1), F.get(coords, F.lit(0))
+        same = (F.abs(a["latitude"] - b["latitude"]) < 1e-9) & (F.abs(a["longitude"] - b["longitude"]) < 1e-9)
+        return F.concat(so_far, F.when(same, F.slice(coords, 2, F.greatest(F.size(coords), F.lit(1)))).otherwise(coords))
+
+    rows = legs.where("coords IS NOT NULL").groupBy("query_id", "journey_no").agg(F.array_sort(F.collect_list(F.struct("leg_no", "coords"))).alias("l"))  # the legs of one journey
+    empty = F.slice(F.get("l.coords", F.lit(0)), 1, 0)
+    return rows.select("query_id", "journey_no", F.aggregate("l.coords", empty, joined).alias("coords"))
+
+
+def chosen(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The journeys at the wanted places (query_id, place), counted from 0; one out of bounds chooses none."""
+    return found.join(wanted.select("query_id", (F.col("place") + 1).alias("journey_no")), ["query_id", "journey_no"], "left_semi")
+
+
+def compared(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two sets of journeys, query by query: how many each has, and whether their first journeys arrive at the same
+    time with the same number of transfers (null: one of them has none)."""
+    def best(found: DataFrame, name: str) -> DataFrame:
+        top = F.min(F.struct("journey_no", "arrival_sec", F.greatest(F.col("legs") - 1, F.lit(0)).alias("transfers")))
+        return found.groupBy("query_id").agg(F.count("journey_no").alias(f"n_{name}"), top.alias(name))
+
+    rows = best(first, "first").join(best(second, "second"), "query_id", "full")
+    return rows.select("query_id", *[F.coalesce(f"n_{x}", F.lit(0)).alias(f"n_{x}") for x in ("first", "second")], *[(F.col(f"first.{x}") == F.col(f"second.{x}")).alias(f"same_{x.partition('_')[0]}") for x in ("arrival_sec", "transfers")])

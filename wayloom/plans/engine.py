@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import corridor, graph, raptor, timetable
 from ..operators.lineage import cut
+from . import load
 
 
 @dataclass
@@ -28,16 +29,32 @@ class Engine:
     tomorrow: tuple[str, int] = ("19980609", 2)
     options: raptor.Options = field(default_factory=raptor.Options)
     edges: DataFrame | None = None
+    graph_path: str | None = None  # where the stop graph is kept from one engine to the next
 
     @classmethod
     def from_views(cls, view: Callable[[str], DataFrame], **more) -> Engine:
         return cls(*(view(f"t_{name}") for name in ("stops", "patterns", "pattern_stops", "trips", "stop_times", "calendar", "calendar_dates")), **more)
 
+    @classmethod
+    def from_tables(cls, spark: SparkSession, path: str, **more) -> Engine:
+        """An engine over imported tables, which keeps its stop graph beside them."""
+        found = load.tables_of(spark, path)
+        return cls.from_views(lambda name: found[name.removeprefix("t_")], **{"graph_path": f"{path}/graph"} | more)
+
     def graph(self) -> DataFrame:
         if self.edges is None:
-            self.edges = cut(graph.edges(self.stops, self.pattern_stops))
+            self.edges = cut(graph.edges(self.stops, self.pattern_stops)) if self.graph_path is None else self._kept_graph(self.graph_path)
         return self.edges
 
+    def _kept_graph(self, path: str) -> DataFrame:
+        """The graph at a path, built and written anew if there is none of these stops and patterns."""
+        mark = graph.mark_of(self.stops, self.pattern_stops)
+        kept = graph.load(self.stops.sparkSession, mark, path)
+        if kept is None:
+            graph.persist(graph.edges(self.stops, self.pattern_stops), mark, path)
+            kept = graph.load(self.stops.sparkSession, mark, path)
+        return cut(graph.edges(self.stops, self.pattern_stops)) if kept is None else kept
+
     def corridor(self, queries: DataFrame) -> dict[str, DataFrame]:
         return corridor.resolve(queries, self.stops, self.pattern_stops, self.patterns, self.graph())
 
@@ -51,7 +68,7 @@ class Engine:
         first = F.lit(window) if window else S.window_sec(km).cast("int")
         wanted = queries.select("query_id", "depart_sec", first.alias("w0"))
         widest = max(timetable.WIDER_WINDOWS)
-        rows = found["patterns"].join(running, "pattern_pk").join(self.stop_times, "trip_pk").join(found["stops"], ["query_id", "stop_pk"], "left_semi").join(F.broadcast(wanted), "query_id")
+        rows = found["patterns"].join(running, "pattern_pk").join(self.stop_times, "trip_pk").join(found["stops"], ["query_id", "stop_pk"], "left_semi").join(wanted, "query_id")
         late = F.col("departure_sec") - F.col("depart_sec")
         rows = rows.withColumn("stage", F.when((late < -timetable.BOARD_BUFFER) | (late > widest), None).when(late <= F.col("w0"), 0).when(late <= timetable.WIDER_WINDOWS[0], 1).otherwise(2))
         rows = cut(rows.select("query_id", "trip_pk", "pattern_pk", "stop_pk", "stop_sequence", "arrival_sec", "departure_sec", "stage"))
@@ -67,7 +84,9 @@ class Engine:
 
     def route(self, queries: DataFrame) -> DataFrame:
         """Journeys (query_id, status, journey_no, arrival_sec, total_walk_m, legs, legs_taken); a query without any
-        ride is searched again with a ten-hour window. status: OK, NO_ROUTE, NO_SERVICE_WALK_ONLY."""
+        ride is searched again with a ten-hour window. status: OK, NO_ROUTE, NO_SERVICE_WALK_ONLY,
+        NO_STOPS_NEAR_ORIGIN (no stop may be used, or no position), NO_STOPS_NEAR_DESTINATION (no position)."""
+        asked, queries = queries, queries.where("o_lat IS NOT NULL AND o_lon IS NOT NULL AND d_lat IS NOT NULL AND d_lon IS NOT NULL")
         found = self.corridor(queries)
         first, times, _ = self._run(queries, found, None)
         first = cut(first)
@@ -80,8 +99,11 @@ class Engine:
             best = first.join(again, "query_id", "left_anti").unionByName(second)
         best = cut(best)
         rode = best.where("legs > 0").select("query_id").distinct().withColumn("_rode", F.lit(True))
-        status = F.when(F.col("_rode"), "OK").when(F.col("_served"), "NO_ROUTE").otherwise("NO_SERVICE_WALK_ONLY")
-        marks = queries.select("query_id").join(rode, "query_id", "left").join(served.withColumn("_served", F.lit(True)), "query_id", "left")
+        stopped = found["stops"].select("query_id").distinct().withColumn("_stops", F.lit(True))
+        no_origin = F.col("o_lat").isNull() | F.col("o_lon").isNull()
+        no_end = F.col("d_lat").isNull() | F.col("d_lon").isNull()
+        status = F.when(no_origin, "NO_STOPS_NEAR_ORIGIN").when(no_end, "NO_STOPS_NEAR_DESTINATION").when(F.col("_stops").isNull(), "NO_STOPS_NEAR_ORIGIN").when(F.col("_rode"), "OK").when(F.col("_served"), "NO_ROUTE").otherwise("NO_SERVICE_WALK_ONLY")
+        marks = asked.select("query_id", "o_lat", "o_lon", "d_lat", "d_lon").join(stopped, "query_id", "left").join(rode, "query_id", "left").join(served.withColumn("_served", F.lit(True)), "query_id", "left")
         return marks.select("query_id", status.alias("status")).join(best, "query_id", "left")
 
     def diagnose(self, queries: DataFrame) -> DataFrame:
