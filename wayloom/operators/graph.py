@@ -45,7 +45,8 @@ def ride_edges(pattern_stops: DataFrame, full: int = FULL_CLIQUE, samples: int =
 def near_pairs(stops: DataFrame, radius_m: float, cell: float | None = None) -> DataFrame:
     """(a, b, dist_m) with a < b: all pairs of stops within radius_m, by an equi-join on grid cells.
 
-    A cell is at least radius_m wide in both directions: meridians are nearest each other at the largest latitude,
+    Both sides are dealt to spark.sql.shuffle.partitions parts by cell, a number that isn't lowered at run time: the
+    pairs are many more than the rows that the shuffle weighs. A cell is at least radius_m wide in both directions: meridians are nearest each other at the largest latitude,
     which one aggregate row tells. With `cell`, that width in degrees is used for both, right or not.
     """
     lat, lon = S.unpack_coord(F.col("stop_lat")), S.unpack_coord(F.col("stop_lon"))
@@ -57,7 +58,8 @@ def near_pairs(stops: DataFrame, radius_m: float, cell: float | None = None) ->
     around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     spread = placed.select(F.col("stop_pk").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), "y", "x", F.explode(around).alias("d"))
     spread = spread.select("a", "a_lat", "a_lon", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
-    pairs = spread.join(placed, ["y", "x"]).where(F.col("a") < F.col("stop_pk"))
+    parts = int(stops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = spread.repartition(parts, "y", "x").join(placed, ["y", "x"]).where(F.col("a") < F.col("stop_pk"))
     dist = S.haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
     return pairs.select("a", F.col("stop_pk").alias("b"), dist.alias("dist_m")).where(F.col("dist_m") <= radius_m)
 

@@ -141,6 +141,7 @@ def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_
     def inside(rows: DataFrame) -> DataFrame:
         return rows if allowed is None else rows.join(allowed, ["query_id", "stop_pk"], "left_semi")
 
+    queries = cut(queries)
     if allowed is None:
         best, ends = seed(queries, stops, o), destinations(queries, stops, o)
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import corridor, etl, geometry, graph, raptor, timetable
 from ..operators.lineage import cut
-from ..sources import adapter, feeds
+from ..sources import adapter, feeds, places
 from . import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -532,6 +532,11 @@ def fn_route_color():
     return ["route_id", S.route_color(F.col("route_color"), F.col("route_type"), F.col("route_long_name")).alias("color")]
 
 
+@scalar(*_RT, "route_id, CASE WHEN regexp_matches(upper(regexp_replace(trim(route_color), '^#', '')), '^[0-9A-F]{6}$') THEN concat('#', upper(regexp_replace(trim(route_color), '^#', ''))) ELSE '#FFFFFF' END AS text_color")
+def fn_text_color():
+    return ["route_id", S.text_color(F.col("route_color")).alias("text_color")]
+
+
 @scalar(*_RT, f"route_id, {NAME_SQL} AS route_name")
 def fn_route_name():
     return ["route_id", S.route_name(F.col("route_short_name"), F.col("route_long_name")).alias("route_name")]
@@ -584,6 +589,29 @@ def fn_taper():
     return ["stop_pk", F.round(S.taper_width((F.col("stop_pk") % 101) / 100, corridor.WIDTH_M, corridor.TAPER_M) * 1000).cast("bigint").alias("width_mm")]
 
 
+@scalar(*_SP, "stop_pk, CASE WHEN stop_pk % 5 = 0 THEN stop_name ELSE concat(stop_name, ' → ', stop_id, ' (~', greatest(1, CAST(floor((stop_pk * 7 % 3000) / 1.4::DOUBLE / 60 + 0.5) AS BIGINT)), ' min walk)') END AS label")
+def fn_transfer_label():
+    to = F.when(F.col("stop_pk") % 5 == 0, F.col("stop_name")).otherwise(F.col("stop_id"))
+    return ["stop_pk", S.transfer_label(F.col("stop_name"), to, (F.col("stop_pk") * 7 % 3000).cast("double"), F.lit(1.4)).alias("label")]
+
+
+@scalar(*_SP, "stop_pk, CASE WHEN stop_pk >= 60 THEN printf('%.1fm', stop_pk / 60.0::DOUBLE) ELSE printf('%.1fs', stop_pk::DOUBLE) END AS took, printf('%.1f MB', floor(stop_pk * 262144 / 1048576.0::DOUBLE * 10 + 0.5) / 10) AS size, regexp_replace(concat('file:///', stop_id), '^file://', '') AS path")
+def fn_pretty():
+    return ["stop_pk", S.duration_text(F.col("stop_pk")).alias("took"), S.size_text(F.col("stop_pk") * 262144).alias("size"), S.strip_scheme(F.concat(F.lit("file:///"), F.col("stop_id"))).alias("path")]
+
+
+@query("""SELECT stop_pk, CAST(0 AS INTEGER) AS pos, stop_id AS place_id, CASE WHEN stop_pk % 3 = 0 THEN 'Unknown' ELSE stop_name END AS name, CASE WHEN stop_pk % 2 = 0 THEN '' ELSE stop_id END AS address, CASE WHEN stop_pk % 5 = 0 THEN 0.0::DOUBLE ELSE stop_lat / 4::DOUBLE END AS latitude, CASE WHEN stop_pk % 5 = 0 THEN 0.0::DOUBLE ELSE stop_lon / 4::DOUBLE END AS longitude FROM t_stops WHERE stop_pk % 7 <> 0
+UNION ALL SELECT stop_pk, CAST(1 AS INTEGER), stop_id, 'Unknown', '', 0.0::DOUBLE, 0.0::DOUBLE FROM t_stops WHERE stop_pk % 7 <> 0""", ("t_stops",))
+def src_places(t):
+    """Answers of a place search, one for each stop, some without places and places without fields."""
+    pk = F.col("stop_pk")
+    spot = F.struct((F.col("stop_lat") / 4).alias("latitude"), (F.col("stop_lon") / 4).alias("longitude"))
+    full = F.struct(F.col("stop_id").alias("id"), F.when(pk % 3 != 0, F.struct(F.col("stop_name").alias("text"))).alias("displayName"), F.when(pk % 2 != 0, F.col("stop_id")).alias("formattedAddress"), F.when(pk % 5 != 0, spot).alias("location"))
+    bare = F.struct(F.col("stop_id").alias("id"), F.lit(None).cast("struct<text:string>").alias("displayName"), F.lit(None).cast("string").alias("formattedAddress"), F.lit(None).cast("struct<latitude:double,longitude:double>").alias("location"))
+    answer = F.when(pk % 7 == 0, "{}").otherwise(F.to_json(F.struct(F.array(full, bare).alias("places"))))
+    return places.places(t("t_stops").select("stop_pk", answer.alias("answer")))
+
+
 @scalar(*_SP, "stop_pk, printf('%.4f,%.4f->%.4f,%.4f|5', floor(stop_lat / 1e6::DOUBLE * 1e4 + 0.5) / 1e4, floor(stop_lon / 1e6::DOUBLE * 1e4 + 0.5) / 1e4, -37.8::DOUBLE, 144.9::DOUBLE) AS key")
 def fn_cache_key():
     return ["stop_pk", S.cache_key(S.unpack_coord(F.col("stop_lat")), S.unpack_coord(F.col("stop_lon")), F.lit(-37.8), F.lit(144.9), corridor.TRANSFERS).alias("key")]
@@ -899,7 +927,22 @@ for _name, _order in {"journey_sort_arrival": ["arrival_sec"], "journey_sort_wal
 
 @query()
 def journey_select(t):
-    return _journeys(t).where("journey_no = 1").select("query_id", "arrival_sec", "legs")
+    found = _journeys(t)
+    first = found.select("query_id", F.lit(0).alias("place")).distinct()
+    return raptor.chosen(found, first).select("query_id", "arrival_sec", "legs")
+
+
+@query()
+def journey_compare(t):
+    """Journeys of one round with and without the prune, which must not change the first."""
+    pruned, whole = (raptor.journeys(_searched(t, raptor.Options(rounds=1, prune=p))[0]) for p in (True, False))
+    return raptor.compared(pruned, whole)
+
+
+@query()
+def journey_lines(t):
+    legs = raptor.with_coords(raptor.journey_legs(_journeys(t)), t("t_stops"), t("t_pattern_stops"), t("t_shapes"), t("t_patterns"))
+    return raptor.journey_lines(legs).select("query_id", "journey_no", F.size("coords").alias("n_points"))
 
 
 @query()
