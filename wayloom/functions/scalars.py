@@ -184,6 +184,7 @@ def transfer_label(from_name: Column, to_name: Column, metres: Column, speed: Co
 
 
 def duration_text(seconds: Column) -> Column:
+    """Minutes or seconds to one decimal; halves of the shortest decimal form go up."""
     return F.when(seconds >= 60, F.format_string("%.1fm", seconds / 60)).otherwise(F.format_string("%.1fs", seconds.cast("double")))
 
 

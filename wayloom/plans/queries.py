@@ -595,7 +595,7 @@ def fn_transfer_label():
     return ["stop_pk", S.transfer_label(F.col("stop_name"), to, (F.col("stop_pk") * 7 % 3000).cast("double"), F.lit(1.4)).alias("label")]
 
 
-@scalar(*_SP, "stop_pk, CASE WHEN stop_pk >= 60 THEN printf('%.1fm', stop_pk / 60.0::DOUBLE) ELSE printf('%.1fs', stop_pk::DOUBLE) END AS took, printf('%.1f MB', floor(stop_pk * 262144 / 1048576.0::DOUBLE * 10 + 0.5) / 10) AS size, regexp_replace(concat('file:///', stop_id), '^file://', '') AS path")
+@scalar(*_SP, "stop_pk, CASE WHEN stop_pk >= 60 THEN printf('%.1fm', ((stop_pk * 10 + 30) // 60) / 10.0::DOUBLE) ELSE printf('%.1fs', stop_pk::DOUBLE) END AS took, printf('%.1f MB', floor(stop_pk * 262144 / 1048576.0::DOUBLE * 10 + 0.5) / 10) AS size, regexp_replace(concat('file:///', stop_id), '^file://', '') AS path")
 def fn_pretty():
     return ["stop_pk", S.duration_text(F.col("stop_pk")).alias("took"), S.size_text(F.col("stop_pk") * 262144).alias("size"), S.strip_scheme(F.concat(F.lit("file:///"), F.col("stop_id"))).alias("path")]
 
