@@ -68,6 +68,19 @@ def is_small(df: DataFrame, most: int = 50_000) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def spread_join(rows: DataFrame, found: DataFrame, key: str, by: Column, wide: list[str], salts: int = 16, most_bytes: int = 16 << 20) -> DataFrame:
+    """Left join of rows with found, a checkpointed table of distinct keys, where one key may have any share of rows.
+
+    found is broadcast if its columns of variable size (`wide`) and 32 bytes a row besides hold `most_bytes` at most.
+    Else each of its rows stands under each of `salts`, over which `by` deals the rows, so that a hot key is split.
+    """
+    size = found.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(32)))).first()[0] or 0
+    if size <= most_bytes:
+        return rows.join(F.broadcast(found), key, "left")
+    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
+
+
 # --- numpy kernels over Arrow string columns -------------------------------------------------
 
 _IS_BLANK = np.zeros(256, dtype=bool)
