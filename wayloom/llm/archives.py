@@ -1,13 +1,14 @@
 """Web archives: a converter from legacy ARC files to WARC, with writers and readers of both.
 
-1. `write_arc` writes (url, ip, date, mime, block) rows as ARC files of version 1 or 2, one per task.
+1. `write_arc` writes (url, ip, date, mime, block) rows as ARC files of version 1 or 2, one per partition, so that a file
+   holds what a split of the scan holds, and nothing is shuffled.
 2. `read_arc` reads any such files, gzipped (in one member or many) or not: the version block tells which fields the
    header line of each document has, and the declared length where its block ends. Blocks may hold anything.
 3. `convert` synthesises what WARC has and ARC lacks: record ids (from archive and offset), ISO timestamps, types
    (http responses, version blocks as warcinfo, anything else as resource), block and payload digests.
 4. `mark_revisits` turns records whose payload another one has into revisits of it. Payloads are compared by SHA-256
    and length, on rows without payloads; a payload with any number of copies costs a row each.
-5. `write_warc` and `read_warc`: WARC 1.1 files, one per task, of which each record but the last is read by its length.
+5. `write_warc` and `read_warc`: WARC 1.1 files, one per partition, whose records are read by their declared lengths.
 
 Files are written by Spark's text writer, whose line separator is the format's own record separator, so they lie where
 Spark can write and appear only when their task is done; they are gzipped as a whole, not record by record. A reader
@@ -45,7 +46,6 @@ WARC_VERSION = "WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "20000101000000"  # where a row has none
 LEAST_BYTES = 0  # of a payload that may be revisited
-ARCHIVE_BYTES = 128 << 20  # of blocks in a file, on average
 BATCH_BYTES = 4 << 20
 RECORD = "record_id string, type string, url string, ip string, date string, mime string, status string, head binary, payload binary, payload_bytes long, payload_digest string, block_digest string, payload_key binary, truncated boolean"
 RECORD_NAMES = [x.split()[0] for x in RECORD.split(", ")]
@@ -55,18 +55,13 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def n_files(rows: DataFrame, bytes_: int, archive_bytes: int = ARCHIVE_BYTES) -> int:
-    """Files for so many bytes, at least one for each task that can run at once."""
-    return max(-(-bytes_ // archive_bytes), rows.sparkSession.sparkContext.defaultParallelism)
-
-
 def _written(records: DataFrame, folder: str, separator: str) -> None:
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).text(folder, compression="gzip")
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of the files in a folder; one file to a task."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(folder).select("path", "content").repartition(F.col("path"))
+    """(path, content) of the files in a folder; a task has as many as make up a split of a scan."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(folder).select("path", "content")
 
 
 class _Gunzip(io.RawIOBase):
@@ -354,8 +349,7 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> None:
     """Writes pages as ARC files under folder/arc and converts these to WARC files under folder/warc."""
     spark = pages.sparkSession
-    size = pages.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
-    write_arc(page_blocks(pages, id_col, url_col, html_col).repartition(n_files(pages, size)), f"{folder}/arc")
+    write_arc(page_blocks(pages, id_col, url_col, html_col), f"{folder}/arc")
     light = convert(spark, f"{folder}/arc", with_payload=False)
     light = common.checkpoint(light.select("record_id", "type", page_id().alias("rank"), "payload_key", "payload_bytes"))
     records = mark_revisits(convert(spark, f"{folder}/arc").where("type <> 'warcinfo'"), light, least_bytes)
