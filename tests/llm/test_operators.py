@@ -290,6 +290,17 @@ def test_near_chain_and_groups(spark, rng):
     assert got == brute(texts)
 
 
+def test_near_counts_in_a_tree_and_hubs_in_parts(spark, rng, monkeypatch):
+    """Sums of two tasks each, and hubs whose pairs fall in many parts, give the same components."""
+    monkeypatch.setattr(near, "RACK", 2)
+    monkeypatch.setattr(near, "PART_PAIRS", 3)
+    base = sentence(rng, 60)
+    texts = [edited(rng, base, rng.randrange(3)) for _ in range(40)] + [sentence(rng, 30) for _ in range(20)] + [None, "", "a b"]
+    docs = documents(spark, texts).repartition(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.cluster(docs).collect()}
+    assert got == brute(texts)
+
+
 def test_near_sketches_never_lose_a_pair(rng):
     for _ in range(200):
         a = np.unique(np.array([rng.randrange(2**64) for _ in range(rng.randrange(1, 400))], np.uint64))

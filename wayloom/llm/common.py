@@ -49,7 +49,16 @@ def written(df: DataFrame) -> DataFrame:
     ready_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    table_ = spark.read.schema(df.schema).parquet(folder)
+    table_._folder = folder
+    return table_
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the files of a table that written() made, once nothing reads it any more."""
+    if df is not None and (folder := getattr(df, "_folder", None)):
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def n_words(text: Column) -> Column:

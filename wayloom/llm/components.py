@@ -23,13 +23,18 @@ def connect(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         nodes = nodes.select("node", F.col("node").alias("comp"))
     edges = common.checkpoint(links.union(links.select("b", "a")).toDF("a", "b").distinct())
     roots = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
+    before = None
     while True:
         near = edges.join(roots.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         least = roots.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = least.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         moved = common.written(least.join(jump, "comp", "left").select("node", "old", F.least("comp", "up").alias("comp")))
         roots = moved.select("node", "comp")
+        common.discard(before)
+        before = moved
         if moved.where("comp <> old").isEmpty():
             break
     out = nodes.join(roots.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
-    return common.written(out.select("node", F.coalesce("root", "comp").alias("comp")))
+    found = common.written(out.select("node", F.coalesce("root", "comp").alias("comp")))
+    common.discard(before)
+    return found

@@ -6,14 +6,15 @@ all. Tokens come by hash, but those that many sets hold (`heavy`) stand last, so
 behind what a document has of its own.
 
 1. Documents with one set become one node; from here on nodes count, however many copies there are.
-2. Slots of a hash table are counted in Spark, two bytes for each token: heavy slots first, then, in the prefixes
-   that follow from them, those that two nodes share. Both become bitmaps of at most 2^MOST_BITS bits; past that, more
+2. Slots of a hash table are counted in Spark, two bytes for each token, and added up in a tree over tasks: heavy
+   slots first, then, in the prefixes that follow from them, those that two nodes share. Both become bitmaps of at most 2^MOST_BITS bits; past that, more
    tokens share a slot, the limit of heavy ones rises with the load, and more tokens pass as shared, never fewer.
 3. Nodes with the same prefix and size become one group; a list holds the groups with a token in their prefix. Pairs
    of groups within a list are filtered by size and by where the token stands: with an overlap of o, the first common
    token is among the first n - o + 1 of one and m - o + 1 of the other.
 4. Pairs that are left are expanded to pairs of members, filtered by a sketch (the parity of the tokens in each of
-   512 slots; sets differ in at least as many tokens as slots), and verified exactly on their texts.
+   512 slots; sets differ in at least as many tokens as slots), and verified exactly on their texts: of a pair the node
+   with more pairs is the hub, whose text goes once to each part of its pairs, ahead of the others in a sorted stream.
 5. Of short lists every pair of groups is looked at. In a long list only pairs that may still join two components
    count: all against one (the hub), again with another hub as long as that leaves a quarter fewer pairs, and then
    all that stand outside a list's main component against all others, in blocks of bounded work. So a list of near
@@ -35,6 +36,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ BLOCK = 1 << 22  # pairs of a long list that one key of the last turn looks at
 FEW = 512  # looks for each entry of the long lists left, up to which the last turn comes at once
 SMALL = 500_000  # rows of 16 bytes each, at most, that are broadcast
 HELD = 1 << 21  # tokens that a task holds before it passes them on
+RACK = 256  # tasks, or sums of so many, whose counts one group adds up
+PART_PAIRS = 1024  # pairs of a hub that are verified together
 _SEED = np.uint64(0xA0761D6478BD642F)
 _SKETCHES = [f"s{i}" for i in range(SKETCH)]
 
@@ -161,19 +165,19 @@ class Join:
     # --- which tokens are heavy, which are shared -----------------------------------------------
 
     def _counted(self, bits: int, heavy: np.ndarray | None, most: int) -> DataFrame:
-        """(block, slots): the slots of each node's first tokens, 2^16 to a block; of one slot `most` from a task's hold
-        at most, and of a node's copies in a task one. Without heavy, twice the prefix by hash is taken."""
+        """(part, block, slots): the slots of each node's first tokens, 2^16 to a block; of one slot `most` from a task's
+        hold at most, and of a node's copies in a task one. Without heavy, twice the prefix by hash is taken."""
         words, least, order = self.words, self.least, self.spark.sparkContext.broadcast(heavy)
 
-        def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        def out(held: list[np.ndarray], part: int) -> pa.RecordBatch:
             slot, count = np.unique(slots_of(np.concatenate(held), bits), return_counts=True)
             slot = np.repeat(slot, np.minimum(count, most))
             block, first = np.unique(slot >> 16, return_index=True)
             ends = np.diff(np.append(first, len(slot)))
-            return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), _lists(ends, pa.array(((slot & 65535) - 32768).astype(np.int16)))], names=["block", "slots"])
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(block), pa.int32()), pa.array(block.astype(np.int32)), _lists(ends, pa.array(((slot & 65535) - 32768).astype(np.int16)))], names=["part", "block", "slots"])
 
         def run(batches):
-            seen, held, n = set(), [], 0
+            part, seen, held, n = TaskContext.get().partitionId() // RACK, set(), [], 0
             for _, sets in _sets(batches, words):
                 for s in sets:
                     if len(s) and (node := fingerprint(s)) not in seen:
@@ -181,26 +185,45 @@ class Join:
                         held.append(s[: 2 * prefix_size(len(s), least)] if order.value is None else prefix(s, order.value, least))
                         n += len(held[-1])
                 if n >= HELD:
-                    yield out(held)
+                    yield out(held, part)
                     held, n = [], 0
             if n:
-                yield out(held)
+                yield out(held, part)
 
-        return self.docs.select("text").mapInArrow(run, "block int, slots array<short>")
+        return self.docs.select("text").mapInArrow(run, "part int, block int, slots array<short>")
 
     def _bitmap(self, bits: int, heavy: np.ndarray | None, least_count: int) -> np.ndarray:
-        """A bitmap of 2^bits slots with those that are counted so often set."""
+        """A bitmap of 2^bits slots with those that are counted so often set. Counts are added up in a tree of groups
+        that take RACK tasks, then RACK sums each, so that no group grows with the number of tasks."""
+        parts = -(-self.docs.rdd.getNumPartitions() // RACK)
+        kind = np.min_scalar_type(least_count)  # sums stop at least_count
 
-        def often(pdf: pd.DataFrame) -> pd.DataFrame:
+        def row(part: int, block: int, counts: np.ndarray, last: bool) -> pd.DataFrame:
+            held = np.packbits(counts >= least_count, bitorder="little") if last else np.minimum(counts, least_count).astype(kind)
+            return pd.DataFrame({"part": [part // RACK], "block": [block], "held": [held.tobytes()]})
+
+        def counted(pdf: pd.DataFrame) -> pd.DataFrame:
             counts = np.zeros(1 << 16, np.int64)
             for slots in pdf["slots"]:
                 counts += np.bincount(slots.astype(np.int64) + 32768, minlength=1 << 16)
-            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [np.packbits(counts >= least_count, bitorder="little").tobytes()]})
+            return row(pdf["part"].iloc[0], pdf["block"].iloc[0], counts, parts == 1)
+
+        def added(last: bool):
+            def add(pdf: pd.DataFrame) -> pd.DataFrame:
+                counts = np.zeros(1 << 16, np.int64)
+                for held in pdf["held"]:
+                    counts += np.frombuffer(held, kind)
+                return row(pdf["part"].iloc[0], pdf["block"].iloc[0], counts, last)
 
-        blocks = self._counted(bits, heavy, least_count).groupBy("block").applyInPandas(often, "block int, bits binary")
+            return add
+
+        blocks = self._counted(bits, heavy, least_count).groupBy("part", "block").applyInPandas(counted, "part int, block int, held binary")
+        while parts > 1:
+            parts = -(-parts // RACK)
+            blocks = blocks.groupBy("part", "block").applyInPandas(added(parts == 1), "part int, block int, held binary")
         bitmap = np.zeros((1 << (bits - 16), 1024), np.uint64)
-        for row in blocks.collect():  # 2^bits / 8 bytes in all
-            bitmap[row["block"]] = np.frombuffer(row["bits"], np.uint64)
+        for row_ in blocks.select("block", "held").collect():  # 2^bits / 8 bytes in all
+            bitmap[row_["block"]] = np.frombuffer(row_["held"], np.uint64)
         return bitmap.ravel()
 
     def _emit(self) -> DataFrame:
@@ -249,24 +272,36 @@ class Join:
         row_key = F.xxhash64("doc_id", "text_hash")
         sides = pairs.join(members.drop("grp").withColumnRenamed("node", "a"), "a").join(members.drop("grp").toDF("b", "m", *[f"o_{s}" for s in _SKETCHES]), "b")
         pairs = common.checkpoint(sides.where(sketches_agree(least)).select("a", "b"))
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        rows = self.sets.where("grp is not null").join(needed, "node", "left_semi").groupBy("node").agg(F.min(row_key).alias("row_key"))
-        hint = F.broadcast if common.is_small(pairs, SMALL // 2) else lambda x: x  # two nodes to a pair at most
+        small = common.is_small(pairs, SMALL // 2)  # two nodes to a pair at most
+        hint = F.broadcast if small else lambda x: x
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("k"))
+        ends = common.checkpoint(ends)
+        rows = self.sets.where("grp is not null").join(hint(ends), "node", "left_semi").groupBy("node").agg(F.min(row_key).alias("row_key"))
         texts = self.docs.select(row_key.alias("row_key"), "text").join(hint(rows), "row_key").select("node", "text").dropDuplicates(["node"])
-        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        # the end with more pairs is the hub: its text goes once to each part of PART_PAIRS others
+        sided = pairs.join(hint(ends.toDF("a", "ka")), "a").join(hint(ends.toDF("b", "kb")), "b")
+        first = F.col("ka") >= F.col("kb")
+        sided = sided.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.ceil(F.greatest("ka", "kb") / PART_PAIRS).cast("int").alias("parts"))
+        others = sided.select("hub", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part"), "other").join(texts.toDF("other", "text"), "other")
+        hubs = sided.groupBy("hub").agg(F.max("parts").alias("parts")).join(texts.toDF("hub", "text"), "hub")
+        hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("other"), "text")
+        dealt = others.select("hub", "part", "other", "text").unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "other")
 
         def check(batches):
-            for batch in batches:
-                for part in common.slices(batch, "text_a"):
-                    a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                    sets: dict[int, np.ndarray] = {}
-                    for nodes, name in ((a, "text_a"), (b, "text_b")):
-                        new = {x: i for i, x in enumerate(nodes) if x not in sets}
-                        sets |= zip(new, shingles(*common.bytes_of(part.column(name).take(pa.array(list(new.values()), pa.int64()))), words), strict=True)
-                    good = [100 * (both := len(np.intersect1d(sets[x], sets[y], assume_unique=True))) >= least * (len(sets[x]) + len(sets[y]) - both) for x, y in zip(a, b, strict=True)]
-                    yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-        return pairs, common.checkpoint(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
+            mine = None  # the set of the hub whose others come next
+            for part, sets in _sets(batches, words):
+                good = []
+                for other, s in zip(part.column("other").to_pylist(), sets, strict=True):
+                    if other is None:
+                        mine = s
+                        good.append(False)
+                        continue
+                    both = len(np.intersect1d(mine, s, assume_unique=True))
+                    good.append(100 * both >= least * (len(mine) + len(s) - both))
+                yield part.select(["hub", "other"]).filter(pa.array(good, pa.bool_()))
+
+        found = dealt.mapInArrow(check, "hub long, other long").select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"))
+        return pairs, common.checkpoint(found)
 
     # --- pairs -----------------------------------------------------------------------------------
 
