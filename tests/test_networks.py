@@ -96,7 +96,7 @@ def net(spark):
 
 def test_lowest_sequence_boards_first(spark):
     stops, times, q = net(spark)
-    found, _ = raptor.search(q, stops, ps(spark, [1, 2, 3]), times)
+    found = raptor.search(q, stops, ps(spark, [1, 2, 3]), times)
     best = raptor.journeys(found).where("legs > 0").collect()
     assert [(r["arrival_sec"], r["legs"]) for r in best][0] == (30_000, 1)
     ride = [x for x in best[0]["legs_taken"] if x["kind"] == "transit"][0]
@@ -106,8 +106,8 @@ def test_lowest_sequence_boards_first(spark):
 def test_trip_numbered_otherwise_never_rides(spark):
     stops, times, q = net(spark)
     shifted = times.withColumn("stop_sequence", F.col("stop_sequence") * 10)
-    found, _ = raptor.search(q, stops, ps(spark, [1, 2, 3]), shifted)
-    assert found.where("legs > 0").count() == 0
+    found = raptor.search(q, stops, ps(spark, [1, 2, 3]), shifted)
+    assert found.found.where("legs > 0").count() == 0
 
 
 def test_pareto_keeps_ties(spark):

@@ -6,6 +6,7 @@ All tables carry query_id, so that many searches run as one batch.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,54 +97,75 @@ def levels(edges: DataFrame, origins: DataFrame, destinations: DataFrame, transf
     """
     walks, rides = (edges.where(F.col("kind") == k).select("src", "dst") for k in ("walk", "transit"))
     cap = max(1, transfers) + 1
-    seen = cut(origins.select("query_id", "stop_pk").distinct().withColumns({"level": F.lit(0), "arrived": F.lit(True)}))
-    tree, hits = None, None
+    arrived = cut(origins.select("query_id", "stop_pk").distinct())
+    pieces = [arrived.withColumn("level", F.lit(0))]  # each level's stops, each table made once
+    tree, goals = [], destinations.select("query_id", "stop_pk").distinct()
     for level in range(cap):
-        front = seen.where((F.col("level") == level) & F.col("arrived")).select("query_id", F.col("stop_pk").alias("src"))
-        if hits is not None:
-            front = front.join(hits.where(F.col("first_hit") + MARGIN < level), "query_id", "left_anti")
-        if front.isEmpty():
-            break
+        seen = reduce(DataFrame.unionByName, pieces)
+        hits = _hits(seen, goals)
+        # one walk from what has arrived and isn't done
+        done = hits.where(F.col("first_hit") + MARGIN < level)
+        front = arrived.join(done, "query_id", "left_anti").select("query_id", F.col("stop_pk").alias("src"))
         known = seen.select("query_id", F.col("stop_pk").alias("dst"), F.col("level").alias("have"))
         step = front.join(walks, "src").join(known, ["query_id", "dst"], "left").where(F.col("have").isNull() | (F.col("have") == level)).where("src <> dst")
-        walked = cut(step.select("query_id", F.col("src").alias("parent"), F.col("dst").alias("child"), F.lit(level).alias("level"), F.col("have").isNull().alias("new")))
-        fresh = walked.where("new").select("query_id", F.col("child").alias("stop_pk"), F.lit(level).alias("level"), F.lit(False).alias("arrived")).distinct()
-        seen = cut(seen.unionByName(fresh))
-        board = front.select("query_id", "src").union(fresh.select("query_id", "stop_pk")).distinct()
-        found = board.join(destinations.select("query_id", F.col("stop_pk").alias("src")), ["query_id", "src"], "left_semi").select("query_id").distinct().withColumn("first_hit", F.lit(level))
-        hits = cut(found if hits is None else hits.unionByName(found.join(hits, "query_id", "left_anti")))
-        board = board.join(hits.where(F.col("first_hit") + MARGIN < level), "query_id", "left_anti")
-        known = seen.select("query_id", F.col("stop_pk").alias("dst"))
-        rode = cut(board.join(rides, "src").join(known, ["query_id", "dst"], "left_anti").select("query_id", F.col("src").alias("parent"), F.col("dst").alias("child"), F.lit(level + 1).alias("level")).distinct())
-        seen = cut(seen.unionByName(rode.select("query_id", F.col("child").alias("stop_pk"), "level", F.lit(True).alias("arrived")).distinct()))
-        both = walked.select("query_id", "parent", "child", "level").distinct().unionByName(rode)
-        tree = both if tree is None else tree.unionByName(both)
-    if tree is None:
-        tree = origins.select("query_id", F.col("stop_pk").alias("parent"), F.col("stop_pk").alias("child"), F.lit(0).alias("level")).limit(0)
-    if hits is None:
-        hits = origins.select("query_id", F.lit(0).alias("first_hit")).limit(0)
-    return seen.select("query_id", "stop_pk", "level"), tree, hits
-
-
-def paths(found: DataFrame, tree: DataFrame, hits: DataFrame, origins: DataFrame, destinations: DataFrame, most: int = MOST_PATHS) -> DataFrame:
+        walked = cut(step.select("query_id", F.col("src").alias("parent"), F.col("dst").alias("child"), F.lit(level).alias("level"), F.col("have").isNull().alias("new")).distinct())
+        fresh = walked.where("new").select("query_id", F.col("child").alias("stop_pk"), "level").distinct()
+        # one ride from all that stands at this level, unless a walk has reached a destination in time
+        seen = seen.unionByName(fresh)
+        done = _hits(seen, goals).where(F.col("first_hit") + MARGIN < level)
+        board = front.unionByName(fresh.select("query_id", F.col("stop_pk").alias("src"))).join(done, "query_id", "left_anti")
+        rode = cut(board.join(rides, "src").join(seen.select("query_id", F.col("stop_pk").alias("dst")), ["query_id", "dst"], "left_anti").select("query_id", F.col("src").alias("parent"), F.col("dst").alias("child"), F.lit(level + 1).alias("level")).distinct())
+        arrived = rode.select("query_id", F.col("child").alias("stop_pk")).distinct()
+        pieces += [fresh, arrived.withColumn("level", F.lit(level + 1))]
+        tree += [walked.drop("new"), rode]
+        if rode.isEmpty():
+            break
+    seen = cut(reduce(DataFrame.unionByName, pieces))
+    # what the last level's rides reach is never boarded from
+    hits = _hits(seen.where(F.col("level") < cap), goals)
+    return seen, cut(reduce(DataFrame.unionByName, tree)), cut(hits)
+
+
+def _hits(seen: DataFrame, goals: DataFrame) -> DataFrame:
+    """(query_id, first_hit): the first level with a destination."""
+    return seen.join(goals, ["query_id", "stop_pk"], "left_semi").groupBy("query_id").agg(F.min("level").alias("first_hit"))
+
+
+def paths(found: DataFrame, tree: DataFrame, hits: DataFrame, origins: DataFrame, destinations: DataFrame, most: int = MOST_PATHS, sizes: list[int] | None = None) -> DataFrame:
     """(query_id, path): simple paths from origins back from each destination found in time, `most` a query in the
-    order of destination and path. destinations: (query_id, stop_pk[, rank])."""
+    order of destination, number of stops and path. destinations: (query_id, stop_pk[, rank]).
+
+    All partial paths of a turn have the same number of stops. Of those with the same destination, first stop and other
+    stops on that stop's level, the `most` first are kept: what can be put before one can be put before all, since
+    parents never lie on a higher level. And a destination is left once `most` paths stand before all it can still give.
+    So the frontier grows with the stops, not with the paths. sizes, if given, receives the rows of each turn.
+    """
     rank = "rank" if "rank" in destinations.columns else "stop_pk"
     ends = destinations.select("query_id", "stop_pk", F.col(rank).alias("dest")).join(found, ["query_id", "stop_pk"]).join(hits, "query_id").where(F.col("level") <= F.col("first_hit") + MARGIN)
+    none = F.array().cast("array<bigint>")
+    partial = cut(ends.select("query_id", "dest", F.col("stop_pk").alias("head"), "level", F.array("stop_pk").alias("path"), none.alias("beside")))
+    dests = partial.select("query_id", "dest").distinct()
     first = origins.select("query_id", F.col("stop_pk").alias("head")).distinct().withColumn("done", F.lit(True))
-    partial = ends.select("query_id", "dest", F.col("stop_pk").alias("head"), F.array("stop_pk").alias("path"))
-    complete, links = None, tree.select("query_id", "parent", F.col("child").alias("head")).distinct()
+    links = tree.select("query_id", "parent", F.col("child").alias("head")).distinct().join(found.select("query_id", F.col("stop_pk").alias("parent"), F.col("level").alias("above")), ["query_id", "parent"])
+    links, complete = cut(links), []
     for _ in range(4 * (TRANSFERS + 2)):
-        marked = cut(partial.join(first, ["query_id", "head"], "left"))
-        ready = marked.where("done").select("query_id", "dest", "path")
-        complete = ready if complete is None else complete.unionByName(ready)
-        rest = marked.where("done IS NULL")
-        if rest.isEmpty():
-            break
+        marked = partial.join(first, ["query_id", "head"], "left")
+        complete.append(cut(marked.where("done").select("query_id", "dest", "path")))
+        counts = reduce(DataFrame.unionByName, complete).groupBy("query_id", "dest").agg(F.count("*").alias("n"))
+        upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("query_id").orderBy("dest"))  # the destinations of one query
+        enough = dests.join(counts, ["query_id", "dest"], "left").withColumn("upto", upto).where(F.col("upto") >= most).select("query_id", "dest")
+        rest = marked.where("done IS NULL").join(enough, ["query_id", "dest"], "left_anti")
         grown = rest.join(links, ["query_id", "head"]).where(~F.array_contains("path", F.col("parent")))
-        partial = grown.select("query_id", "dest", F.col("parent").alias("head"), F.concat(F.array("parent"), "path").alias("path"))
+        beside = F.when(F.col("above") == F.col("level"), F.array_sort(F.concat("beside", F.array("head")))).otherwise(none)
+        grown = grown.select("query_id", "dest", F.col("parent").alias("head"), F.col("above").alias("level"), F.concat(F.array("parent"), "path").alias("path"), beside.alias("beside"))
+        place = F.row_number().over(Window.partitionBy("query_id", "dest", "head", "beside").orderBy("path"))
+        partial = cut(grown.withColumn("_place", place).where(F.col("_place") <= most).drop("_place"))
+        if sizes is not None:
+            sizes.append(partial.count())
+        if partial.isEmpty():
+            break
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("dest", F.size("path"), "path"))
-    return complete.withColumn("path_no", order).where(F.col("path_no") <= most).select("query_id", "path_no", "path")
+    return reduce(DataFrame.unionByName, complete).withColumn("path_no", order).where(F.col("path_no") <= most).select("query_id", "path_no", "path")
 
 
 def segments(polylines: DataFrame) -> DataFrame:

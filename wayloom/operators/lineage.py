@@ -21,6 +21,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a cut table, at most, that are broadcast.
+SMALL = 200_000
+
+
 def publish(tables: dict[str, DataFrame], mark: str, path: str) -> None:
     """Write tables to a folder of their own and, last, one row that names it: readers see all of them or none, and
     the version before stays whole meanwhile. Older versions are left for their owner to remove."""

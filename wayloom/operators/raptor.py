@@ -1,25 +1,32 @@
 """Round-based earliest-arrival search over a batch of queries, and the Pareto-optimal journeys.
 
-Labels are rows (query_id, stop_pk, arr, legs, walk_m, trace); trace holds the legs taken so far, so that a journey is
-read off its own label and no later round can change it. Each round is a chain of joins over the labels that the
-round before improved; rounds are bounded, and the lineage is cut after each. Within a round everything is read as it
-stood at its start.
+A label is one row of fixed width: when a query arrives at a stop in a step, and which label of an earlier step it came
+from. Step 0 holds the walks to the first stops, step 2r - 1 the rides of round r, step 2r the walks behind them; a query
+has one label for each stop and step. Each step is a table of its own that no later one changes, so a journey is read by
+following pointers from its last label through the steps backwards, for the journeys that are kept only.
+
+A round reads the timetable twice, as it lies: boardings take one row of the departure index each, rides the rows of the
+boarded trips. The frontier is bounded by the trim, so it is broadcast where its count says that it's small, and
+shuffled where not. Within a step everything is read as it stood at its start.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import timetable
 from .corridor import points, ranked
 from .graph import both_ways, near_pairs
-from .lineage import cut
+from .lineage import SMALL, cut
 
 LEG = "struct<kind:string,from_pk:bigint,to_pk:bigint,trip_pk:bigint,pattern_pk:bigint,board_seq:bigint,alight_seq:bigint,start_sec:bigint,end_sec:bigint,dist_m:double>"
-LABEL = ["query_id", "stop_pk", "arr", "legs", "walk_m", "trace"]
+#: What a label holds besides query_id and stop_pk, in the order that decides between labels of one stop and step.
+HELD = {"arr": "bigint", "legs": "bigint", "walk_m": "double", "from_pk": "bigint", "from_step": "int", "trip_pk": "bigint", "pattern_pk": "bigint", "board_seq": "bigint", "alight_seq": "bigint", "start_sec": "bigint", "dist_m": "double"}
 
 
 @dataclass(frozen=True)
@@ -41,18 +48,20 @@ def walk_secs(metres: Column, speed: float) -> Column:
     return S.half_up(metres / speed).cast("bigint")
 
 
-def _leg(**values) -> Column:
-    fields = [x.split(":") for x in LEG[7:-1].split(",")]
-    return F.struct(*[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+def _label(stop_pk: str | Column, **values: Column) -> list[Column]:
+    stop = F.col(stop_pk) if isinstance(stop_pk, str) else stop_pk
+    return [F.col("query_id"), stop.alias("stop_pk"), *[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in HELD.items()]]
+
+
+def _from_origin(rows: DataFrame, o: Options) -> DataFrame:
+    """Labels of walks from the origin; rows: (query_id, stop_pk, depart_sec, dist_m)."""
+    return rows.select(*_label("stop_pk", arr=F.col("depart_sec") + walk_secs(F.col("dist_m"), o.speed), legs=F.lit(0), walk_m=F.col("dist_m"), start_sec=F.col("depart_sec"), dist_m=F.col("dist_m")))
 
 
 def seed(queries: DataFrame, stops: DataFrame, o: Options) -> DataFrame:
     """The labels of the stops nearest each origin. queries: (query_id, o_lat, o_lon, d_lat, d_lon, depart_sec)."""
     near = ranked(queries.selectExpr("query_id", "o_lat AS at_lat", "o_lon AS at_lon"), stops, o.nearby)
-    rows = near.join(queries.select("query_id", "depart_sec"), "query_id")
-    arr = F.col("depart_sec") + walk_secs(F.col("dist_m"), o.speed)
-    leg = _leg(kind=F.lit("walk"), to_pk=F.col("stop_pk"), start_sec=F.col("depart_sec"), end_sec=arr, dist_m=F.col("dist_m"))
-    return rows.select("query_id", "stop_pk", arr.alias("arr"), F.lit(0).cast("bigint").alias("legs"), F.col("dist_m").alias("walk_m"), F.array(leg).alias("trace"))
+    return _from_origin(near.join(queries.select("query_id", "depart_sec"), "query_id"), o)
 
 
 def destinations(queries: DataFrame, stops: DataFrame, o: Options) -> DataFrame:
@@ -60,10 +69,12 @@ def destinations(queries: DataFrame, stops: DataFrame, o: Options) -> DataFrame:
 
 
 def candidates(labels: DataFrame, ends: DataFrame, o: Options) -> DataFrame:
-    """A journey for each label at a stop near the destination."""
+    """A journey for each label (with its step) at a stop near the destination; of a round's ride and walk to one stop
+    the walk, which is earlier."""
     rows = labels.join(ends, ["query_id", "stop_pk"])
+    rows = rows.withColumn("_last", F.max("step").over(Window.partitionBy("query_id", "stop_pk", F.ceil(F.col("step") / 2)))).where("step = _last")
     arrival = F.col("arr") + walk_secs(F.col("final_m"), o.speed)
-    return rows.select("query_id", "stop_pk", "final_m", arrival.alias("arrival_sec"), (F.col("walk_m") + F.col("final_m")).alias("total_walk_m"), "legs", "trace")
+    return rows.select("query_id", "stop_pk", "step", "final_m", "arr", arrival.alias("arrival_sec"), (F.col("walk_m") + F.col("final_m")).alias("total_walk_m"), "legs")
 
 
 def prune(marked: DataFrame, best: DataFrame, to_go: DataFrame, o: Options) -> DataFrame:
@@ -88,91 +99,124 @@ def trim(marked: DataFrame, seed_stops: DataFrame | None, o: Options) -> DataFra
     return rows.where((F.col("_tier") < 2) | (F.col("_all") <= o.most_marked) | (F.col("_turn") <= o.most_marked)).drop("_seed", "_near", "_all", "_tier", "_turn")
 
 
-def board(marked: DataFrame, stop_times: DataFrame, pattern_stops: DataFrame) -> DataFrame:
-    """The trip that each query boards on each pattern: at its lowest marked stop with a departure in time, the
-    first such departure. stop_times: (trip_pk, pattern_pk, stop_pk, stop_sequence, arrival_sec, departure_sec)."""
-    keys = [k for k in ("query_id", "stop_pk", "pattern_pk") if k in stop_times.columns]
-    at = marked.join(pattern_stops.select("stop_pk", "pattern_pk", F.col("stop_sequence").alias("pattern_seq")), "stop_pk")
-    rows = at.join(stop_times.select(*keys, "trip_pk", "stop_sequence", "departure_sec"), keys).where(F.col("departure_sec") >= F.col("arr"))
-    # the least row of each pattern, taken map-side first: later departures never leave their task
-    first = F.min(F.struct("pattern_seq", "departure_sec", "trip_pk", "stop_sequence", "stop_pk", "legs", "walk_m", "trace"))
+def board(marked: DataFrame, index: DataFrame, pattern_stops: DataFrame) -> DataFrame:
+    """The trip that each query boards on each pattern: at its lowest marked stop with a departure in time, the first
+    such departure. marked: labels with their step; index: timetable.departure_index, one row of which each marked stop
+    of a pattern reads."""
+    keys = [k for k in ("query_id", "stop_pk", "pattern_pk", "bucket") if k in index.columns]
+    at = marked.select("query_id", "stop_pk", "step", "arr", "legs", "walk_m", timetable.bucket_of(F.col("arr")).alias("bucket"))
+    at = if_smaller(at, marked).join(pattern_stops.select("stop_pk", "pattern_pk", F.col("stop_sequence").alias("pattern_seq")), "stop_pk")
+    rows = index.join(if_smaller(at, marked), keys).withColumn("d", timetable.first_from(F.col("arr"))).where("d IS NOT NULL")
+    first = F.min(F.struct("pattern_seq", "d.departure_sec", "d.trip_pk", "d.stop_sequence", "stop_pk", "legs", "walk_m", "step"))
     return rows.groupBy("query_id", "pattern_pk").agg(first.alias("b")).select("query_id", "pattern_pk", "b.*").drop("pattern_seq")
 
 
+def if_smaller(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df, marked for broadcast if the table it was made from was counted and found small."""
+    return F.broadcast(df) if getattr(like, "_small", False) else df
+
+
+def counted(df: DataFrame, times: int = 1) -> tuple[DataFrame, int]:
+    """A cut table with its number of rows; tables made of it, of up to `times` as many rows, may be broadcast if small."""
+    df = cut(df)
+    n = df.count()
+    df._small = n * times <= SMALL
+    return df, n
+
+
 def ride(boarded: DataFrame, stop_times: DataFrame, pattern_stops: DataFrame) -> DataFrame:
     """A label at each later stop of the boarded trips. Trip and pattern must number their stops alike."""
     keys = [k for k in ("query_id", "trip_pk") if k in stop_times.columns]
     starts = pattern_stops.select("pattern_pk", F.col("stop_sequence").alias("board_seq")).distinct()
-    b = boarded.select("query_id", "trip_pk", "pattern_pk", F.col("stop_pk").alias("board_pk"), F.col("stop_sequence").alias("board_seq"), F.col("departure_sec").alias("board_sec"), "legs", "walk_m", "trace").join(starts, ["pattern_pk", "board_seq"], "left_semi")
+    b = boarded.select("query_id", "trip_pk", "pattern_pk", F.col("stop_pk").alias("board_pk"), F.col("stop_sequence").alias("board_seq"), F.col("departure_sec").alias("board_sec"), "legs", "walk_m", "step").join(starts, ["pattern_pk", "board_seq"], "left_semi")
     later = stop_times.select(*keys, "stop_pk", "stop_sequence", "arrival_sec")
-    rows = b.join(later, keys).where(F.col("stop_sequence") > F.col("board_seq")).join(pattern_stops.select("pattern_pk", "stop_pk", "stop_sequence"), ["pattern_pk", "stop_pk", "stop_sequence"], "left_semi")
-    leg = _leg(kind=F.lit("transit"), from_pk=F.col("board_pk"), to_pk=F.col("stop_pk"), trip_pk=F.col("trip_pk"), pattern_pk=F.col("pattern_pk"), board_seq=F.col("board_seq"), alight_seq=F.col("stop_sequence"), start_sec=F.col("board_sec"), end_sec=F.col("arrival_sec"))
-    return rows.select("query_id", "stop_pk", F.col("arrival_sec").alias("arr"), (F.col("legs") + 1).alias("legs"), "walk_m", F.concat("trace", F.array(leg)).alias("trace"))
+    rows = later.join(if_smaller(b, boarded), keys).where(F.col("stop_sequence") > F.col("board_seq")).join(pattern_stops.select("pattern_pk", "stop_pk", "stop_sequence"), ["pattern_pk", "stop_pk", "stop_sequence"], "left_semi")
+    return rows.select(*_label("stop_pk", arr=F.col("arrival_sec"), legs=F.col("legs") + 1, walk_m=F.col("walk_m"), from_pk=F.col("board_pk"), from_step=F.col("step"), trip_pk=F.col("trip_pk"), pattern_pk=F.col("pattern_pk"), board_seq=F.col("board_seq"), alight_seq=F.col("stop_sequence"), start_sec=F.col("board_sec")))
 
 
 def relax(labels: DataFrame, best: DataFrame) -> DataFrame:
     """The earliest of the labels at each stop, where it is earlier than the best known arrival."""
-    least = labels.groupBy("query_id", "stop_pk").agg(F.min(F.struct("arr", "legs", "walk_m", "trace")).alias("l")).select("query_id", "stop_pk", "l.*")
-    known = best.select("query_id", "stop_pk", F.col("arr").alias("_have"))
-    return least.join(known, ["query_id", "stop_pk"], "left").where(F.col("_have").isNull() | (F.col("arr") < F.col("_have"))).select(*LABEL)
+    least = labels.groupBy("query_id", "stop_pk").agg(F.min(F.struct(*HELD)).alias("l")).select("query_id", "stop_pk", "l.*")
+    known = best.groupBy("query_id", "stop_pk").agg(F.min("arr").alias("_have"))
+    return least.join(known, ["query_id", "stop_pk"], "left").where(F.col("_have").isNull() | (F.col("arr") < F.col("_have"))).drop("_have")
 
 
 def walk_on(labels: DataFrame, footpaths: DataFrame, o: Options) -> DataFrame:
-    """One walk from each label. footpaths: (src, dst, dist_m)."""
-    rows = labels.join(footpaths.withColumnRenamed("src", "stop_pk"), "stop_pk")
-    arr = F.col("arr") + walk_secs(F.col("dist_m"), o.speed)
-    leg = _leg(kind=F.lit("walk"), from_pk=F.col("stop_pk"), to_pk=F.col("dst"), start_sec=F.col("arr"), end_sec=arr, dist_m=F.col("dist_m"))
-    return rows.select("query_id", F.col("dst").alias("stop_pk"), arr.alias("arr"), "legs", (F.col("walk_m") + F.col("dist_m")).alias("walk_m"), F.concat("trace", F.array(leg)).alias("trace"))
-
-
-def merge(best: DataFrame, better: DataFrame) -> DataFrame:
-    return best.join(better.select("query_id", "stop_pk"), ["query_id", "stop_pk"], "left_anti").select(*LABEL).unionByName(better.select(*LABEL))
+    """One walk from each label (with its step). footpaths: (src, dst, dist_m)."""
+    own = labels.select("query_id", F.col("stop_pk").alias("src"), "arr", "legs", "walk_m", "step")
+    rows = footpaths.join(if_smaller(own, labels), "src")
+    return rows.select(*_label("dst", arr=F.col("arr") + walk_secs(F.col("dist_m"), o.speed), legs=F.col("legs"), walk_m=F.col("walk_m") + F.col("dist_m"), from_pk=F.col("src"), from_step=F.col("step"), start_sec=F.col("arr"), dist_m=F.col("dist_m")))
 
 
 def footpaths(stops: DataFrame, o: Options) -> DataFrame:
     return both_ways(near_pairs(stops, o.transfer_m))
 
 
-def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, o: Options = Options(), allowed: DataFrame | None = None, seed_stops: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(candidates of all rounds, marked stops of each round: query_id, round, stop_pk, arr).
+@dataclass
+class Searched:
+    """found: candidates of all rounds; steps: the labels of each step, tables that journeys are read from."""
+
+    found: DataFrame
+    steps: list[DataFrame]
+
+    def marked(self) -> DataFrame:
+        """(query_id, round, stop_pk, arr): the stops that each round marked, each with its last label."""
+        rounds = [self.steps[0].select("query_id", F.lit(0).alias("round"), "stop_pk", "arr")]
+        for i in range(1, len(self.steps) - 1, 2):
+            rounds.append(last_of(self.steps[i], self.steps[i + 1]).select("query_id", F.lit((i + 1) // 2).alias("round"), "stop_pk", "arr"))
+        return reduce(DataFrame.unionByName, rounds)
+
+
+def last_of(rode: DataFrame, walked: DataFrame) -> DataFrame:
+    """Of the labels of a round's two steps, those that walks made where both have one."""
+    return rode.join(walked.select("query_id", "stop_pk"), ["query_id", "stop_pk"], "left_anti").unionByName(walked)
+
+
+def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, o: Options = Options(), allowed: DataFrame | None = None, seed_stops: DataFrame | None = None) -> Searched:
+    """Searches for a batch of queries.
 
-    allowed: (query_id, stop_pk) of each query's corridor; None for the whole network.
+    stop_times: (trip_pk, pattern_pk, stop_pk, stop_sequence, arrival_sec, departure_sec), with query_id where each query
+    has its own. allowed: (query_id, stop_pk) of each query's corridor; None for the whole network.
     """
     def inside(rows: DataFrame) -> DataFrame:
         return rows if allowed is None else rows.join(allowed, ["query_id", "stop_pk"], "left_semi")
 
-    queries = cut(queries)
+    queries, n_queries = counted(queries)
+    place, pattern_stops = cut(points(stops)), cut(pattern_stops)
+    n_patterns = pattern_stops.select("pattern_pk").distinct().count()
     if allowed is None:
-        best, ends = seed(queries, stops, o), destinations(queries, stops, o)
+        first, ends = seed(queries, stops, o), destinations(queries, stops, o)
     else:
-        best, ends = _within(queries, stops, allowed, o)
-    best, ends = cut(best), cut(ends)
-    steps = cut(footpaths(stops, o))
-    goal = queries.select("query_id", "d_lat", "d_lon")
-    place = points(stops)
-    marked, found = best, cut(candidates(best, ends, o))
-    history = best.select("query_id", F.lit(0).alias("round"), "stop_pk", "arr")
+        first, ends = _within(queries, place, allowed, o)
+    index = cut(timetable.departure_index(stop_times, tuple(k for k in ("query_id",) if k in stop_times.columns)))
+    steps, ends = [cut(first.withColumn("step", F.lit(0)))], cut(ends)
+    ends._small = n_queries * o.nearby <= SMALL
+    paths = cut(footpaths(stops, o))
+    goal = if_smaller(queries.select("query_id", "d_lat", "d_lon"), queries)
+    marked = steps[0]
     for turn in range(1, o.rounds + 1):
+        known = reduce(DataFrame.unionByName, steps)
         go = S.haversine_m(F.col("lat"), F.col("lon"), F.col("d_lat"), F.col("d_lon"))
-        near = marked.join(place, "stop_pk").join(goal, "query_id").select("query_id", "stop_pk", go.alias("go_m"))
-        top = found.groupBy("query_id").agg(F.min("arrival_sec").alias("best_sec"))
+        near = marked.select("query_id", "stop_pk").join(place, "stop_pk").join(goal, "query_id").select("query_id", "stop_pk", go.alias("go_m"))
+        top = candidates(known, if_smaller(ends, ends), o).groupBy("query_id").agg(F.min("arrival_sec").alias("best_sec"))
         live = prune(marked, top, near, o) if o.prune else marked.join(near, ["query_id", "stop_pk"], "left")
-        live = trim(live, seed_stops, o).drop("go_m")
-        rode = cut(relax(inside(ride(board(live, stop_times, pattern_stops), stop_times, pattern_stops)), best))
-        if rode.isEmpty():
+        live, n = counted(trim(live, seed_stops, o).drop("go_m"), times=8)
+        if not n:
+            break
+        boarded = board(live, index, pattern_stops)
+        boarded._small = n_queries * n_patterns <= SMALL
+        rode, n = counted(relax(inside(ride(boarded, stop_times, pattern_stops)), known).withColumn("step", F.lit(2 * turn - 1)))
+        if not n:
             break
-        after = merge(best, rode)
-        walked = cut(relax(inside(walk_on(rode, steps, o)), after))
-        best = cut(merge(after, walked))
-        marked = cut(merge(rode, walked))
-        found = found.unionByName(cut(candidates(marked, ends, o)))  # each round's own rows are written once
-        history = history.unionByName(marked.select("query_id", F.lit(turn).alias("round"), "stop_pk", "arr"))
-    return found, history
+        walked = cut(relax(inside(walk_on(rode, paths, o)), known.unionByName(rode)).withColumn("step", F.lit(2 * turn)))
+        marked = last_of(rode, walked)
+        steps += [rode, walked]
+    return Searched(cut(candidates(reduce(DataFrame.unionByName, steps), if_smaller(ends, ends), o)), steps)
 
 
-def _within(queries: DataFrame, stops: DataFrame, allowed: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
+def _within(queries: DataFrame, place: DataFrame, allowed: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """Seed labels and destinations among each query's allowed stops."""
-    rows = allowed.join(points(stops), "stop_pk").join(queries, "query_id")
+    rows = allowed.join(place, "stop_pk").join(if_smaller(queries, queries), "query_id")
     from_o = S.haversine_m(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon"))
     to_d = S.haversine_m(F.col("d_lat"), F.col("d_lon"), F.col("lat"), F.col("lon"))
     rows = rows.withColumns({"dist_m": from_o, "final_m": to_d})
@@ -181,23 +225,66 @@ def _within(queries: DataFrame, stops: DataFrame, allowed: DataFrame, o: Options
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(by, "stop_pk"))
         return rows.withColumn("rank", rank).where(F.col("rank") <= o.nearby)
 
-    arr = F.col("depart_sec") + walk_secs(F.col("dist_m"), o.speed)
-    leg = _leg(kind=F.lit("walk"), to_pk=F.col("stop_pk"), start_sec=F.col("depart_sec"), end_sec=arr, dist_m=F.col("dist_m"))
-    starts = nearest("dist_m").select("query_id", "stop_pk", arr.alias("arr"), F.lit(0).cast("bigint").alias("legs"), F.col("dist_m").alias("walk_m"), F.array(leg).alias("trace"))
-    return starts, nearest("final_m").select("query_id", "stop_pk", "final_m")
+    return _from_origin(nearest("dist_m"), o), nearest("final_m").select("query_id", "stop_pk", "final_m")
+
+
+def pareto(found: DataFrame, most_legs: int = Options.rounds) -> DataFrame:
+    """Candidates that no other beats: none is as good in arrival, walk and legs and better in one. Equal ones stay.
+
+    The least walk of each (arrival, legs) is taken map-side; a sweep over arrivals then keeps, for each number of legs,
+    the least walk so far with as many or fewer. legs must be `most_legs` at most. A query is one sweep over its
+    distinct arrival seconds.
+    """
+    least = found.groupBy("query_id", "arrival_sec", "legs").agg(F.min("total_walk_m").alias("total_walk_m"))
+    before = Window.partitionBy("query_id").orderBy("arrival_sec").rangeBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("query_id").orderBy("arrival_sec").rangeBetween(0, 0)
+
+    def upto(n: int) -> Column:
+        return F.min(F.when(F.col("legs") <= n, F.col("total_walk_m")))
+
+    rows = least.withColumns({f"b{n}": upto(n).over(before) for n in range(most_legs + 1)} | {f"s{n}": upto(n).over(same) for n in range(most_legs + 1)})
+    of_legs = [F.get(F.array(*[f"{x}{n}" for n in range(most_legs + 1)]), (F.col("legs") - i).cast("int")) for x, i in (("b", 0), ("s", 1))]
+    # as good with fewer legs at the same second, or at an earlier one
+    beaten = reduce(lambda x, y: x | y, [F.coalesce(w <= F.col("total_walk_m"), F.lit(False)) for w in of_legs])
+    return found.join(rows.where(~beaten).select("query_id", "arrival_sec", "legs", "total_walk_m"), ["query_id", "arrival_sec", "legs", "total_walk_m"], "left_semi").select(found.columns)
 
 
-def pareto(found: DataFrame) -> DataFrame:
-    """Candidates that no other beats: none is as good in arrival, walk and legs and better in one. Equal ones stay."""
-    other = found.select("query_id", F.col("arrival_sec").alias("a"), F.col("total_walk_m").alias("w"), F.col("legs").alias("l")).distinct()
-    worse = (F.col("a") <= F.col("arrival_sec")) & (F.col("w") <= F.col("total_walk_m")) & (F.col("l") <= F.col("legs")) & ((F.col("a") < F.col("arrival_sec")) | (F.col("w") < F.col("total_walk_m")) | (F.col("l") < F.col("legs")))
-    return found.alias("f").join(other.alias("o"), (F.col("f.query_id") == F.col("o.query_id")) & worse, "left_anti")
+def dominance(found: DataFrame, most_legs: int = Options.rounds) -> DataFrame:
+    """found with the candidate that beats each one, null for those that none beats: of the journeys of the front, the
+    first in (arrival_sec, legs, total_walk_m, stop_pk, step) that is as good in all and better in one.
+
+    The front is small: a row for each of its arrivals and numbers of legs is what a candidate meets.
+    """
+    best = pareto(found, most_legs).groupBy("query_id", "arrival_sec", "legs", "total_walk_m").agg(F.min(F.struct("stop_pk", "step")).alias("k"))
+    best = best.select("query_id", F.struct("arrival_sec", "legs", "total_walk_m", "k.stop_pk", "k.step").alias("by"))
+    fronts = best.groupBy("query_id").agg(F.array_sort(F.collect_list("by")).alias("front"))  # one query's journeys
+    own = (F.col("arrival_sec"), F.col("legs"), F.col("total_walk_m"))
+
+    def beats(x: Column) -> Column:
+        theirs = (x["arrival_sec"], x["legs"], x["total_walk_m"])
+        return reduce(lambda a, b: a & b, [t <= m for t, m in zip(theirs, own, strict=True)]) & reduce(lambda a, b: a | b, [t < m for t, m in zip(theirs, own, strict=True)])
+
+    return found.join(fronts, "query_id").withColumn("beaten_by", F.get(F.filter("front", beats), F.lit(0))).drop("front")
+
+
+def traced(winners: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """winners (query_id, stop_pk, step, ...) with trace, the legs that led to each: a pointer that each step moves on if
+    it is there. A winner meets one label in each step, from the last to the first."""
+    rows = winners.withColumns({"at_pk": F.col("stop_pk"), "at_step": F.col("step"), "trace": F.array().cast(f"array<{LEG}>")})
+    leg = {"kind": F.when(F.col("trip_pk").isNull(), "walk").otherwise("transit"), "to_pk": F.col("stop_pk"), "end_sec": F.col("arr")}
+    fields = [x.split(":") for x in LEG[7:-1].split(",")]
+    for table in reversed(steps):
+        own = table.select("query_id", F.col("stop_pk").alias("at_pk"), F.col("step").alias("at_step"), F.struct(*[leg.get(name, F.col(name) if name in HELD else F.lit(None)).cast(kind).alias(name) for name, kind in fields]).alias("leg"), F.col("from_pk").alias("up_pk"), F.col("from_step").alias("up_step"))
+        rows = rows.join(own, ["query_id", "at_pk", "at_step"], "left")
+        here = F.col("leg").isNotNull()
+        rows = rows.withColumns({"trace": F.when(here, F.concat(F.array("leg"), "trace")).otherwise(F.col("trace")), "at_pk": F.when(here, F.col("up_pk")).otherwise(F.col("at_pk")), "at_step": F.when(here, F.col("up_step")).otherwise(F.col("at_step"))}).drop("leg", "up_pk", "up_step")
+    return rows.drop("at_pk", "at_step")
 
 
-def journeys(found: DataFrame, o: Options = Options()) -> DataFrame:
+def journeys(searched: Searched, o: Options = Options()) -> DataFrame:
     """The Pareto-optimal candidates, ranked by arrival, with the last walk added to their legs."""
-    best = pareto(found)
-    last = _leg(kind=F.lit("walk"), from_pk=F.col("stop_pk"), start_sec=F.element_at("trace", -1)["end_sec"], end_sec=F.col("arrival_sec"), dist_m=F.col("final_m"))
+    best = traced(cut(pareto(searched.found, o.rounds)), searched.steps)
+    last = F.struct(*[{"kind": F.lit("walk"), "from_pk": F.col("stop_pk"), "start_sec": F.col("arr"), "end_sec": F.col("arrival_sec"), "dist_m": F.col("final_m")}.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (x.split(":") for x in LEG[7:-1].split(","))])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("arrival_sec", "legs", "total_walk_m", "stop_pk"))
     return best.withColumns({"journey_no": rank, "trace": F.concat("trace", F.array(last))}).select("query_id", "journey_no", "arrival_sec", "total_walk_m", "legs", "stop_pk", F.filter("trace", lambda x: (x["kind"] != "walk") | (x["dist_m"] > 1)).alias("legs_taken"))
 

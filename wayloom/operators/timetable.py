@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
 BOARD_BUFFER = 900
+QUARTER = 900  # seconds in a bucket of the departure index
 WIDER_WINDOWS = (36_000, 72_000)
 
 
@@ -77,13 +78,39 @@ def pattern_meta(patterns: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def departure_board(stop_times: DataFrame) -> DataFrame:
-    """(stop_pk, departures): each stop's departures in order. For display; searches join rows instead."""
+    """(stop_pk, hour, departures): each stop's departures in order, a page for each hour; null hours come last."""
     entry = F.struct("departure_sec", "trip_pk", "stop_sequence", "arrival_sec")
-    return stop_times.groupBy("stop_pk").agg(F.array_sort(F.collect_list(entry)).alias("departures"))
+    return stop_times.groupBy("stop_pk", F.floor(F.col("departure_sec") / 3600).alias("hour")).agg(F.array_sort(F.collect_list(entry)).alias("departures"))
 
 
-def next_departure(stop_times: DataFrame, wanted: DataFrame) -> DataFrame:
-    """As-of join: for each wanted (key, stop_pk, pattern_pk, tau) the first departure at tau or later."""
-    rows = wanted.join(stop_times, ["stop_pk", "pattern_pk"]).where(F.col("departure_sec") >= F.col("tau"))
-    first = F.min(F.struct("departure_sec", "trip_pk", "stop_sequence", "arrival_sec"))  # taken map-side first
-    return rows.groupBy("key", "stop_pk", "pattern_pk", "tau").agg(first.alias("d")).select("key", "stop_pk", "pattern_pk", "tau", "d.*")
+def departure_index(stop_times: DataFrame, keys: tuple[str, ...] = (), quarter: int = QUARTER) -> DataFrame:
+    """(keys, stop_pk, pattern_pk, bucket, here, after): for each quarter of an hour up to the last departure of a pattern
+    at a stop, the departures in it, in order, and the first one after it.
+
+    Whoever waits from some time on finds the next departure in the one row of that time's bucket. `here` holds what one
+    pattern does at one stop in a quarter of an hour, so it's short however long the day's timetable is.
+    """
+    by = [*keys, "stop_pk", "pattern_pk"]
+    one = F.struct("departure_sec", "trip_pk", "stop_sequence", "arrival_sec")
+    rows = stop_times.where("departure_sec IS NOT NULL").groupBy(*by, F.floor(F.col("departure_sec") / quarter).alias("full")).agg(F.array_sort(F.collect_list(one)).alias("held"))
+    line = Window.partitionBy(*by).orderBy("full")
+    rows = rows.withColumns({"since": F.coalesce(F.lag("full").over(line) + 1, F.least(F.col("full"), F.lit(0))), "next": F.lead(F.get("held", F.lit(0))).over(line)})
+    rows = rows.withColumn("bucket", F.explode(F.sequence("since", "full")))  # empty quarters before it point to it
+    own = F.col("bucket") == F.col("full")
+    return rows.select(*by, "bucket", F.when(own, F.col("held")).otherwise(F.slice("held", 1, 0)).alias("here"), F.when(own, F.col("next")).otherwise(F.get("held", F.lit(0))).alias("after"))
+
+
+def bucket_of(time: Column, quarter: int = QUARTER) -> Column:
+    return F.greatest(F.floor(time / quarter), F.lit(0))
+
+
+def first_from(time: Column) -> Column:
+    """The first departure at `time` or later, in the row of departure_index of its bucket."""
+    return F.coalesce(F.get(F.filter("here", lambda d: d["departure_sec"] >= time), F.lit(0)), F.col("after"))
+
+
+def next_departure(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """As-of join: for each wanted (key, stop_pk, pattern_pk, tau) the first departure at tau or later, by one row of
+    departure_index each."""
+    rows = wanted.withColumn("bucket", bucket_of(F.col("tau"))).join(index, ["stop_pk", "pattern_pk", "bucket"])
+    return rows.withColumn("d", first_from(F.col("tau"))).where("d IS NOT NULL").select("key", "stop_pk", "pattern_pk", "tau", "d.*")

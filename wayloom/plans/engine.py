@@ -76,11 +76,11 @@ class Engine:
         least = trips.groupBy("query_id").agg(F.min("stage").alias("stage"))
         return cut(rows.drop("stage").join(trips.join(least, ["query_id", "stage"], "left_semi") if window is None else trips.where("stage = 0"), ["query_id", "trip_pk"], "left_semi"))
 
-    def _run(self, queries: DataFrame, found: dict[str, DataFrame], window: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _run(self, queries: DataFrame, found: dict[str, DataFrame], window: int | None) -> tuple[DataFrame, DataFrame, raptor.Searched]:
         times = self.timetable(queries, found, window)
         seeds = found["paths"].select("query_id", F.explode("path").alias("stop_pk"))
-        candidates, history = raptor.search(queries, self.stops, self.pattern_stops, times, self.options, found["stops"], seeds)
-        return raptor.journeys(candidates, self.options), times, history
+        searched = raptor.search(queries, self.stops, self.pattern_stops, times, self.options, found["stops"], seeds)
+        return raptor.journeys(searched, self.options), times, searched
 
     def route(self, queries: DataFrame) -> DataFrame:
         """Journeys (query_id, status, journey_no, arrival_sec, total_walk_m, legs, legs_taken); a query without any
@@ -109,7 +109,8 @@ class Engine:
     def diagnose(self, queries: DataFrame) -> DataFrame:
         """For each stop near a destination, how far the search got: (query_id, stop_pk, verdict)."""
         found = self.corridor(queries)
-        _, times, history = self._run(queries, found, None)
+        _, times, searched = self._run(queries, found, None)
+        history = searched.marked()
         near = raptor.destinations(queries, self.stops, self.options)
         served = self.pattern_stops.select("stop_pk").distinct().withColumn("_served", F.lit(True))
         inside = found["stops"].withColumn("_inside", F.lit(True))

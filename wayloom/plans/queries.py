@@ -254,7 +254,7 @@ _BOARD = f"w AS (SELECT stop_pk, pattern_pk, CAST({DEPART} + stop_pk % 600 AS BI
 def raptor_board(t):
     wanted = t("t_pattern_stops").select(F.lit(1).alias("key"), "stop_pk", "pattern_pk", (F.lit(DEPART) + F.col("stop_pk") % 600).alias("tau")).distinct()
     times = t("t_stop_times").join(t("t_trips").select("trip_pk", "pattern_pk"), "trip_pk")
-    return timetable.next_departure(times, wanted).select("stop_pk", "pattern_pk", "trip_pk", "departure_sec")
+    return timetable.next_departure(timetable.departure_index(times), wanted).select("stop_pk", "pattern_pk", "trip_pk", "departure_sec")
 
 
 @query(ctes(("t_stops",), f"r AS (SELECT s.stop_pk, CAST(round({_H}) AS BIGINT) AS dist_m, row_number() OVER (ORDER BY {_H}, s.stop_pk) AS rank FROM t_stops s, t_stops o WHERE o.stop_pk = {FROM_PK})", "SELECT stop_pk, dist_m, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50"))
@@ -339,10 +339,10 @@ def agg_distinct(t):
     return t("t_trips").select("pattern_pk", "service_id").distinct()
 
 
-@query("SELECT stop_pk, string_agg(concat(departure_sec, '/', trip_pk, '/', stop_sequence), ' ' ORDER BY departure_sec, trip_pk, stop_sequence) AS board FROM t_stop_times GROUP BY stop_pk", ("t_stop_times",))
+@query("SELECT stop_pk, CAST(floor(departure_sec / 3600.0) AS BIGINT) AS hour, string_agg(concat(departure_sec, '/', trip_pk, '/', stop_sequence), ' ' ORDER BY departure_sec, trip_pk, stop_sequence) AS board FROM t_stop_times GROUP BY 1, 2", ("t_stop_times",))
 def agg_departure_board(t):
     board = timetable.departure_board(t("t_stop_times"))
-    return board.select("stop_pk", F.array_join(F.transform("departures", lambda d: F.concat_ws("/", d["departure_sec"].cast("string"), d["trip_pk"].cast("string"), d["stop_sequence"].cast("string"))), " ").alias("board"))
+    return board.select("stop_pk", "hour", F.array_join(F.transform("departures", lambda d: F.concat_ws("/", d["departure_sec"].cast("string"), d["trip_pk"].cast("string"), d["stop_sequence"].cast("string"))), " ").alias("board"))
 
 
 @query("SELECT stop_pk, trip_pk, count(*) AS n_visits, max(stop_sequence) AS last_seq FROM t_stop_times GROUP BY 1, 2", ("t_stop_times",))
@@ -827,14 +827,13 @@ def raptor_seed(t):
 
 @query(ctes(_SEARCH_VIEWS, _FIRST, "SELECT stop_pk, arr FROM m1"))
 def raptor_round1(t):
-    return _searched(t, _PLAIN)[1].where("round = 1").select("stop_pk", "arr")
+    return _searched(t, _PLAIN).marked().where("round = 1").select("stop_pk", "arr")
 
 
 @query(ctes(_SEARCH_VIEWS, _FIRST, "SELECT stop_pk, arr FROM r1"))
 def raptor_relax(t):
-    o, best = _PLAIN, raptor.seed(_od(t), t("t_stops"), _PLAIN)
-    del o
-    rode = raptor.ride(raptor.board(best, _times(t), t("t_pattern_stops")), _times(t), t("t_pattern_stops"))
+    best = raptor.seed(_od(t), t("t_stops"), _PLAIN).withColumn("step", F.lit(0))
+    rode = raptor.ride(raptor.board(best, timetable.departure_index(_times(t)), t("t_pattern_stops")), _times(t), t("t_pattern_stops"))
     return raptor.relax(rode, best).select("stop_pk", "arr")
 
 
@@ -844,24 +843,24 @@ cand AS (SELECT l.stop_pk, l.arr + {_SEC} AS arrival_sec, l.walk_m + d AS walk_m
 
 @query(ctes(_SEARCH_VIEWS, _CAND, "SELECT stop_pk, CAST(legs AS BIGINT) AS legs, arrival_sec, CAST(round(walk_m) AS BIGINT) AS walk_m FROM cand"))
 def raptor_candidates(t):
-    return _searched(t, _PLAIN)[0].select("stop_pk", "legs", "arrival_sec", F.round("total_walk_m").cast("bigint").alias("walk_m"))
+    return _searched(t, _PLAIN).found.select("stop_pk", "legs", "arrival_sec", F.round("total_walk_m").cast("bigint").alias("walk_m"))
 
 
 @query(ctes(_SEARCH_VIEWS, _CAND, "SELECT min(arrival_sec) AS best_sec FROM cand"))
 def raptor_best_arrival(t):
-    return _searched(t, _PLAIN)[0].agg(F.min("arrival_sec").alias("best_sec"))
+    return _searched(t, _PLAIN).found.agg(F.min("arrival_sec").alias("best_sec"))
 
 
 @query(ctes(_SEARCH_VIEWS, _CAND, "SELECT stop_pk, CAST(legs AS BIGINT) AS legs, arrival_sec, CAST(round(walk_m) AS BIGINT) AS walk_m FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.arrival_sec <= c.arrival_sec AND o.walk_m <= c.walk_m AND o.legs <= c.legs AND (o.arrival_sec < c.arrival_sec OR o.walk_m < c.walk_m OR o.legs < c.legs))"))
 def pareto_front(t):
-    return raptor.pareto(_searched(t, _PLAIN)[0]).select("stop_pk", "legs", "arrival_sec", F.round("total_walk_m").cast("bigint").alias("walk_m"))
+    return raptor.pareto(_searched(t, _PLAIN).found).select("stop_pk", "legs", "arrival_sec", F.round("total_walk_m").cast("bigint").alias("walk_m"))
 
 
 _GO = _FIRST + ", go AS (SELECT m1.stop_pk, m1.arr, " + haversine_sql("s.stop_lat / 1e6::DOUBLE", "s.stop_lon / 1e6::DOUBLE", "o.stop_lat / 1e6::DOUBLE", "o.stop_lon / 1e6::DOUBLE") + f" AS go_m FROM m1 JOIN t_stops s USING (stop_pk), t_stops o WHERE o.stop_pk = {TO_PK})"
 
 
 def _marked(t):
-    history = _searched(t, _PLAIN)[1].where("round = 1").select("query_id", "stop_pk", "arr")
+    history = _searched(t, _PLAIN).marked().where("round = 1").select("query_id", "stop_pk", "arr")
     go = S.haversine_m(F.col("lat"), F.col("lon"), F.col("d_lat"), F.col("d_lon"))
     to_go = corridor.points(t("t_stops")).join(F.broadcast(_od(t))).select("query_id", "stop_pk", go.alias("go_m"))
     return history, to_go
@@ -884,12 +883,12 @@ PAIRS = ((FROM_PK, TO_PK), (5, 100), (17, 133))
 
 
 def _journeys(t) -> DataFrame:
-    return raptor.journeys(_searched(t, pairs=PAIRS)[0])
+    return raptor.journeys(_searched(t, pairs=PAIRS))
 
 
 @query()
 def raptor_rounds(t):
-    return _searched(t, pairs=PAIRS)[1].groupBy("query_id", "round").agg(F.count("*").alias("n_marked"), F.min("arr").alias("first_arr"))
+    return _searched(t, pairs=PAIRS).marked().groupBy("query_id", "round").agg(F.count("*").alias("n_marked"), F.min("arr").alias("first_arr"))
 
 
 @query()
@@ -935,7 +934,7 @@ def journey_select(t):
 @query()
 def journey_compare(t):
     """Journeys of one round with and without the prune, which must not change the first."""
-    pruned, whole = (raptor.journeys(_searched(t, raptor.Options(rounds=1, prune=p))[0]) for p in (True, False))
+    pruned, whole = (raptor.journeys(_searched(t, raptor.Options(rounds=1, prune=p))) for p in (True, False))
     return raptor.compared(pruned, whole)
 
 
@@ -947,7 +946,7 @@ def journey_lines(t):
 
 @query()
 def debug_rounds(t):
-    return _searched(t)[1].select("round", "stop_pk", "arr")
+    return _searched(t).marked().select("round", "stop_pk", "arr")
 
 
 @query(ctes(_NET, _BFS, "SELECT CAST(level AS INTEGER) AS level, n, CAST(sum(n) OVER (ORDER BY level) AS BIGINT) AS shown FROM (SELECT level, count(*) AS n FROM lv GROUP BY level) c"))
