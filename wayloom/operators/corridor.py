@@ -205,23 +205,30 @@ def in_bbox(stops: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def tag_stops(found_paths: DataFrame, stops: DataFrame, width_m: float = WIDTH_M, taper_m: float = TAPER_M) -> DataFrame:
     """(query_id, stop_pk) within a path's tapered width: wide in the middle, narrow at the ends."""
+    return _tagged(found_paths, stops, (width_m, taper_m)).select("query_id", "stop_pk")
+
+
+def _tagged(found_paths: DataFrame, stops: DataFrame, *widths: tuple[float, float]) -> DataFrame:
+    """(query_id, stop_pk, width): of (width, taper) pairs, narrow to wide, the place of the first that holds the stop."""
     lines = polylines(found_paths, stops)
     parts = segments(lines).where("total_m > 0")
-    near = in_bbox(stops, bbox(lines, width_m + taper_m))
+    near = in_bbox(stops, bbox(lines, sum(widths[-1])))
     rows = near.join(parts, ["query_id", "path_no"])
     at = S.segment_distance(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     rows = rows.select("query_id", "stop_pk", at.alias("d"), "before_m", "length_m", "total_m")
     along = (F.col("before_m") + F.col("d.t") * F.col("length_m")) / F.col("total_m")
-    return rows.where(F.col("d.dist_m") <= S.taper_width(along, width_m, taper_m)).select("query_id", "stop_pk").distinct()
+    first = F.coalesce(*[F.when(F.col("d.dist_m") <= S.taper_width(along, *w), F.lit(i)) for i, w in enumerate(widths)])
+    # filtered behind the aggregate: a filter before it would be pushed below the distance and measure it again
+    return rows.select("query_id", "stop_pk", first.alias("width")).groupBy("query_id", "stop_pk").agg(F.min("width").alias("width")).where("width IS NOT NULL")
 
 
 def tapered(found_paths: DataFrame, stops: DataFrame, near_ends: DataFrame) -> DataFrame:
     """The fallback corridor (query_id, stop_pk, widened): tagged stops and those near the ends; where these are
-    fewer than LEAST_STOPS, those of a wider taper."""
-    narrow = cut(tag_stops(found_paths, stops).union(near_ends.select("query_id", "stop_pk")).distinct())
-    wide = tag_stops(found_paths, stops, WIDER_WIDTH_M, WIDER_TAPER_M).union(near_ends.select("query_id", "stop_pk")).distinct()
-    enough = narrow.groupBy("query_id").count().where(F.col("count") >= LEAST_STOPS)
-    return narrow.join(enough, "query_id", "left_semi").withColumn("widened", F.lit(False)).union(wide.join(enough, "query_id", "left_anti").withColumn("widened", F.lit(True)))
+    fewer than LEAST_STOPS, those of a wider taper. Both widths are measured in one pass."""
+    tagged = _tagged(found_paths, stops, (WIDTH_M, TAPER_M), (WIDER_WIDTH_M, WIDER_TAPER_M))
+    both = cut(tagged.unionByName(near_ends.select("query_id", "stop_pk", F.lit(0).alias("width"))).groupBy("query_id", "stop_pk").agg(F.min("width").alias("width")))
+    enough = both.groupBy("query_id").agg((F.count_if(F.col("width") == 0) >= LEAST_STOPS).alias("enough"))
+    return both.join(enough, "query_id").where(~F.col("enough") | (F.col("width") == 0)).select("query_id", "stop_pk", (~F.col("enough")).alias("widened"))
 
 
 def near_ends(queries: DataFrame, stops: DataFrame, radius_m: float = WALK_RADIUS_M) -> DataFrame:
@@ -272,7 +279,9 @@ def resolve(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, patt
     served = [derived.join(x.select("query_id", "stop_pk"), ["query_id", "stop_pk"], "left_semi").select("query_id").distinct() for x in (origins, ends)]
     good = cut(chosen.groupBy("query_id").count().where(F.col("count") >= LEAST_PATTERNS).select("query_id").join(served[0], "query_id", "left_semi").join(served[1], "query_id", "left_semi"))
     rest = lines.join(good, "query_id", "left_anti")
-    buffer = cut(tapered(rest, stops, walkable.join(rest.select("query_id").distinct(), "query_id", "left_semi")))
+    buffer = queries.select("query_id", F.lit(0).cast("bigint").alias("stop_pk"), F.lit(False).alias("widened")).limit(0)
+    if not rest.isEmpty():
+        buffer = cut(tapered(rest, stops, walkable.join(rest.select("query_id").distinct(), "query_id", "left_semi")))
     how = queries.select("query_id").join(good.withColumn("g", F.lit(True)), "query_id", "left").join(buffer.select("query_id").distinct().withColumn("b", F.lit(True)), "query_id", "left")
     how = cut(how.select("query_id", F.when(F.col("g"), "seed").when(F.col("b"), "tapered").otherwise("network").alias("how")))
     network = how.where("how = 'network'").select("query_id")  # each takes the whole network: that is its result

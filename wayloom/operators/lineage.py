@@ -11,14 +11,33 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder, made once and read again.
+
+    A table that is read has a size, so that plans upon it broadcast what is small by themselves; a checkpointed plan
+    has none, and hands its constraints on to the plans upon it, which multiply over a chain of joins until planning
+    takes longer than the work.
+    """
     spark = df.sparkSession
+    folder = f"{_shared(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as checkpointed rows: for a large table that one search reads whole, over and over, in simple plans."""
+    _shared(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder that the driver and all executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local["):  # a folder of one machine serves tests only
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 #: Rows of a cut table, at most, that are broadcast.

@@ -22,9 +22,10 @@ from ..functions import scalars as S
 from . import timetable
 from .corridor import points, ranked
 from .graph import both_ways, near_pairs
-from .lineage import SMALL, cut
+from .lineage import SMALL, cut, kept
 
 LEG = "struct<kind:string,from_pk:bigint,to_pk:bigint,trip_pk:bigint,pattern_pk:bigint,board_seq:bigint,alight_seq:bigint,start_sec:bigint,end_sec:bigint,dist_m:double>"
+LEG_FIELDS = [x.split(":") for x in LEG[7:-1].split(",")]
 #: What a label holds besides query_id and stop_pk, in the order that decides between labels of one stop and step.
 HELD = {"arr": "bigint", "legs": "bigint", "walk_m": "double", "from_pk": "bigint", "from_step": "int", "trip_pk": "bigint", "pattern_pk": "bigint", "board_seq": "bigint", "alight_seq": "bigint", "start_sec": "bigint", "dist_m": "double"}
 
@@ -188,7 +189,7 @@ def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_
         first, ends = seed(queries, stops, o), destinations(queries, stops, o)
     else:
         first, ends = _within(queries, place, allowed, o)
-    index = cut(timetable.departure_index(stop_times, tuple(k for k in ("query_id",) if k in stop_times.columns)))
+    index = kept(timetable.departure_index(stop_times, tuple(k for k in ("query_id",) if k in stop_times.columns)))
     steps, ends = [cut(first.withColumn("step", F.lit(0)))], cut(ends)
     ends._small = n_queries * o.nearby <= SMALL
     paths = cut(footpaths(stops, o))
@@ -268,23 +269,28 @@ def dominance(found: DataFrame, most_legs: int = Options.rounds) -> DataFrame:
 
 
 def traced(winners: DataFrame, steps: list[DataFrame]) -> DataFrame:
-    """winners (query_id, stop_pk, step, ...) with trace, the legs that led to each: a pointer that each step moves on if
-    it is there. A winner meets one label in each step, from the last to the first."""
-    rows = winners.withColumns({"at_pk": F.col("stop_pk"), "at_step": F.col("step"), "trace": F.array().cast(f"array<{LEG}>")})
+    """winners (query_id, stop_pk, step, ...) with trace, the legs that led to each: a pointer that moves on as often as
+    there are steps at most. The labels are broadcast, once for all moves, where their count says that they are small;
+    else each move joins the one step's labels that it can lead to."""
     leg = {"kind": F.when(F.col("trip_pk").isNull(), "walk").otherwise("transit"), "to_pk": F.col("stop_pk"), "end_sec": F.col("arr")}
-    fields = [x.split(":") for x in LEG[7:-1].split(",")]
-    for table in reversed(steps):
-        own = table.select("query_id", F.col("stop_pk").alias("at_pk"), F.col("step").alias("at_step"), F.struct(*[leg.get(name, F.col(name) if name in HELD else F.lit(None)).cast(kind).alias(name) for name, kind in fields]).alias("leg"), F.col("from_pk").alias("up_pk"), F.col("from_step").alias("up_step"))
-        rows = rows.join(own, ["query_id", "at_pk", "at_step"], "left")
+    own = F.struct(*[leg.get(name, F.col(name) if name in HELD else F.lit(None)).cast(kind).alias(name) for name, kind in LEG_FIELDS])
+    labels = reduce(DataFrame.unionByName, steps).select("query_id", F.col("stop_pk").alias("at_pk"), F.col("step").alias("at_step"), own.alias("leg"), F.col("from_pk").alias("up_pk"), F.col("from_step").alias("up_step"))
+    labels, n = counted(labels)  # one leaf, however many steps
+    small = n <= SMALL
+    rows = winners.withColumns({"at_pk": F.col("stop_pk"), "at_step": F.col("step")})
+    for step in reversed(range(len(steps))):
+        rows = rows.join(F.broadcast(labels) if small else labels.where(F.col("at_step") == step), ["query_id", "at_pk", "at_step"], "left")
         here = F.col("leg").isNotNull()
-        rows = rows.withColumns({"trace": F.when(here, F.concat(F.array("leg"), "trace")).otherwise(F.col("trace")), "at_pk": F.when(here, F.col("up_pk")).otherwise(F.col("at_pk")), "at_step": F.when(here, F.col("up_step")).otherwise(F.col("at_step"))}).drop("leg", "up_pk", "up_step")
-    return rows.drop("at_pk", "at_step")
+        rows = rows.withColumns({"at_pk": F.when(here, F.col("up_pk")).otherwise(F.col("at_pk")), "at_step": F.when(here, F.col("up_step")).otherwise(F.col("at_step"))}).withColumnRenamed("leg", f"leg_{step}").drop("up_pk", "up_step")
+    met = [f"leg_{step}" for step in range(len(steps))]
+    return rows.withColumn("trace", F.filter(F.array(*met), lambda x: x.isNotNull())).drop("at_pk", "at_step", *met)
 
 
 def journeys(searched: Searched, o: Options = Options()) -> DataFrame:
     """The Pareto-optimal candidates, ranked by arrival, with the last walk added to their legs."""
     best = traced(cut(pareto(searched.found, o.rounds)), searched.steps)
-    last = F.struct(*[{"kind": F.lit("walk"), "from_pk": F.col("stop_pk"), "start_sec": F.col("arr"), "end_sec": F.col("arrival_sec"), "dist_m": F.col("final_m")}.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (x.split(":") for x in LEG[7:-1].split(","))])
+    walk = {"kind": F.lit("walk"), "from_pk": F.col("stop_pk"), "start_sec": F.col("arr"), "end_sec": F.col("arrival_sec"), "dist_m": F.col("final_m")}
+    last = F.struct(*[walk.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in LEG_FIELDS])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("arrival_sec", "legs", "total_walk_m", "stop_pk"))
     return best.withColumns({"journey_no": rank, "trace": F.concat("trace", F.array(last))}).select("query_id", "journey_no", "arrival_sec", "total_walk_m", "legs", "stop_pk", F.filter("trace", lambda x: (x["kind"] != "walk") | (x["dist_m"] > 1)).alias("legs_taken"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import corridor, etl, geometry, graph, raptor, timetable
-from ..operators.lineage import cut
+from ..operators.lineage import cut, kept
 from ..sources import adapter, feeds, places
 from . import engine
 
@@ -817,7 +817,7 @@ def _times(t) -> DataFrame:
 
 
 def _searched(t, o: raptor.Options = raptor.Options(), pairs=((FROM_PK, TO_PK),)):
-    return raptor.search(_od(t, pairs), t("t_stops"), t("t_pattern_stops"), cut(_times(t)), o)
+    return raptor.search(_od(t, pairs), t("t_stops"), t("t_pattern_stops"), kept(_times(t)), o)
 
 
 @query(ctes(_SEARCH_VIEWS, _SEED_LABELS, "SELECT stop_pk, arr FROM s0"))
@@ -862,7 +862,7 @@ _GO = _FIRST + ", go AS (SELECT m1.stop_pk, m1.arr, " + haversine_sql("s.stop_la
 def _marked(t):
     history = _searched(t, _PLAIN).marked().where("round = 1").select("query_id", "stop_pk", "arr")
     go = S.haversine_m(F.col("lat"), F.col("lon"), F.col("d_lat"), F.col("d_lon"))
-    to_go = corridor.points(t("t_stops")).join(F.broadcast(_od(t))).select("query_id", "stop_pk", go.alias("go_m"))
+    to_go = history.select("query_id", "stop_pk").join(corridor.points(t("t_stops")), "stop_pk").join(_od(t), "query_id").select("query_id", "stop_pk", go.alias("go_m"))
     return history, to_go
 
 
@@ -913,13 +913,62 @@ def shape_points_for_journeys(t):
     return t("t_shapes").join(used, "shape_pk", "left_semi")
 
 
-@query()
-def journey_summary(t):
-    rows = raptor.journey_legs(_journeys(t)).join(timetable.pattern_meta(t("t_patterns"), t("t_routes")).select("pattern_pk", "route_name"), "pattern_pk", "left")
+def _summary(t, found: DataFrame) -> DataFrame:
+    rows = raptor.journey_legs(found).join(timetable.pattern_meta(t("t_patterns"), t("t_routes")).select("pattern_pk", "route_name"), "pattern_pk", "left")
     named = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "transit", F.struct("leg_no", "route_name")))), lambda x: x["route_name"]), " → ")
     return rows.groupBy("query_id", "journey_no").agg(F.round(F.sum("dist_m")).cast("bigint").alias("walk_m"), F.greatest(F.count_if(F.col("kind") == "transit") - 1, F.lit(0)).alias("transfers"), named.alias("routes"), S.format_hhmm(F.max("end_sec")).alias("arrival"))
 
 
+@query()
+def journey_summary(t):
+    return _summary(t, _journeys(t))
+
+
+# journeys of one round, for a whole batch of queries, with SQL: the front, its order, its choice and its summary
+_FRONT = _CAND + """, fr AS (SELECT c.*, row_number() OVER (ORDER BY arrival_sec, legs, walk_m, stop_pk) AS journey_no FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.arrival_sec <= c.arrival_sec AND o.walk_m <= c.walk_m AND o.legs <= c.legs AND (o.arrival_sec < c.arrival_sec OR o.walk_m < c.walk_m OR o.legs < c.legs)))"""
+_JOURNEY = "SELECT journey_no, arrival_sec, CAST(legs AS BIGINT) AS legs, CAST(round(walk_m) AS BIGINT) AS walk_m FROM fr"
+
+
+def _one_round(t) -> DataFrame:
+    return raptor.journeys(_searched(t, _PLAIN), _PLAIN)
+
+
+def _journey(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("journey_no").cast("bigint").alias("journey_no"), "arrival_sec", "legs", F.round("total_walk_m").cast("bigint").alias("walk_m"))
+
+
+for _name, _by in {"one_round_sort_arrival": "arrival_sec", "one_round_sort_walking": "total_walk_m", "one_round_sort_transfers": "legs"}.items():
+    _sorted = F.row_number().over(Window.partitionBy("query_id").orderBy(_by, "journey_no")).cast("bigint").alias("place")
+    QUERIES[_name] = lambda spark, sf_dir, place=_sorted: _one_round(lambda n: adapter.view(spark, sf_dir, n)).select(place, F.col("journey_no").cast("bigint").alias("journey_no"), "arrival_sec", "legs", F.round("total_walk_m").cast("bigint").alias("walk_m"))
+    SQL[_name] = ctes(_SEARCH_VIEWS, _FRONT, f"SELECT row_number() OVER (ORDER BY {'walk_m' if _by == 'total_walk_m' else _by}, journey_no) AS place, journey_no, arrival_sec, CAST(legs AS BIGINT) AS legs, CAST(round(walk_m) AS BIGINT) AS walk_m FROM fr")
+
+
+@query(ctes(_SEARCH_VIEWS, _FRONT, _JOURNEY + " WHERE journey_no = (SELECT max(journey_no) FROM fr)"))
+def one_round_select(t):
+    """The last place of the list, chosen by its number."""
+    found = _one_round(t)
+    return _journey(raptor.chosen(found, found.groupBy("query_id").agg((F.max("journey_no") - 1).alias("place"))))
+
+
+@query(ctes(_SEARCH_VIEWS, _FRONT, "SELECT journey_no, CAST(round(walk_m) AS BIGINT) AS walk_m, CAST(greatest(legs - 1, 0) AS BIGINT) AS transfers, concat(lpad(CAST(arrival_sec // 3600 % 24 AS VARCHAR), 2, '0'), ':', lpad(CAST(arrival_sec % 3600 // 60 AS VARCHAR), 2, '0')) AS arrival FROM fr"))
+def one_round_summary(t):
+    return _summary(t, _one_round(t)).select(F.col("journey_no").cast("bigint").alias("journey_no"), "walk_m", "transfers", "arrival")
+
+
+@query(ctes(_SEARCH_VIEWS, _FRONT, """SELECT c.stop_pk, CAST(c.legs AS BIGINT) AS legs, c.arrival_sec, CAST(round(c.walk_m) AS BIGINT) AS walk_m, b.stop_pk AS by_stop, b.arrival_sec AS by_arrival, CAST(b.legs AS BIGINT) AS by_legs
+ FROM cand c LEFT JOIN LATERAL (SELECT * FROM fr WHERE fr.arrival_sec <= c.arrival_sec AND fr.walk_m <= c.walk_m AND fr.legs <= c.legs AND (fr.arrival_sec < c.arrival_sec OR fr.walk_m < c.walk_m OR fr.legs < c.legs) ORDER BY fr.arrival_sec, fr.legs, fr.walk_m, fr.stop_pk LIMIT 1) b ON true"""))
+def dominance_trace(t):
+    rows = raptor.dominance(_searched(t, _PLAIN).found, _PLAIN.rounds)
+    return rows.select("stop_pk", "legs", "arrival_sec", F.round("total_walk_m").cast("bigint").alias("walk_m"), F.col("beaten_by.stop_pk").alias("by_stop"), F.col("beaten_by.arrival_sec").alias("by_arrival"), F.col("beaten_by.legs").alias("by_legs"))
+
+
+@query(ctes(("t_stop_times", "t_pattern_stops"), "c AS (SELECT stop_pk, arrival_sec, CAST(trip_pk % 977 AS DOUBLE) AS walk_m, stop_sequence % 6 AS legs FROM t_stop_times)", "SELECT stop_pk, arrival_sec, CAST(walk_m AS BIGINT) AS walk_m, legs FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.stop_pk = c.stop_pk AND o.arrival_sec <= c.arrival_sec AND o.walk_m <= c.walk_m AND o.legs <= c.legs AND (o.arrival_sec < c.arrival_sec OR o.walk_m < c.walk_m OR o.legs < c.legs))"))
+def pareto_fronts(t):
+    """The front of each stop's visits by arrival, walk and legs: a batch of sweeps with thousands of rows."""
+    found = t("t_stop_times").select(F.col("stop_pk").alias("query_id"), "arrival_sec", (F.col("trip_pk") % 977).cast("double").alias("total_walk_m"), (F.col("stop_sequence") % 6).alias("legs"))
+    return raptor.pareto(found).select(F.col("query_id").alias("stop_pk"), "arrival_sec", F.col("total_walk_m").cast("bigint").alias("walk_m"), "legs")
+
+
 for _name, _order in {"journey_sort_arrival": ["arrival_sec"], "journey_sort_walking": ["total_walk_m"], "journey_sort_transfers": ["legs"]}.items():
     QUERIES[_name] = lambda spark, sf_dir, order=_order: _journeys(lambda n: adapter.view(spark, sf_dir, n)).orderBy("query_id", *order, "journey_no").select("query_id", "journey_no", "arrival_sec", "legs", F.round("total_walk_m").cast("bigint").alias("walk_m"))
 
