@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import scalars as S
 from wayloom.operators import corridor, graph, lineage, raptor
 from wayloom.plans import engine, load
-from wayloom.sources import places
+from wayloom.sources import feeds, places
 
 FILES = {
     "agency.txt": ["agency_id", "a"],
@@ -115,3 +117,44 @@ def test_places_and_labels(spark):
     assert sorted(tuple(r) for r in places.places(answers).collect()) == [(1, 0, "x", "X", "1 St", 1.5, 2.0), (1, 1, "y", "Unknown", "", 0.0, 0.0)]
     one = spark.range(1).select(S.duration_text(F.lit(59.96)).alias("a"), S.duration_text(F.lit(90)).alias("b"), S.size_text(F.lit(1572864)).alias("c"), S.strip_scheme(F.lit("file:///a")).alias("d"), S.text_color(F.lit("bad")).alias("e"), S.text_color(F.lit("00ff00")).alias("f"), S.transfer_label(F.lit("A"), F.lit("B"), F.lit(10.0), F.lit(1.4)).alias("g"), S.transfer_label(F.lit("A"), F.lit("A"), F.lit(0.0), F.lit(1.4)).alias("h")).first()
     assert tuple(one) == ("60.0s", "1.5m", "1.5 MB", "/a", "#FFFFFF", "#00FF00", "A → B (~1 min walk)", "A")
+
+
+def test_a_file_in_many_splits_is_numbered_as_a_plain_read(spark, tmp_path):
+    rng = random.Random(2)
+    lines = ["﻿stop_id, name", ""] + [rng.choice([f's{i},"a, {i}"', f"s{i}, plain {i} \r", " ", f"s{i}", f's{i},"say ""x"" {i}",more']) for i in range(20_000)]
+    for feed_ in ("one", "two"):
+        (tmp_path / feed_).mkdir()
+        (tmp_path / feed_ / "agency.txt").write_text("x")
+        (tmp_path / feed_ / "stops.txt").write_bytes("\n".join(lines[: 20_002 if feed_ == "one" else 3000]).encode())
+    found = feeds.discover(str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        rows = feeds.read(spark, found, "stops.txt", ["stop_id", "name", "gone"])
+        assert rows.rdd.getNumPartitions() > 20
+        got = sorted(tuple(r) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    wanted = []
+    for agency, feed_ in enumerate(found, 1):
+        with open(f"{feed_.path}/stops.txt", encoding="utf-8", newline="\n") as f:
+            wanted += [(agency, i, r.get("stop_id"), r.get("name"), r.get("gone")) for i, r in enumerate(feeds.records(f))]
+    assert got == sorted(wanted)
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("agency.txt", "x")
+        z.writestr("stops.txt", "\n".join(lines))
+    zipped = feeds.read(spark, feeds.discover(str(tmp_path / "z.zip")), "stops.txt", ["stop_id", "name"])
+    assert sorted(tuple(r) for r in zipped.collect()) == [x[:4] for x in sorted(wanted) if x[0] == 1]
+
+
+def test_broken_references_leave_the_old_tables(spark, tmp_path):
+    target = str(tmp_path / "tables")
+    load.import_feeds(spark, feed(tmp_path / "feed"), target)
+    before = lineage.published(spark, target)
+    broken = feed(tmp_path / "broken", routes=FILES["routes.txt"][:1], calendar=FILES["calendar.txt"][:1], calendar_dates=[FILES["calendar_dates.txt"][0], "other,19990101,1"])
+    with pytest.raises(ValueError, match="patterns: 1 rows with unknown route_id, agency, such as r1, 1; trips: 2 rows with unknown service_id, agency, such as s, 1"):
+        load.import_feeds(spark, broken, target)
+    assert lineage.published(spark, target) == before
+    dated = feed(tmp_path / "dated", calendar=FILES["calendar.txt"][:1])
+    assert load.import_feeds(spark, dated, target)["trips"] == 2  # a service may stand in calendar_dates only

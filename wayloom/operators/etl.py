@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +13,25 @@ from .lineage import cut
 
 def number(df: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:
     """Number rows from `first` in an order: sorted ranges are numbered each for itself, then shifted by the sizes of
-    those before. Only a count for each range comes to the driver."""
+    those before, a table with a row for each range."""
     rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
-    sizes = {r["p"]: r["n"] for r in rows.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
-    shift, before = {}, first
-    for p in sorted(sizes):
-        shift[p], before = before, before + sizes[p]
-    table = F.create_map(*[F.lit(x) for item in shift.items() for x in item]) if shift else F.create_map(F.lit(0), F.lit(first))
-    return rows.withColumn(name, (F.element_at(table, F.shiftright("_m", 33).cast("int")) + F.col("_m").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("_m")
+    rows = rows.withColumns({"_p": F.shiftright("_m", 33), "_m": F.col("_m").bitwiseAND((1 << 33) - 1)})
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = rows.groupBy("_p").agg(F.count("*").alias("n")).select("_p", before.alias("_before"))
+    return rows.join(F.broadcast(shifts), "_p").withColumn(name, (F.col("_before") + F.col("_m") + first).cast("bigint")).drop("_p", "_m", "_before")
+
+
+def orphans(tables: dict[str, DataFrame], references: list[tuple[str, list[str], list[str]]]) -> DataFrame:
+    """(table, columns, n, example): for each reference (table, columns, parents) that is broken, how many rows have a key
+    that no parent holds, and the least such key. Null keys refer to nothing."""
+    found = []
+    for name, columns, parents in references:
+        keys = tables[name].dropna(subset=columns).groupBy(*columns).agg(F.count("*").alias("n"))
+        for parent in parents:
+            keys = keys.join(tables[parent].select(*columns), columns, "left_anti")
+        text = F.concat_ws(", ", *[F.col(c).cast("string") for c in columns])
+        found.append(keys.agg(F.sum("n").alias("n"), F.min(text).alias("example")).where("n > 0").select(F.lit(name).alias("table"), F.lit(", ".join(columns)).alias("columns"), "n", "example"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def first_wins(df: DataFrame, key: list[str], order: str = "_ord") -> DataFrame:

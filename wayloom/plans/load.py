@@ -22,6 +22,18 @@ COLUMNS = {
 }
 # of a table with one of these keys no two rows may share it; routes, calendars and stops keep the first row instead
 KEYS = {"stop_times": ["trip_pk", "stop_sequence"], "pattern_stops": ["pattern_pk", "stop_sequence"], "shapes": ["shape_pk", "shape_pt_sequence"]}
+# (table, columns, tables one of which must hold each key)
+REFERENCES = [
+    ("patterns", ["route_id", "agency"], ["routes"]),
+    ("patterns", ["trip_pk"], ["trips"]),
+    ("trips", ["service_id", "agency"], ["calendar", "calendar_dates"]),
+    ("trips", ["pattern_pk"], ["patterns"]),
+    ("pattern_stops", ["pattern_pk"], ["patterns"]),
+    ("pattern_stops", ["stop_pk"], ["stops"]),
+    ("stop_times", ["trip_pk"], ["trips"]),
+    ("stop_times", ["stop_pk"], ["stops"]),
+    ("shapes", ["shape_pk"], ["shape_meta"]),
+]
 TABLES = ("stops", "routes", "calendar", "calendar_dates", "trips", "patterns", "pattern_stops", "stop_times", "shape_meta", "shapes")
 
 
@@ -55,7 +67,7 @@ def tables(spark: SparkSession, found: list[feeds.Feed]) -> dict[str, DataFrame]
 
 def import_feeds(spark: SparkSession, source: str, target: str, check: bool = True) -> dict[str, int]:
     """Import all feeds below a path; returns the rows of each table. An error leaves the tables before as they were:
-    no feed at all, or, with check, a repeated key."""
+    no feed at all, or, with check, a repeated key or one that its parent table doesn't hold."""
     found = feeds.discover(source)
     if not found:
         raise FileNotFoundError(f"no {feeds.MARKER} below {source}")
@@ -63,6 +75,8 @@ def import_feeds(spark: SparkSession, source: str, target: str, check: bool = Tr
     if check:
         for name, key in KEYS.items():
             etl.unique_or_raise(made[name], key)
+        if broken := etl.orphans(made, REFERENCES).collect():  # a row for each broken reference
+            raise ValueError("; ".join(f"{r['table']}: {r['n']} rows with unknown {r['columns']}, such as {r['example']}" for r in broken))
     publish(made, ",".join(f.label for f in found), target)
     return {name: rows.count() for name, rows in tables_of(spark, target).items()}
 

@@ -83,18 +83,17 @@ QUERIES["gen_synthetic_stop_times"] = lambda spark, sf_dir: feeds.synthetic_stop
 SQL["gen_synthetic_stop_times"] = "SELECT i // 20 + 1 AS trip_pk, i % 20 AS stop_sequence, i % 9000 + 1 AS stop_pk, 18000 + i % 86400 AS arrival_sec, 18020 + i % 86400 AS departure_sec FROM range(0, 10000) a(i)"
 
 
-def _csv(spark: SparkSession, sf_dir: str, field: bool) -> DataFrame:
-    lines = spark.range(1).select(F.explode(F.array(*map(F.lit, ['stop_id,name', '"a, ""b"" c", 5 ', "  x ,\ty", "z"]))).alias("line"))
+@query("SELECT stop_pk, concat(stop_id, '|', stop_name, ', no. ', agency, '||', stop_lat) AS fields, CAST(4 AS BIGINT) AS n FROM t_stops", ("t_stops",))
+def src_csv_split(t):
+    """The csv splitter over a line of each stop, with a quoted comma, blanks around fields and an empty one."""
+    lines = t("t_stops").select("stop_pk", F.concat("stop_id", F.lit(' , "'), "stop_name", F.lit(", no. "), F.col("agency").cast("string"), F.lit('",,\t'), F.col("stop_lat").cast("string")).alias("line"))
 
     def split(batches):
         for pdf in batches:
-            yield pdf.assign(fields=[feeds.split_line(x) for x in pdf["line"]], n=[len(feeds.split_line(x)) for x in pdf["line"]])
+            fields = [feeds.split_line(x) for x in pdf["line"]]
+            yield pdf[["stop_pk"]].assign(fields=["|".join(f) for f in fields], n=[len(f) for f in fields])
 
-    rows = lines.mapInPandas(split, "line string, fields array<string>, n long")
-    return rows.select("line", F.array_join("fields", "|").alias("fields"), "n") if field else rows.select("n").groupBy("n").count()
-
-
-QUERIES["src_csv_split"] = lambda spark, sf_dir: _csv(spark, sf_dir, True)
+    return lines.mapInPandas(split, "stop_pk long, fields string, n long")
 
 
 # --- set, range and calendar filters -------------------------------------------------------

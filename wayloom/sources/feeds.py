@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MARKER = "agency.txt"
@@ -107,25 +107,66 @@ def _lines(feed: Feed, name: str) -> Iterator[str]:
         yield from io.TextIOWrapper(archive.open(entry), encoding="utf-8", newline="\n")
 
 
+def _header(feed: Feed, name: str, rfc4180: bool) -> list[str]:
+    """The names in the first line that isn't blank; none without one."""
+    for line in _lines(feed, name):
+        if text := line.strip().removeprefix("\ufeff").strip():
+            return [h.strip().removeprefix("\ufeff") for h in split_line(text, rfc4180)]
+    return []
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(_ord, value): the lines of a text file that aren't blank, numbered from 0, read in splits by as many tasks as it
+    has. A line's number is its place in its split and the lines of the splits before: a row for each split is shuffled."""
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("start"))
+    rows = raw.where(~F.col("value").rlike(r"^\s*$")).withColumn("m", F.monotonically_increasing_id())  # in a split, one after another
+    splits = rows.groupBy("start").agg(F.count("*").alias("n"), F.min("m").alias("m0"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("start", (before - F.col("m0")).alias("shift"))
+    return rows.join(F.broadcast(splits), "start").select((F.col("m") + F.col("shift")).alias("_ord"), "value")
+
+
+def _zipped_lines(spark: SparkSession, feed: Feed, name: str) -> DataFrame:
+    """(_ord, value) of a file in a zip: one task unpacks it, as a zip can be, and all tasks share the lines."""
+
+    def lines(batches):
+        for _ in batches:
+            held, n = [], 0
+            for line in _lines(feed, name):
+                if line.strip():
+                    held.append(line.removesuffix("\n"))
+                if len(held) == 50_000:
+                    yield pd.DataFrame({"_ord": range(n, n + len(held)), "value": held})
+                    held, n = [], n + len(held)
+            yield pd.DataFrame({"_ord": range(n, n + len(held)), "value": held})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(lines, "_ord long, value string").repartition(spark.sparkContext.defaultParallelism)
+
+
 def read(spark: SparkSession, feeds: list[Feed], name: str, columns: list[str], rfc4180: bool = False) -> DataFrame:
     """agency (the feed's ordinal), _ord (the row's place in its file) and the columns as text (null: not in the
-    header). Each feed's file is streamed by one task; the paths must be on storage that executors share."""
-    manifest = spark.createDataFrame([(i + 1, f.label, f.path, list(f.inner), f.prefix) for i, f in enumerate(feeds)], "agency long, label string, path string, inner array<string>, prefix string").repartition(max(len(feeds), 1))
-
-    def rows(batches):
-        for batch in batches:
-            for feed in batch.itertuples(index=False):
-                at, held = 0, []
-                for record in records(_lines(Feed(feed.label, feed.path, tuple(feed.inner), feed.prefix), name), rfc4180):
-                    held.append((feed.agency, at, *(record.get(c) for c in columns)))
-                    at += 1
-                    if len(held) == 10_000:
-                        yield pd.DataFrame(held, columns=["agency", "_ord", *columns])
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=["agency", "_ord", *columns])
-
-    return manifest.mapInPandas(rows, ", ".join(["agency long", "_ord long", *(f"{c} string" for c in columns)]))
+    header). Files in folders are read in splits; the paths must be on storage that executors share."""
+    schema = ", ".join(["agency long", "_ord long", *(f"{c} string" for c in columns)])
+
+    def split(header: list[str]):
+        places = {h: i for i, h in enumerate(header)}
+
+        def run(batches):
+            for pdf in batches:
+                values = [split_line(line.removesuffix("\r"), rfc4180) for line in pdf["value"]]
+                picked = {c: None if c not in places else [v[places[c]] if places[c] < len(v) else "" for v in values] for c in columns}
+                yield pd.DataFrame({"agency": pdf["agency"], "_ord": pdf["_ord"] - 1, **picked}, columns=["agency", "_ord", *columns])
+
+        return run
+
+    found = spark.createDataFrame([], schema)
+    for i, feed in enumerate(feeds, 1):
+        if not (header := _header(feed, name, rfc4180)):
+            continue
+        plain = not feed.inner and not feed.path.endswith(".zip")
+        lines = file_lines(spark, f"file://{os.path.abspath(feed.path)}/{name}") if plain else _zipped_lines(spark, feed, name)
+        found = found.unionByName(lines.where("_ord > 0").select(F.lit(i).cast("long").alias("agency"), "_ord", "value").mapInPandas(split(header), schema))
+    return found
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
