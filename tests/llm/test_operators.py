@@ -208,7 +208,7 @@ def test_cut_is_minimal(rng):
             total, latest = sum(max(o, 0) if not x else max(-o, 0) for o, x in zip(odds, labels, strict=True)), {}
             for i, b in enumerate(blocks):
                 if i and labels[i] != labels[i - 1]:
-                    total += round(pages.SCALE * (pages.NEAR if blocks[i - 1].container == b.container else pages.NEAR / 4))
+                    total += round(pages.SCALE * (pages.NEAR if blocks[i - 1].container == b.container else pages.FAR))
                 before = latest.get(b.container)
                 if before is not None and before < i - 1 and labels[i] != labels[before]:
                     total += round(pages.SCALE * pages.SAME)
