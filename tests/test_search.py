@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayloom.operators import corridor, raptor, timetable
+from wayloom.functions import scalars as S
+from wayloom.operators import corridor, debug, raptor, timetable
+from wayloom.plans import engine
 
 R = 6371000.0
 
@@ -209,3 +211,61 @@ def test_frontier_grows_with_stops_not_with_paths(spark):
     got = [tuple(r.path) for r in corridor.paths(found, tree, hits, o, d, 24, sizes).orderBy("path_no").collect()]
     assert max(sizes) <= 24 * 8
     assert got == sorted(got) and len(set(got)) == 24 and got[0] == (0, 100, 200, 300, 400, 500, 999) and got[23] == (0, 100, 200, 300, 402, 507, 999)
+
+
+def labels(spark, step, *rows):
+    ddl = "query_id long, stop_pk long, " + ", ".join(f"{c} {t}" for c, t in raptor.HELD.items()) + ", step int"
+    return spark.createDataFrame([(1, stop, arr, 0, 0.0, None, None, None, None, None, None, None, None, step) for stop, arr in rows], ddl)
+
+
+def test_every_verdict_of_a_failed_search(spark):
+    """Round 0 marks stop 1; round 1 rides to stop 2, which the trim of round 2 takes out."""
+    searched = raptor.Searched(None, [labels(spark, 0, (1, 100)), labels(spark, 1, (2, 200)), labels(spark, 2)], [labels(spark, 0, (1, 100)), labels(spark, 2)])
+    lines = {1: [1, 9], 2: [2, 9], 3: [9, 1], 4: [7, 9], 5: [1, 9], 6: [1, 9]}
+    pattern_stops = spark.createDataFrame([(p, s, i + 1) for p, line in lines.items() for i, s in enumerate(line)], "pattern_pk long, stop_pk long, stop_sequence long")
+    times = [(p, p, s, i + 1, 150 + 10 * i, 150 + 10 * i) for p, line in lines.items() if p < 5 for i, s in enumerate(line)] + [(6, 6, 1, 1, 99, 99), (6, 6, 9, 2, 160, 160)]
+    near = spark.createDataFrame([(1, 9), (1, 8)], "query_id long, stop_pk long")
+    told = debug.diagnosed(near, searched, pattern_stops, spark.createDataFrame(times, "trip_pk long, pattern_pk long, stop_pk long, stop_sequence long, arrival_sec long, departure_sec long"))
+    got = {(r.stop_pk, r.pattern_pk): (r.verdict, r.at_pk, r.at_round, r.trip_pk, r.departure_sec) for r in told.collect()}
+    assert got == {
+        (8, None): ("not served", None, None, None, None),
+        (9, 1): ("upstream", 1, 0, 1, 150),
+        (9, 2): ("trimmed", 2, 1, None, None),
+        (9, 3): ("downstream only", 1, 0, None, None),
+        (9, 4): ("never marked", None, None, None, None),
+        (9, 5): ("no trips", None, None, None, None),
+        (9, 6): ("upstream", 1, 0, None, None),
+    }
+    assert {v for v, *_ in got.values()} == set(debug.VERDICTS)
+
+
+def test_steps_are_numbered_through_rounds(spark):
+    net, o = Network(2), raptor.Options(rounds=2, nearby=5, transfer_walk_sec=300)
+    searched = raptor.search(*net.tables(spark), o)
+    made = debug.events(net.tables(spark)[0], net.tables(spark)[1], None, searched).cache()
+    steps = debug.flattened(made).orderBy("query_id", "step_no").collect()
+    for q in {s.query_id for s in steps}:
+        own = [s for s in steps if s.query_id == q]
+        assert [s.step_no for s in own] == list(range(len(own))) and [(s.round, s.place) for s in own] == sorted((s.round, s.place) for s in own)
+        assert all(s.payload.chain[-1] == s.payload.stop_pk and s.payload.chain[-2] == s.payload.from_pk for s in own)
+    counts = {(c.query_id, c.round): (c.n_steps, c.before) for c in debug.step_counts(made).collect()}
+    for (q, r), (n, before) in counts.items():
+        assert n == sum(s.query_id == q and s.round == r for s in steps) and before == sum(s.query_id == q and s.round < r for s in steps)
+
+
+def test_a_trip_of_tomorrow_is_caught_over_midnight_in_strict_mode(spark):
+    metre = 1e6 / 111_194.9
+    stops = spark.createDataFrame([(1, -37_000_000, 144_000_000, 1), (2, round(-37e6 + 60_000 * metre), 144_000_000, 1)], "stop_pk long, stop_lat long, stop_lon long, agency long")
+    patterns = spark.createDataFrame([(1, "r", 1, 0, None, 1)], "pattern_pk long, route_id string, agency long, direction_id long, shape_id string, trip_pk long")
+    lines = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "pattern_pk long, stop_pk long, stop_sequence long")
+    trips = spark.createDataFrame([(1, "t", 1, 1, "S")], "trip_pk long, trip_id string, agency long, pattern_pk long, service_id string")
+    times = spark.createDataFrame([(1, 1, 1, 900, 900), (1, 2, 2, 2700, 2700)], "trip_pk long, stop_pk long, stop_sequence long, arrival_sec long, departure_sec long")
+    days = {d: int(i == 2) for i, d in enumerate(S.WEEKDAYS)}
+    calendar = spark.createDataFrame([("S", 1, *days.values(), "19980101", "19981231")], "service_id string, agency long, " + ", ".join(f"{d} long" for d in days) + ", start_date string, end_date string")
+    dates = spark.createDataFrame([], "service_id string, agency long, date string, exception_type long")
+    q = spark.createDataFrame([(1, -37.0, 144.0, -37.0 + 60_000 * metre / 1e6, 144.0, 85_800)], "query_id long, o_lat double, o_lon double, d_lat double, d_lon double, depart_sec long")
+    rides = {}
+    for strict in (False, True):
+        rows = engine.Engine(stops, patterns, lines, trips, times, calendar, dates, strict=strict).route(q).where("legs > 0").collect()
+        rides[strict] = [(r.arrival_sec, [x.trip_pk for x in r.legs_taken if x.kind == "transit"]) for r in rows]
+    assert rides == {False: [], True: [(86_400 + 2700, [-1])]}

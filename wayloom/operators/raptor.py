@@ -155,10 +155,12 @@ def footpaths(stops: DataFrame, o: Options) -> DataFrame:
 
 @dataclass
 class Searched:
-    """found: candidates of all rounds; steps: the labels of each step, tables that journeys are read from."""
+    """found: candidates of all rounds; steps: the labels of each step, tables that journeys are read from; live: the
+    labels that each round boarded from, pruned and trimmed."""
 
     found: DataFrame
     steps: list[DataFrame]
+    live: list[DataFrame]
 
     def marked(self) -> DataFrame:
         """(query_id, round, stop_pk, arr): the stops that each round marked, each with its last label."""
@@ -194,7 +196,7 @@ def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_
     ends._small = n_queries * o.nearby <= SMALL
     paths = cut(footpaths(stops, o))
     goal = if_smaller(queries.select("query_id", "d_lat", "d_lon"), queries)
-    marked = steps[0]
+    marked, tried = steps[0], []
     for turn in range(1, o.rounds + 1):
         known = reduce(DataFrame.unionByName, steps)
         go = S.haversine_m(F.col("lat"), F.col("lon"), F.col("d_lat"), F.col("d_lon"))
@@ -202,6 +204,7 @@ def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_
         top = candidates(known, if_smaller(ends, ends), o).groupBy("query_id").agg(F.min("arrival_sec").alias("best_sec"))
         live = prune(marked, top, near, o) if o.prune else marked.join(near, ["query_id", "stop_pk"], "left")
         live, n = counted(trim(live, seed_stops, o).drop("go_m"), times=8)
+        tried.append(live)
         if not n:
             break
         boarded = board(live, index, pattern_stops)
@@ -212,7 +215,7 @@ def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_
         walked = cut(relax(inside(walk_on(rode, paths, o)), known.unionByName(rode)).withColumn("step", F.lit(2 * turn)))
         marked = last_of(rode, walked)
         steps += [rode, walked]
-    return Searched(cut(candidates(reduce(DataFrame.unionByName, steps), if_smaller(ends, ends), o)), steps)
+    return Searched(cut(candidates(reduce(DataFrame.unionByName, steps), if_smaller(ends, ends), o)), steps, tried)
 
 
 def _within(queries: DataFrame, place: DataFrame, allowed: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:

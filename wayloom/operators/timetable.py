@@ -43,6 +43,18 @@ def active_trips(trips: DataFrame, patterns: DataFrame, services: DataFrame) ->
     return trips.join(patterns.select("pattern_pk").distinct(), "pattern_pk", "left_semi").join(services, ["agency", "service_id"], "left_semi")
 
 
+def running_trips(trips: DataFrame, patterns: DataFrame, services: DataFrame) -> DataFrame:
+    """(trip_pk, pattern_pk, shift) of the trips on wanted patterns whose service is active, once for each day that it
+    runs on; services: (agency, service_id, shift)."""
+    rows = trips.join(patterns.select("pattern_pk").distinct(), "pattern_pk", "left_semi")
+    return rows.join(services, ["agency", "service_id"]).select("trip_pk", "pattern_pk", "shift").distinct()
+
+
+def run_pk(trip_pk: Column, shift: Column) -> Column:
+    """The key of a trip's run on a day: the trip's own today, the same negated tomorrow."""
+    return F.when(shift > 0, -trip_pk).otherwise(trip_pk)
+
+
 def in_window(departure: Column, depart_sec: int, window: int) -> Column:
     return departure.between(max(0, depart_sec - BOARD_BUFFER), depart_sec + window)
 

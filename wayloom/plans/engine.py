@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import corridor, graph, raptor, timetable
+from ..operators import corridor, debug, graph, raptor, timetable
 from ..operators.lineage import cut
 from . import load
 
@@ -29,6 +29,7 @@ class Engine:
     tomorrow: tuple[str, int] = ("19980609", 2)
     options: raptor.Options = field(default_factory=raptor.Options)
     edges: DataFrame | None = None
+    strict: bool = False  # each service day by itself, tomorrow's runs a day later and with their trips' keys negated
     graph_path: str | None = None  # where the stop graph is kept from one engine to the next
 
     @classmethod
@@ -62,13 +63,14 @@ class Engine:
         """(query_id, trip_pk, pattern_pk, stop_pk, stop_sequence, arrival_sec, departure_sec) that each query may use:
         active trips of its patterns that leave its stops in its window, at its stops. The window is the first of the
         initial and the wider ones in which the query has a trip."""
-        services = timetable.active_services(self.calendar, self.calendar_dates, self.today, self.tomorrow)
-        running = cut(timetable.active_trips(self.trips, found["patterns"], services).select("trip_pk", "pattern_pk"))
+        services = timetable.active_services(self.calendar, self.calendar_dates, self.today, self.tomorrow, self.strict)
+        running = cut(timetable.running_trips(self.trips, found["patterns"], services))
         km = S.haversine_m(F.col("o_lat"), F.col("o_lon"), F.col("d_lat"), F.col("d_lon")) / 1000
         first = F.lit(window) if window else S.window_sec(km).cast("int")
         wanted = queries.select("query_id", "depart_sec", first.alias("w0"))
         widest = max(timetable.WIDER_WINDOWS)
         rows = found["patterns"].join(running, "pattern_pk").join(self.stop_times, "trip_pk").join(found["stops"], ["query_id", "stop_pk"], "left_semi").join(wanted, "query_id")
+        rows = rows.withColumns({"trip_pk": timetable.run_pk(F.col("trip_pk"), F.col("shift")), "arrival_sec": F.col("arrival_sec") + F.col("shift"), "departure_sec": F.col("departure_sec") + F.col("shift")})
         late = F.col("departure_sec") - F.col("depart_sec")
         rows = rows.withColumn("stage", F.when((late < -timetable.BOARD_BUFFER) | (late > widest), None).when(late <= F.col("w0"), 0).when(late <= timetable.WIDER_WINDOWS[0], 1).otherwise(2))
         rows = cut(rows.select("query_id", "trip_pk", "pattern_pk", "stop_pk", "stop_sequence", "arrival_sec", "departure_sec", "stage"))
@@ -119,3 +121,15 @@ class Engine:
         rows = near.join(served, "stop_pk", "left").join(inside, ["query_id", "stop_pk"], "left").join(ran, ["query_id", "stop_pk"], "left").join(marked, ["query_id", "stop_pk"], "left")
         verdict = F.when(F.col("_served").isNull(), "not served by any pattern").when(F.col("_inside").isNull(), "outside the corridor").when(F.col("_ran").isNull(), "no trips in the window").when(F.col("_round").isNull(), "never reached").otherwise(F.concat(F.lit("reached in round "), F.col("_round").cast("string")))
         return rows.select("query_id", "stop_pk", verdict.alias("verdict"))
+
+    def explain(self, queries: DataFrame) -> DataFrame:
+        """For each stop near a destination and each pattern of the corridor there, how near the rounds came to riding to
+        it: debug.diagnosed."""
+        found = self.corridor(queries)
+        _, times, searched = self._run(queries, found, None)
+        return debug.diagnosed(raptor.destinations(queries, self.stops, self.options), searched, self.pattern_stops, times, found["patterns"])
+
+    def events(self, queries: DataFrame) -> DataFrame:
+        """All that a search of these queries reports: debug.events."""
+        found = self.corridor(queries)
+        return debug.events(queries, self.stops, found, self._run(queries, found, None)[2])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import corridor, etl, geometry, graph, raptor, timetable
+from ..operators import corridor, debug, etl, geometry, graph, raptor, timetable
 from ..operators.lineage import cut, kept
 from ..sources import adapter, feeds, places
 from . import engine
@@ -1007,12 +1007,46 @@ def debug_cumulative_reveal(t):
 def debug_bfs_candidates(t):
     ends = _paths(t).select("path_no", F.element_at("path", -1).alias("stop_pk"))
     found = _levels(t)[0].select("stop_pk", "level")
-    return ends.join(found, "stop_pk", "left").select("path_no", "stop_pk", F.coalesce("level", F.lit(0)).alias("level"))
+    last = found.agg(F.max("level").alias("last"))
+    return ends.join(found, "stop_pk", "left").join(F.broadcast(last)).select("path_no", "stop_pk", F.coalesce("level", "last").alias("level"))  # one row
 
 
-@query()
+_STEPS = _FIRST + """, rk AS (SELECT x.stop_pk, x.arrival_sec AS arr, b.walk_m, b.board_pk, b.pattern_pk FROM bd b JOIN t_stop_times x ON x.trip_pk = b.trip_pk AND x.stop_sequence > b.stop_sequence JOIN t_pattern_stops p ON p.pattern_pk = b.pattern_pk AND p.stop_pk = x.stop_pk AND p.stop_sequence = x.stop_sequence WHERE b.r = 1),
+st AS (SELECT k.stop_pk, k.board_pk, k.pattern_pk, k.arr FROM (SELECT *, row_number() OVER (PARTITION BY stop_pk ORDER BY arr, walk_m, board_pk) AS r FROM rk) k WHERE r = 1 AND stop_pk IN (SELECT stop_pk FROM r1))"""
+
+
+@query(ctes(_SEARCH_VIEWS, _STEPS, "SELECT CAST(row_number() OVER (ORDER BY stop_pk) - 1 AS BIGINT) AS step_no, CAST(1 AS INTEGER) AS round, stop_pk, board_pk, pattern_pk, arr, concat(board_pk, '>', stop_pk) AS chain FROM st"))
 def debug_flatten_steps(t):
-    return raptor.journey_legs(_journeys(t)).groupBy("query_id", "journey_no").agg(F.count("*").alias("n_steps"))
+    """The rides of one round as steps, each with the chain of stops that led to it."""
+    steps = debug.flattened(debug.events(_od(t), t("t_stops"), None, _searched(t, _PLAIN)))
+    return steps.select(F.col("step_no").cast("bigint").alias("step_no"), "round", "payload.stop_pk", F.col("payload.from_pk").alias("board_pk"), "payload.pattern_pk", F.col("payload.at_sec").alias("arr"), F.array_join("payload.chain", ">").alias("chain"))
+
+
+@query()
+def debug_events(t):
+    """All events of a search, counted by kind and index."""
+    return engine.Engine.from_views(t).events(_od(t)).groupBy("query_id", "kind", "index").agg(F.count("*").alias("n"))
+
+
+@query()
+def debug_step_counts(t):
+    return debug.step_counts(debug.events(_od(t, PAIRS), t("t_stops"), None, _searched(t, pairs=PAIRS)))
+
+
+@query(ctes(_SEARCH_VIEWS, _CAND + """, ln AS (SELECT pattern_pk, stop_pk, min(stop_sequence) AS seq FROM t_pattern_stops GROUP BY 1, 2),
+mk AS (SELECT stop_pk, arr, 0 AS round FROM s0 UNION ALL SELECT stop_pk, arr, 1 FROM m1), ta AS (SELECT stop_pk, min(arr) AS tau FROM (SELECT stop_pk, arr FROM mk UNION ALL SELECT stop_pk, arr FROM r1) u GROUP BY 1),
+sv AS (SELECT dn.stop_pk, ln.pattern_pk, ln.seq, EXISTS (SELECT 1 FROM t_trips t JOIN t_stop_times x ON x.trip_pk = t.trip_pk WHERE t.pattern_pk = ln.pattern_pk AND x.stop_pk = dn.stop_pk) AS ran FROM dn LEFT JOIN ln ON ln.stop_pk = dn.stop_pk),
+mt AS (SELECT sv.stop_pk, sv.pattern_pk, sv.seq, mk.stop_pk AS at_pk, mk.round, q.seq AS at_seq, q.seq < sv.seq AS up FROM sv JOIN ln q ON q.pattern_pk = sv.pattern_pk JOIN mk ON mk.stop_pk = q.stop_pk),
+bu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stop_pk, pattern_pk ORDER BY at_seq, round, at_pk) AS r FROM mt WHERE up) x WHERE r = 1),
+bw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stop_pk, pattern_pk ORDER BY round, at_seq, at_pk) AS r FROM mt WHERE NOT up) x WHERE r = 1),
+vd AS (SELECT sv.stop_pk, sv.pattern_pk, CASE WHEN sv.pattern_pk IS NULL THEN 'not served' WHEN NOT sv.ran THEN 'no trips' WHEN bu.at_pk IS NOT NULL THEN 'upstream' WHEN bw.at_pk IS NOT NULL THEN 'downstream only' ELSE 'never marked' END AS verdict,
+ bu.at_pk AS up_pk, bu.round AS up_round, bw.at_pk AS down_pk, bw.round AS down_round FROM sv LEFT JOIN bu ON bu.stop_pk = sv.stop_pk AND bu.pattern_pk = sv.pattern_pk LEFT JOIN bw ON bw.stop_pk = sv.stop_pk AND bw.pattern_pk = sv.pattern_pk)""",
+"""SELECT v.stop_pk, v.pattern_pk, v.verdict, CASE v.verdict WHEN 'upstream' THEN up_pk WHEN 'downstream only' THEN down_pk END AS at_pk, CAST(CASE v.verdict WHEN 'upstream' THEN up_round WHEN 'downstream only' THEN down_round END AS INTEGER) AS at_round,
+ CASE v.verdict WHEN 'upstream' THEN (SELECT min(x.departure_sec) FROM t_trips t JOIN t_stop_times x ON x.trip_pk = t.trip_pk WHERE t.pattern_pk = v.pattern_pk AND x.stop_pk = v.up_pk AND x.departure_sec >= (SELECT tau FROM ta WHERE ta.stop_pk = v.up_pk)) END AS departure_sec FROM vd v"""))
+def diag_patterns(t):
+    """One round, every stop near the destination: how near each of its patterns came to riding there."""
+    searched = _searched(t, _PLAIN)
+    return debug.diagnosed(raptor.destinations(_od(t), t("t_stops"), _PLAIN), searched, t("t_pattern_stops"), _times(t)).select("stop_pk", "pattern_pk", "verdict", "at_pk", "at_round", "departure_sec")
 
 
 @query()
