@@ -95,7 +95,7 @@ def beats(a, b):
     return all(x <= y for x, y in zip(a, b)) and a != b
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_search_matches_plain_rounds(spark, seed):
     net = Network(seed)
     o = raptor.Options(rounds=3, nearby=6, most_marked=12, transfer_walk_sec=400)
@@ -175,7 +175,7 @@ def simple_paths(links, origins, dest, most_stops):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_paths_match_brute_force(spark, seed):
     rng = random.Random(seed)
     n = 16
