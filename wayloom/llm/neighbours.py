@@ -12,13 +12,12 @@ Lists are dealt out in cells of about CELL vectors and CELL queries, so that a l
 all queries) is scanned by many tasks. Each task holds one cell's vectors; queries stream past them.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, rows without an id, and vectors
-of another length than most of the sample take no part. Rows of one id count once. Ties go to the smaller id. Fewer
+of another length than most of the table take no part. Rows of one id count once. Ties go to the smaller id. Fewer
 candidates than k give fewer rows; an empty table gives none. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_FIT, MOST_FIT, EACH, LIST_ROWS, MOST_LISTS, CELL, ROUNDS = 8192, 65_536, 8, 512, 8192, 2048, 8
+MOST_FIT_BYTES = 64 << 20  # of these vectors as doubles
 AIM, LEAST_CANDIDATES, COLUMNS, SLACK = 0.97, 256, 16, 2.1
 FIXED_SEED = 20240
 
@@ -65,14 +65,15 @@ def _usable(ids: pa.Array, vectors: pa.Array, dims: int) -> tuple[np.ndarray, np
 
 
 def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5) -> Index | None:
-    """Centres and the number of probed lists, from the vectors that come first by a hash of their id."""
-    n = vectors.count()
-    fit = int(np.clip(n // LIST_ROWS * EACH, LEAST_FIT, MOST_FIT))
-    sample = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).select(F.col(id_col).alias("i"), F.col(vector_col).alias("v")).limit(fit).toArrow()
-    lengths = Counter(sample.column("v").combine_chunks().value_lengths().to_pylist()) if sample.num_rows else {}
-    if not lengths:
+    """Centres and the number of probed lists, from the vectors of the commonest length that come first by a hash of their
+    id: MOST_FIT of them at most, and as many as MOST_FIT_BYTES hold."""
+    held = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(vector_col).alias("v"))
+    common_length = held.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), F.desc("dims")).first()
+    if common_length is None:
         return None
-    dims = max(lengths, key=lambda d: (lengths[d], d))
+    n, dims = common_length["k"], common_length["dims"]
+    fit = int(np.clip(n // LIST_ROWS * EACH, LEAST_FIT, min(MOST_FIT, max(MOST_FIT_BYTES // (8 * max(dims, 1)), 256))))
+    sample = held.where(F.size("v") == dims).orderBy(F.xxhash64("i"), "i").limit(fit).toArrow()
     rng = np.random.default_rng(FIXED_SEED)
     ids, x = _usable(sample.column("i").combine_chunks(), sample.column("v").combine_chunks(), dims)
     if not len(x):
