@@ -936,9 +936,13 @@ def _journey(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("journey_no").cast("bigint").alias("journey_no"), "arrival_sec", "legs", F.round("total_walk_m").cast("bigint").alias("walk_m"))
 
 
+def _placed(t, by: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(by, "journey_no")).cast("bigint").alias("place")
+    return _one_round(t).select(place, F.col("journey_no").cast("bigint").alias("journey_no"), "arrival_sec", "legs", F.round("total_walk_m").cast("bigint").alias("walk_m"))
+
+
 for _name, _by in {"one_round_sort_arrival": "arrival_sec", "one_round_sort_walking": "total_walk_m", "one_round_sort_transfers": "legs"}.items():
-    _sorted = F.row_number().over(Window.partitionBy("query_id").orderBy(_by, "journey_no")).cast("bigint").alias("place")
-    QUERIES[_name] = lambda spark, sf_dir, place=_sorted: _one_round(lambda n: adapter.view(spark, sf_dir, n)).select(place, F.col("journey_no").cast("bigint").alias("journey_no"), "arrival_sec", "legs", F.round("total_walk_m").cast("bigint").alias("walk_m"))
+    QUERIES[_name] = lambda spark, sf_dir, by=_by: _placed(lambda n: adapter.view(spark, sf_dir, n), by)
     SQL[_name] = ctes(_SEARCH_VIEWS, _FRONT, f"SELECT row_number() OVER (ORDER BY {'walk_m' if _by == 'total_walk_m' else _by}, journey_no) AS place, journey_no, arrival_sec, CAST(legs AS BIGINT) AS legs, CAST(round(walk_m) AS BIGINT) AS walk_m FROM fr")
 
 
