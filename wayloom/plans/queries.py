@@ -79,8 +79,9 @@ def json_each_unnest(t):
     return stops.join(wanted, "stop_pk", "left_semi").select("stop_pk", "stop_name")
 
 
-QUERIES["gen_synthetic_stop_times"] = lambda spark, sf_dir: feeds.synthetic_stop_times(spark, 10_000)
-SQL["gen_synthetic_stop_times"] = "SELECT i // 20 + 1 AS trip_pk, i % 20 AS stop_sequence, i % 9000 + 1 AS stop_pk, 18000 + i % 86400 AS arrival_sec, 18020 + i % 86400 AS departure_sec FROM range(0, 10000) a(i)"
+# as many as there are orders, so that the load grows with the tables
+QUERIES["gen_synthetic_stop_times"] = lambda spark, sf_dir: feeds.synthetic_stop_times(spark, adapter.view(spark, sf_dir, "orders").count())
+SQL["gen_synthetic_stop_times"] = "SELECT i // 20 + 1 AS trip_pk, i % 20 AS stop_sequence, i % 9000 + 1 AS stop_pk, 18000 + i % 86400 AS arrival_sec, 18020 + i % 86400 AS departure_sec FROM (SELECT row_number() OVER () - 1 AS i FROM orders) a"
 
 
 @query("SELECT stop_pk, concat(stop_id, '|', stop_name, ', no. ', agency, '||', stop_lat) AS fields, CAST(4 AS BIGINT) AS n FROM t_stops", ("t_stops",))
