@@ -269,3 +269,61 @@ def test_a_trip_of_tomorrow_is_caught_over_midnight_in_strict_mode(spark):
         rows = engine.Engine(stops, patterns, lines, trips, times, calendar, dates, strict=strict).route(q).where("legs > 0").collect()
         rides[strict] = [(r.arrival_sec, [x.trip_pk for x in r.legs_taken if x.kind == "transit"]) for r in rows]
     assert rides == {False: [], True: [(86_400 + 2700, [-1])]}
+
+
+def with_calendar(spark, net, **more):
+    """An engine over a random network whose trips run every day."""
+    _, stops, lines, times = net.tables(spark)
+    patterns = spark.createDataFrame([(p, f"r{p}", 1, 0, None, 1) for p in net.patterns], "pattern_pk long, route_id string, agency long, direction_id long, shape_id string, trip_pk long")
+    trips = times.select("trip_pk", "pattern_pk").distinct().selectExpr("trip_pk", "CAST(trip_pk AS string) AS trip_id", "1L AS agency", "pattern_pk", "'S' AS service_id")
+    calendar = spark.createDataFrame([("S", 1, *[1] * 7, "19980101", "19981231")], "service_id string, agency long, " + ", ".join(f"{d} long" for d in S.WEEKDAYS) + ", start_date string, end_date string")
+    dates = spark.createDataFrame([], "service_id string, agency long, date string, exception_type long")
+    return engine.Engine(stops, patterns, lines, trips, times.drop("pattern_pk"), calendar, dates, **more)
+
+
+def test_network_corridors_are_a_flag(spark, monkeypatch):
+    """Queries without a seed path use every stop and every trip of their window, without a row for each; one query
+    beside them keeps its own corridor."""
+    net, o = Network(5), raptor.Options(rounds=2, nearby=6, transfer_walk_sec=300)
+    net.queries = [(1, *net.queries[0][1:]), (2, *net.queries[1][1:]), (3, *net.queries[2][1:5], 30_000), (4, *net.queries[2][1:5], 90_000)]
+    eng, queries = with_calendar(spark, net, options=o), net.tables(spark)[0]
+    every = corridor.paths
+    monkeypatch.setattr(corridor, "paths", lambda *a, **k: every(*a, **k).where("query_id = 1"))
+    monkeypatch.setattr(corridor, "LEAST_PATTERNS", 1)
+    found = eng.corridor(queries)
+    assert {r.query_id for r in found["network"].collect()} == {2, 3, 4}
+    assert {r.query_id for name in ("stops", "patterns") for r in found[name].collect()} == {1}
+    # what each may ride, against plain Python
+    times = eng.timetable(queries, found)
+    got = {(r.query_id, r.trip_pk, r.stop_sequence) for r in times.where("query_id > 1").collect()}
+    want = set()
+    for q, la, lo, lb, ob, depart in net.queries[1:]:
+        w0 = spark.range(1).select(S.window_sec(F.lit(metres((la, lo), (lb, ob)) / 1000)).cast("int")).first()[0]
+        for w in (w0, *timetable.WIDER_WINDOWS):
+            runs = {t[0] for t in net.times if depart - timetable.BOARD_BUFFER <= t[5] <= depart + w}
+            if runs:
+                want |= {(q, t[0], t[3]) for t in net.times if t[0] in runs}
+                break
+    assert got == want and {q for q, *_ in want} == {2, 3}
+    # the journeys are those of a search of the whole network
+    cols = ["query_id", "journey_no", "arrival_sec", "total_walk_m", "legs", "stop_pk"]
+    mine = {tuple(r) for r in eng._run(queries, found, None)[0].select(cols).where("query_id > 1").collect()}
+    plain = raptor.journeys(raptor.search(queries.where("query_id > 1"), eng.stops, eng.pattern_stops, times, o), o)
+    assert mine == {tuple(r) for r in plain.select(cols).collect()} and any(r[4] for r in mine)
+    status = {r.query_id: r.status for r in eng.route(queries).select("query_id", "status").distinct().collect()}
+    assert status[4] == "NO_SERVICE_WALK_ONLY" and status[2] in ("OK", "NO_ROUTE")
+    kinds = {(r.query_id, r["count"]) for r in eng.events(queries).where("kind = 'corridor_network'").groupBy("query_id").count().collect()}
+    assert kinds == {(2, 1), (3, 1), (4, 1)}
+    assert {r.verdict for r in eng.diagnose(queries).where("query_id > 1").collect()}.isdisjoint({"outside the corridor"})
+
+
+def test_a_thousand_network_queries(spark, monkeypatch):
+    net = Network(6)
+    net.queries = [(q, *net.queries[q % 3][1:5], 28_800 + q) for q in range(1000)]
+    queries = net.tables(spark)[0]
+    every = corridor.paths
+    monkeypatch.setattr(corridor, "paths", lambda *a, **k: every(*a, **k).where("false"))
+    eng = with_calendar(spark, net, options=raptor.Options(rounds=1, transfer_walk_sec=300))  # every stop is near enough to walk to
+    found = eng.corridor(queries)
+    assert found["stops"].isEmpty() and found["network"].count() == 1000
+    assert eng._run(queries, found, None)[0].select("query_id").distinct().count() == 1000

@@ -261,11 +261,22 @@ def boundary(found_paths: DataFrame, stops: DataFrame, width_m: float = WIDTH_M,
     return rows.select("query_id", "path_no", "sample", (F.col("lat") + d_lat).alias("left_lat"), (F.col("lon") + d_lon).alias("left_lon"), (F.col("lat") - d_lat).alias("right_lat"), (F.col("lon") - d_lon).alias("right_lon"))
 
 
-def resolve(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, patterns: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+def inside(rows: DataFrame, allowed: DataFrame, whole: DataFrame | None, key: str = "stop_pk") -> DataFrame:
+    """rows (query_id, key, ...) that lie in their query's corridor; allowed: distinct (query_id, key). Queries in whole
+    (query_id, distinct; None: there are none) keep all their rows."""
+    on = ["query_id", key]
+    if whole is None:
+        return rows.join(allowed.select(*on), on, "left_semi")
+    marked = rows.join(allowed.select(*on, F.lit(True).alias("_in")), on, "left").join(whole.select("query_id", F.lit(True).alias("_all")), "query_id", "left")
+    return marked.where("_in OR _all").select(*rows.columns)
+
+
+def resolve(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, patterns: DataFrame, edges: DataFrame) -> dict[str, DataFrame | None]:
     """The corridor of each query: allowed stops, patterns, how it was found ('seed', 'tapered' or 'network'), paths.
 
     queries: (query_id, o_lat, o_lon, d_lat, d_lon). Seed paths' patterns are taken if there are enough and both ends
-    are served; else the tapered corridor; else the whole network.
+    are served; else the tapered corridor; else the whole network. Queries of the whole network have no rows among
+    stops and patterns: network names them (None: there are none), and inside() lets all their rows through.
     """
     routes = pattern_stops.join(patterns.select("pattern_pk", "agency", "route_id"), "pattern_pk").select("stop_pk", S.make_key(F.col("agency"), F.col("route_id")).alias("route")).distinct()
     origins = cut(seeds(queries.selectExpr("query_id", "o_lat AS at_lat", "o_lon AS at_lon"), stops, routes))
@@ -284,8 +295,8 @@ def resolve(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, patt
         buffer = cut(tapered(rest, stops, walkable.join(rest.select("query_id").distinct(), "query_id", "left_semi")))
     how = queries.select("query_id").join(good.withColumn("g", F.lit(True)), "query_id", "left").join(buffer.select("query_id").distinct().withColumn("b", F.lit(True)), "query_id", "left")
     how = cut(how.select("query_id", F.when(F.col("g"), "seed").when(F.col("b"), "tapered").otherwise("network").alias("how")))
-    network = how.where("how = 'network'").select("query_id")  # each takes the whole network: that is its result
+    network = cut(how.where("how = 'network'").select("query_id").distinct())
     seed_stops = derived.union(walkable).union(core).join(good, "query_id", "left_semi")
-    stop_rows = seed_stops.union(buffer.select("query_id", "stop_pk")).union(network.join(stops.select("stop_pk"))).distinct()
-    pattern_rows = chosen.join(good, "query_id", "left_semi").union(patterns_of(buffer, pattern_stops)).union(network.join(patterns.select("pattern_pk"))).distinct()
-    return {"stops": cut(stop_rows), "patterns": cut(pattern_rows), "how": how, "paths": lines, "origins": origins, "destinations": ends, "levels": found, "tree": tree, "hits": hits}
+    stop_rows = seed_stops.union(buffer.select("query_id", "stop_pk")).distinct()
+    pattern_rows = chosen.join(good, "query_id", "left_semi").union(patterns_of(buffer, pattern_stops)).distinct()
+    return {"stops": cut(stop_rows), "patterns": cut(pattern_rows), "network": None if network.isEmpty() else network, "how": how, "paths": lines, "origins": origins, "destinations": ends, "levels": found, "tree": tree, "hits": hits}

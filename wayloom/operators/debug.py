@@ -12,11 +12,11 @@ from . import corridor, raptor, timetable
 VERDICTS = ("not served", "no trips", "upstream", "trimmed", "downstream only", "never marked")
 
 
-def diagnosed(near: DataFrame, searched: raptor.Searched, pattern_stops: DataFrame, stop_times: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+def diagnosed(near: DataFrame, searched: raptor.Searched, pattern_stops: DataFrame, stop_times: DataFrame, patterns: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
     """(query_id, stop_pk, pattern_pk, verdict, at_pk, at_round, trip_pk, departure_sec): for each stop near a destination
     (query_id, stop_pk) and each pattern that serves it, how near the rounds came to riding there.
 
-    `not served`: no pattern (of the query's, if patterns (query_id, pattern_pk) are given) calls there. `no trips`: none of
+    `not served`: no pattern (of the query's, if patterns (query_id, pattern_pk) are given and it isn't in whole) calls there. `no trips`: none of
     its trips does. `upstream`: a stop before it was boarded from; the boarding is replayed at the lowest such stop, and
     trip_pk and departure_sec are what it finds, null if nothing leaves any more. `trimmed`: one was reached, but the trim
     took it out in that round. `downstream only`: only stops behind it were. A stop that a pattern meets twice counts by
@@ -25,7 +25,7 @@ def diagnosed(near: DataFrame, searched: raptor.Searched, pattern_stops: DataFra
     lines = pattern_stops.groupBy("pattern_pk", "stop_pk").agg(F.min("stop_sequence").alias("seq"))
     served = near.select("query_id", "stop_pk").distinct().join(lines, "stop_pk")
     if patterns is not None:
-        served = served.join(patterns.select("query_id", "pattern_pk").distinct(), ["query_id", "pattern_pk"], "left_semi")
+        served = corridor.inside(served, patterns.select("query_id", "pattern_pk").distinct(), whole, "pattern_pk")
     keys = [k for k in ("query_id", "stop_pk", "pattern_pk") if k in stop_times.columns]
     ran = stop_times.select(*keys).distinct().withColumn("ran", F.lit(True))
     rows = near.select("query_id", "stop_pk").distinct().join(served, ["query_id", "stop_pk"], "left").join(ran, keys, "left")
@@ -70,16 +70,19 @@ def _events(rows: DataFrame, kind: str, index: Column, place: Column, **payload:
     return rows.select("query_id", F.lit(kind).alias("kind"), index.cast("int").alias("index"), place.cast("bigint").alias("place"), values.alias("payload"))
 
 
-def events(queries: DataFrame, stops: DataFrame, found: dict[str, DataFrame] | None, searched: raptor.Searched | None) -> DataFrame:
+def events(queries: DataFrame, stops: DataFrame, found: dict[str, DataFrame | None] | None, searched: raptor.Searched | None) -> DataFrame:
     """(query_id, kind, index, place, payload): one table of all that a search reports.
 
-    index is the level, round or path that an event belongs to, place its place in it. Kinds: corridor_stop, seed_path (one
+    index is the level, round or path that an event belongs to, place its place in it. Kinds: corridor_stop, corridor_network (a
+    query that may use every stop: one event, not one for each stop), seed_path (one
     event for each stop), bfs_level, tree_edge, boundary_left, boundary_right, circle (the walks around both ends),
     round_marked, route_check (a ride that a round kept, with the chain of stops that led to it).
     """
     made, by = [], F.col("stop_pk")
     if found is not None:
         made.append(_events(found["stops"], "corridor_stop", F.lit(0), by, stop_pk=by))
+        if found["network"] is not None:
+            made.append(_events(found["network"], "corridor_network", F.lit(0), F.lit(0)))
         on = raptor.points(stops)
         line = found["paths"].select("query_id", "path_no", F.posexplode("path").alias("pos", "stop_pk")).join(on, "stop_pk")
         made.append(_events(line, "seed_path", F.col("path_no"), F.col("pos"), stop_pk=by, lat=F.col("lat"), lon=F.col("lon")))

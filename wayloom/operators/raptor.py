@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import timetable
+from . import corridor, timetable
 from .corridor import points, ranked
 from .graph import both_ways, near_pairs
 from .lineage import SMALL, cut, kept
@@ -175,14 +175,15 @@ def last_of(rode: DataFrame, walked: DataFrame) -> DataFrame:
     return rode.join(walked.select("query_id", "stop_pk"), ["query_id", "stop_pk"], "left_anti").unionByName(walked)
 
 
-def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, o: Options = Options(), allowed: DataFrame | None = None, seed_stops: DataFrame | None = None) -> Searched:
+def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_times: DataFrame, o: Options = Options(), allowed: DataFrame | None = None, seed_stops: DataFrame | None = None, whole: DataFrame | None = None) -> Searched:
     """Searches for a batch of queries.
 
     stop_times: (trip_pk, pattern_pk, stop_pk, stop_sequence, arrival_sec, departure_sec), with query_id where each query
-    has its own. allowed: (query_id, stop_pk) of each query's corridor; None for the whole network.
+    has its own. allowed: (query_id, stop_pk) of each query's corridor; None for the whole network. whole: (query_id) of
+    the queries that may use every stop all the same.
     """
     def inside(rows: DataFrame) -> DataFrame:
-        return rows if allowed is None else rows.join(allowed, ["query_id", "stop_pk"], "left_semi")
+        return rows if allowed is None else corridor.inside(rows, allowed, whole)
 
     queries, n_queries = counted(queries)
     place, pattern_stops = cut(points(stops)), cut(pattern_stops)
@@ -191,6 +192,9 @@ def search(queries: DataFrame, stops: DataFrame, pattern_stops: DataFrame, stop_
         first, ends = seed(queries, stops, o), destinations(queries, stops, o)
     else:
         first, ends = _within(queries, place, allowed, o)
+        if whole is not None:  # their nearest stops are found on the grid
+            free = queries.join(whole, "query_id", "left_semi")
+            first, ends = first.unionByName(seed(free, stops, o)), ends.unionByName(destinations(free, stops, o))
     index = kept(timetable.departure_index(stop_times, tuple(k for k in ("query_id",) if k in stop_times.columns)))
     steps, ends = [cut(first.withColumn("step", F.lit(0)))], cut(ends)
     ends._small = n_queries * o.nearby <= SMALL

@@ -76,6 +76,27 @@ def window_stage(stop_times: DataFrame, trips: DataFrame, stops: DataFrame, depa
     return each.join(F.broadcast(least), "stage").select("stage", "trip_pk")  # one row
 
 
+def trips_in_windows(stop_times: DataFrame, queries: DataFrame, wider: tuple[int, ...] = WIDER_WINDOWS, quarter: int = QUARTER) -> DataFrame:
+    """(query_id, trip_pk) of the trips that leave any stop in a query's window, the first of its own (w0) and the wider
+    ones that has a departure. queries: (query_id, depart_sec, w0).
+
+    Which window that is, the distinct seconds of departure tell, bounded by the day; trips and queries then meet by the
+    quarters of that window alone.
+    """
+    def near(left: DataFrame, right: DataFrame, most: Column) -> DataFrame:
+        bucket = F.explode(F.sequence(F.floor((F.col("depart_sec") - BOARD_BUFFER) / quarter), F.floor((F.col("depart_sec") + most) / quarter)))
+        met = left.withColumn("bucket", bucket).join(right.withColumn("bucket", F.floor(F.col("departure_sec") / quarter)), "bucket")
+        return met.where(F.col("departure_sec").between(F.col("depart_sec") - BOARD_BUFFER, F.col("depart_sec") + most))
+
+    seconds = stop_times.select("departure_sec").distinct()
+    steps = [F.col("w0"), *map(F.lit, wider)]
+    late = F.col("departure_sec") - F.col("depart_sec")
+    first = F.coalesce(*[F.when(late <= w, F.struct(F.lit(i).alias("i"), w.cast("int").alias("w"))) for i, w in enumerate(steps)])
+    own = near(queries, seconds, F.greatest(*steps) if wider else F.col("w0")).groupBy("query_id", "depart_sec").agg(F.min(first)["w"].alias("w"))
+    leaves = stop_times.select("trip_pk", "departure_sec").distinct()
+    return near(own, leaves, F.col("w")).select("query_id", "trip_pk").distinct()
+
+
 def scoped_stop_times(stop_times: DataFrame, trip_pks: DataFrame, stops: DataFrame, trips: DataFrame) -> DataFrame:
     """The stop times of window trips at wanted stops, with their pattern."""
     rows = stop_times.join(stops.select("stop_pk"), "stop_pk", "left_semi").join(trip_pks.select("trip_pk"), "trip_pk", "left_semi")

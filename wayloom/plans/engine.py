@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -14,6 +14,11 @@ from ..operators.lineage import cut
 from . import load
 
 
+def _shifted(rows: DataFrame) -> DataFrame:
+    """Stop times of trips' runs, with the shift of the day that each runs on."""
+    return rows.withColumns({"trip_pk": timetable.run_pk(F.col("trip_pk"), F.col("shift")), "arrival_sec": F.col("arrival_sec") + F.col("shift"), "departure_sec": F.col("departure_sec") + F.col("shift")})
+
+
 @dataclass
 class Engine:
     """A timetable, ready for searches. queries: (query_id, o_lat, o_lon, d_lat, d_lon, depart_sec)."""
@@ -56,21 +61,35 @@ class Engine:
             kept = graph.load(self.stops.sparkSession, mark, path)
         return cut(graph.edges(self.stops, self.pattern_stops)) if kept is None else kept
 
-    def corridor(self, queries: DataFrame) -> dict[str, DataFrame]:
+    def corridor(self, queries: DataFrame) -> dict[str, DataFrame | None]:
         return corridor.resolve(queries, self.stops, self.pattern_stops, self.patterns, self.graph())
 
-    def timetable(self, queries: DataFrame, found: dict[str, DataFrame], window: int | None = None) -> DataFrame:
+    def timetable(self, queries: DataFrame, found: dict[str, DataFrame | None], window: int | None = None) -> DataFrame:
         """(query_id, trip_pk, pattern_pk, stop_pk, stop_sequence, arrival_sec, departure_sec) that each query may use:
         active trips of its patterns that leave its stops in its window, at its stops. The window is the first of the
-        initial and the wider ones in which the query has a trip."""
+        initial and the wider ones in which the query has a trip. A query of the whole network gets the trips of its
+        window alone, met by quarters of an hour."""
         services = timetable.active_services(self.calendar, self.calendar_dates, self.today, self.tomorrow, self.strict)
-        running = cut(timetable.running_trips(self.trips, found["patterns"], services))
+        scoped = self._scoped(queries, found, services, window)
+        if found["network"] is None:
+            return scoped
+        free = queries.join(found["network"], "query_id", "left_semi").select("query_id", "depart_sec", self._first_window(window).alias("w0"))
+        running = timetable.running_trips(self.trips, self.patterns, services)
+        rows = cut(_shifted(running.join(self.stop_times, "trip_pk")).select("trip_pk", "pattern_pk", "stop_pk", "stop_sequence", "arrival_sec", "departure_sec"))
+        return cut(scoped.unionByName(timetable.trips_in_windows(rows, free, timetable.WIDER_WINDOWS if window is None else ()).join(rows, "trip_pk").select(scoped.columns)))
+
+    @staticmethod
+    def _first_window(window: int | None) -> Column:
         km = S.haversine_m(F.col("o_lat"), F.col("o_lon"), F.col("d_lat"), F.col("d_lon")) / 1000
-        first = F.lit(window) if window else S.window_sec(km).cast("int")
-        wanted = queries.select("query_id", "depart_sec", first.alias("w0"))
+        return F.lit(window) if window else S.window_sec(km).cast("int")
+
+    def _scoped(self, queries: DataFrame, found: dict[str, DataFrame | None], services: DataFrame, window: int | None) -> DataFrame:
+        """timetable() of the queries that have stops and patterns of their own."""
+        running = cut(timetable.running_trips(self.trips, found["patterns"], services))
+        wanted = queries.select("query_id", "depart_sec", self._first_window(window).alias("w0"))
         widest = max(timetable.WIDER_WINDOWS)
         rows = found["patterns"].join(running, "pattern_pk").join(self.stop_times, "trip_pk").join(found["stops"], ["query_id", "stop_pk"], "left_semi").join(wanted, "query_id")
-        rows = rows.withColumns({"trip_pk": timetable.run_pk(F.col("trip_pk"), F.col("shift")), "arrival_sec": F.col("arrival_sec") + F.col("shift"), "departure_sec": F.col("departure_sec") + F.col("shift")})
+        rows = _shifted(rows)
         late = F.col("departure_sec") - F.col("depart_sec")
         rows = rows.withColumn("stage", F.when((late < -timetable.BOARD_BUFFER) | (late > widest), None).when(late <= F.col("w0"), 0).when(late <= timetable.WIDER_WINDOWS[0], 1).otherwise(2))
         rows = cut(rows.select("query_id", "trip_pk", "pattern_pk", "stop_pk", "stop_sequence", "arrival_sec", "departure_sec", "stage"))
@@ -78,10 +97,10 @@ class Engine:
         least = trips.groupBy("query_id").agg(F.min("stage").alias("stage"))
         return cut(rows.drop("stage").join(trips.join(least, ["query_id", "stage"], "left_semi") if window is None else trips.where("stage = 0"), ["query_id", "trip_pk"], "left_semi"))
 
-    def _run(self, queries: DataFrame, found: dict[str, DataFrame], window: int | None) -> tuple[DataFrame, DataFrame, raptor.Searched]:
+    def _run(self, queries: DataFrame, found: dict[str, DataFrame | None], window: int | None) -> tuple[DataFrame, DataFrame, raptor.Searched]:
         times = self.timetable(queries, found, window)
         seeds = found["paths"].select("query_id", F.explode("path").alias("stop_pk"))
-        searched = raptor.search(queries, self.stops, self.pattern_stops, times, self.options, found["stops"], seeds)
+        searched = raptor.search(queries, self.stops, self.pattern_stops, times, self.options, found["stops"], seeds, found["network"])
         return raptor.journeys(searched, self.options), times, searched
 
     def route(self, queries: DataFrame) -> DataFrame:
@@ -101,7 +120,10 @@ class Engine:
             best = first.join(again, "query_id", "left_anti").unionByName(second)
         best = cut(best)
         rode = best.where("legs > 0").select("query_id").distinct().withColumn("_rode", F.lit(True))
-        stopped = found["stops"].select("query_id").distinct().withColumn("_stops", F.lit(True))
+        stopped = found["stops"].select("query_id").distinct()
+        if found["network"] is not None and not self.stops.isEmpty():
+            stopped = stopped.union(found["network"])
+        stopped = stopped.withColumn("_stops", F.lit(True))
         no_origin = F.col("o_lat").isNull() | F.col("o_lon").isNull()
         no_end = F.col("d_lat").isNull() | F.col("d_lon").isNull()
         status = F.when(no_origin, "NO_STOPS_NEAR_ORIGIN").when(no_end, "NO_STOPS_NEAR_DESTINATION").when(F.col("_stops").isNull(), "NO_STOPS_NEAR_ORIGIN").when(F.col("_rode"), "OK").when(F.col("_served"), "NO_ROUTE").otherwise("NO_SERVICE_WALK_ONLY")
@@ -115,7 +137,7 @@ class Engine:
         history = searched.marked()
         near = raptor.destinations(queries, self.stops, self.options)
         served = self.pattern_stops.select("stop_pk").distinct().withColumn("_served", F.lit(True))
-        inside = found["stops"].withColumn("_inside", F.lit(True))
+        inside = corridor.inside(near.select("query_id", "stop_pk"), found["stops"], found["network"]).withColumn("_inside", F.lit(True))
         ran = times.select("query_id", "stop_pk").distinct().withColumn("_ran", F.lit(True))
         marked = history.groupBy("query_id", "stop_pk").agg(F.min("round").alias("_round"))
         rows = near.join(served, "stop_pk", "left").join(inside, ["query_id", "stop_pk"], "left").join(ran, ["query_id", "stop_pk"], "left").join(marked, ["query_id", "stop_pk"], "left")
@@ -127,7 +149,7 @@ class Engine:
         it: debug.diagnosed."""
         found = self.corridor(queries)
         _, times, searched = self._run(queries, found, None)
-        return debug.diagnosed(raptor.destinations(queries, self.stops, self.options), searched, self.pattern_stops, times, found["patterns"])
+        return debug.diagnosed(raptor.destinations(queries, self.stops, self.options), searched, self.pattern_stops, times, found["patterns"], found["network"])
 
     def events(self, queries: DataFrame) -> DataFrame:
         """All that a search of these queries reports: debug.events."""

@@ -793,6 +793,9 @@ def setop_coverage(t):
 def corridor_resolve(t):
     found = corridor.resolve(_od(t), t("t_stops"), t("t_pattern_stops"), t("t_patterns"), graph.edges(t("t_stops"), t("t_pattern_stops")))
     kinds = found["stops"].groupBy("query_id").count().select("query_id", F.lit("stops").alias("what"), F.col("count").alias("n")).union(found["patterns"].groupBy("query_id").count().select("query_id", F.lit("patterns"), "count"))
+    if found["network"] is not None:  # the sizes of the network, two rows, for each of these
+        sizes = t("t_stops").agg(F.lit("stops").alias("what"), F.count("*").alias("n")).union(t("t_patterns").agg(F.lit("patterns"), F.count("*")))
+        kinds = kinds.union(found["network"].join(F.broadcast(sizes)).select("query_id", "what", "n"))
     return kinds.join(found["how"], "query_id")
 
 
