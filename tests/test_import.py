@@ -158,3 +158,18 @@ def test_broken_references_leave_the_old_tables(spark, tmp_path):
     assert lineage.published(spark, target) == before
     dated = feed(tmp_path / "dated", calendar=FILES["calendar.txt"][:1])
     assert load.import_feeds(spark, dated, target)["trips"] == 2  # a service may stand in calendar_dates only
+
+
+def test_older_versions_are_removed_on_request(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    assert lineage.clean(spark, path) == []
+    for n in (1, 2, 3):
+        lineage.publish({"numbers": spark.range(n)}, f"m{n}", path)
+    with pytest.raises(ValueError):
+        lineage.clean(spark, path, 0)
+    assert len(lineage.clean(spark, path, 2)) == 1
+    (tmp_path / "kept" / "unfinished").mkdir()
+    assert len(lineage.clean(spark, path)) == 1
+    version, mark, folder = lineage.published(spark, path)
+    assert (version, mark, spark.read.parquet(f"{folder}/numbers").count()) == (3, "m3", 3)
+    assert sorted(x.name for x in (tmp_path / "kept").iterdir()) == sorted([folder.rsplit("/", 1)[1], "unfinished", "versions"])

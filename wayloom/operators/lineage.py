@@ -46,7 +46,7 @@ SMALL = 200_000
 
 def publish(tables: dict[str, DataFrame], mark: str, path: str) -> None:
     """Write tables to a folder of their own and, last, one row that names it: readers see all of them or none, and
-    the version before stays whole meanwhile. Older versions are left for their owner to remove."""
+    the version before stays whole meanwhile. Older versions stay until clean() removes them."""
     spark = next(iter(tables.values())).sparkSession
     before, folder = published(spark, path), f"{path}/{uuid.uuid4().hex}"
     for name, table in tables.items():
@@ -63,3 +63,17 @@ def published(spark: SparkSession, path: str) -> tuple[int, str, str] | None:
         return None
     last = versions.agg(F.max(F.struct("version", "folder", "mark")).alias("v")).first()["v"]
     return (last["version"], last["mark"], last["folder"]) if last else None
+
+
+def clean(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Delete the tables of all versions at a path but the last `keep`, and return their folders. Readers of an older
+    version lose it, so that `keep` should cover the longest of them. Folders that no version names, such as those of a
+    write that goes on, stay."""
+    if keep < 1:
+        raise ValueError("the last version is always kept")
+    if published(spark, path) is None:
+        return []
+    versions = spark.read.schema("version long, mark string, folder string").parquet(f"{path}/versions")
+    older = versions.orderBy(F.desc("version"), F.desc("folder")).offset(keep).collect()  # a row for each publication
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(row["folder"]) for row in older]
+    return [at.toString() for at in paths if at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)]
