@@ -178,3 +178,51 @@ def test_numbering_is_by_order(spark):
 def test_hull():
     square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
     assert set(geometry.hull([*square, (0.5, 0.5)])) == set(square)
+
+
+def test_crowded_cells_are_dealt_in_blocks(spark, monkeypatch):
+    stops = line(spark, *range(0, 600, 20), 5_000, 5_030)
+
+    def near():
+        at = spark.createDataFrame([(q, -37 + q * 1e-4, 144.0) for q in range(40)], "query_id long, at_lat double, at_lon double")
+        return pairs(graph.near_pairs(stops, 100), "a", "b"), pairs(corridor.around(at, stops, 300), "query_id", "stop_pk")
+
+    plain = near()
+    monkeypatch.setattr(graph, "HOT", 16)
+    assert near() == plain
+    spread = spark.range(50).select(F.col("id").alias("a"), F.lit(0).alias("y"), F.lit(0).alias("x"))
+    placed = spark.range(30).select(F.col("id").alias("b"), F.lit(0).alias("y"), F.lit(0).alias("x"))
+    met = graph.met_in_cells(spread, placed, "a", "b", 50)
+    assert pairs(met, "a", "b") == [(a, b) for a in range(50) for b in range(30)]
+    keys = met.groupBy(*[F.pmod(F.xxhash64(c), F.lit(4)) for c in "ab"]).count()
+    assert keys.count() > 4
+
+
+def test_a_corridor_of_few_stops_is_widened_once(spark):
+    # two stops 4 km apart; beside the middle, one stop 1.2 km off (within 350 + 900 m) and one 2 km off (within 700 + 1600 m)
+    east = 1e6 / (111_320 * 0.79864)
+    spots = [(0, 0), (4_000, 0), (2_000, 1_150), (2_000, 2_000), (2_000, 2_500), (100, 1_500)]
+    stops = spark.createDataFrame([(i + 1, round(-37e6 + up * METRE), round(144e6 + across * east), 1) for i, (up, across) in enumerate(spots)], "stop_pk long, stop_lat long, stop_lon long, agency long")
+    path = spark.createDataFrame([(1, 1, [1, 2])], "query_id long, path_no int, path array<bigint>")
+    none = spark.createDataFrame([], "query_id long, stop_pk long")
+    assert pairs(corridor.tapered(path, stops, none), "stop_pk", "widened") == [(1, True), (2, True), (3, True), (4, True)]
+    near = spark.createDataFrame([(1, pk) for pk in range(101, 106)], "query_id long, stop_pk long")
+    assert pairs(corridor.tapered(path, stops, near), "stop_pk", "widened") == [(pk, False) for pk in [1, 2, 3, *range(101, 106)]]
+    # still few after the wider taper: what it gives is taken all the same
+    few = corridor.tapered(path, stops.where("stop_pk < 3"), none)
+    assert pairs(few, "stop_pk", "widened") == [(1, True), (2, True)]
+
+
+def test_shape_slices_in_both_orders(spark):
+    stops = line(spark, 0, 1_000, 2_000, 2_010)
+    on = ps(spark, [1, 2, 3, 4])
+    shapes = spark.createDataFrame([(1, round(-37e6 + i * 500 * METRE), 144_000_000, i + 1) for i in range(5)], "shape_pk long, shape_pt_lat long, shape_pt_lon long, shape_pt_sequence long")
+    patterns = spark.createDataFrame([(1, "sh")], "pattern_pk long, shape_id string")
+    legs = spark.createDataFrame([(1, 1, i, "transit", a, b, 1, 1, 4) for i, (a, b) in enumerate([(1, 2), (3, 1), (3, 4)])], "query_id long, journey_no long, leg_no long, kind string, from_pk long, to_pk long, pattern_pk long, board_seq long, alight_seq long")
+
+    def metres(turned):
+        rows = raptor.with_coords(legs, stops, on, shapes, patterns, turned).orderBy("leg_no").collect()
+        return [[round((p["latitude"] + 37) * 1e6 / METRE) for p in r["coords"]] for r in rows]
+
+    assert metres(False) == [[0, 500, 1000], [0, 500, 1000, 1500, 2000], [2000]]
+    assert metres(True) == [[0, 500, 1000], [2000, 1500, 1000, 500, 0], [2000, 2010]]

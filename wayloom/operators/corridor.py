@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .graph import met_in_cells
 from .lineage import cut
 
 SEED_RADIUS_M, LEAST_SEEDS, MOST_SEEDS = 1000.0, 4, 40
@@ -30,10 +31,12 @@ def around(places: DataFrame, stops: DataFrame, radius_m: float) -> DataFrame:
     equi-join on grid cells; places without a position have none.
 
     A cell is at least as wide as the radius at the latitude of every place; near a pole, or for radii of continents,
-    one cell spans all longitudes. A place near the date line is looked for from both sides.
+    one cell spans all longitudes. A place near the date line is looked for from both sides. Cells that many places
+    look into are dealt in blocks.
     """
     known = places.where("at_lat IS NOT NULL AND at_lon IS NOT NULL")
-    high = known.agg(F.max(F.abs("at_lat"))).first()[0] or 0.0  # one row
+    high, n = known.agg(F.max(F.abs("at_lat")), F.count("*")).first()  # one row
+    high = high or 0.0
     tall = radius_m / 111_000.0
     reach = math.cos(math.radians(min(high, 90.0)))
     part = math.sin(math.radians(tall)) / reach if tall < 20 and high + tall < 89.0 else 1.0
@@ -47,7 +50,8 @@ def around(places: DataFrame, stops: DataFrame, radius_m: float) -> DataFrame:
     spread = spread.select("query_id", "at_lat", "at_lon", F.explode(near).alias("c")).select("query_id", "at_lat", "at_lon", "c.y", "c.x").distinct()
     placed = points(stops).withColumns({"y": S.grid_cell(F.col("lat"), tall), "x": S.grid_cell(F.col("lon"), wide)})
     dist = S.haversine_m(F.col("at_lat"), F.col("at_lon"), F.col("lat"), F.col("lon"))
-    return spread.join(placed, ["y", "x"]).select("query_id", "stop_pk", dist.alias("dist_m")).where(F.col("dist_m") <= radius_m)
+    met = met_in_cells(spread.withColumn("_row", F.xxhash64("query_id", "at_lat", "at_lon")), placed, "_row", "stop_pk", 27 * n)
+    return met.select("query_id", "stop_pk", dist.alias("dist_m")).where(F.col("dist_m") <= radius_m)
 
 
 def ranked(places: DataFrame, stops: DataFrame, most: int) -> DataFrame:

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .lineage import publish, published
+from .lineage import cut, publish, published
 
 FULL_CLIQUE, SAMPLES = 60, 40
 RIDE_COST, WALK_COST = 1.0, 0.5
 WALK_M = 450.0
 FIELD, RECORD = "\x1f", "\x1e"
 VERSION = 2
+HOT = 8192  # rows of a grid cell and those around it that one key of a join takes
 
 
 def positions(pattern_stops: DataFrame) -> DataFrame:
@@ -46,12 +47,14 @@ def near_pairs(stops: DataFrame, radius_m: float, cell: float | None = None) ->
     """(a, b, dist_m) with a < b: all pairs of stops within radius_m, by an equi-join on grid cells.
 
     Both sides are dealt to spark.sql.shuffle.partitions parts by cell, a number that isn't lowered at run time: the
-    pairs are many more than the rows that the shuffle weighs. A cell is at least radius_m wide in both directions: meridians are nearest each other at the largest latitude,
-    which one aggregate row tells. With `cell`, that width in degrees is used for both, right or not.
+    pairs are many more than the rows that the shuffle weighs. Crowded cells are dealt in blocks (met_in_cells). A cell is
+    at least radius_m wide in both directions: meridians are nearest each other at the largest latitude, which one
+    aggregate row tells. With `cell`, that width in degrees is used for both, right or not.
     """
     lat, lon = S.unpack_coord(F.col("stop_lat")), S.unpack_coord(F.col("stop_lon"))
     points = stops.select("stop_pk", lat.alias("lat"), lon.alias("lon"))
-    high = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    high, n = points.agg(F.max(F.abs("lat")), F.count("*")).first()
+    high = high or 0.0
     lat_cell = cell or radius_m / 111_000.0
     lon_cell = cell or lat_cell / max(math.cos(math.radians(min(high + lat_cell, 89.0))), 0.01)
     placed = points.withColumns({"y": S.grid_cell(F.col("lat"), lat_cell), "x": S.grid_cell(F.col("lon"), lon_cell)})
@@ -59,11 +62,32 @@ def near_pairs(stops: DataFrame, radius_m: float, cell: float | None = None) ->
     spread = placed.select(F.col("stop_pk").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), "y", "x", F.explode(around).alias("d"))
     spread = spread.select("a", "a_lat", "a_lon", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
     parts = int(stops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = spread.repartition(parts, "y", "x").join(placed, ["y", "x"]).where(F.col("a") < F.col("stop_pk"))
+    pairs = met_in_cells(spread, placed, "a", "stop_pk", 9 * n, parts).where(F.col("a") < F.col("stop_pk"))
     dist = S.haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
     return pairs.select("a", F.col("stop_pk").alias("b"), dist.alias("dist_m")).where(F.col("dist_m") <= radius_m)
 
 
+def met_in_cells(spread: DataFrame, placed: DataFrame, left: str, right: str, most: int, parts: int | None = None) -> DataFrame:
+    """spread and placed joined by their cells y and x; left and right are columns that tell their rows apart, `most` the
+    rows of spread at most.
+
+    A cell with more than HOT rows of spread, such as a city centre, is dealt as a grid of blocks: either side's rows by
+    hash to the blocks of their own, and to all blocks of the other side. So a key takes about HOT rows of spread, and
+    each pair meets in one key. The crowded cells are counted only where there may be one, and are most / HOT at most.
+    """
+    on = ["y", "x"]
+    if most > HOT:
+        crowded = cut(spread.groupBy(*on).agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks")).where("blocks > 1"))
+        if not crowded.isEmpty():
+            def dealt(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
+                blocks = F.coalesce("blocks", F.lit(1))
+                rows = rows.join(crowded, on, "left").withColumns({own: F.pmod(F.xxhash64(by), blocks).cast("int"), other: F.sequence(F.lit(0), blocks - 1)})
+                return rows.withColumn(other, F.explode(other)).drop("blocks")
+
+            spread, placed, on = dealt(spread, left, "i", "j"), dealt(placed, right, "j", "i"), [*on, "i", "j"]
+    return (spread.repartition(parts, *on) if parts else spread).join(placed, on).drop("i", "j")
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     """(src, dst, dist_m) in both directions of (a, b, dist_m)."""
     ends = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))

@@ -307,10 +307,25 @@ def journey_legs(found: DataFrame) -> DataFrame:
     return rows.select("query_id", "journey_no", (F.col("leg_no") + 1).alias("leg_no"), "leg.*")
 
 
-def with_coords(legs: DataFrame, stops: DataFrame, pattern_stops: DataFrame, shapes: DataFrame, patterns: DataFrame) -> DataFrame:
+def nearest_point(curve: Column, lat: Column, lon: Column) -> Column:
+    """The place, from 0 on, of the point of a curve nearest to a position; the first of several."""
+    return F.array_min(F.transform(curve, lambda p, i: F.struct(S.haversine_m(lat, lon, p["latitude"], p["longitude"]).alias("d"), i.alias("i"))))["i"]
+
+
+def shape_slice(curve: Column, i0: Column, i1: Column, ends: Column | None = None) -> Column:
+    """The points of a curve from one place to another, in the curve's order. With ends, an array of the two positions
+    of a ride, in the order of the ride: turned round where it runs against the curve, and the straight line between
+    the ends where both places are the same."""
+    part = F.slice(curve, F.least(i0, i1) + 1, F.abs(i1 - i0) + 1)
+    if ends is None:
+        return part
+    return F.when(i0 == i1, ends).when(i0 > i1, F.reverse(part)).otherwise(part)
+
+
+def with_coords(legs: DataFrame, stops: DataFrame, pattern_stops: DataFrame, shapes: DataFrame, patterns: DataFrame, turned: bool = False) -> DataFrame:
     """Ride legs with coords: the slice of the pattern's shape between the points nearest both stops, in the
-    shape's order; without a shape the stops between. shapes: (shape_pk, shape_pt_lat, shape_pt_lon,
-    shape_pt_sequence), shape_pk being the pattern's. Only shapes of legs are read."""
+    shape's order or, turned, in the ride's (shape_slice); without a shape the stops between. shapes: (shape_pk,
+    shape_pt_lat, shape_pt_lon, shape_pt_sequence), shape_pk being the pattern's. Only shapes of legs are read."""
     rides = legs.where("kind = 'transit'")
     place = points(stops)
     a = place.select(F.col("stop_pk").alias("from_pk"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
@@ -322,15 +337,15 @@ def with_coords(legs: DataFrame, stops: DataFrame, pattern_stops: DataFrame, sha
     line = pattern_stops.join(rides.select("pattern_pk").distinct(), "pattern_pk", "left_semi").join(place, "stop_pk").groupBy("pattern_pk").agg(F.array_sort(F.collect_list(F.struct(F.col("stop_sequence").alias("seq"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude")))).alias("line"))
     rows = rides.join(curve, "pattern_pk", "left").join(line, "pattern_pk", "left")
 
-    def nearest(lat: str, lon: str) -> Column:
-        far = F.transform("curve", lambda p, i: F.struct(S.haversine_m(F.col(lat), F.col(lon), p["latitude"], p["longitude"]).alias("d"), i.alias("i")))
-        return F.array_min(far)["i"]
+    rows = rows.withColumns({f"i{i}": nearest_point(F.col("curve"), F.col(f"{x}_lat"), F.col(f"{x}_lon")) for i, x in enumerate("ab")})
+
+    def plain(points_: Column) -> Column:
+        return F.transform(points_, lambda p: F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude")))
 
-    rows = rows.withColumns({"i0": nearest("a_lat", "a_lon"), "i1": nearest("b_lat", "b_lon")})
-    cut_ = F.slice("curve", F.least("i0", "i1") + 1, F.abs(F.col("i1") - F.col("i0")) + 1)
-    between = F.filter("line", lambda p: p["seq"].between(F.col("board_seq"), F.col("alight_seq")))
-    plain = F.transform(F.coalesce(cut_, between), lambda p: F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude")))
-    return rows.select("query_id", "journey_no", "leg_no", "pattern_pk", "from_pk", "to_pk", plain.alias("coords"))
+    ends = F.array(*[F.struct(F.col(f"{x}_lat").alias("latitude"), F.col(f"{x}_lon").alias("longitude")) for x in "ab"])
+    cut_ = shape_slice(plain(F.col("curve")), F.col("i0"), F.col("i1"), ends if turned else None)
+    between = plain(F.filter("line", lambda p: p["seq"].between(F.col("board_seq"), F.col("alight_seq"))))
+    return rows.select("query_id", "journey_no", "leg_no", "pattern_pk", "from_pk", "to_pk", F.coalesce(cut_, between).alias("coords"))
 
 
 def journey_lines(legs: DataFrame) -> DataFrame:

@@ -764,10 +764,10 @@ def corridor_tapered(t):
 pick AS (SELECT sample, target, coalesce((SELECT min(pos) FROM seg WHERE bef + len >= target), (SELECT max(pos) FROM seg)) AS pos FROM target),
 p AS (SELECT sample, target / total AS gt, a_lat + (b_lat - a_lat) * CASE WHEN len > 0 THEN (target - bef) / len ELSE 0 END AS lat, a_lon + (b_lon - a_lon) * CASE WHEN len > 0 THEN (target - bef) / len ELSE 0 END AS lon, b_lat - a_lat AS dlat, b_lon - a_lon AS dlon FROM pick JOIN seg USING (pos)),
 q AS (SELECT *, dlon * 111320 * cos(radians(lat)) AS dx, dlat * 111320 AS dy FROM p),
-o AS (SELECT *, (350 + 900 * sin(pi() * gt)) / CASE WHEN dx * dx + dy * dy = 0 THEN 1 ELSE sqrt(dx * dx + dy * dy) END AS k FROM q)""", "SELECT CAST(sample AS INTEGER) AS sample, CAST(round((lat + dx * k / 111320) * 1000000) AS BIGINT) AS left_lat, CAST(round((lon - dy * k / (111320 * cos(radians(lat)))) * 1000000) AS BIGINT) AS left_lon FROM o"))
+o AS (SELECT *, (350 + 900 * sin(pi() * gt)) / CASE WHEN dx * dx + dy * dy = 0 THEN 1 ELSE sqrt(dx * dx + dy * dy) END AS k FROM q)""", "SELECT CAST(sample AS INTEGER) AS sample, CAST(round((lat + dx * k / 111320) * 1000000) AS BIGINT) AS left_lat, CAST(round((lon - dy * k / (111320 * cos(radians(lat)))) * 1000000) AS BIGINT) AS left_lon, CAST(round((lat - dx * k / 111320) * 1000000) AS BIGINT) AS right_lat, CAST(round((lon + dy * k / (111320 * cos(radians(lat)))) * 1000000) AS BIGINT) AS right_lon FROM o"))
 def corridor_boundary(t):
     b = corridor.boundary(_path(t), t("t_stops"))
-    return b.select("sample", F.round(F.col("left_lat") * 1e6).cast("bigint").alias("left_lat"), F.round(F.col("left_lon") * 1e6).cast("bigint").alias("left_lon"))
+    return b.select("sample", *[F.round(F.col(c) * 1e6).cast("bigint").alias(c) for c in ("left_lat", "left_lon", "right_lat", "right_lon")])
 
 
 @query("SELECT DISTINCT pattern_pk FROM t_pattern_stops WHERE stop_pk IN (1, 77, 40)", ("t_pattern_stops",))
@@ -882,6 +882,16 @@ def raptor_trim(t):
     return raptor.trim(marked.join(to_go, ["query_id", "stop_pk"]), None, raptor.Options(most_marked=100)).select("stop_pk")
 
 
+@query(ctes(_SEARCH_VIEWS, _GO + """, sd AS (SELECT DISTINCT stop_pk FROM t_pattern_stops WHERE pattern_pk = 1), tr AS (SELECT go.*, sd.stop_pk IS NOT NULL AS seeded, row_number() OVER (ORDER BY CASE WHEN sd.stop_pk IS NULL THEN 0 ELSE 1 END, go_m, go.stop_pk) AS near FROM go LEFT JOIN sd ON sd.stop_pk = go.stop_pk),
+sc AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN seeded THEN 0 WHEN near <= 10 THEN 1 ELSE 2 END, arr + go_m / 10, stop_pk) AS turn FROM tr)""", "SELECT stop_pk, seeded FROM sc WHERE seeded OR near <= 10 OR turn <= 40"))
+def raptor_trim_seeds(t):
+    """The trim with the stops of a seed path, which stay however far they are: here the stops of one pattern."""
+    marked, to_go = _marked(t)
+    seeds = t("t_pattern_stops").where("pattern_pk = 1").select(F.lit(1).alias("query_id"), "stop_pk").distinct()
+    left = raptor.trim(marked.join(to_go, ["query_id", "stop_pk"]), seeds, raptor.Options(most_marked=40))
+    return left.join(seeds.select("stop_pk", F.lit(True).alias("seeded")), "stop_pk", "left").select("stop_pk", F.coalesce("seeded", F.lit(False)).alias("seeded"))
+
+
 PAIRS = ((FROM_PK, TO_PK), (5, 100), (17, 133))
 
 
@@ -910,6 +920,29 @@ def journey_segments(t):
     return legs.select("query_id", "journey_no", "leg_no", "pattern_pk", F.size("coords").alias("n_points"), S.point_key(F.element_at("coords", 1)["latitude"], F.element_at("coords", 1)["longitude"]).alias("first_point"))
 
 
+_TRIM_SIDE = "SELECT e.pattern_pk, e.from_pk, e.to_pk, c.i, {d} AS d FROM e JOIN c USING (pattern_pk) JOIN t_stops s ON s.stop_pk = e.{end}"
+_TRIM_D = haversine_sql("s.stop_lat / 1e6::DOUBLE", "s.stop_lon / 1e6::DOUBLE", "c.lat / 1e6::DOUBLE", "c.lon / 1e6::DOUBLE")
+_TRIM = f"""c AS (SELECT shape_pk AS pattern_pk, shape_pt_lat AS lat, shape_pt_lon AS lon, row_number() OVER (PARTITION BY shape_pk ORDER BY shape_pt_sequence, shape_pt_lat, shape_pt_lon) - 1 AS i FROM t_shapes),
+e AS (SELECT DISTINCT a.pattern_pk, a.stop_pk AS from_pk, b.stop_pk AS to_pk FROM t_pattern_stops a JOIN t_pattern_stops b ON b.pattern_pk = a.pattern_pk),
+n0 AS (SELECT pattern_pk, from_pk, to_pk, i AS i0 FROM (SELECT *, row_number() OVER (PARTITION BY pattern_pk, from_pk, to_pk ORDER BY d, i) AS r FROM ({_TRIM_SIDE.format(d=_TRIM_D, end='from_pk')}) x) y WHERE r = 1),
+n1 AS (SELECT pattern_pk, from_pk, to_pk, i AS i1 FROM (SELECT *, row_number() OVER (PARTITION BY pattern_pk, from_pk, to_pk ORDER BY d, i) AS r FROM ({_TRIM_SIDE.format(d=_TRIM_D, end='to_pk')}) x) y WHERE r = 1)"""
+
+
+@query(ctes(("t_stops", "t_pattern_stops", "t_shapes"), _TRIM, """SELECT n.pattern_pk, n.from_pk, n.to_pk, CAST(abs(i1 - i0) + 1 AS INTEGER) AS n_points, lo.lat AS first_lat, CAST(CASE WHEN i0 = i1 THEN 2 ELSE abs(i1 - i0) + 1 END AS INTEGER) AS n_turned, CASE WHEN i0 = i1 THEN s.stop_lat ELSE c0.lat END AS turned_lat
+FROM (SELECT * FROM n0 JOIN n1 USING (pattern_pk, from_pk, to_pk)) n JOIN c lo ON lo.pattern_pk = n.pattern_pk AND lo.i = least(i0, i1) JOIN c c0 ON c0.pattern_pk = n.pattern_pk AND c0.i = i0 JOIN t_stops s ON s.stop_pk = n.from_pk"""))
+def shape_trim(t):
+    """The slice of each pattern's shape between any two of its stops, in the shape's order and in the ride's."""
+    stops = t("t_pattern_stops").select("pattern_pk", "stop_pk")
+    legs = stops.withColumnRenamed("stop_pk", "from_pk").join(stops.withColumnRenamed("stop_pk", "to_pk"), "pattern_pk").distinct()
+    legs = legs.select(F.lit(1).alias("query_id"), F.lit(1).alias("journey_no"), F.lit(1).alias("leg_no"), F.lit("transit").alias("kind"), "from_pk", "to_pk", "pattern_pk", F.lit(0).alias("board_seq"), F.lit(0).alias("alight_seq"))
+    legs = legs.join(t("t_patterns").where("shape_id IS NOT NULL").select("pattern_pk"), "pattern_pk", "left_semi")
+    sides = []
+    for turned, n, lat in ((False, "n_points", "first_lat"), (True, "n_turned", "turned_lat")):
+        rows = raptor.with_coords(legs, t("t_stops"), t("t_pattern_stops"), t("t_shapes"), t("t_patterns"), turned)
+        sides.append(rows.select("pattern_pk", "from_pk", "to_pk", F.size("coords").alias(n), F.round(F.get("coords", F.lit(0))["latitude"] * 1e6).cast("bigint").alias(lat)))
+    return sides[0].join(sides[1], ["pattern_pk", "from_pk", "to_pk"])
+
+
 @query()
 def shape_points_for_journeys(t):
     used = raptor.journey_legs(_journeys(t)).where("kind = 'transit'").select(F.col("pattern_pk").alias("shape_pk")).distinct()
