@@ -226,3 +226,33 @@ def test_shape_slices_in_both_orders(spark):
 
     assert metres(False) == [[0, 500, 1000], [0, 500, 1000, 1500, 2000], [2000]]
     assert metres(True) == [[0, 500, 1000], [2000, 1500, 1000, 500, 0], [2000, 2010]]
+
+
+def test_walks_are_found_from_a_frontier_only(spark, monkeypatch):
+    stops = line(spark, *range(0, 3_000, 100), 0, 5_000)
+    front = spark.createDataFrame([(1, 3, "x"), (2, 3, "y"), (1, 20, "z"), (1, 32, "far"), (1, 99, "unknown")], "query_id long, src long, own string")
+    want = pairs(graph.both_ways(graph.near_pairs(stops, 450.0)).join(front, "src"), "query_id", "own", "src", "dst", "dist_m")
+    walks = graph.Walks.between(stops, 450.0)
+    assert len(want) > 20 and pairs(walks.from_(front, 5), "query_id", "own", "src", "dst", "dist_m") == want
+    monkeypatch.setattr(graph, "SMALL", 0)
+    for hot in (8192, 4):
+        monkeypatch.setattr(graph, "HOT", hot)
+        assert pairs(walks.from_(front, 5), "query_id", "own", "src", "dst", "dist_m") == want
+
+
+def test_a_search_makes_no_table_of_all_walks(spark, monkeypatch):
+    def all_pairs(*_):
+        raise AssertionError("all pairs of near stops")
+
+    stops, times, q = net(spark)
+    for module in (graph, raptor):
+        monkeypatch.setattr(module, "near_pairs", all_pairs)
+    found = raptor.journeys(raptor.search(q, stops, ps(spark, [1, 2, 3]), times))
+    assert found.where("legs > 0").count() > 0
+
+
+def test_the_departure_index_is_bounded_by_seconds(spark):
+    rows = [(trip, 1, 1, 1, 28_800 + trip // 50, 28_820 + trip // 50) for trip in range(500)]
+    times = spark.createDataFrame(rows, "trip_pk long, stop_sequence long, stop_pk long, pattern_pk long, arrival_sec long, departure_sec long")
+    held = [d for r in timetable.departure_index(times).where("bucket = 32").collect() for d in r["here"]]
+    assert [(d["departure_sec"], d["trip_pk"]) for d in held] == [(28_820 + i, 50 * i) for i in range(10)]
