@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import scalars as S
 from wayloom.operators import corridor, etl, geometry, graph, raptor, timetable
+from wayloom.plans import engine
 from wayloom.sources import feeds
 
 METRE = 1e6 / 111_194.9
@@ -256,3 +257,19 @@ def test_the_departure_index_is_bounded_by_seconds(spark):
     times = spark.createDataFrame(rows, "trip_pk long, stop_sequence long, stop_pk long, pattern_pk long, arrival_sec long, departure_sec long")
     held = [d for r in timetable.departure_index(times).where("bucket = 32").collect() for d in r["here"]]
     assert [(d["departure_sec"], d["trip_pk"]) for d in held] == [(28_820 + i, 50 * i) for i in range(10)]
+
+
+def test_levels_find_the_walks_of_their_arrivals_only(spark, monkeypatch):
+    stops, on = line(spark, 0, 300, 5_000, 5_300, 9_000), ps(spark, [2, 3], [4, 5])
+    o, d = (spark.createDataFrame([(1, x)], "query_id long, stop_pk long") for x in (1, 5))
+    want = [pairs(x, *x.columns) for x in corridor.levels(graph.edges(stops, on), o, d)]
+
+    def all_pairs(*_):
+        raise AssertionError("all pairs of near stops")
+
+    monkeypatch.setattr(graph, "near_pairs", all_pairs)
+    assert [pairs(x, *x.columns) for x in corridor.levels(graph.ride_edges(on), o, d, stops=stops)] == want
+    q = spark.createDataFrame([(1, -37.0, 144.0, -37.0 + 9_000 * METRE / 1e6, 144.0)], "query_id long, o_lat double, o_lon double, d_lat double, d_lon double")
+    none = stops.limit(0)
+    eng = engine.Engine(stops, on.select("pattern_pk", F.lit(1).alias("agency"), F.lit("r").alias("route_id")).distinct(), on, none, none, none, none)
+    assert eng.corridor(q)["how"].count() == 1

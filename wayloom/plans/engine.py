@@ -62,7 +62,8 @@ class Engine:
         return cut(graph.edges(self.stops, self.pattern_stops)) if kept is None else kept
 
     def corridor(self, queries: DataFrame) -> dict[str, DataFrame | None]:
-        return corridor.resolve(queries, self.stops, self.pattern_stops, self.patterns, self.graph())
+        kept = self.edges is not None or self.graph_path is not None  # else the corridor finds the walks that it takes
+        return corridor.resolve(queries, self.stops, self.pattern_stops, self.patterns, self.graph() if kept else None)
 
     def timetable(self, queries: DataFrame, found: dict[str, DataFrame | None], window: int | None = None) -> DataFrame:
         """(query_id, trip_pk, pattern_pk, stop_pk, stop_sequence, arrival_sec, departure_sec) that each query may use:
