@@ -273,3 +273,17 @@ def test_levels_find_the_walks_of_their_arrivals_only(spark, monkeypatch):
     none = stops.limit(0)
     eng = engine.Engine(stops, on.select("pattern_pk", F.lit(1).alias("agency"), F.lit("r").alias("route_id")).distinct(), on, none, none, none, none)
     assert eng.corridor(q)["how"].count() == 1
+
+
+def test_distances_are_computed_once_for_places(spark, monkeypatch):
+    # 30 stops at each of 3 places, 300 m apart, and one of them with more stops than a row holds
+    stops = line(spark, *[m for m in (0, 300, 600) for _ in range(30)], *[600] * 10)
+    where = [0] * 30 + [300] * 30 + [600] * 40
+    want = sorted((a + 1, b + 1) for a, x in enumerate(where) for b, y in enumerate(where) if a != b and abs(x - y) <= 450)
+    grid, n = graph.on_grid(stops, 450.0)
+    assert graph.at_places(grid, n).count() == 3
+    for size in (1024, 7):
+        monkeypatch.setattr(graph, "LIST", size)
+        assert pairs(graph.walk_edges(stops), "src", "dst") == want
+        assert pairs(graph.near_pairs(stops, 450.0), "a", "b") == [(a, b) for a, b in want if a < b]
+    assert {r["dist_m"] for r in graph.near_pairs(stops, 450.0, both=True, whole=True).collect()} == {0, 300}
