@@ -287,3 +287,20 @@ def test_distances_are_computed_once_for_places(spark, monkeypatch):
         assert pairs(graph.walk_edges(stops), "src", "dst") == want
         assert pairs(graph.near_pairs(stops, 450.0), "a", "b") == [(a, b) for a, b in want if a < b]
     assert {r["dist_m"] for r in graph.near_pairs(stops, 450.0, both=True, whole=True).collect()} == {0, 300}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rides_of_a_long_pattern_are_not_one_task(spark, monkeypatch):
+    on = ps(spark, list(range(1, 201)), [5, 6, 5], [300, 301])
+    n, step = 200, 200 // 40
+    want = {(a + 1, b + 1): 1 for a in range(n) for b in range(a + 1, n) if b == n - 1 or b % step == 0}
+    want = sorted((*k, min(v, want.get(k, v))) for k, v in (want | {(300, 301): 3, (5, 6): want.get((5, 6), 2), (6, 5): 2}).items())
+    got = graph.ride_edges(on)
+    assert pairs(got, "src", "dst", "via_pattern") == want
+    assert "row_number" not in plan_of(graph.positions(on)) and "hashpartitioning(src#" in plan_of(got)
+    assert "dst" not in "".join(x for x in plan_of(got).splitlines() if "hashpartitioning" in x)
+    monkeypatch.setattr(graph, "SMALL", 0)
+    assert pairs(graph.ride_edges(on), "src", "dst", "via_pattern") == want
