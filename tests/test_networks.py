@@ -304,3 +304,29 @@ def test_rides_of_a_long_pattern_are_not_one_task(spark, monkeypatch):
     assert "dst" not in "".join(x for x in plan_of(got).splitlines() if "hashpartitioning" in x)
     monkeypatch.setattr(graph, "SMALL", 0)
     assert pairs(graph.ride_edges(on), "src", "dst", "via_pattern") == want
+
+
+def raw_times(spark):
+    rows = [("a", "A", "1", "7:00:00", ""), ("a", "B", "2", "7:10:00", "7:11:00"), ("a", "X", "3", "7:20:00", ""), ("b", "A", "x", "25:00:00", ""), ("z", "A", "1", "7:00:00", ""), ("z", "X", "2", "7:00:00", ""), (None, "A", "1", "", ""), ("b", None, "1", "", "")]
+    raw = spark.createDataFrame([(1, *r, i) for i, r in enumerate(rows)], "agency long, trip_id string, stop_id string, stop_sequence string, arrival_time string, departure_time string, _ord long")
+    trips = spark.createDataFrame([(1, "a", 11), (1, "b", 12), (2, "z", 13)], "agency long, trip_id string, trip_pk long")
+    return raw, trips, spark.createDataFrame([(1, "A", 21), (1, "B", 22), (2, "X", 23), (1, "unused", 24)], "agency long, stop_id string, stop_pk long")
+
+
+def test_stop_times_shuffle_rows_once(spark, monkeypatch):
+    raw, trips, stops = raw_times(spark)
+    want = [(11, 1, 21, 25_200, 25_200, 0), (11, 2, 22, 25_800, 25_860, 1), (12, 0, 21, 90_000, 90_000, 3)]
+    for small in (200_000, 3):  # 3: only the stops that the rows name are few
+        monkeypatch.setattr(etl, "SMALL", small)
+        rows = etl.stop_times(raw, trips, stops)
+        assert sorted(map(tuple, rows.collect())) == want
+        plan = rows.hint("x")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("strategy=broadcast") == 1
+
+
+def test_rejects_meet_the_trips_once(spark):
+    raw, trips, stops = raw_times(spark)
+    rows = etl.stop_time_rejects(raw, trips.union(trips), stops.union(stops))
+    assert pairs(rows, "reason", "n_rows") == [("unknown_stop", 2), ("unknown_trip", 3)]
+    joins = [x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 2
