@@ -330,3 +330,16 @@ def test_rejects_meet_the_trips_once(spark):
     assert pairs(rows, "reason", "n_rows") == [("unknown_stop", 2), ("unknown_trip", 3)]
     joins = [x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
     assert len(joins) == 2
+
+
+def test_groups_are_not_held_by_the_tasks_of_a_scan(spark, tmp_path):
+    from wayloom.plans import queries
+
+    found = spark.createDataFrame([(q, a, float(w), n) for q in (1, 2) for a in range(5) for w in (3, 7) for n in (1, 2)], "query_id long, arrival_sec long, total_walk_m double, legs long")
+    front = raptor.pareto(found)
+    assert pairs(front, "query_id", "arrival_sec", "total_walk_m", "legs") == [(1, 0, 3.0, 1), (2, 0, 3.0, 1)]
+    assert front._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+    times = spark.createDataFrame([(s, t, n) for s in (1, 2) for t in range(9) for n in (1, 2)], "stop_pk long, trip_pk long, stop_sequence long")
+    rows = queries.agg_stop_trip_index(lambda _: times)
+    assert pairs(rows, "stop_pk", "trip_pk", "n_visits", "last_seq") == [(s, t, 2, 2) for s in (1, 2) for t in range(9)]
+    assert "RepartitionByExpression" in rows._jdf.queryExecution().optimizedPlan().toString()
