@@ -126,6 +126,20 @@ def test_search_matches_plain_rounds(spark, seed):
     assert {q: sorted(f) for q, f in found.items()} == fronts
 
 
+def test_index_holds_the_stops_boarded_at_once_each(spark, monkeypatch):
+    net, o, made = Network(5), raptor.Options(rounds=3, nearby=3, transfer_walk_sec=100), []
+    real = timetable.departure_index
+    monkeypatch.setattr(timetable, "departure_index", lambda times, *more: (made.append({r.stop_pk for r in times.select("stop_pk").distinct().collect()}), real(times, *more))[1])
+    queries, stops, lines, times = net.tables(spark)
+    rows = lambda found: sorted(map(tuple, found.select("query_id", "stop_pk", "step", "arrival_sec", "legs").collect()))
+    one, trips = queries.where("query_id = 1"), times.select("trip_pk", "pattern_pk").distinct()
+    searched = raptor.search(one, stops, lines, times, o)
+    live = [{r.stop_pk for r in table.collect()} for table in searched.live]
+    assert made and sum(map(len, made)) == len(set().union(*made)) and set().union(*made) <= set().union(*live)
+    assert made[0] <= live[0] and len(live[0]) == 3
+    assert rows(raptor.search(one, stops, lines, times.drop("pattern_pk"), o, trips=trips).found) == rows(searched.found)
+
+
 def test_shuffled_frontier_gives_the_same(spark, monkeypatch):
     net, o = Network(4), raptor.Options(rounds=2, nearby=5, transfer_walk_sec=300)
     rows = lambda: sorted(map(tuple, raptor.journeys(raptor.search(*net.tables(spark), o), o).select("query_id", "arrival_sec", "legs", "stop_pk").collect()))
