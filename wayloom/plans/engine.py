@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import corridor, debug, graph, raptor, timetable
-from ..operators.lineage import cut
+from ..operators.lineage import cut, hinted
 from . import load
 
 
@@ -89,7 +89,9 @@ class Engine:
         running = cut(timetable.running_trips(self.trips, found["patterns"], services))
         wanted = queries.select("query_id", "depart_sec", self._first_window(window).alias("w0"))
         widest = max(timetable.WIDER_WINDOWS)
-        rows = found["patterns"].join(running, "pattern_pk").join(self.stop_times, "trip_pk").join(found["stops"], ["query_id", "stop_pk"], "left_semi").join(wanted, "query_id")
+        # the stop times of no query's stops are left out before they are shuffled to their trips
+        calls = self.stop_times.join(hinted(found["stops"].select("stop_pk").distinct()), "stop_pk", "left_semi")
+        rows = found["patterns"].join(running, "pattern_pk").join(calls, "trip_pk").join(found["stops"], ["query_id", "stop_pk"], "left_semi").join(wanted, "query_id")
         rows = _shifted(rows)
         late = F.col("departure_sec") - F.col("depart_sec")
         rows = rows.withColumn("stage", F.when((late < -timetable.BOARD_BUFFER) | (late > widest), None).when(late <= F.col("w0"), 0).when(late <= timetable.WIDER_WINDOWS[0], 1).otherwise(2))
