@@ -148,6 +148,30 @@ def test_shuffled_frontier_gives_the_same(spark, monkeypatch):
     assert rows() == broadcast
 
 
+def test_a_round_boards_from_all_stops_that_it_marks(spark):
+    """450 stops are walked to, and only the one farthest from the destination, with the worst score, has a line to it."""
+    net, o = Network(1), raptor.Options(rounds=1, nearby=450)
+    net.stops = {i: (-37.0 + i * 2e-6, 144.0) for i in range(1, 451)} | {1: (-37.001, 144.0), 900: (-37.0, 144.3)}
+    net.times = [(1, 1, 1, 1, 40_000, 40_020), (1, 1, 900, 2, 40_900, 40_920)]
+    net.patterns, net.queries = {1: [1, 900]}, [(1, -37.0, 144.0, -37.0, 144.3, 28_800)]
+    searched = raptor.search(*net.tables(spark), o)
+    assert searched.live[0].count() == 450
+    assert [tuple(r) for r in searched.found.where("legs > 0 AND stop_pk = 900").select("arrival_sec", "legs").collect()] == [(40_900, 1)]
+
+
+def test_boarding_without_an_index_is_the_same(spark, monkeypatch):
+    """First departures sought in windows of a minute and more, where the stop times are too many for an index."""
+    monkeypatch.setattr(raptor, "MOST_CALLS", 0)
+    real, widths = raptor.first_departures, []
+    monkeypatch.setattr(raptor, "first_departures", lambda times, wanted, trips, width, last: (widths.append(width), real(times, wanted, trips, 60, last))[1])
+    net, o = Network(7), raptor.Options(rounds=2, nearby=6, transfer_walk_sec=400)
+    queries, stops, lines, times = net.tables(spark)
+    searched = raptor.search(queries, stops, lines, times.drop("pattern_pk"), o, trips=times.select("trip_pk", "pattern_pk").distinct())
+    got = {(r.query_id, i, r.stop_pk): (r.arr, r.legs, round(r.walk_m, 3)) for i, step in enumerate(searched.steps) for r in step.collect()}
+    whole = raptor.Options(**(vars(o) | {"most_marked": 1_000_000}))
+    assert widths and got == {(q[0], i, s): (x[0], x[1], round(x[2], 3)) for q in net.queries for i, step in enumerate(net.search(q, whole)[0]) for s, x in step.items()}
+
+
 def test_boarding_reads_one_row_of_the_index(spark):
     rng = random.Random(3)
     times = [(t, t % 3, s, 1, d, d) for t in range(400) for s in (1, 2) for d in [rng.choice([rng.randrange(90_000), 28_800, 28_799, 29_700])]] + [(999, 1, 1, 1, None, None)]
