@@ -289,6 +289,26 @@ def test_distances_are_computed_once_for_places(spark, monkeypatch):
     assert {r["dist_m"] for r in graph.near_pairs(stops, 450.0, both=True, whole=True).collect()} == {0, 300}
 
 
+def test_walks_are_packed_where_they_are_made(spark, monkeypatch):
+    """The texts are those of packing all edges, for shared places, blocks of a cell, and stops without a position or a walk;
+    the pairs of a place are grouped in the task that met them."""
+    stops = line(spark, *[m for m in (0, 300, 600) for _ in range(3)], 5_000, 9_000).union(spark.createDataFrame([(12, None, None, 1)], "a long, b long, c long, d long"))
+    on = ps(spark, [1, 5, 10, 12, 77, 2, 1], [9, 8, 5])
+    want = pairs(graph.pack(graph.edges(stops, on)), "stop_pk", "edges")
+    edges = graph.edges(stops, on)
+    assert {s for s, _ in want} == {*range(1, 11), 12, 77}
+    for size, rows in ((1024, 1_000_000), (2, 3)):
+        monkeypatch.setattr(graph, "LIST", size)
+        monkeypatch.setattr(graph, "PART_ROWS", rows)
+        packed = graph.packed(stops, on)
+        assert pairs(packed, "stop_pk", "edges") == want
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.select(edges.columns).collect())
+    assert key(graph.unpack(packed)) == key(edges)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.index("collect_list(pks"), plan.index("partial_collect_list(pks")
+    assert above < below and "Exchange" not in plan[above:below]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
