@@ -1,5 +1,6 @@
 """Micro-networks with answers that can be worked out by hand."""
 
+import random
 import zipfile
 
 import pytest
@@ -309,6 +310,20 @@ def test_walks_are_packed_where_they_are_made(spark, monkeypatch):
     assert above < below and "Exchange" not in plan[above:below]
 
 
+def test_footpaths_are_rounded_before_their_pairs_are_written_out(spark):
+    rng = random.Random(5)
+    stops = spark.createDataFrame([(i, -37_000_000 + rng.randrange(40_000), 144_000_000 + rng.randrange(40_000), 1) for i in range(150)] + [(200 + i, -37_000_000 + i * 15_109, 144_000_000, 1) for i in range(4)], "stop_pk long, stop_lat long, stop_lon long, agency long")
+    whole = raptor.footpaths(stops, raptor.Options(), whole=True)
+    at, other = corridor.points(stops), corridor.points(stops).toDF("dst", "b_lat", "b_lon")
+    dist = S.haversine_m(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))
+    want = at.withColumnRenamed("stop_pk", "src").crossJoin(other).where(F.col("src") != F.col("dst")).withColumn("d", dist).where("d <= 1680")
+    assert pairs(whole, "src", "dst", "dist_m") == pairs(want.withColumn("dist_m", F.round("d").cast("bigint")), "src", "dst", "dist_m")
+    assert "round(" not in whole._jdf.queryExecution().executedPlan().toString()
+    odd = [0.0, 0.49999999999999994, 0.5, 1.5, 2.4999999999999996, 2.5, 1679.5, 1679.4999999999998, 4503599627370495.5]
+    rows = spark.createDataFrame([(x,) for x in odd], "x double").select(S.round_half(F.col("x")).alias("a"), F.round("x").cast("bigint").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
